@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from huestrata.llm.bpe import bpe_digest
 from huestrata.llm.common import table
 from huestrata.llm.exact_dedup import exact_dedup
 
@@ -33,3 +34,14 @@ def query(name, sql=None):
 )
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_bpe_encoding")
+def op8_bpe_encoding(spark, sf_dir):
+    return bpe_digest(table(spark, sf_dir, "documents"), word_bpe_path())
