@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from huestrata.llm.bpe import bpe_digest
-from huestrata.llm.common import table
+from huestrata.llm.common import staging_dir, table
 from huestrata.llm.exact_dedup import exact_dedup
+from huestrata.llm.token_store import library_words, read_digest, write_store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,3 +46,10 @@ def word_bpe_path() -> str:
 @query("op8_bpe_encoding")
 def op8_bpe_encoding(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+@query("op3_token_store")
+def op3_token_store(spark, sf_dir):
+    path, vocab = staging_dir(spark), word_bpe_path()
+    write_store(table(spark, sf_dir, "documents"), path, lambda text: library_words(vocab).encode_bytes(text), end_id=1)
+    return read_digest(spark, path)
