@@ -5,6 +5,7 @@ from __future__ import annotations
 from huestrata.llm.bpe import bpe_digest
 from huestrata.llm.common import staging_dir, table
 from huestrata.llm.exact_dedup import exact_dedup
+from huestrata.llm.secrets import scan_secrets
 from huestrata.llm.token_store import library_words, read_digest, write_store
 
 QUERIES: dict = {}
@@ -53,3 +54,8 @@ def op3_token_store(spark, sf_dir):
     path, vocab = staging_dir(spark), word_bpe_path()
     write_store(table(spark, sf_dir, "documents"), path, lambda text: library_words(vocab).encode_bytes(text), end_id=1)
     return read_digest(spark, path)
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
