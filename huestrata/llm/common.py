@@ -80,9 +80,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _hash_block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: White space and every other ASCII byte that is no letter or digit.
+APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def _hash_block(raw: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words in one block of bytes, A-Z lower-cased."""
-    edge = np.diff(np.concatenate(([True], _SPACE[raw], [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], apart[raw], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     fwd, back = _power_tables(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
@@ -90,34 +94,37 @@ def _hash_block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """The 64-bit hash of each word of each text, in order. Long texts go block by block."""
+def word_hashes(texts: Iterable[str | None], apart: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
+    """The 64-bit hash of each word of each text, in order. Long texts go block by block.
+
+    Words are runs of bytes other than `apart` (which must hold the ASCII white space).
+    """
     group: list[bytes] = []
     size = 0
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if group and size + len(raw) > _BLOCK:
-            yield from _hash_group(group)
+            yield from _hash_group(group, apart)
             group, size = [], 0
         group.append(raw)
         size += len(raw) + 1
     if group:
-        yield from _hash_group(group)
+        yield from _hash_group(group, apart)
 
 
-def _hash_group(group: list[bytes]) -> Iterator[np.ndarray]:
+def _hash_group(group: list[bytes], apart: np.ndarray) -> Iterator[np.ndarray]:
     if len(group) == 1 and len(group[0]) > _BLOCK:
         raw, at, out = np.frombuffer(group[0], np.uint8), 0, []
         while at < len(raw):
             end = min(len(raw), at + _BLOCK)
-            while end < len(raw) and not _SPACE[raw[end]]:
-                gap = np.flatnonzero(_SPACE[raw[end : end + _BLOCK]])
+            while end < len(raw) and not apart[raw[end]]:
+                gap = np.flatnonzero(apart[raw[end : end + _BLOCK]])
                 end = end + int(gap[0]) if len(gap) else min(len(raw), end + _BLOCK)
-            out.append(_hash_block(raw[at:end])[1])
+            out.append(_hash_block(raw[at:end], apart)[1])
             at = end
         yield np.concatenate(out)
         return
-    starts, hashes = _hash_block(np.frombuffer(b"\n".join(group), np.uint8))
+    starts, hashes = _hash_block(np.frombuffer(b"\n".join(group), np.uint8), apart)
     bounds = np.cumsum([0] + [len(x) + 1 for x in group])
     cut = np.searchsorted(starts, bounds)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -134,3 +141,16 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     for k in range(1, width):
         h = h * _STEP + words[k : n - width + 1 + k]
     return mix(h + np.uint64(width))
+
+
+# --- learning -----------------------------------------------------------------------------
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a row is kept from every learner: the CRC-32 of its id as text is a multiple of 5."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+def sample_ids(ids: DataFrame, n: int) -> DataFrame:
+    """At most n distinct ids, the same ones at every run, whatever the order of the rows."""
+    return ids.distinct().orderBy(F.xxhash64("_id"), "_id").limit(n)

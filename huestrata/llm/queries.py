@@ -8,6 +8,7 @@ from huestrata.llm.common import staging_dir, table
 from huestrata.llm.exact_dedup import exact_dedup
 from huestrata.llm.secrets import scan_secrets
 from huestrata.llm.token_store import library_words, read_digest, write_store
+from huestrata.llm.toxicity import score_toxicity, train_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -71,3 +72,9 @@ def op7_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(turns.unionByName(probe)))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
