@@ -6,6 +6,7 @@ from huestrata.llm.bpe import bpe_digest
 from huestrata.llm.chat import format_conversations, read_back
 from huestrata.llm.common import staging_dir, table
 from huestrata.llm.exact_dedup import exact_dedup
+from huestrata.llm.quality import score_quality, train_quality
 from huestrata.llm.secrets import scan_secrets
 from huestrata.llm.token_store import library_words, read_digest, write_store
 from huestrata.llm.toxicity import score_toxicity, train_toxicity
@@ -78,3 +79,9 @@ def op7_chat_format(spark, sf_dir):
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")), threshold=0.3)
