@@ -5,6 +5,7 @@ from __future__ import annotations
 from huestrata.llm.bpe import bpe_digest
 from huestrata.llm.chat import format_conversations, read_back
 from huestrata.llm.common import staging_dir, table
+from huestrata.llm.decontaminate import contaminated
 from huestrata.llm.exact_dedup import exact_dedup
 from huestrata.llm.quality import score_quality, train_quality
 from huestrata.llm.secrets import scan_secrets
@@ -85,3 +86,8 @@ def op2_toxicity(spark, sf_dir):
 def op4_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
