@@ -7,6 +7,7 @@ from huestrata.llm.chat import format_conversations, read_back
 from huestrata.llm.common import staging_dir, table
 from huestrata.llm.decontaminate import contaminated
 from huestrata.llm.exact_dedup import exact_dedup
+from huestrata.llm.minhash import near_duplicates
 from huestrata.llm.quality import score_quality, train_quality
 from huestrata.llm.secrets import scan_secrets
 from huestrata.llm.token_store import library_words, read_digest, write_store
@@ -91,3 +92,8 @@ def op4_quality(spark, sf_dir):
 @query("op1_decontaminate")
 def op1_decontaminate(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_near_dedup")
+def op10_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
