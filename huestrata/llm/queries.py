@@ -10,6 +10,7 @@ from huestrata.llm.exact_dedup import exact_dedup
 from huestrata.llm.minhash import near_duplicates
 from huestrata.llm.quality import score_quality, train_quality
 from huestrata.llm.secrets import scan_secrets
+from huestrata.llm.suffix_dedup import remove_repeats
 from huestrata.llm.token_store import library_words, read_digest, write_store
 from huestrata.llm.toxicity import score_toxicity, train_toxicity
 
@@ -97,3 +98,8 @@ def op1_decontaminate(spark, sf_dir):
 @query("op10_near_dedup")
 def op10_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
