@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; one of several rows that repeat id and text."""
+    """The rows of docs that stay, with all their columns; rows that repeat both id and text of one that stays stay too."""
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid"), F.unhex("text_sha256").alias("_ks")).distinct()
     rows = docs.withColumn("_ds", F.unhex(F.sha2(text_of(text_col), 256)))
     ids = F.col(id_col).eqNullSafe(F.col("_kid"))
