@@ -27,7 +27,10 @@ from huestrata.llm.common import arrow_batches, text_of
 
 #: White space as the tokenizer's normaliser sees it.
 WHITE_SPACE = r"\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACES = re.compile(f"[{WHITE_SPACE}]+")
+#: Below U+0250 a table of letters and numbers stands for the letter and number classes: the standard library's matcher is faster.
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+_ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
+_LATIN = {r"\p{L}": r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
 #: Pre-tokens kept per worker with their ids; past this the store is emptied and fills anew.
 STORE = 400_000
 
@@ -42,6 +45,26 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def _spelled_out(pattern: str, letters: dict[str, str]) -> str:
+    for name, these in letters.items():
+        pattern = pattern.replace(f"[{name}]", f"[{these}]").replace(name, these)
+    return pattern
+
+
+class _Store(dict):
+    """Pre-tokens met so far with their ids; at most STORE of them."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= STORE:
+            self.clear()
+        got = self[word] = self.encode(word)
+        return got
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizers file with word-end BPE over byte-level letters."""
 
@@ -56,7 +79,9 @@ class WordBpe:
         self.pieces |= {i: t for t, i in self.special.items()}
         self._special = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._words = regex.compile(pattern.replace("\\s", WHITE_SPACE)).findall
+        pattern = pattern.replace("\\s", WHITE_SPACE)
+        self._words = regex.compile(pattern).findall
+        self._ascii_words, self._latin_words = (re.compile(_spelled_out(pattern, x)).findall for x in (_ASCII, _LATIN))
         self._alphabet = byte_alphabet()
         #: (left, right) -> rank of their merge, and of each token the pair it is merged from.
         self.rank: dict[tuple[int, int], int] = {}
@@ -78,7 +103,7 @@ class WordBpe:
             if self._merges_to_itself(i):
                 self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
-        self.store: dict[str, bytes] = {}
+        self.store = _Store(self._entry)
 
     def _merges_to_itself(self, token: int) -> bool:
         """Whether the two parts of a token, side by side, would really be merged into it."""
@@ -133,18 +158,16 @@ class WordBpe:
     def _entry(self, word: str) -> bytes:
         letters = self._alphabet
         mapped = word if word.isascii() and word.isalpha() else "".join([letters[b] for b in word.encode("utf-8")])
-        if len(self.store) >= STORE:
-            self.store.clear()
-        got = self.store[word] = np.array(self.encode_word(mapped), "<u4").tobytes()
-        return got
+        return np.array(self.encode_word(mapped), "<u4").tobytes()
 
     def pre_tokens(self, text: str) -> list[str]:
-        """The words of a text between special tokens: NFC, white space to blanks, each letter in lower case."""
+        """The words of a text between special tokens: NFC, each letter in lower case; white space only parts words."""
+        if text.isascii():
+            return self._ascii_words(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        if not text.isascii():
-            text = _SPACES.sub(" ", text).replace("Σ", "σ")  # a letter's own lower case, without regard to its place
-        return self._words(text.lower())
+        text = text.replace("Σ", "σ").lower()  # a letter's own lower case, without regard to its place
+        return self._words(text) if _BEYOND_LATIN.search(text) else self._latin_words(text)
 
     def _segments(self, text: str) -> Iterator[tuple[bool, str]]:
         if self._special is None or "<|" not in text:
@@ -160,12 +183,12 @@ class WordBpe:
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        store, entry = self.store, self._entry
+        ids_of = self.store.__getitem__
         for special, part in self._segments(text):
             if special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             else:
-                out += [store.get(word) or entry(word) for word in self.pre_tokens(part)]
+                out += map(ids_of, self.pre_tokens(part))
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
