@@ -13,3 +13,11 @@ def query(name, sql=None):
         return f
 
     return add
+
+
+def load_all() -> None:
+    """Imports every module of queries."""
+    from importlib import import_module
+
+    for name in ("colour",):
+        import_module(f"huestrata.plans.{name}")
