@@ -19,5 +19,5 @@ def load_all() -> None:
     """Imports every module of queries."""
     from importlib import import_module
 
-    for name in ("colour",):
+    for name in ("colour", "statistics"):
         import_module(f"huestrata.plans.{name}")
