@@ -19,5 +19,5 @@ def load_all() -> None:
     """Imports every module of queries."""
     from importlib import import_module
 
-    for name in ("colour", "statistics"):
+    for name in ("colour", "statistics", "search", "clusters", "streams"):
         import_module(f"huestrata.plans.{name}")
