@@ -1,14 +1,17 @@
 """Near-duplicate classes by bottom-k sketches from one hash function.
 
 1. Every text becomes its set of hashed word shingles; equal sets form one class.
-2. The k smallest hashes of a class are its sketch. Inverted lists of sketch values give
-   candidates. Two sets of Jaccard similarity t share at least c of their k values except
-   with probability `miss`, so the c - 1 most frequent values of each sketch are left out:
-   what fills the corpus produces no candidates.
-3. Lists are not expanded into pairs. In a round, each list's members are compared with one
-   pivot of another component, and what links merges. When few pairs in different
-   components are left, all of these are compared, so that no link is lost.
-4. A pair first passes the estimate from the sketch of the union, then the exact similarity
+2. The k smallest hashes of a class are its sketch. Inverted lists of sketch values tell
+   which classes can have a partner: two sets of Jaccard similarity t share at least c of
+   their k values except with probability `miss`, so the c - 1 most frequent values of each
+   sketch are left out, and what fills the corpus makes no candidates.
+3. For these, full sets are fetched. Shingles that no other of them has bound every overlap
+   from above, exactly; a class that the bound rules out is done.
+4. Inverted lists of the few smallest values of the rest are not expanded into pairs. In a
+   round, each list's members are compared with one pivot of another component, and what
+   links merges. When a round no longer helps much, the pairs left in different components
+   are all compared, each in one list only, so that no link is lost.
+5. A pair first passes the estimate from the sketch of the union, then the exact similarity
    of the full sets decides.
 """
 
@@ -31,15 +34,22 @@ from huestrata.llm.components import stars
 
 @dataclass
 class Params:
-    """similarity = threshold_num / threshold_den. finish: cross pairs left, per list row, at which all are compared."""
+    """similarity = num / den; k: sketch that searches; deep: sketch that estimates; help: share of the open pairs
+    that a round must settle for another round to follow, of at most `rounds`."""
 
     width: int = 5
     k: int = 48
     num: int = 3
     den: int = 4
     miss: float = 1e-9
-    finish: float = 4.0
-    rounds: int = 10
+    deep: int = 256
+    help: float = 0.25
+    rounds: int = 8
+
+    @property
+    def keys(self) -> int:
+        """The smallest number of least hashes of which a link shares none with probability at most miss."""
+        return math.ceil(math.log(self.miss) / math.log(1 - self.num / self.den))
 
     def least_shared(self, size: int) -> int:
         """The largest c for which a link's sketches share fewer than c of `size` values with probability at most miss."""
@@ -96,16 +106,22 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, params: Params, id_col: str,
     return rows.mapInPandas(run, "cid long, n long, values array<bigint>")
 
 
+def _estimate(sa: str, sb: str, params: Params):
+    """Whether the sketch of the union of two sets, from theirs, leaves room for a link."""
+    union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, params.deep)
+    shared = F.size(F.array_intersect(union, F.array_intersect(sa, sb)))
+    return shared >= F.element_at(F.array(*[F.lit(params.least_shared(m)) for m in range(1, params.deep + 1)]), F.size(union))
+
+
+def _estimated(pairs: DataFrame, open_sets: DataFrame, params: Params) -> DataFrame:
+    sketch = open_sets.select("cid", "sk")
+    both = pairs.join(sketch.select(F.col("cid").alias("a"), F.col("sk").alias("sa")), "a").join(sketch.select(F.col("cid").alias("b"), F.col("sk").alias("sb")), "b")
+    return both.where(_estimate("sa", "sb", params)).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; the union-sketch estimate goes first."""
-    k = params.k
-    short = sets.select("cid", "n", F.slice("values", 1, k).alias("s"))
-    both = pairs.join(short.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(short.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    need = F.element_at(F.array(*[F.lit(params.least_shared(m)) for m in range(1, k + 1)]), F.size(union))
-    passed = both.where(shared >= need).select("a", "b")
-    full = passed.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a")
+    """The pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
+    full = pairs.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a")
     full = full.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
     common = F.size(F.array_intersect("va", "vb")).cast("long")
     return full.where(params.den * common >= params.num * (F.col("na") + F.col("nb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -147,45 +163,53 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
     drop = F.element_at(F.array(*[F.lit(max(1, params.least_shared(m))) for m in range(1, params.k + 1)]), F.col("m")) - 1
     kept = known.withColumn("at", F.row_number().over(order)).where(F.col("at") > drop).select("value", "cid", "n")
     alive = kept.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    kept = staged(kept.join(alive, "value"))
-    n_rows = kept.count()
-    if not n_rows:
-        return None
-    wanted = kept.select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
+    wanted = kept.join(alive, "value").select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
     sets = staged(_full_sets(docs, wanted, params, id_col, text_col))
 
-    near = params.den * F.least("n", "pn") >= params.num * F.greatest("n", "pn")
+    lone = sets.select("cid", F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1")
+    lone = lone.groupBy("cid").agg(F.count(F.lit(1)).alias("lone"))
+    open_sets = sets.join(lone, "cid", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
+    open_sets = open_sets.where(params.den * F.col("s") >= params.num * F.col("n"))
+    open_sets = staged(open_sets.select("cid", "n", "s", F.slice("values", 1, params.deep).alias("sk")))
+
+    values = open_sets.select("cid", "n", "s", F.explode(F.slice("sk", 1, params.keys)).alias("value"))
+    alive = values.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
+    kept = staged(values.join(alive, "value"))
+
+    # an overlap is at most the smaller number of shingles that anyone shares
+    t, d = params.num, params.num + params.den
+    near = (params.den * F.least("n", "pn") >= params.num * F.greatest("n", "pn")) & (d * F.least("s", "ps") >= t * (F.col("n") + F.col("pn")))
     pair = [F.least("cid", "pc").alias("a"), F.greatest("cid", "pc").alias("b")]
-    edges, merged = None, None
+    merged, before = None, None
     for turn in range(params.rounds + 1):
         if merged is None:
             lists = kept.withColumn("comp", F.col("cid"))
         else:
             comps = merged.select(F.col("u").alias("cid"), F.col("v").alias("root"))
-            lists = kept.join(comps, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-        lists = staged(lists)
+            lists = staged(kept.join(comps, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"))
         sizes = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
         sizes = sizes.groupBy("value").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k"))
         sizes = staged(sizes.where("k > 1").select("value", "all", "sq", F.col("most.comp").alias("major")))
         left = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("sq")) / 2)).first()[0] or 0
         if not left:
             break
-        last = turn == params.rounds or left <= params.finish * n_rows
-        if last:  # every pair in different components: members outside a list's largest component against all
-            open_lists = lists.join(sizes.select("value", "major"), "value")
-            minor = open_lists.where("comp <> major").select("value", F.col("cid").alias("pc"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
+        last = turn == params.rounds or (turn > 1 and left > (1 - params.help) * before)
+        before = left
+        open_lists = lists.join(sizes.select("value", "major"), "value")
+        if last:  # members outside a list's largest component against all, each pair in the list of its least common value
+            open_lists = open_lists.join(open_sets.select("cid", "sk"), "cid")
+            minor = open_lists.where("comp <> major").select(*(F.col(x).alias(y) for x, y in (("value", "pvalue"), ("cid", "pc"), ("n", "pn"), ("s", "ps"), ("comp", "pcomp"), ("sk", "psk"))))
             rule = (F.col("comp") == F.col("major")) | (F.col("cid") < F.col("pc"))
-            pairs = open_lists.join(minor, "value").where((F.col("comp") != F.col("pcomp")) & rule & near)
+            least = F.array_min(F.array_intersect(F.slice("sk", 1, params.keys), F.slice("psk", 1, params.keys)))
+            both = (F.col("value") == F.col("pvalue")) & (F.col("comp") != F.col("pcomp")) & rule & near & (least == F.col("value")) & _estimate("sk", "psk", params)
+            pairs = open_lists.join(minor, both).select(*pair)
         else:
             priority = F.col("cid") if turn == 0 else F.xxhash64("value", "cid", F.lit(turn))
-            open_lists = lists.join(sizes.select("value"), "value")
-            pivots = open_lists.groupBy("value").agg(F.min(F.struct(priority.alias("p"), "cid", "n", "comp")).alias("m"))
-            pivots = pivots.select("value", F.col("m.cid").alias("pc"), F.col("m.n").alias("pn"), F.col("m.comp").alias("pcomp"))
-            pairs = open_lists.join(pivots, "value").where((F.col("comp") != F.col("pcomp")) & near)
-        pairs = pairs.select(*pair).distinct()
+            pivots = open_lists.groupBy("value").agg(F.min(F.struct(priority.alias("p"), "cid", "n", "s", "comp")).alias("m"))
+            pivots = pivots.select("value", F.col("m.cid").alias("pc"), F.col("m.n").alias("pn"), F.col("m.s").alias("ps"), F.col("m.comp").alias("pcomp"))
+            pairs = _estimated(open_lists.join(pivots, "value").where((F.col("comp") != F.col("pcomp")) & near).select(*pair).distinct(), open_sets, params)
         links = staged(_links(pairs, sets, params))
-        edges = links if merged is None else links.unionByName(merged)
-        merged = stars(edges)
+        merged = stars(links if merged is None else links.unionByName(merged))
         if last:
             break
     return merged
