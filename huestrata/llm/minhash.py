@@ -106,17 +106,19 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, params: Params, id_col: str,
     return rows.mapInPandas(run, "cid long, n long, values array<bigint>")
 
 
-def _estimate(sa: str, sb: str, params: Params):
-    """Whether the sketch of the union of two sets, from theirs, leaves room for a link."""
+def _estimate(sa: str, na: str, sb: str, nb: str, params: Params):
+    """Whether the sketch of the union of two sets, from theirs, leaves room for a link. A set no larger than its
+    sketch is the sketch, so for two of these the answer is exact."""
     union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, params.deep)
-    shared = F.size(F.array_intersect(union, F.array_intersect(sa, sb)))
-    return shared >= F.element_at(F.array(*[F.lit(params.least_shared(m)) for m in range(1, params.deep + 1)]), F.size(union))
+    both = F.array_intersect(sa, sb)
+    need = F.element_at(F.array(*[F.lit(params.least_shared(m)) for m in range(1, params.deep + 1)]), F.size(union))
+    exact = params.den * F.size(both) >= params.num * (F.col(na) + F.col(nb) - F.size(both))
+    return F.when((F.col(na) <= params.deep) & (F.col(nb) <= params.deep), exact).otherwise(F.size(F.array_intersect(union, both)) >= need)
 
 
 def _estimated(pairs: DataFrame, open_sets: DataFrame, params: Params) -> DataFrame:
-    sketch = open_sets.select("cid", "sk")
-    both = pairs.join(sketch.select(F.col("cid").alias("a"), F.col("sk").alias("sa")), "a").join(sketch.select(F.col("cid").alias("b"), F.col("sk").alias("sb")), "b")
-    return both.where(_estimate("sa", "sb", params)).select("a", "b")
+    side = lambda x: open_sets.select(F.col("cid").alias(x), F.col("sk").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate("sa", "na", "sb", "nb", params)).select("a", "b")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
@@ -201,7 +203,7 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
             minor = open_lists.where("comp <> major").select(*(F.col(x).alias(y) for x, y in (("value", "pvalue"), ("cid", "pc"), ("n", "pn"), ("s", "ps"), ("comp", "pcomp"), ("sk", "psk"))))
             rule = (F.col("comp") == F.col("major")) | (F.col("cid") < F.col("pc"))
             least = F.array_min(F.array_intersect(F.slice("sk", 1, params.keys), F.slice("psk", 1, params.keys)))
-            both = (F.col("value") == F.col("pvalue")) & (F.col("comp") != F.col("pcomp")) & rule & near & (least == F.col("value")) & _estimate("sk", "psk", params)
+            both = (F.col("value") == F.col("pvalue")) & (F.col("comp") != F.col("pcomp")) & rule & near & (least == F.col("value")) & _estimate("sk", "n", "psk", "pn", params)
             pairs = open_lists.join(minor, both).select(*pair)
         else:
             priority = F.col("cid") if turn == 0 else F.xxhash64("value", "cid", F.lit(turn))
