@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,7 @@ _BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 _ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
 _LATIN = {r"\p{L}": r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
 #: Pre-tokens kept per worker with their ids; past this the store is emptied and fills anew.
-STORE = 400_000
+STORE = 600_000
 
 
 def byte_alphabet() -> list[str]:
@@ -157,8 +158,9 @@ class WordBpe:
 
     def _entry(self, word: str) -> bytes:
         letters = self._alphabet
-        mapped = word if word.isascii() and word.isalpha() else "".join([letters[b] for b in word.encode("utf-8")])
-        return np.array(self.encode_word(mapped), "<u4").tobytes()
+        mapped = word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode("utf-8")])
+        ids = self.encode_word(mapped)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def pre_tokens(self, text: str) -> list[str]:
         """The words of a text between special tokens: NFC, each letter in lower case; white space only parts words."""

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from huestrata.llm.bpe import WordBpe
 from huestrata.llm.common import arrow_batches, drop_path, mix, staged, staging_dir, text_of
 
-#: Ids that the rolling hash sees, and chunk sizes in ids: least, mean above that, most.
-WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
+#: Ids that the rolling hash sees; chunk sizes in ids: least, mean above that (two to the power MEAN_BITS), most.
+WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 10, 8192
 
 
 # --- ids ----------------------------------------------------------------------------------
@@ -53,15 +53,26 @@ def library_words(path: str) -> LibraryWords:
 # --- chunks -------------------------------------------------------------------------------
 
 
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_table = [np.empty(0, np.uint64)]
+
+
+def _letters(largest: int) -> np.ndarray:
+    """A random 64-bit number for each id up to the largest."""
+    if len(_table[0]) <= largest:
+        _table[0] = mix(np.arange(max(1 << 16, largest + 1), dtype=np.uint64) + np.uint64(1))
+    return _table[0]
+
+
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one id stream; a pure function of the ids, each cut decided by the WINDOW ids before it."""
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    sums = np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.cumsum(_letters(int(ids.max()))[ids])
     rolled = sums.copy()
     rolled[WINDOW:] -= sums[:-WINDOW]
-    marks = np.flatnonzero(mix(rolled) % np.uint64(MEAN) == 0) + 1
+    marks = np.flatnonzero((rolled * _SPREAD) >> np.uint64(64 - MEAN_BITS) == 0) + 1
     out, at = [], 0
     for mark in marks[marks >= LEAST].tolist():
         while mark - at > MOST:
@@ -103,30 +114,37 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 _POLY = 0xEDB88320
 
 
-def _gf_multiply(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC-32 polynomial, bits reflected."""
-    out = 0
+def _multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo the CRC-32 polynomial, bits reflected, element by element."""
+    out, b, one = np.zeros(len(b), np.uint32), b.copy(), np.uint32(1)
     for bit in range(31, -1, -1):
-        if a >> bit & 1:
-            out ^= b
-        b = b >> 1 ^ (_POLY if b & 1 else 0)
+        out ^= b * (a >> np.uint32(bit) & one)
+        b = b >> one ^ np.uint32(_POLY) * (b & one)
     return out
 
 
-@lru_cache(1 << 14)
-def _shift(n_bytes: int) -> int:
-    """x to the power 8 n modulo the CRC-32 polynomial."""
-    out, square, n = 1 << 31, 1 << 30, 8 * n_bytes
-    while n:
-        if n & 1:
-            out = _gf_multiply(square, out)
-        square, n = _gf_multiply(square, square), n >> 1
+def _shift(n_bytes: np.ndarray) -> np.ndarray:
+    """x to the powers 8 n modulo the CRC-32 polynomial."""
+    n, out, square = n_bytes.astype(np.int64) * 8, np.full(len(n_bytes), 1 << 31, np.uint32), np.array([1 << 30], np.uint32)
+    while n.any():
+        odd = np.flatnonzero(n & 1)
+        out[odd] = _multiply(np.repeat(square, len(odd)), out[odd])
+        square, n = _multiply(square, square), n >> 1
     return out
 
 
-def crc_join(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of two joined byte strings from theirs."""
-    return _gf_multiply(_shift(second_bytes), first) ^ second
+def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """CRC-32 of byte strings from those of their parts: string i has the parts bounds[i]..bounds[i + 1], of `sizes` bytes.
+
+    The CRC of a join is the exclusive or of the parts' CRCs, each shifted by the bytes after it.
+    """
+    if not len(crcs):
+        return np.zeros(len(bounds) - 1, np.uint32)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    after = np.repeat(ends[bounds[1:]], np.diff(bounds)) - ends[1:]
+    moved = np.bitwise_xor.accumulate(_multiply(_shift(after), crcs.astype(np.uint32)))
+    total = np.concatenate(([np.uint32(0)], moved))
+    return total[bounds[1:]] ^ total[bounds[:-1]]
 
 
 # --- writing ------------------------------------------------------------------------------
@@ -265,17 +283,16 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for part, doc, local, n_tokens, root, parts in zip(*(batch[c] for c in ("part", "doc_id", "local_start", "n_tokens", "root", "parts")), strict=True):
-                parts = sorted(parts, key=lambda p: p["at"])
-                crc, n, good = 0, 0, True
-                for p in parts:
-                    if not p["ok"]:
-                        good = False
-                        continue
-                    crc, n = crc_join(crc, int(p["crc"]), 4 * int(p["n"])), n + int(p["n"])
-                good = good and n == n_tokens and merkle_root([p["digest"] for p in parts]) == root
-                out.append((None if pd.isna(doc) else int(doc), starts[part] + local, n, crc, good))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "verified"]).astype({"doc_id": "Int64"})
+            order = [sorted(p, key=lambda x: x["at"]) for p in batch["parts"]]
+            ok = np.array([all(x["ok"] for x in p) for p in order], bool)
+            order = [p if good else [] for p, good in zip(order, ok, strict=True)]
+            bounds = np.concatenate(([0], np.cumsum([len(p) for p in order]))).astype(np.int64)
+            ns = np.array([x["n"] for p in order for x in p], np.int64)
+            crc = joined_crcs(np.array([x["crc"] for p in order for x in p], np.int64), 4 * ns, bounds)
+            total = np.concatenate(([0], np.cumsum(ns)))
+            n = total[bounds[1:]] - total[bounds[:-1]]
+            rooted = np.array([merkle_root([x["digest"] for x in p]) == r for p, r in zip(order, batch["root"], strict=True)], bool)
+            good = ok & rooted & (n == batch["n_tokens"].to_numpy())
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "start": batch["part"].map(starts) + batch["local_start"], "n_tokens": n, "ids_crc32": crc.astype(np.int64), "verified": good})
 
     return whole.mapInPandas(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
