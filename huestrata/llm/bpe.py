@@ -83,7 +83,7 @@ class WordBpe:
         pattern = pattern.replace("\\s", WHITE_SPACE)
         self._words = regex.compile(pattern).findall
         self._ascii_words, self._latin_words = (re.compile(_spelled_out(pattern, x)).findall for x in (_ASCII, _LATIN))
-        self._alphabet = byte_alphabet()
+        self._letters = dict(enumerate(byte_alphabet()))
         #: (left, right) -> rank of their merge, and of each token the pair it is merged from.
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -157,8 +157,7 @@ class WordBpe:
         return out[::-1]
 
     def _entry(self, word: str) -> bytes:
-        letters = self._alphabet
-        mapped = word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode("utf-8")])
+        mapped = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self._letters)
         ids = self.encode_word(mapped)
         return struct.pack(f"<{len(ids)}I", *ids)
 

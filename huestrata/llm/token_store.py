@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,15 +264,17 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """
     arrow_batches(spark)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for digest, width, payload in zip(batch["digest"], batch["width"], batch["payload"], strict=True):
-                ids = unpack(width, payload)
-                out.append((digest, len(ids), zlib.crc32(ids.tobytes()), address(ids) == digest))
-            yield pd.DataFrame(out, columns=["digest", "n", "crc", "ok"])
-
-    facts = spark.read.parquet(f"{path}/chunks").mapInPandas(check, "digest binary, n long, crc long, ok boolean")
+            digests, n, crc, ok = batch.column("digest").to_pylist(), [], [], []
+            for digest, width, payload in zip(digests, batch.column("width").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                raw = unpack(width, payload).tobytes()
+                n.append(len(raw) // 4)
+                crc.append(zlib.crc32(raw))
+                ok.append(hashlib.blake2b(raw, digest_size=16).digest() == digest)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ok, pa.bool_())], names=["digest", "n", "crc", "ok"])
+
+    facts = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "digest binary, n long, crc long, ok boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     entries = recipes.select("row", "part", "doc_id", "local_start", "n_tokens", "root", F.posexplode_outer("digests").alias("at", "digest"))
     found = entries.join(facts, "digest", "left")
@@ -281,18 +284,21 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     for part, n in sorted(totals):  # one row for each part of the store: as many as shuffle partitions
         starts[part], before = before, before + n
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = [sorted(p, key=lambda x: x["at"]) for p in batch["parts"]]
-            ok = np.array([all(x["ok"] for x in p) for p in order], bool)
-            order = [p if good else [] for p, good in zip(order, ok, strict=True)]
-            bounds = np.concatenate(([0], np.cumsum([len(p) for p in order]))).astype(np.int64)
-            ns = np.array([x["n"] for p in order for x in p], np.int64)
-            crc = joined_crcs(np.array([x["crc"] for p in order for x in p], np.int64), 4 * ns, bounds)
-            total = np.concatenate(([0], np.cumsum(ns)))
-            n = total[bounds[1:]] - total[bounds[:-1]]
-            rooted = np.array([merkle_root([x["digest"] for x in p]) == r for p, r in zip(order, batch["root"], strict=True)], bool)
-            good = ok & rooted & (n == batch["n_tokens"].to_numpy())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "start": batch["part"].map(starts) + batch["local_start"], "n_tokens": n, "ids_crc32": crc.astype(np.int64), "verified": good})
-
-    return whole.mapInPandas(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+            lists = batch.column("parts")
+            parts, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            owner = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            order = np.lexsort((parts.field("at").to_numpy(zero_copy_only=False), owner))
+            whole = parts.field("ok").fill_null(False).to_numpy(zero_copy_only=False)[order]
+            ns, crcs = (parts.field(f).fill_null(0).to_numpy(zero_copy_only=False)[order] for f in ("n", "crc"))
+            n = np.bincount(owner, ns, len(lists)).astype(np.int64)
+            broken = np.bincount(owner, ~whole, len(lists)) > 0
+            crc = joined_crcs(crcs, 4 * ns, bounds).astype(np.int64)
+            digests = parts.field("digest").take(pa.array(order)).to_pylist()
+            rooted = np.array([merkle_root(digests[a:b]) == r for a, b, r in zip(bounds, bounds[1:], batch.column("root").to_pylist(), strict=False)], bool)
+            start = np.array([starts[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("local_start").to_numpy()
+            good = ~broken & rooted & (n == batch.column("n_tokens").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (start, n, crc, good))], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
+
+    return whole.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
