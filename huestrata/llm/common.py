@@ -34,13 +34,10 @@ def staging_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, path: str | None = None, compression: str = "zstd") -> DataFrame:
     """Cuts lineage with a written table in the shared folder; survives lost executors."""
     path = path or staging_dir(df.sparkSession)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

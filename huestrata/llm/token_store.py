@@ -154,14 +154,16 @@ _STREAM = "doc_id long, n_tokens long, digests array<binary>, root binary, width
 
 
 def _streams(rows: DataFrame, encode: Callable[[str], bytes], end_id: int) -> DataFrame:
+    end = int(end_id).to_bytes(4, "little")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, text in zip(batch["_id"], batch["_t"], strict=True):
-                ids = np.append(np.frombuffer(encode(text), "<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.frombuffer(encode(text) + end, "<u4")
                 digests, widths, payloads, seen, at = [], [], [], set(), 0
-                for end in cut_points(ids):
-                    part, at = ids[at:end], end
+                for cut in cut_points(ids):
+                    part, at = ids[at:cut], cut
                     digest = address(part)
                     digests.append(digest)
                     if digest not in seen:
@@ -188,7 +190,7 @@ def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
     scratch = staging_dir(spark)
-    streams = staged(_streams(rows, encode, end_id), scratch)
+    streams = staged(_streams(rows, encode, end_id), scratch, compression="snappy")
 
     pieces = streams.select(F.explode(F.arrays_zip("widths", "payloads")).alias("c"))
     pieces = pieces.select(F.substring("c.payloads", 1, 16).alias("digest"), F.col("c.widths").alias("width"), F.expr("substring(c.payloads, 17)").alias("payload"))
