@@ -120,17 +120,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, params: NnPuParams = NnPu
     prior = known.agg(F.avg("toxic")).first()[0] or 0.05
     toxic = sample_ids(known.where("toxic = 1").select("_id"), params.most_positive)
     others = docs.select(F.col(id_col).alias("_id")).where(~held_out("_id") & F.col("_id").isNotNull())
-    rest = sample_ids(others, params.most_unlabelled + params.most_positive).join(F.broadcast(toxic), "_id", "left_anti")
-    wanted = toxic.withColumn("_p", F.lit(True)).unionByName(rest.withColumn("_p", F.lit(False)))
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(wanted), "_id").select("_id", "_p", "_t")
+    # the unlabelled are drawn from all texts, confirmed ones included: the prior is that of this whole
+    sides = toxic.withColumn("_p", F.lit(True)).withColumn("_u", F.lit(False)).unionByName(sample_ids(others, params.most_unlabelled).withColumn("_p", F.lit(False)).withColumn("_u", F.lit(True)))
+    wanted = sides.groupBy("_id").agg(F.bool_or("_p").alias("_p"), F.bool_or("_u").alias("_u"))
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(wanted), "_id").select("_id", "_p", "_u", "_t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["_id"].astype("int64"), "p": batch["_p"], "f": [x.tobytes() for x in text_features(batch["_t"])]})
+            yield pd.DataFrame({"id": batch["_id"].astype("int64"), "p": batch["_p"], "u": batch["_u"], "f": [x.tobytes() for x in text_features(batch["_t"])]})
 
-    got = rows.mapInPandas(run, "id long, p boolean, f binary").toPandas().sort_values(["id", "f"])
-    sides = [[np.frombuffer(x, np.int32) for x in got[got["p"] == side]["f"]] for side in (True, False)]
-    return fit_nnpu(sides[0], sides[1][: params.most_unlabelled], prior, params)
+    got = rows.mapInPandas(run, "id long, p boolean, u boolean, f binary").toPandas().sort_values(["id", "f"])
+    positive, unlabelled = ([np.frombuffer(x, np.int32) for x in got[got[side]]["f"]] for side in ("p", "u"))
+    return fit_nnpu(positive, unlabelled, prior, params)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
