@@ -24,8 +24,15 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
 def mid_rank(df: DataFrame, value: str, keys: list[str] = (), name: str = "mid_rank") -> DataFrame:
     """Percentile by mid-rank of ties, values within 1e-12 tied; 1.0 for a single row."""
     df = df.withColumn("_q", F.floor(F.col(value) * 1e12 + 0.5))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    rank, ties, n = F.rank().over(part.orderBy("_q")), F.count(F.lit(1)).over(part.partitionBy(*keys, "_q") if keys else Window.partitionBy("_q")), F.count(F.lit(1)).over(part)
+    if not keys:  # the distinct values are counted first and added up range by range
+        from huestrata.operators.ranking import global_running
+
+        ties = global_running(df.groupBy("_q").agg(F.count(F.lit(1)).alias("_ties")), [F.asc("_q")], "_ties", "_before").withColumnRenamed("_q", "_q2")
+        ranked = df.join(ties, F.col("_q").eqNullSafe(F.col("_q2")))
+        percentile = (F.col("_before") + (F.col("_ties") - 1) / 2) / (F.col("total") - 1)
+        return ranked.withColumn(name, F.when(F.col("total") == 1, 1.0).otherwise(percentile)).drop("_q", "_q2", "_ties", "_before", "total")
+    part = Window.partitionBy(*keys)
+    rank, ties, n = F.rank().over(part.orderBy("_q")), F.count(F.lit(1)).over(Window.partitionBy(*keys, "_q")), F.count(F.lit(1)).over(part)
     return df.withColumn(name, F.when(n == 1, 1.0).otherwise((rank - 1 + (ties - 1) / 2) / (n - 1))).drop("_q")
 
 

@@ -27,6 +27,17 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return local.join(F.broadcast(before.select("_pid", "_before", "n")), "_pid").select(*columns, (F.col("_rn") + F.col("_before")).alias(name), "n")
 
 
+def global_running(df: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
+    """df with the sum of amount over the rows before each in a total order, and the sum over all as `total`; no task holds all rows."""
+    columns = df.columns
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
+    local = placed.withColumn("_run", F.sum(amount).over(Window.partitionBy("_pid").orderBy(*order)) - F.col(amount))
+    sums = local.groupBy("_pid").agg(F.sum(amount).alias("_all"))
+    before = sums.select("_pid", (F.sum("_all").over(Window.orderBy("_pid")) - F.col("_all")).alias("_before"), F.sum("_all").over(Window.partitionBy()).alias("total"))  # one row for each partition
+    return local.join(F.broadcast(before), "_pid").select(*columns, (F.col("_run") + F.col("_before")).alias(name), "total")
+
+
 def backend_score(content: Column, theme: Column, retrieval: Column, overlap: Column, gate: Column, content_weight: float = 0.5, retrieval_weight: float = 0.2, overlap_weight: float = 0.1) -> Column:
     """Ranking score; weights are clamped (content from 0.5, retrieval to 0.2, overlap to 0.1, theme 0.2) and normalised."""
     w = [max(0.5, content_weight), 0.2, min(0.2, max(0.0, retrieval_weight)), min(0.1, max(0.0, overlap_weight))]

@@ -459,3 +459,41 @@ def gv12(spark, sf):
 def gv14(spark, sf):
     pin = lambda: table(spark, sf, "orders").agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("top")).alias("pin"))
     return pin().join(pin().withColumnRenamed("pin", "after"), F.lit(True)).select(F.col("pin").eqNullSafe(F.col("after")).alias("pinned"))
+
+
+def lexicon(spark, sf):
+    return spark.createDataFrame([("colour", "red"), ("colour", "1"), ("shape", "part"), ("shape", "25")], "category string, term string")
+
+
+LEXICON = "x(category, term) AS (VALUES ('colour','red'),('colour','1'),('shape','part'),('shape','25')), h AS (SELECT p_partkey AS id, category, term, lower(p_name || ' not ' || p_type) AS t FROM part, x WHERE contains(lower(p_name || ' not ' || p_type), term))"
+
+
+@query("src07_interpret", f"WITH {LEXICON} SELECT id, category, term, regexp_matches(substr(t, greatest(instr(t,term)-8,1), least(8, instr(t,term)-1)), 'no|not|without|avoid') AS negated FROM h")
+def src07(spark, sf):
+    from huestrata.operators.lexicon import interpret
+
+    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" not "), "p_type").alias("text"))
+    return interpret(texts, lexicon(spark, sf), "id").select("id", "category", "term", "negated")
+
+
+@query("prj15_facets", f"WITH {LEXICON} SELECT id, category, list_sort(list(DISTINCT term))[1:CASE WHEN category = 'colour' THEN 1 ELSE 3 END] AS terms FROM h GROUP BY 1, 2")
+def prj15(spark, sf):
+    from huestrata.operators.lexicon import facets, interpret
+
+    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" not "), "p_type").alias("text"))
+    return facets(interpret(texts, lexicon(spark, sf), "id"), "id", {"colour": 1, "shape": 3})
+
+
+@query("sm09_package_state", "SELECT o_custkey AS package, CASE WHEN bool_or(o_orderstatus='P') THEN 'HOLD' WHEN bool_and(o_orderstatus='F') THEN 'PASS' WHEN count(*) < 2 THEN 'NEW' ELSE 'WAITING' END AS state FROM orders GROUP BY 1")
+def sm09(spark, sf):
+    s = F.col("o_orderstatus")
+    g = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("package")).agg(F.bool_or(s == "P").alias("p"), F.bool_and(s == "F").alias("f"), F.count(F.lit(1)).alias("n"))
+    return g.select("package", F.when(F.col("p"), "HOLD").when(F.col("f"), "PASS").when(F.col("n") < 2, "NEW").otherwise("WAITING").alias("state"))
+
+
+@query("src05_enabled_sources", "SELECT 'pexels:' || p_partkey AS id, 'pexels' AS provider FROM part WHERE p_partkey%2=0 UNION ALL SELECT 'pixabay:' || p_partkey, 'pixabay' FROM part WHERE p_partkey%2=1")
+def src05(spark, sf):
+    k = F.col("p_partkey")
+    page = lambda n: table(spark, sf, "part").where(k % 2 == n).select(F.to_json(F.struct(k.alias("id"))).alias("body"))
+    keyed = {"enabled": True, "key": "k"}
+    return ld.enabled_sources({"pexels": page(0), "pixabay": page(1), "unsplash": page(0)}, {"pexels": keyed, "pixabay": keyed, "unsplash": {"enabled": False}}).select("id", "provider")
