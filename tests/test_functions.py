@@ -44,8 +44,8 @@ def test_rule_edges(spark):
 
 
 def test_text(spark):
-    row = one(spark, tx.normalize_text(F.lit("Héllo, 世界! Y2K")), tx.domain(F.lit("https://www.Ex.com/a")), tx.hamming(F.lit("ff"), F.lit("0f")), tx.hamming(F.lit("f"), F.lit("0f")), tx.fnv1a(F.lit("a")), tx.pair_key(F.lit("b"), F.lit("a")))
-    assert row[:] == ("héllo 世界 y2k", "ex.com", 4.0, math.inf, "e40c292c", "a||b")
+    row = one(spark, tx.normalize_text(F.lit("Héllo, 世界! Z9K")), tx.domain(F.lit("https://www.Ex.com/a")), tx.hamming(F.lit("ff"), F.lit("0f")), tx.hamming(F.lit("f"), F.lit("0f")), tx.fnv1a(F.lit("a")), tx.pair_key(F.lit("b"), F.lit("a")))
+    assert row[:] == ("héllo 世界 z9k", "ex.com", 4.0, math.inf, "e40c292c", "a||b")
 
 
 def test_weighted_quantile(spark):
