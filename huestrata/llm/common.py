@@ -26,12 +26,23 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Folders of this process that staging_dir() has named.
+_stages: list[str] = []
+
+
 def staging_dir(spark: SparkSession) -> str:
     """A new folder under the shared spark.checkpoint.dir; a default only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "/tmp/checkpoints/huestrata"
-    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _stages.append(f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}")
+    return _stages[-1]
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all staged tables of this process. Call it when no DataFrame that reads them is needed any more."""
+    while _stages:
+        drop_path(spark, _stages.pop())
 
 
 def staged(df: DataFrame, path: str | None = None, compression: str = "zstd") -> DataFrame:

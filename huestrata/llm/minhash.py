@@ -218,6 +218,6 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
 
 
 def keep_one_of_each(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which near_duplicates() says kept."""
+    """The rows of docs, all columns, of which near_duplicates() says kept; where rows share an id, all stay if one does."""
     kept = near_duplicates(docs, params, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kid")), "left_semi")
