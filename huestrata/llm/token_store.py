@@ -65,27 +65,40 @@ def _letters(largest: int) -> np.ndarray:
     return _table[0]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream; a pure function of the ids, each cut decided by the WINDOW ids before it."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids allows a cut."""
     sums = np.cumsum(_letters(int(ids.max()))[ids])
     rolled = sums.copy()
     rolled[WINDOW:] -= sums[:-WINDOW]
-    marks = np.flatnonzero((rolled * _SPREAD) >> np.uint64(64 - MEAN_BITS) == 0) + 1
+    return np.flatnonzero((rolled * _SPREAD) >> np.uint64(64 - MEAN_BITS) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids: at marks, unless a chunk would be too short or too long."""
     out, at = [], 0
-    for mark in marks[marks >= LEAST].tolist():
+    for mark in marks:
         while mark - at > MOST:
             at += MOST
             out.append(at)
-        if mark - at >= LEAST and n - mark > 0:
+        if mark - at >= LEAST and mark < n:
             at = mark
             out.append(at)
     while n - at > MOST:
         at += MOST
         out.append(at)
-    return [*out, n]
+    return [*out, n] if n else []
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream; a pure function of the ids, each cut decided by the WINDOW ids before it."""
+    return _ends([m for m in _marks(ids).tolist() if m >= LEAST], len(ids)) if len(ids) else []
+
+
+def cut_streams(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """cut_points() of many streams that lie one after another: a mark from LEAST on sees its own stream only, as LEAST exceeds WINDOW."""
+    marks = _marks(ids) if len(ids) else np.empty(0, np.int64)
+    at = np.searchsorted(marks, bounds[:-1] + LEAST), np.searchsorted(marks, bounds[1:], "right")
+    return [_ends((marks[a:b] - start).tolist(), n) for a, b, start, n in zip(*at, bounds[:-1].tolist(), np.diff(bounds).tolist(), strict=True)]
 
 
 def pack(ids: np.ndarray) -> tuple[int, bytes]:
@@ -156,26 +169,30 @@ _STREAM = "doc_id long, n_tokens long, digests array<binary>, root binary, width
 def _streams(rows: DataFrame, encode: Callable[[str], bytes], end_id: int) -> DataFrame:
     end = int(end_id).to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["_id"], batch["_t"], strict=True):
-                ids = np.frombuffer(encode(text) + end, "<u4")
-                digests, widths, payloads, seen, at = [], [], [], set(), 0
-                for cut in cut_points(ids):
-                    part, at = ids[at:cut], cut
+            raws = [encode(text) + end for text in batch.column("_t").to_pylist()]
+            bounds = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raws]))).astype(np.int64)
+            every = np.frombuffer(b"".join(raws), "<u4")
+            digests, roots, widths, payloads = [], [], [], []
+            for start, cuts in zip(bounds[:-1].tolist(), cut_streams(every, bounds), strict=True):
+                mine, wide, packed, at = [], [], {}, start
+                for cut in cuts:
+                    part, at = every[at : start + cut], start + cut
                     digest = address(part)
-                    digests.append(digest)
-                    if digest not in seen:
-                        seen.add(digest)
+                    mine.append(digest)
+                    if digest not in packed:
                         width, payload = pack(part)
-                        widths.append(width)
-                        payloads.append(digest + payload)
-                out.append((None if pd.isna(doc) else int(doc), len(ids), digests, merkle_root(digests), widths, payloads))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "digests", "root", "widths", "payloads"])
-            yield frame.astype({"doc_id": "Int64"})
-
-    return rows.mapInPandas(run, _STREAM)
+                        wide.append(width)
+                        packed[digest] = digest + payload
+                digests.append(mine)
+                roots.append(merkle_root(mine))
+                widths.append(wide)
+                payloads.append(list(packed.values()))
+            lists = [pa.array(np.diff(bounds)), pa.array(digests, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(widths, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *lists], names=["doc_id", "n_tokens", "digests", "root", "widths", "payloads"])
+
+    return rows.mapInArrow(run, _STREAM)
 
 
 def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:

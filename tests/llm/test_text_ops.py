@@ -145,3 +145,11 @@ def test_secrets(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
     tail = [got[i]["spans"] for i in range(len(texts) - 5, len(texts))]
     assert tail[0].startswith("pem:0:") and "jwt:4:" in tail[1] and "der:4:" in tail[2] and "nested:2:" in tail[3] and tail[4] == ""
+
+
+def test_streams_are_cut_as_if_alone():
+    rng = np.random.default_rng(4)
+    streams = [rng.integers(0, 49000, n).astype("<u4") for n in (1, 5, 127, 128, 129, 3000, 0, 20000, 16, 9000)] + [np.full(30000, 7, "<u4")]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in streams])))
+    assert token_store.cut_streams(np.concatenate(streams), bounds) == [token_store.cut_points(s) for s in streams]
+    assert token_store.cut_streams(np.empty(0, "<u4"), np.array([0])) == []
