@@ -251,7 +251,7 @@ def jn12(spark, sf):
     return j.select(F.col("l").alias("inner_m"), F.col("r").alias("outer_m"))
 
 
-@query("jn23_symmetric_dedupe", f"WITH RECURSIVE {GRID}, e AS (SELECT a.label AS p, b.label AS q FROM g a JOIN g b ON b.x=a.x+1 AND b.y=a.y AND a.y < 2), r(n, m) AS (SELECT label, label FROM g UNION SELECT e.q, r.m FROM r JOIN e ON e.p=r.n UNION SELECT e.p, r.m FROM r JOIN e ON e.q=r.n) SELECT n AS label, min(m) AS component FROM r GROUP BY 1")
+@query("jn23_symmetric_dedupe", f"WITH RECURSIVE {GRID}, d AS (SELECT a.label AS p, b.label AS q FROM g a JOIN g b ON b.x=a.x+1 AND b.y=a.y AND a.y < 2), e AS (SELECT p, q FROM d UNION SELECT q, p FROM d), r(n, m) AS (SELECT label, label FROM g UNION SELECT e.q, r.m FROM r JOIN e ON e.p=r.n) SELECT n AS label, min(m) AS component FROM r GROUP BY 1")
 def jn23(spark, sf):
     """Components of labels that touch, by repeated minimum: the labels are few, and the rounds stop when nothing changes."""
     g = grid(spark, sf)

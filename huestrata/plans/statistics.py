@@ -164,7 +164,7 @@ def ag27(spark, sf):
     return d.groupBy(F.col("lang").alias("family")).agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"), R(F.avg("n_chars"), 4).alias("mean_rank"))
 
 
-@query("fn23_entropy", f"""WITH {MODES_SQL}, p AS (SELECT family, mass/sum(mass) OVER (PARTITION BY family) AS p FROM modes) SELECT family, count(*) AS n, round(-sum(p*ln(p))/ln(count(*)),6) AS entropy FROM p GROUP BY family""")
+@query("fn23_entropy", f"""WITH {MODES_SQL}, p AS (SELECT family, mass/sum(mass) OVER (PARTITION BY family) AS p FROM modes) SELECT family, count(*) AS n, round(CASE WHEN count(*) > 1 THEN -sum(p*ln(p))/ln(count(*)) ELSE 0 END,6) AS entropy FROM p GROUP BY family""")
 def fn23(spark, sf):
     return st.normalized_entropy(modes(spark, sf), ["family"], "mass").withColumn("entropy", R("entropy"))
 
