@@ -33,7 +33,7 @@ _BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 _ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
 _LATIN = {r"\p{L}": r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
 #: Pre-tokens kept per worker with their ids; past this the store is emptied and fills anew.
-STORE = 800_000
+STORE = 500_000
 
 
 def byte_alphabet() -> list[str]:
