@@ -221,11 +221,11 @@ def jn02(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("score")), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(-1)))
 
 
-@query("jn10_mutual_nearest", """WITH s AS (SELECT l_suppkey AS sup, l_partkey%50 AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1,2), d AS (SELECT x.sup AS a, y.sup AS b, sum(x.q*y.q) AS score FROM s x JOIN s y ON x.p = y.p AND x.sup <> y.sup GROUP BY 1,2),
+@query("jn10_mutual_nearest", """WITH s AS (SELECT l_suppkey%100 AS sup, l_partkey%50 AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1,2), d AS (SELECT x.sup AS a, y.sup AS b, sum(x.q*y.q) AS score FROM s x JOIN s y ON x.p = y.p AND x.sup <> y.sup GROUP BY 1,2),
     r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM d), t AS (SELECT a, max(CASE WHEN rn=1 THEN b END) AS b, max(CASE WHEN rn=1 THEN score END) AS s1, max(CASE WHEN rn=2 THEN score END) AS s2 FROM r WHERE rn <= 2 GROUP BY a)
     SELECT x.a, x.b, round(x.s1,2) AS score, round(x.s1-coalesce(x.s2,0),2) AS margin FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b""")
 def jn10(spark, sf):
-    s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 50).alias("p")).agg(F.sum("l_quantity").alias("q"))
+    s = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 100).alias("a"), (F.col("l_partkey") % 50).alias("p")).agg(F.sum("l_quantity").alias("q"))
     d = s.join(s.select(F.col("a").alias("b"), "p", F.col("q").alias("q2")), "p").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("q") * F.col("q2")).alias("score"))
     return rel.mutual_nearest(d).select("a", "b", R("score", 2).alias("score"), R("margin", 2).alias("margin"))
 
