@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every word n-gram of the test items is counted over the whole corpus. Of each few
-neighbouring n-grams of an item the rarest becomes a seed, so that any run of
-ngram + window - 1 words of an item that a text keeps intact holds a seed, however common
-the item itself may be. A text that shares a seed is aligned with the item around it; the
-alignment's score, as a share of the item's length, decides.
+"""Benchmark decontamination: bigram seeds, then Smith-Waterman alignment.
+
+An alignment that matches m words of an item in r unbroken runs scores at most m - (r - 1),
+and m - r bigrams of the item are intact in it. So a score of s needs s - 1 intact bigrams,
+whatever was edited. Every bigram of the test items is counted over the whole corpus; of the
+bigrams of an item that occur at all, all but the s - 2 most common are seeds, one of which
+is then in every alignment of score s. Where a seed is found and enough bigrams of the item
+are around it, the stretch is aligned with the item; the alignment's score, as a share of
+the item's length, decides. No alignment that would be accepted is missed.
 """
 
 from __future__ import annotations
@@ -23,72 +25,95 @@ from huestrata.llm.common import APART, arrow_batches, shingle_hashes, text_of,
 
 @dataclass
 class Params:
-    """Seeds are ngram words long, the rarest of `window` neighbours; match +1, mismatch and gap -1 a word.
+    """Match +1, mismatch and gap -1 a word.
 
     A text is contaminated by an item if the best local alignment scores at least `least`
-    times the item's words. Test items are handled in blocks of about block_bytes of text,
-    so what is broadcast is bounded whatever the size of the benchmark.
+    times the item's words, and no less than ngram words or the whole of a shorter item.
+    Test items are handled in blocks of about block_bytes of text, so what is broadcast is
+    bounded whatever the size of the benchmark.
     """
 
     ngram: int = 3
-    window: int = 4
     least: float = 0.4
-    slack: float = 0.3
     block_bytes: int = 4_000_000
 
 
+#: Words of a seed; an item of a single word is its own seed.
+_SEED = 2
+
+
 class Items:
-    """One block of test items: words, n-grams and, once counts are known, seeds."""
+    """One block of test items: words, bigrams and, once counts are known, seeds."""
 
     def __init__(self, ids: list, texts: list[str], params: Params):
-        self.params = params
         self.ids, self.words = [], []
         for i, words in zip(ids, word_hashes(texts, APART), strict=True):
             if len(words):
                 self.ids.append(i)
                 self.words.append(words)
-        self.grams = [shingle_hashes(w, params.ngram) for w in self.words]
-        #: widths of n-grams: shorter ones only for items of fewer words
-        self.widths = sorted({min(params.ngram, len(w)) for w in self.words})
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        #: the least score that is accepted, and the least number of bigrams intact in such an alignment
+        self.least = np.maximum(np.ceil(params.least * self.size - 1e-9).astype(np.int64), np.minimum(params.ngram, self.size))
+        self.intact = self.least - np.minimum(_SEED, self.size) + 1
+        self.grams = [shingle_hashes(w, _SEED) for w in self.words]
+        #: widths of seeds
+        self.widths = sorted({min(_SEED, len(w)) for w in self.words})
         self.known = np.unique(np.concatenate([*self.grams, np.empty(0, np.uint64)]))
+        self.sets = [np.unique(g) for g in self.grams]
 
     def doc_grams(self, words: np.ndarray) -> list[tuple[int, np.ndarray]]:
         return [(w, shingle_hashes(words, w)) for w in self.widths if len(words) >= w]
 
     def choose_seeds(self, df: np.ndarray) -> None:
-        """df: for each known n-gram, the number of texts that hold it."""
-        seeds, item, at = [], [], []
+        """df: for each known bigram, the number of texts that hold it."""
+        seeds, item, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, grams in enumerate(self.grams):
             rarity = df[np.searchsorted(self.known, grams)]
-            span = min(self.params.window, len(grams))
-            chosen = {min(range(a, a + span), key=lambda j: (rarity[j], grams[j])) for a in range(len(grams) - span + 1)}
-            for j in sorted(chosen):
-                seeds.append(grams[j])
-                item.append(k)
-                at.append(j)
-        order = np.argsort(np.array(seeds, np.uint64), kind="stable")
-        self.seed = np.array(seeds, np.uint64)[order]
-        self.seed_item, self.seed_at = np.array(item, np.int64)[order], np.array(at, np.int64)[order]
+            order = np.lexsort((grams, rarity))
+            order = order[rarity[order] > 0]
+            chosen = order[: max(0, len(order) - int(self.intact[k]) + 1)]
+            seeds.append(grams[chosen])
+            item.append(np.full(len(chosen), k))
+            at.append(chosen)
+        seed = np.concatenate(seeds)
+        order = np.argsort(seed, kind="stable")
+        self.seed, first = np.unique(seed[order], return_index=True)
+        self.seed_from = np.append(first, len(seed))
+        self.seed_item, self.seed_at = np.concatenate(item)[order], np.concatenate(at)[order]
 
     def windows(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, start, end) of the stretches of a text to align, overlapping ones of an item joined."""
-        found = []
-        for _, grams in self.doc_grams(words):
-            lo, hi = np.searchsorted(self.seed, grams, "left"), np.searchsorted(self.seed, grams, "right")
-            for p in np.flatnonzero(hi > lo).tolist():
-                for s in range(lo[p], hi[p]):
-                    k = int(self.seed_item[s])
-                    size = len(self.words[k])
-                    slack = math.ceil(self.params.slack * size) + 2
-                    start = p - int(self.seed_at[s])
-                    found.append((k, max(0, start - slack), min(len(words), start + size + slack)))
-        out: list[list[int]] = []
-        for k, a, b in sorted(found):
-            if out and out[-1][0] == k and a <= out[-1][2]:
-                out[-1][2] = max(out[-1][2], b)
-            else:
-                out.append([k, a, b])
-        return [tuple(x) for x in out]
+        out: list[tuple[int, int, int]] = []
+        if not len(self.seed):
+            return out
+        for width, grams in self.doc_grams(words):
+            at = np.searchsorted(self.seed, grams)
+            at[at == len(self.seed)] = 0
+            place = np.flatnonzero(self.seed[at] == grams)
+            if not len(place):
+                continue
+            begin = self.seed_from[at[place]]
+            n = self.seed_from[at[place] + 1] - begin
+            hit = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            k = self.seed_item[hit]
+            # an accepted alignment has no more gaps than this, so it lies within
+            slack = self.size[k] - self.least[k]
+            start = np.repeat(place, n) - self.seed_at[hit]
+            a, b = np.maximum(start - slack, 0), np.minimum(start + self.size[k] + slack, len(words))
+            order = np.lexsort((a, k))
+            k, a, b = k[order], a[order], b[order]
+            apart = k * (len(words) + 1)
+            reach = np.maximum.accumulate(b + apart)
+            first = np.flatnonzero(np.append(True, (a + apart)[1:] > reach[:-1]))
+            last = np.append(first[1:], len(k)) - 1
+            for i, lo, hi in zip(k[first].tolist(), a[first].tolist(), (reach[last] - apart[last]).tolist(), strict=True):
+                have, near = self.sets[i], grams[lo : hi - width + 1]
+                if len(near) >= self.intact[i]:
+                    found = np.searchsorted(have, near)
+                    found[found == len(have)] = 0
+                    if np.count_nonzero(have[found] == near) >= self.intact[i]:
+                        out.append((i, lo, hi))
+        return sorted(out)
 
 
 #: Cells of alignment tables that are filled at once.
@@ -150,9 +175,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, params: Params = Params(), i
 
     score is the alignment's share of the item's words, word_end the word of the text where
     the best alignment ends. Words are runs of letters and digits, A-Z in lower case. Null
-    and empty texts and items match nothing; an item of fewer words than an n-gram is one
-    seed. Rows with a null or repeated id are compared like others. Nothing is shuffled but
-    the counts of the test items' own n-grams.
+    and empty texts and items match nothing; an item of no more than ngram words must be
+    there whole. Rows with a null or repeated id are compared like others. Nothing is shuffled but
+    the counts of the test items' own bigrams.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -198,7 +223,7 @@ def _aligner(items: Items, id_col: str, item_col: str):
             best: dict[tuple[int, int], tuple] = {}
             for (doc, k, a), s, e in zip(keys, score, end, strict=True):
                 share = s / len(items.words[k])
-                if share >= items.params.least and share > best.get((doc, k), (0,))[0]:
+                if s >= items.least[k] and share > best.get((doc, k), (0,))[0]:
                     best[doc, k] = (share, a + int(e))
             out = [(doc, items.ids[k], share, e) for (doc, k), (share, e) in best.items()]
             frame = pd.DataFrame(out, columns=[id_col, item_col, "score", "word_end"])
@@ -227,7 +252,7 @@ def _holds(items: Items):
                 pairs.append((items.words[k], words[a:b].copy()))
         out = np.zeros(len(texts), bool)
         for (i, k), s in zip(keys, align(pairs)[0], strict=True):
-            out[i] |= s >= items.params.least * len(items.words[k])
+            out[i] |= s >= items.least[k]
         return pd.Series(out)
 
     return holds

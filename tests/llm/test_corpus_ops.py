@@ -206,6 +206,25 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_every_alignment_that_scores_enough_is_found(spark):
+    rnd = random.Random(8)
+    items = [words_of(rnd, n) for n in (16, 25, 38, 12)]
+    texts = [" ".join(x) for x in items]  # intact copies make the broken n-grams the rarest
+    texts.append(" ".join("edit" if j % 6 == 5 else w for j, w in enumerate(items[2])))
+    texts.append(" ".join(w + " more" * (j % 2) for j, w in enumerate(items[0])))  # no three words in a row are left
+    for i in range(120):
+        copy = [w for w in items[i % 4] for w in ([w, f"new{i}"] if rnd.random() < 0.1 else [w])]
+        copy = [f"new{i}" if rnd.random() < (0.1, 0.2, 0.3)[i % 3] else w for w in copy if rnd.random() > 0.05]
+        texts.append(" ".join(words_of(rnd, 30) + copy + words_of(rnd, 30)))
+    want = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if plain_alignment(x, t.split()) / len(x) >= 0.4}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    docs = documents(spark, enumerate(texts))
+    assert {(4, 2), (5, 0)} <= want and len(want) < len(texts)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    left = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
+    assert left == set(range(len(texts))) - {i for i, _ in want}
+
+
 # --- classifiers --------------------------------------------------------------------------
 
 
