@@ -139,6 +139,31 @@ def space_filling(df: DataFrame, keys: list[str], k: int, axes: list[str], seed:
     return df.groupBy(*keys).applyInPandas(pick, schema)
 
 
+def space_filling_pool(df: DataFrame, k: int, axes: list[str], seed: str, id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), most_use: int = 3) -> DataFrame:
+    """space_filling of one pool of any size: (place, id). Each round is one distributed maximum over the whole pool."""
+    lows = df.agg(*(F.min(x).alias(f"low_{i}") for i, x in enumerate(axes)), *(F.max(x).alias(f"high_{i}") for i, x in enumerate(axes))).first()
+    schema = f"place int, `{id_col}` {df.schema[id_col].dataType.simpleString()}"
+    if lows[0] is None:
+        return df.sparkSession.createDataFrame([], schema)
+    scaled = [((F.col(x) - lows[i]) / ((lows[len(axes) + i] - lows[i]) or 1.0)).alias(f"v_{i}") for i, x in enumerate(axes)]
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")), 256), 1, 12), 16, 10).cast("double") / float(2**48 - 1)
+    pool = df.select(F.col(id_col).alias("_id"), F.col(ends[0]).alias("_1"), F.col(ends[1]).alias("_2"), *scaled, h.alias("_h")).persist()
+    chosen, used = [], Counter()
+    while len(chosen) < k:
+        away = [F.sqrt(sum((F.col(f"v_{i}") - r[f"v_{i}"]) * (F.col(f"v_{i}") - r[f"v_{i}"]) for i in range(len(axes)))) for r in chosen]
+        far = F.lit(1.0) if not away else away[0] if len(away) == 1 else F.least(*away)
+        full = [x for x, n in used.items() if n >= most_use]
+        open_rows = pool.where(~F.col("_id").isin([r["_id"] for r in chosen])) if chosen else pool
+        open_rows = open_rows.where(~F.col("_1").isin(full) & ~F.col("_2").isin(full)) if full else open_rows
+        best = open_rows.agg(F.max_by(F.struct(*pool.columns), F.struct((far + F.col("_h") * 1e-9).alias("s"), -F.col("_h"), "_id")).alias("m")).first()["m"]
+        if best is None:
+            break
+        chosen.append(best)
+        used.update((best["_1"], best["_2"]))
+    pool.unpersist()
+    return df.sparkSession.createDataFrame([(i, r["_id"]) for i, r in enumerate(chosen, 1)], schema)
+
+
 def capped_take(df: DataFrame, strata: list[str], order: list[str], per_stratum: int) -> DataFrame:
     """The first per_stratum rows of each stratum."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_rn") <= per_stratum).drop("_rn")

@@ -61,9 +61,8 @@ def tk04(spark, sf):
 @query("tk05_space_filling")
 def tk05(spark, sf):
     p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], []))
-    p = p.select(F.lit(1).alias("g"), "id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), "delta_L", "delta_C", "hue_chord", "min_C", "max_C")
-    p = p.where(tx.hash_score("pool", F.col("pair_key")) < F.lit(2000.0) / (F.lit(1.0) + p.count()))
-    return rk.space_filling(p, ["g"], 24, ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"], "v7").select("place", "pair_key")
+    p = p.select("id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), "delta_L", "delta_C", "hue_chord", "min_C", "max_C")
+    return rk.space_filling_pool(p, 24, ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"], "v7")
 
 
 @query("tk07_capped_strata", f"WITH {PHOTOS}, t AS (SELECT *, row_number() OVER (PARTITION BY search, provider ORDER BY round(score,9) DESC, id) AS rn FROM scored) SELECT id, search, provider FROM t WHERE rn <= 2")
