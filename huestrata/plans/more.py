@@ -251,6 +251,29 @@ def jn12(spark, sf):
     return j.select(F.col("l").alias("inner_m"), F.col("r").alias("outer_m"))
 
 
+def whole_masks(spark, sf):
+    """One mask a supplier, over the orders it is in: every row of lineitem, no key folded."""
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("m"), F.col("l_orderkey").alias("x")).where("m IS NOT NULL AND x IS NOT NULL").distinct()
+
+
+def mask_pairs(s):
+    return rel.overlaps(s.select(F.col("m").alias("l"), "x"), s.select(F.col("m").alias("r"), "x"), ["x"]).where("l <> r")
+
+
+@query("jn12_containment_whole")
+def jn12_whole(spark, sf):
+    s = whole_masks(spark, sf)
+    n = s.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
+    o = mask_pairs(s).where("coverage >= 0.95")
+    j = o.join(n.select(F.col("m").alias("l"), F.col("size").alias("a")), "l").join(n.select(F.col("m").alias("r"), F.col("size").alias("b")), "r").where("a < b")
+    return j.select(F.col("l").alias("inner_m"), F.col("r").alias("outer_m"))
+
+
+@query("cl19_recovery_gain_whole")
+def cl19_whole(spark, sf):
+    return mask_pairs(whole_masks(spark, sf)).groupBy(F.col("l").alias("mask")).agg(R(F.max("coverage")).alias("gain"))
+
+
 @query("jn23_symmetric_dedupe", f"WITH RECURSIVE {GRID}, d AS (SELECT a.label AS p, b.label AS q FROM g a JOIN g b ON b.x=a.x+1 AND b.y=a.y AND a.y < 2), e AS (SELECT p, q FROM d UNION SELECT q, p FROM d), r(n, m) AS (SELECT label, label FROM g UNION SELECT e.q, r.m FROM r JOIN e ON e.p=r.n) SELECT n AS label, min(m) AS component FROM r GROUP BY 1")
 def jn23(spark, sf):
     """Components of labels that touch, by repeated minimum: the labels are few, and the rounds stop when nothing changes."""

@@ -51,3 +51,18 @@ def test_space_filling_takes_the_whole_pool(spark):
     assert p.count() == 4950 and len(want) == 24
     assert [(r["place"], r["pair_key"]) for r in got.orderBy("place").collect()] == want
     assert rk.space_filling_pool(p.limit(0), 24, axes, "v7").count() == 0
+
+
+def masks(spark, folder):
+    """Masks over orders, dealt over all line numbers: 2 within 1; 4 near 3 and 5 near 4, but 5 not near 3; 6 half of 1; 7 alone; 31 is not 1."""
+    spans = {1: (1, 101), 2: (1, 97), 3: (200, 600), 4: (202, 602), 5: (204, 604), 6: (51, 101), 7: (900, 905), 31: (80, 130)}
+    return items(spark, folder, [(m, 1, x, x % 5 + 1, 1.0) for m, (a, b) in spans.items() for x in range(a, b)]), {m: set(range(a, b)) for m, (a, b) in spans.items()}
+
+
+def test_masks_are_of_all_rows(spark, tmp_path):
+    sf, of = masks(spark, tmp_path)
+    cover = {(a, b): len(of[a] & of[b]) / len(of[a]) for a in of for b in of if a != b and of[a] & of[b]}
+    got = {tuple(r) for r in registry.QUERIES["jn12_containment_whole"](spark, sf).collect()}
+    assert got == {(a, b) for (a, b), c in cover.items() if c >= 0.95 and len(of[a]) < len(of[b])} == {(2, 1), (6, 1)}
+    got = {r["mask"]: r["gain"] for r in registry.QUERIES["cl19_recovery_gain_whole"](spark, sf).collect()}
+    assert got == {a: round(max(c for (x, _), c in cover.items() if x == a), 6) for a in of if a != 7}
