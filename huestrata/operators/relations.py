@@ -70,6 +70,25 @@ def overlaps(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
     return both.select("l", "r", "intersection", (F.col("intersection") / F.col("n_l")).alias("coverage"), (F.col("intersection") / (F.col("n_l") + F.col("n_r") - F.col("intersection"))).alias("iou"))
 
 
+def near_duplicates(masks: DataFrame, least_iou: float = 0.985, least_mutual: float = 0.995) -> DataFrame:
+    """Directed pairs (l, r) of masks (m, x) whose IoU, or whose coverage both ways, is high enough."""
+    o = overlaps(masks.select(F.col("m").alias("l"), "x"), masks.select(F.col("m").alias("r"), "x"), ["x"]).where("l <> r")
+    back = o.select(F.col("l").alias("r"), F.col("r").alias("l"), F.col("coverage").alias("back"))
+    return o.join(back, ["l", "r"]).where((F.col("iou") >= least_iou) | (F.least("coverage", "back") >= least_mutual)).select("l", "r")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that edges (l, r), given both ways, lead to; by repeated minimum until nothing changes."""
+    both = edges.select("l", "r").unionByName(nodes.select(F.col("node").alias("l"), F.col("node").alias("r"))).persist()
+    now = nodes.select("node", F.col("node").alias("component")).persist()
+    while True:
+        low = both.join(now.withColumnRenamed("node", "r"), "r").groupBy("l").agg(F.min("component").alias("component"), F.max(F.when(F.col("l") == F.col("r"), F.col("component"))).alias("was")).persist()
+        changed = low.where("component < was").limit(1).count()
+        now = low.select(F.col("l").alias("node"), "component")
+        if not changed:
+            return now
+
+
 def adjacent(labels: DataFrame) -> DataFrame:
     """Distinct pairs of different labels on neighbouring places (x, y, label): right and below."""
     moved = [labels.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("label").alias("other")) for dx, dy in ((1, 0), (0, 1))]

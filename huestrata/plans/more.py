@@ -287,6 +287,13 @@ def jn23(spark, sf):
     return now
 
 
+@query("jn23_near_duplicate_masks")
+def jn23_masks(spark, sf):
+    """JN23 as the survey names it: components of masks whose IoU is 0.985 or whose mutual containment is 0.995 at least."""
+    s = whole_masks(spark, sf)
+    return rel.components(s.select(F.col("m").alias("node")).distinct(), rel.near_duplicates(s)).select(F.col("node").alias("mask"), "component")
+
+
 @query("flt01_pixel_sample", "SELECT p_partkey AS id FROM part WHERE p_partkey%40 BETWEEN 2 AND 37 AND p_partkey%2 = 0 AND p_size/50.0 >= 0.5")
 def flt01(spark, sf):
     k = F.col("p_partkey")

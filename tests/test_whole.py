@@ -66,3 +66,9 @@ def test_masks_are_of_all_rows(spark, tmp_path):
     assert got == {(a, b) for (a, b), c in cover.items() if c >= 0.95 and len(of[a]) < len(of[b])} == {(2, 1), (6, 1)}
     got = {r["mask"]: r["gain"] for r in registry.QUERIES["cl19_recovery_gain_whole"](spark, sf).collect()}
     assert got == {a: round(max(c for (x, _), c in cover.items() if x == a), 6) for a in of if a != 7}
+
+
+def test_near_duplicate_masks_are_joined(spark, tmp_path):
+    sf, _ = masks(spark, tmp_path)
+    got = {r["mask"]: r["component"] for r in registry.QUERIES["jn23_near_duplicate_masks"](spark, sf).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 31: 31}
