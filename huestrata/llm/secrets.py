@@ -2,7 +2,7 @@
 
 Base spans are the matches of three patterns. Structural confirmation adds spans: PEM blocks
 whose body decodes to well-nested DER, base64 or hex strings that decode to such DER, to a
-PEM block or to a base candidate, and signed tokens whose header is a JSON object with an "alg".
+PEM block or to a base candidate, on one line or wrapped over several, and signed tokens whose header is a JSON object with an "alg".
 """
 
 from __future__ import annotations
@@ -28,9 +28,13 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ["assign", "access", "hex", "pem", "der", "jwt", "nested"]
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{2}){16,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])(?:[0-9A-F]{2}){16,}(?![0-9A-Fa-f])")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: A line's end of base64 with more at the start of the next line; wrapped values have lines of 16 letters at least.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?=[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-])")
+_NEXT = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]+)[ \t]*\r?\n[ \t]*\Z")
 #: Letters that start a value one of the patterns above could match; without them a text has no such value.
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{24}")
 
@@ -120,12 +124,44 @@ def hides_secret(raw: bytes | None) -> bool:
     if not raw:
         return False
     try:
-        text = raw.decode("ascii")
+        text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return False
     return bool(base_spans(text)) or any(key_encoding(unbase64("".join(m[2].split()))) for m in PEM.finditer(text))
 
 
+def hidden_kind(raw: bytes | None) -> str:
+    return "der" if key_encoding(raw) else "nested" if hides_secret(raw) else ""
+
+
+def wrapped_spans(text: str) -> list[Span]:
+    """Spans of base64 wrapped over lines: lines of one length, with or without a first and a shorter last one of another."""
+    out: list[Span] = []
+    at = 0
+    while m := WRAPPED.search(text, at):
+        pieces = [(m.start(), m.end())]
+        if before := _BEFORE.search(text, max(at, m.start() - 400), m.start()):
+            pieces.insert(0, before.span(1))
+        while text[pieces[-1][1] - 1] != "=" and (more := _NEXT.match(text, pieces[-1][1])):
+            pieces.append(more.span(1))
+        size = [b - a for a, b in pieces]
+        i = 0
+        while i < len(pieces):
+            j = i
+            while j + 1 < len(pieces) and size[j + 1] == size[i]:
+                j += 1
+            if size[i] >= 16:
+                for first, last in ((i - 1, j + 1), (i, j + 1), (i - 1, j), (i, j)):
+                    if 0 <= first < last < len(pieces) and (last == j or size[last] < size[i]):
+                        kind = hidden_kind(unbase64("".join(text[a:b] for a, b in pieces[first : last + 1])))
+                        if kind:
+                            out.append((kind, pieces[first][0], pieces[last][1]))
+                            break
+            i = j + 1
+        at = max(m.end(), pieces[-1][1])
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans that only decoding and parsing confirm."""
     out: list[Span] = []
@@ -136,10 +172,12 @@ def confirmed_spans(text: str) -> list[Span]:
     if _LONG.search(text):
         for pattern, decode in ((BASE64, unbase64), (HEX_ANY, bytes.fromhex)):
             for m in pattern.finditer(text):
-                raw = decode(m[0])
-                kind = "der" if key_encoding(raw) else "nested" if hides_secret(raw) else ""
+                kind = hidden_kind(decode(m[0]))
                 if kind:
                     out.append((kind, m.start(), m.end()))
+    whole = [x for x in wrapped_spans(text) if not any(k == "pem" and a <= x[1] and x[2] <= b for k, a, b in out)]
+    if whole:  # a value found line by line as well counts once
+        out = [x for x in out if x[0] not in ("der", "nested") or not any(a <= x[1] and x[2] <= b for _, a, b in whole)] + whole
     return out
 
 

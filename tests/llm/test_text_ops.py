@@ -147,6 +147,22 @@ def test_secrets(spark):
     assert tail[0].startswith("pem:0:") and "jwt:4:" in tail[1] and "der:4:" in tail[2] and "nested:2:" in tail[3] and tail[4] == ""
 
 
+def test_encoded_secrets_after_equals_signs_over_lines_and_beyond_ascii():
+    from base64 import b64encode
+
+    der = bytes([0x30, 0x81, 150, 0x04, 0x81, 147, *(i * 7 % 251 for i in range(147))])
+    key, text = b64encode(der).decode(), b64encode("Schlüssel: password=hunter2hunter2 für später".encode()).decode()
+    cut = lambda x, n, gap="\n": gap.join(x[i : i + n] for i in range(0, len(x), n))
+    for value, kind in ((key, "der"), (text, "nested")):
+        for head, body, tail in (
+            ("PRIVATE_KEY=", value, "\nNEXT=1"), ("https://x.y/?key=", value, "&b=1"), ("see ", value, " end"),
+            ("a\n", cut(value, 20), "\nand so on"), ('KEY="', cut(value, 20), '"'), ("KEY=", value[:7] + "\n" + cut(value[7:], 24), ""), ("  ", cut(value, 16, "\r\n  "), "\r\n  a-rather-long-word-follows"),
+        ):
+            assert secrets.confirmed_spans(head + body + tail) == [(kind, len(head), len(head) + len(body))]
+    assert [x[0] for x in secrets.confirmed_spans(f"-----BEGIN PRIVATE KEY-----\n{cut(key, 64)}\n-----END PRIVATE KEY-----")] == ["pem"]
+    assert secrets.confirmed_spans("\n".join(["an-ordinary-line-of-words"] * 500)) == []
+
+
 def test_streams_are_cut_as_if_alone():
     rng = np.random.default_rng(4)
     streams = [rng.integers(0, 49000, n).astype("<u4") for n in (1, 5, 127, 128, 129, 3000, 0, 20000, 16, 9000)] + [np.full(30000, 7, "<u4")]
