@@ -228,7 +228,12 @@ def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_
     recipes.mapInPandas(number, "doc_id long, row long, part int, local_start long, n_tokens long, digests array<binary>, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop_path(spark, scratch)
 
-    written = spark.read.parquet(f"{path}/recipes")
+    _manifests(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+def _manifests(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, root of recipes as they are read."""
+    parts = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def manifest(part, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs_n = tokens = 0
@@ -238,7 +243,7 @@ def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_
             roots += batch["root"].tolist()
         yield pd.DataFrame({"part": [int(part[0])], "n_docs": [docs_n], "n_tokens": [tokens], "root": [merkle_root(roots)]})
 
-    ordered = written.select("part", "doc_id", "row", "n_tokens", "root")
+    ordered = recipes.select("part", "doc_id", "row", "n_tokens", "root")
     in_parts = ordered.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "row")
 
     def manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +258,7 @@ def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_
         if open_part:
             yield from manifest(open_part[:1], open_part[1])
 
-    in_parts.mapInPandas(manifests, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
+    return in_parts.mapInPandas(manifests, "part int, n_docs long, n_tokens long, root binary")
 
 
 # --- reading ------------------------------------------------------------------------------
@@ -279,7 +284,9 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     Every stored chunk is unpacked once, checked against its address and reduced to its
     length and CRC; recipes then join these few bytes instead of the ids, and the CRC of a
     document follows from those of its chunks in order. verified: each chunk is there and
-    matches its address, and lengths and Merkle root agree with the recipe.
+    matches its address, lengths and Merkle root agree with the recipe, and the count, tokens
+    and root of the recipes of its part agree with the manifest. A part that the manifest
+    names and that has no recipe left is an error, for no row could say so.
     """
     arrow_batches(spark)
 
@@ -299,9 +306,15 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     found = entries.join(facts, "digest", "left")
     whole = found.groupBy("row", "part", "doc_id", "local_start", "n_tokens", "root").agg(F.collect_list(F.struct("at", "digest", "n", "crc", "ok")).alias("parts"))
 
-    totals, before, starts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect(), 0, {}
-    for part, n in sorted(totals):  # one row for each part of the store: as many as shuffle partitions
-        starts[part], before = before, before + n
+    # one row for each part of the store: as many as shuffle partitions
+    kept = {r["part"]: tuple(r) for r in spark.read.parquet(f"{path}/manifest").collect()}
+    read = {r["part"]: tuple(r) for r in _manifests(recipes).collect()}
+    if lost := sorted(kept.keys() - read.keys()):
+        raise ValueError(f"parts {lost} of the manifest have no recipes in {path}")
+    intact = {part for part, facts_of in read.items() if kept.get(part) == facts_of}
+    before, starts = 0, {}
+    for part in sorted(read):
+        starts[part], before = before, before + kept.get(part, read[part])[2]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +330,8 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
             digests = parts.field("digest").take(pa.array(order)).to_pylist()
             rooted = np.array([merkle_root(digests[a:b]) == r for a, b, r in zip(bounds, bounds[1:], batch.column("root").to_pylist(), strict=False)], bool)
             start = np.array([starts[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("local_start").to_numpy()
-            good = ~broken & rooted & (n == batch.column("n_tokens").to_numpy())
+            in_order = np.array([p in intact for p in batch.column("part").to_pylist()], bool)
+            good = in_order & ~broken & rooted & (n == batch.column("n_tokens").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (start, n, crc, good))], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return whole.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")

@@ -68,6 +68,25 @@ def test_token_store_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s/manifest")).selectExpr("sum(n_docs)").first()[0] == len(texts)
 
 
+def test_token_store_tells_lost_recipes(spark, tmp_path):
+    token_store.write_store(documents(spark, [f"text number {i}" for i in range(40)]), str(tmp_path / "s"), _encode, 1)
+    whole = {r["doc_id"]: r for r in token_store.read_digest(spark, str(tmp_path / "s")).collect()}
+    assert len(whole) == 40 and all(r["verified"] for r in whole.values())
+    recipes = spark.read.parquet(str(tmp_path / "s/recipes"))
+    part_of = {r["doc_id"]: r["part"] for r in recipes.collect()}
+    assert len(set(part_of.values())) > 1
+    for name, left in (("row", "doc_id <> 3"), ("part", f"part <> {part_of[3]}")):
+        for kind in ("chunks", "manifest"):
+            spark.read.parquet(str(tmp_path / "s" / kind)).write.parquet(str(tmp_path / name / kind))
+        recipes.where(left).write.parquet(str(tmp_path / name / "recipes"))
+    got = {r["doc_id"]: r for r in token_store.read_digest(spark, str(tmp_path / "row")).collect()}
+    assert got.keys() == whole.keys() - {3}
+    assert all(r["verified"] == (part_of[i] != part_of[3]) for i, r in got.items())
+    assert all(r["start"] == whole[i]["start"] for i, r in got.items() if part_of[i] != part_of[3])
+    with pytest.raises(ValueError, match="no recipes"):
+        token_store.read_digest(spark, str(tmp_path / "part"))
+
+
 def _encode(text):
     return token_store.library_words(PATH).encode_bytes(text)
 
