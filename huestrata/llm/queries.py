@@ -102,4 +102,4 @@ def op10_near_dedup(spark, sf_dir):
 
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False, keep_text=True)

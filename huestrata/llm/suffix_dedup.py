@@ -12,22 +12,25 @@ agree. Memory is that of one block of contexts.
 
 A bucket beyond `block` contexts is dealt into blocks at random. Within each, repeats are
 found as above; the first suffix of every class goes on to a next round, where buckets have
-longer common cores (up to the whole string), so that no group is ever in one task.
+longer common cores (up to the whole string), so that no group is ever in one task. In the
+last round a bucket is one string, and grouping on its bytes counts it.
+
+Copies of a text give the same contexts; these are grouped, with a count, before anything is
+sorted, so a text that fills the corpus is one row of a bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import arrow_batches, mix, staged, text_of
+from huestrata.llm.common import mix, slices, staged, text_of
 
 STEP = 8
 _PLACE = np.uint64(26)
@@ -217,48 +220,61 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 # --- DataFrames ---------------------------------------------------------------------------
 
-_ENTRY = "key long, n long, gram long, digest binary, near int, far int, anchors array<int>, part binary"
+_ENTRY = "key long, n long, gram long, digest binary, near int, far int, anchors array<int>, part binary, copies long"
+_FIELDS = [
+    ("key", pa.int64()), ("n", pa.int64()), ("gram", pa.int64()), ("digest", pa.binary()), ("near", pa.int32()),
+    ("far", pa.int32()), ("anchors", pa.list_(pa.int32())), ("part", pa.binary()), ("copies", pa.int64()),
+]
+_ENTRY_NAMES = [name for name, _ in _FIELDS]
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _bytes_of(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
 
 
 def _anchors(rows: DataFrame, params: Params) -> DataFrame:
     """gram, doc (64-bit text key), c: the anchors of each text and how often they stand in it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raws = [t.encode("utf-8", "surrogatepass") for t in batch["_t"]]
-            docs = batch["_d"].to_numpy()
-            for r in anchor_runs(raws, params):
-                frame = pd.DataFrame({"gram": r.gram, "doc": docs[r.text], "c": 1})
-                yield frame.groupby(["gram", "doc"], as_index=False).sum()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            docs = part.column("_d").to_numpy()
+            for r in anchor_runs(_bytes_of(part.column("_t")), params):
+                order = np.lexsort((r.gram, r.text))
+                text, gram = r.text[order], r.gram[order]
+                first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]))))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(docs[text[first]]), pa.array(np.diff(np.append(first, len(text))))], names=["gram", "doc", "c"])
 
-    return rows.mapInPandas(run, "gram long, doc long, c long")
+    return rows.mapInArrow(run, "gram long, doc long, c long")
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
-    """Entries of the first level for the wanted (doc, grams, counts) of each text."""
-    joined = rows.join(wanted, F.col("_d") == F.col("doc")).select("_t", "grams", "counts")
+    """Entries of the first level for the wanted (doc, grams, counts) of each text; copies of a text are one entry."""
+    # another key than the one `wanted` is grouped by: its rows are dealt anew, and Spark can split the copies of a text over tasks
+    joined = rows.withColumn("_n", F.bitwise_not("_d")).join(wanted.withColumn("_n", F.bitwise_not("doc")), "_n").select("_t", "grams", "counts")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raws = [t.encode("utf-8", "surrogatepass") for t in batch["_t"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            raws = _bytes_of(batch.column("_t"))
             digests = [hashlib.md5(r).digest() for r in raws]
-            copies = Counter(digests)  # copies that meet here go on as one text that stands for several places
-            alone = sorted({d: i for i, d in enumerate(digests)}.values())
-            raws, digests = [raws[i] for i in alone], [digests[i] for i in alone]
-            known = [dict(zip(batch["grams"].iloc[i], batch["counts"].iloc[i], strict=True)) for i in alone]
+            known = [dict(zip(g, n, strict=True)) for g, n in zip(batch.column("grams").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
             for r in anchor_runs(raws, params):
                 out = []
                 cut = np.flatnonzero(np.concatenate(([True], r.text[1:] != r.text[:-1], [True])))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     i = int(r.text[a])
                     runs = [x for x in zip(*(v[a:b].tolist() for v in (r.first, r.last, r.anchor, r.gram)), strict=True) if x[3] in known[i]]
-                    for gram, near, far, places, part in contexts(raws[i], runs, params):
-                        out.append((gram, known[i][gram], gram, digests[i], near, far, np.array(places * min(2, copies[digests[i]]), np.int32), part))
-                yield pd.DataFrame(out, columns=["key", "n", "gram", "digest", "near", "far", "anchors", "part"])
+                    out += [(gram, known[i][gram], gram, digests[i], near, far, places, part, 1) for gram, near, far, places, part in contexts(raws[i], runs, params)]
+                yield _batch(out, _FIELDS)
 
-    return joined.mapInPandas(run, _ENTRY)
+    entries = joined.mapInArrow(run, _ENTRY)
+    return entries.groupBy(*_ENTRY_NAMES[:-1]).agg(F.count(F.lit(1)).alias("copies"))
 
 
+_FOUND_FIELDS = [("digest", pa.binary()), ("spans", pa.list_(pa.int64())), *(("digest2" if name == "digest" else name, kind) for name, kind in _FIELDS)]
 _FOUND = "digest binary, spans array<long>, " + _ENTRY.replace("digest binary", "digest2 binary")
 
 
@@ -270,63 +286,62 @@ def _sorted_blocks(entries: DataFrame, params: Params, level: int) -> DataFrame:
     dealt = dealt.repartition(parts_n, "key", "salt").sortWithinPartitions("key", "salt")
     cells = params.cells(level + 1) if level < LAST_LEVEL else []
 
-    def sort(held: pd.DataFrame) -> pd.DataFrame:
-        near, far = held["near"].to_numpy(), held["far"].to_numpy()
-        parts = list(held["part"])
-        many = np.array([len(a) > 1 for a in held["anchors"]])
-        if level == LAST_LEVEL:  # all strings of a bucket are equal, and it has more than one
+    def sort(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        near, far, n = (held.column(c).to_numpy() for c in ("near", "far", "n"))
+        parts, digests, anchors, grams, copies = (held.column(c).to_pylist() for c in ("part", "digest", "anchors", "gram", "copies"))
+        many = np.array([len(a) > 1 or c > 1 for a, c in zip(anchors, copies, strict=True)])
+        if level == LAST_LEVEL:  # a row's part is one string, and n counts that string
             repeated = np.zeros((len(parts), params.reach + 1), bool)
-            repeated[np.arange(len(parts)), near] = held["n"].to_numpy() > 1
+            repeated[np.arange(len(parts)), near] = (n > 1) | many
             first = np.zeros_like(repeated)
         else:
             repeated, first = sort_block(parts, near, far, many, params)
-        hot = held["n"].to_numpy() > block
+        hot = n > block
         out = []
         for i in range(len(parts)):
             if repeated[i].any():
-                spans = merge_spans([(int(at) - b, int(at) - a + params.length) for a, b in _stretches(repeated[i]) for at in held["anchors"].iloc[i]])
-                out.append((held["digest"].iloc[i], np.array(spans, np.int64).ravel(), *[None] * 8))
+                spans = merge_spans([(at - b, at - a + params.length) for a, b in _stretches(repeated[i]) for at in anchors[i]])
+                out.append((digests[i], [x for span in spans for x in span], *[None] * len(_FIELDS)))
             if hot[i]:
                 for lo, hi in cells:
                     for a, b in _stretches(first[i, lo : hi + 1]):
                         a, b = a + lo, b + lo
-                        part, gram = parts[i], int(held["gram"].iloc[i])
-                        core = part[far[i] - lo : far[i] + params.length - hi]
-                        key = int.from_bytes(hashlib.blake2b(core + f"{gram},{lo}".encode(), digest_size=8).digest(), "big", signed=True)
-                        out.append((None, None, key, 0, gram, held["digest"].iloc[i], a, b, held["anchors"].iloc[i], part[far[i] - b : far[i] + params.length - a]))
-        columns = ["digest", "spans", "key", "n", "gram", "digest2", "near", "far", "anchors", "part"]
-        return pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in ("key", "n", "gram", "near", "far")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+                        core = parts[i][far[i] - lo : far[i] + params.length - hi]
+                        key = int.from_bytes(hashlib.blake2b(core + f"{grams[i]},{lo}".encode(), digest_size=8).digest(), "big", signed=True)
+                        out.append((None, None, key, 0, grams[i], digests[i], a, b, anchors[i], parts[i][far[i] - b : far[i] + params.length - a], copies[i]))
+            if len(out) >= 4096:
+                yield _batch(out, _FOUND_FIELDS)
+                out = []
+        if out:
+            yield _batch(out, _FOUND_FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         rows = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            if rows + len(batch) > block and held:  # whole buckets only: the last one may go on in the next batch
-                whole = pd.concat([*held, batch], ignore_index=True)
-                tail = (whole["key"] == whole["key"].iloc[-1]) & (whole["salt"] == whole["salt"].iloc[-1])
-                if not tail.all():
-                    yield sort(whole[~tail].reset_index(drop=True))
-                    whole = whole[tail].reset_index(drop=True)
-                held, rows = [whole], len(whole)
+        for batch in slices(batches, "part"):
+            if rows + batch.num_rows > block and held:  # whole buckets only: the last one may go on in the next batch
+                whole = pa.Table.from_batches([*held, batch]).combine_chunks()
+                key, salt = (whole.column(c).to_numpy() for c in ("key", "salt"))
+                last = len(key) - int(np.argmin(((key == key[-1]) & (salt == salt[-1]))[::-1])) if (key[0], salt[0]) != (key[-1], salt[-1]) else 0
+                if last:
+                    yield from sort(whole.slice(0, last))
+                held, rows = whole.slice(last).to_batches(), whole.num_rows - last
             else:
                 held.append(batch)
-                rows += len(batch)
+                rows += batch.num_rows
         if held:
-            yield sort(pd.concat(held, ignore_index=True))
+            yield from sort(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.select("key", "salt", "n", "gram", "digest", "near", "far", "anchors", "part").mapInPandas(run, _FOUND)
+    return dealt.select("key", "salt", *_ENTRY_NAMES[1:]).mapInArrow(run, _FOUND)
 
 
 def repeated_spans(docs: DataFrame, params: Params = Params(), text_col: str = "text") -> DataFrame:
     """digest (MD5 of a text), spans (array of long: starts and ends in turn) of its repeated bytes, not yet merged across rows."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
     rows = docs.select(text_of(text_col).alias("_t")).where(F.octet_length("_t") >= params.length).select(F.xxhash64("_t").alias("_d"), "_t")
-    anchors = _anchors(rows, params)
-    shared = anchors.groupBy("gram").agg(F.sum("c").alias("n")).where("n > 1")
-    wanted = anchors.select("gram", "doc").distinct().join(shared, "gram")
+    # of a text with copies, `places` counts all of them, c one
+    anchors = staged(_anchors(rows, params).groupBy("gram", "doc").agg(F.sum("c").alias("places"), F.max("c").alias("c")))
+    shared = anchors.groupBy("gram").agg(F.sum("places").alias("places"), F.sum("c").alias("n")).where("places > 1").select("gram", "n")
+    wanted = anchors.select("gram", "doc").join(shared, "gram")
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "n")).alias("w")).select("doc", F.col("w.gram").alias("grams"), F.col("w.n").alias("counts"))
     entries = _contexts(rows, wanted, params)
     out = None
@@ -337,41 +352,47 @@ def repeated_spans(docs: DataFrame, params: Params = Params(), text_col: str = "
         more = found.where("spans IS NULL").drop("digest", "spans").withColumnRenamed("digest2", "digest")
         if level == LAST_LEVEL or more.isEmpty():
             break
-        counts = more.groupBy("key").agg(F.sum(F.size("anchors")).alias("n")).where("n > 1")
-        entries = more.drop("n").join(counts, "key").select("key", F.col("n").cast("long").alias("n"), "gram", "digest", "near", "far", "anchors", "part")
+        same = ["key", "part"] if level + 1 == LAST_LEVEL else ["key"]  # in the last round, strings of equal bytes
+        counts = more.groupBy(*same).agg(F.sum(F.size("anchors")).cast("long").alias("n")).where("n > 1")
+        entries = more.drop("n").join(counts, same).select(*_ENTRY_NAMES)
     return out
 
 
-def remove_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes that stay.
+def remove_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, keep_text: bool = False) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes that stay,
+    or text and n_chars: what stays as a string (a character cut in two becomes U+FFFD) and its length in characters.
 
     Every byte goes that lies in a string of params.length bytes which starts at another
     place as well, in the same text or another; strings are judged on the input, and never
     span texts. Null text counts as empty; a shorter text keeps all its bytes. Rows that
-    repeat a text are copies of each other. Null and repeated ids pass through; an empty
-    table gives an empty result; other columns are ignored.
+    repeat a text are copies of each other. Ids of any type, null and repeated ones pass
+    through as they are; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    rows = rows.withColumn("_h", F.unhex(F.md5("_t")))
+    rows = rows.withColumn("_h", F.concat(F.lit("md5").cast("binary"), F.unhex(F.md5("_t"))))
     spans = repeated_spans(docs, params, text_col)
-    spans = spans.distinct().groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # distinct: copies of a text bring the same
-    joined = rows.join(spans, F.col("_h") == F.col("digest"), "left").select("_id", "_t", "spans")
+    spans = spans.distinct().groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # again a key of its own, so that the copies of a text can be split
+    spans = spans.select(F.concat(F.lit("md5").cast("binary"), "digest").alias("_h"), "spans")
+    joined = rows.join(spans, "_h", "left").select("_id", "_t", "spans")
     kind = rows.schema["_id"].dataType.simpleString()
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    fields += [("kept", pa.binary())] * keep_bytes + [("text", pa.string()), ("n_chars", pa.int64())] * keep_text
+    names = [id_col, *(name for name, _ in fields)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             out = []
-            for text, spans in zip(batch["_t"], batch["spans"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                merged = merge_spans(list(zip(spans[::2].tolist(), spans[1::2].tolist(), strict=True))) if spans is not None else []
+            for raw, spans in zip(_bytes_of(batch.column("_t")), batch.column("spans").to_pylist(), strict=True):
+                merged = merge_spans(list(zip(spans[::2], spans[1::2], strict=True))) if spans else []
                 kept, at = [], 0
                 for a, b in merged:
                     kept.append(raw[at:a])
                     at = b
                 left = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), *[left] * keep_bytes))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes])
-            frame.insert(0, id_col, batch["_id"].to_numpy())
-            yield frame.astype({id_col: batch["_id"].dtype})
+                row = (len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), *[left] * keep_bytes)
+                out.append((*row, (text := left.decode("utf-8", "replace")), len(text)) if keep_text else row)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *_batch(out, fields).columns], names=names)
 
-    return joined.mapInPandas(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    ddl = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary", "text": "string", "n_chars": "long"}
+    return joined.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{name} {ddl[name]}" for name in names[1:])]))
