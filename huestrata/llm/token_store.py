@@ -18,13 +18,12 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huestrata.llm.bpe import WordBpe
-from huestrata.llm.common import arrow_batches, drop_path, mix, staged, staging_dir, text_of
+from huestrata.llm.common import drop_path, mix, slices, staged, staging_dir, text_of
 
 #: Ids that the rolling hash sees; chunk sizes in ids: least, mean above that (two to the power MEAN_BITS), most.
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 10, 8192
@@ -114,13 +113,41 @@ def address(ids: np.ndarray) -> bytes:
     return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
 
 
+def _node(mark: bytes, value: bytes) -> bytes:
+    return hashlib.blake2b(mark + value, digest_size=16).digest()
+
+
+class Merkle:
+    """Root of a binary tree over leaves that come in order; leaves and inner nodes are hashed apart, an odd node moves up.
+
+    Only one node for each height is held, however many leaves there are.
+    """
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, _node(b"\0", leaf)
+        while self.nodes and self.nodes[-1][0] == height:
+            height, node = height + 1, _node(b"\1", self.nodes.pop()[1] + node)
+        self.nodes.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return _node(b"", b"")
+        out = self.nodes[-1][1]
+        for _, left in reversed(self.nodes[:-1]):
+            out = _node(b"\1", left + out)
+        return out
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """Root of a binary tree over the leaves in order; leaves and inner nodes are hashed apart, an odd node moves up."""
-    level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves] or [hashlib.blake2b(b"", digest_size=16).digest()]
-    while len(level) > 1:
-        up = [hashlib.blake2b(b"\1" + a + b, digest_size=16).digest() for a, b in zip(level[::2], level[1::2], strict=False)]
-        level = up + level[len(up) * 2 :]
-    return level[0]
+    if len(leaves) == 1:
+        return _node(b"\0", leaves[0])
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 # --- CRC of joined parts ------------------------------------------------------------------
@@ -163,26 +190,29 @@ def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> np.n
 
 # --- writing ------------------------------------------------------------------------------
 
-_STREAM = "doc_id long, n_tokens long, digests array<binary>, root binary, widths array<int>, payloads array<binary>"
+_STREAM = "n_tokens long, digests array<binary>, root binary, widths array<int>, payloads array<binary>"
 
 
 def _streams(rows: DataFrame, encode: Callable[[str], bytes], end_id: int) -> DataFrame:
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raws = [encode(text) + end for text in batch.column("_t").to_pylist()]
             bounds = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raws]))).astype(np.int64)
-            every = np.frombuffer(b"".join(raws), "<u4")
+            joined = b"".join(raws)
+            every = np.frombuffer(joined, "<u4")
+            narrow = len(every) == 0 or int(every.max()) < 1 << 16
+            short = every.astype("<u2").tobytes() if narrow else b""
             digests, roots, widths, payloads = [], [], [], []
             for start, cuts in zip(bounds[:-1].tolist(), cut_streams(every, bounds), strict=True):
                 mine, wide, packed, at = [], [], {}, start
                 for cut in cuts:
-                    part, at = every[at : start + cut], start + cut
-                    digest = address(part)
+                    a, at = at, start + cut
+                    digest = hashlib.blake2b(joined[4 * a : 4 * at], digest_size=16).digest()
                     mine.append(digest)
                     if digest not in packed:
-                        width, payload = pack(part)
+                        width, payload = (2, short[2 * a : 2 * at]) if narrow else pack(every[a:at])
                         wide.append(width)
                         packed[digest] = digest + payload
                 digests.append(mine)
@@ -190,22 +220,26 @@ def _streams(rows: DataFrame, encode: Callable[[str], bytes], end_id: int) -> Da
                 widths.append(wide)
                 payloads.append(list(packed.values()))
             lists = [pa.array(np.diff(bounds)), pa.array(digests, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(widths, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *lists], names=["doc_id", "n_tokens", "digests", "root", "widths", "payloads"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "n_tokens", "digests", "root", "widths", "payloads"])
+
+    return rows.mapInArrow(run, f"doc_id {_kind(rows)}, {_STREAM}")
+
 
-    return rows.mapInArrow(run, _STREAM)
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
 
 
 def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each whole text, ends it with end_id, and writes the store.
 
     encode gives a text's ids as little-endian 32-bit integers. Null text counts as empty
-    (only the end id). Null ids come first; rows that repeat an id are kept, next to each
-    other. An empty table gives a store without rows. Chunks are pre-aggregated per map task
+    (only the end id). Document ids may be of any type with an order; null ids come first;
+    rows that repeat an id are kept, next to each other. Other columns are ignored. An empty
+    table gives a store without rows. Chunks are pre-aggregated per map task
     before their one shuffle, so a chunk that fills the corpus reaches a reducer a few times.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
     scratch = staging_dir(spark)
     streams = staged(_streams(rows, encode, end_id), scratch, compression="snappy")
 
@@ -217,15 +251,16 @@ def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id())
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            ends = batch["n_tokens"].cumsum() + before
-            batch["local_start"] = ends - batch["n_tokens"]
-            before = int(ends.iloc[-1]) if len(ends) else before
-            yield batch.astype({"doc_id": "Int64"})
+            ends = np.cumsum(batch.column("n_tokens").to_numpy()) + before
+            start = pa.array(np.concatenate(([before], ends[:-1]))[: len(ends)].astype(np.int64))
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), start, *(batch.column(c) for c in names[4:])], names=names)
 
-    recipes.mapInPandas(number, "doc_id long, row long, part int, local_start long, n_tokens long, digests array<binary>, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    names = ["doc_id", "row", "part", "local_start", "n_tokens", "digests", "root"]
+    recipes.mapInArrow(number, f"doc_id {_kind(recipes)}, row long, part int, local_start long, n_tokens long, digests array<binary>, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop_path(spark, scratch)
 
     _manifests(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
@@ -234,31 +269,29 @@ def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_
 def _manifests(recipes: DataFrame) -> DataFrame:
     """part, n_docs, n_tokens, root of recipes as they are read."""
     parts = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def manifest(part, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs_n = tokens = 0
-        roots = []
-        for batch in batches:
-            docs_n, tokens = docs_n + len(batch), tokens + int(batch["n_tokens"].sum())
-            roots += batch["root"].tolist()
-        yield pd.DataFrame({"part": [int(part[0])], "n_docs": [docs_n], "n_tokens": [tokens], "root": [merkle_root(roots)]})
-
     ordered = recipes.select("part", "doc_id", "row", "n_tokens", "root")
     in_parts = ordered.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "row")
 
-    def manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_part: list = []
+    def manifests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # part, documents, tokens, tree
+
+        def row() -> pa.RecordBatch:
+            part, n, tokens, tree = held
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([tokens], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
+
         for batch in batches:
-            for part, rows_of in batch.groupby("part", sort=False):
-                if open_part and open_part[0] != part:
-                    yield from manifest(open_part[:1], open_part[1])
-                    open_part = []
-                open_part = open_part or [part, []]
-                open_part[1].append(rows_of)
-        if open_part:
-            yield from manifest(open_part[:1], open_part[1])
+            for part, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "n_tokens", "root")), strict=True):
+                if not held or held[0] != part:
+                    if held:
+                        yield row()
+                    held = [part, 0, 0, Merkle()]
+                held[1] += 1
+                held[2] += n
+                held[3].add(root)
+        if held:
+            yield row()
 
-    return in_parts.mapInPandas(manifests, "part int, n_docs long, n_tokens long, root binary")
+    return in_parts.mapInArrow(manifests, "part int, n_docs long, n_tokens long, root binary")
 
 
 # --- reading ------------------------------------------------------------------------------
@@ -270,12 +303,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = entries.join(spark.read.parquet(f"{path}/chunks"), "digest", "left").select("doc_id", "row", "at", "width", "payload")
     parts = parts.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "width", "payload"))).alias("parts"))
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([unpack(p["width"], p["payload"]) for p in x]).astype("int32") for x in batch["parts"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
+            ids = [np.concatenate([unpack(p["width"], p["payload"]) for p in x.as_py()]).astype("int32") for x in batch.column("parts")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return parts.mapInPandas(join, "doc_id long, ids array<int>")
+    return parts.mapInArrow(join, f"doc_id {_kind(parts)}, ids array<int>")
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -288,8 +321,6 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     and root of the recipes of its part agree with the manifest. A part that the manifest
     names and that has no recipe left is an error, for no row could say so.
     """
-    arrow_batches(spark)
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, n, crc, ok = batch.column("digest").to_pylist(), [], [], []
@@ -334,4 +365,4 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
             good = in_order & ~broken & rooted & (n == batch.column("n_tokens").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (start, n, crc, good))], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return whole.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return whole.mapInArrow(combine, f"doc_id {_kind(whole)}, start long, n_tokens long, ids_crc32 long, verified boolean")
