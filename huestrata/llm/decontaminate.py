@@ -16,11 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from huestrata.llm.common import APART, arrow_batches, shingle_hashes, text_of, word_hashes
+from huestrata.llm.common import APART, shingle_hashes, slices, staged, text_of, text_udf, word_hashes
 
 
 @dataclass
@@ -29,17 +30,22 @@ class Params:
 
     A text is contaminated by an item if the best local alignment scores at least `least`
     times the item's words, and no less than ngram words or the whole of a shorter item.
-    Test items are handled in blocks of about block_bytes of text, so what is broadcast is
-    bounded whatever the size of the benchmark.
+    Bigrams are counted in one pass over the corpus, whatever the size of the benchmark.
+    For aligning, test items are handled in blocks of about block_bytes of text, so what is
+    broadcast is bounded; each block costs one more pass.
     """
 
     ngram: int = 3
     least: float = 0.4
-    block_bytes: int = 4_000_000
+    block_bytes: int = 16_000_000
 
 
 #: Words of a seed; an item of a single word is its own seed.
 _SEED = 2
+#: Bits of the filter that tells which bigrams of the corpus may be of a test item.
+_FILTER_BITS = 27
+#: Places of seeds in a text that are looked at together, and the words of a stretch that are aligned at once.
+_HITS, _STRETCH = 1 << 20, 1 << 16
 
 
 class Items:
@@ -82,7 +88,10 @@ class Items:
         self.seed_item, self.seed_at = np.concatenate(item)[order], np.concatenate(at)[order]
 
     def windows(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, end) of the stretches of a text to align, overlapping ones of an item joined."""
+        """(item, start, end) of the stretches of a text to align, overlapping ones of an item joined.
+
+        Very long stretches come in pieces that overlap by more than an accepted alignment can span.
+        """
         out: list[tuple[int, int, int]] = []
         if not len(self.seed):
             return out
@@ -93,28 +102,44 @@ class Items:
             if not len(place):
                 continue
             begin = self.seed_from[at[place]]
-            n = self.seed_from[at[place] + 1] - begin
-            hit = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            k = self.seed_item[hit]
-            # an accepted alignment has no more gaps than this, so it lies within
-            slack = self.size[k] - self.least[k]
-            start = np.repeat(place, n) - self.seed_at[hit]
-            a, b = np.maximum(start - slack, 0), np.minimum(start + self.size[k] + slack, len(words))
-            order = np.lexsort((a, k))
-            k, a, b = k[order], a[order], b[order]
-            apart = k * (len(words) + 1)
-            reach = np.maximum.accumulate(b + apart)
-            first = np.flatnonzero(np.append(True, (a + apart)[1:] > reach[:-1]))
-            last = np.append(first[1:], len(k)) - 1
-            for i, lo, hi in zip(k[first].tolist(), a[first].tolist(), (reach[last] - apart[last]).tolist(), strict=True):
+            many = self.seed_from[at[place] + 1] - begin
+            cuts = np.unique(np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), _HITS)))
+            found = [self._stretches(p, f, n, len(words)) for p, f, n in zip(*(np.split(x, cuts[cuts > 0]) for x in (place, begin, many)), strict=True)]
+            k, a, b = _joined(*(np.concatenate(x) for x in zip(*found, strict=True)), len(words)) if len(found) > 1 else found[0]
+            for i, lo, hi in zip(k.tolist(), a.tolist(), b.tolist(), strict=True):
                 have, near = self.sets[i], grams[lo : hi - width + 1]
                 if len(near) >= self.intact[i]:
-                    found = np.searchsorted(have, near)
-                    found[found == len(have)] = 0
-                    if np.count_nonzero(have[found] == near) >= self.intact[i]:
+                    known = np.searchsorted(have, near)
+                    known[known == len(have)] = 0
+                    if np.count_nonzero(have[known] == near) >= self.intact[i]:
+                        span = int(2 * self.size[i] - self.least[i])
+                        step = max(_STRETCH, 4 * span)
+                        while hi - lo > step:
+                            out.append((i, lo, lo + step))
+                            lo += step - span
                         out.append((i, lo, hi))
         return sorted(out)
 
+    def _stretches(self, place: np.ndarray, begin: np.ndarray, many: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, starts and ends of the stretches around seeds at some places of a text of n words, joined."""
+        hit = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        k = self.seed_item[hit]
+        # an accepted alignment has no more gaps than this, so it lies within
+        slack = self.size[k] - self.least[k]
+        start = np.repeat(place, many) - self.seed_at[hit]
+        return _joined(k, np.maximum(start - slack, 0), np.minimum(start + self.size[k] + slack, n), n)
+
+
+def _joined(k: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (item, start, end) of a text of n words, those of an item that overlap or touch made one."""
+    order = np.lexsort((a, k))
+    k, a, b = k[order], a[order], b[order]
+    apart = k * (n + 1)
+    reach = np.maximum.accumulate(b + apart)
+    first = np.flatnonzero(np.append(True, (a + apart)[1:] > reach[:-1]))
+    last = np.append(first[1:], len(k)) - 1
+    return k[first], a[first], reach[last] - apart[last]
+
 
 #: Cells of alignment tables that are filled at once.
 _CELLS = 1 << 20
@@ -180,79 +205,106 @@ def contaminated(docs: DataFrame, bench: DataFrame, params: Params = Params(), i
     the counts of the test items' own bigrams.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    id_kind, item_kind = rows.schema["_id"].dataType.simpleString(), bench.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_kind}, `{item_col}` {item_kind}, score double, word_end long"
+    id_kind, item_kind = rows.schema["_id"].dataType, bench.schema[item_col].dataType
+    schema = f"`{id_col}` {id_kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, score double, word_end long"
     out = None
-    for items in _blocks(bench, params, item_col, item_text_col):
-        items.choose_seeds(_document_counts(rows, items))
-        pairs = rows.mapInPandas(_aligner(items, id_col, item_col), schema)
+    for items in _seeded(rows, bench, params, item_col, item_text_col):
+        pairs = rows.mapInArrow(_aligner(items, to_arrow_type(item_kind), [id_col, item_col, "score", "word_end"]), schema)
         out = pairs if out is None else out.unionByName(pairs)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _document_counts(rows: DataFrame, items: Items) -> np.ndarray:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _seeded(rows: DataFrame, bench: DataFrame, params: Params, item_col: str, item_text_col: str) -> Iterator[Items]:
+    """Blocks of test items with their seeds chosen; the corpus is read once for all counts."""
+    marks = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    widths: set[int] = set()
+    n = 0
+    for items in _blocks(bench, params, item_col, item_text_col):
+        at = items.known >> np.uint64(64 - _FILTER_BITS)
+        np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        widths.update(items.widths)
+        n += 1
+    if not n:
+        return
+    counts = rows.select("_t").mapInArrow(_counter(marks, sorted(widths)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = staged(counts) if n > 1 else counts
+    for items in _blocks(bench, params, item_col, item_text_col):
+        own = rows.sparkSession.createDataFrame(pa.table({"gram": items.known.view(np.int64), "place": np.arange(len(items.known))}))
         df = np.zeros(len(items.known), np.int64)
-        for batch in batches:
-            for words in word_hashes(batch["_t"], APART):
-                grams = np.concatenate([*(g for _, g in items.doc_grams(words)), np.empty(0, np.uint64)])
-                at = np.searchsorted(items.known, grams)
-                at[at == len(items.known)] = 0
-                df[np.unique(at[items.known[at] == grams])] += 1
-        seen = np.flatnonzero(df)
-        yield pd.DataFrame({"gram": seen, "n": df[seen]})
-
-    df = np.zeros(len(items.known), np.int64)
-    counts = rows.select("_t").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    for gram, n in counts.toPandas().itertuples(index=False):  # at most one row for each n-gram of the block
-        df[gram] = n
-    return df
-
-
-def _aligner(items: Items, id_col: str, item_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, pairs = [], []
-            for doc, words in zip(batch["_id"], word_hashes(batch["_t"], APART), strict=True):
-                for k, a, b in items.windows(words):
-                    keys.append((doc, k, a))
-                    pairs.append((items.words[k], words[a:b].copy()))
-            score, end = align(pairs)
-            best: dict[tuple[int, int], tuple] = {}
-            for (doc, k, a), s, e in zip(keys, score, end, strict=True):
-                share = s / len(items.words[k])
-                if s >= items.least[k] and share > best.get((doc, k), (0,))[0]:
-                    best[doc, k] = (share, a + int(e))
-            out = [(doc, items.ids[k], share, e) for (doc, k), (share, e) in best.items()]
-            frame = pd.DataFrame(out, columns=[id_col, item_col, "score", "word_end"])
-            yield frame.astype({id_col: batch["_id"].dtype}) if len(out) else frame
+        for place, c in counts.join(F.broadcast(own), "gram").select("place", "n").collect():  # a row for each bigram of the block at most
+            df[place] = c
+        items.choose_seeds(df)
+        yield items
+
+
+def _counter(marks: np.ndarray, widths: list[int]):
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        grams, back = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+        return grams, np.bincount(back, np.concatenate([n for _, n in held]), len(grams)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in slices(batches):
+            found = []
+            for words in word_hashes(part.column("_t").to_pylist(), APART):
+                for w in widths:
+                    if len(words) >= w:
+                        grams = shingle_hashes(words, w)
+                        at = grams >> np.uint64(64 - _FILTER_BITS)
+                        found.append(np.unique(grams[marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0]))
+            grams, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+            held.append((grams, n))
+            if sum(len(g) for g, _ in held) > _HITS:
+                held = [merged(held)]
+                if len(held[0][0]) > _HITS // 2:
+                    yield _counts(*held.pop())
+        if held:
+            yield _counts(*merged(held))
+
+    return count
+
+
+def _counts(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+
+def _aligned(items: Items, texts: list[str]) -> dict[tuple[int, int], tuple[int, int]]:
+    """(text, item) -> (score, word where the alignment ends), for the alignments that score enough."""
+    keys, pairs, best = [], [], {}
+    for i, words in enumerate(word_hashes(texts, APART)):
+        for k, a, b in items.windows(words):
+            keys.append((i, k, a))
+            pairs.append((items.words[k], words[a:b].copy()))
+    for (i, k, a), s, e in zip(keys, *align(pairs), strict=True):
+        if s >= items.least[k] and s > best.get((i, k), (0,))[0]:
+            best[i, k] = (int(s), a + int(e))
+    return best
+
+
+def _aligner(items: Items, item_kind: pa.DataType, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            best = _aligned(items, part.column("_t").to_pylist())
+            ids = part.column("_id").take(pa.array([i for i, _ in best], pa.int64()))
+            item = pa.array([items.ids[k] for _, k in best], item_kind)
+            score = pa.array([s / len(items.words[k]) for (_, k), (s, _) in best.items()], pa.float64())
+            yield pa.RecordBatch.from_arrays([ids, item, score, pa.array([e for _, e in best.values()], pa.int64())], names=names)
 
     return run
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold a copy of no test item. Each whole text is checked on its own, without a shuffle."""
-    arrow_batches(docs.sparkSession)
     rows = docs.select(text_of(text_col).alias("_t"))
-    for items in _blocks(bench, params, "item_id", "text"):
-        items.choose_seeds(_document_counts(rows, items))
+    for items in _seeded(rows, bench, params, "item_id", "text"):
         docs = docs.where(~_holds(items)(text_of(text_col)))
     return docs
 
 
 def _holds(items: Items):
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        keys, pairs = [], []
-        for i, words in enumerate(word_hashes(texts, APART)):
-            for k, a, b in items.windows(words):
-                keys.append((i, k))
-                pairs.append((items.words[k], words[a:b].copy()))
-        out = np.zeros(len(texts), bool)
-        for (i, k), s in zip(keys, align(pairs)[0], strict=True):
-            out[i] |= s >= items.least[k]
-        return pd.Series(out)
-
-    return holds
+    def holds(texts: list[str]) -> list[bool]:
+        found = {i for i, _ in _aligned(items, texts)}
+        return [i in found for i in range(len(texts))]
+
+    return text_udf("boolean", holds, pa.bool_())
