@@ -14,17 +14,18 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import arrow_batches, text_of
+from huestrata.llm.common import per_text, text_of, text_udf
 
 #: White space as the tokenizer's normaliser sees it.
 WHITE_SPACE = r"\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,8 +33,8 @@ WHITE_SPACE = r"\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 _BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 _ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
 _LATIN = {r"\p{L}": r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
-#: Pre-tokens kept per worker with their ids; past this the store is emptied and fills anew.
-STORE = 500_000
+#: Pre-tokens kept per worker with their ids, in number and letters; past either the store is emptied and fills anew.
+STORE, STORE_LETTERS = 500_000, 16_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -53,16 +54,20 @@ def _spelled_out(pattern: str, letters: dict[str, str]) -> str:
 
 
 class _Store(dict):
-    """Pre-tokens met so far with their ids; at most STORE of them."""
+    """Pre-tokens met so far with their ids, within STORE and STORE_LETTERS; very long ones are not kept."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.letters = encode, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= STORE:
-            self.clear()
-        got = self[word] = self.encode(word)
+        got = self.encode(word)
+        if len(word) <= STORE_LETTERS >> 8:
+            self.letters += len(word)
+            if len(self) >= STORE or self.letters > STORE_LETTERS:
+                self.clear()
+                self.letters = len(word)
+            self[word] = got
         return got
 
 
@@ -96,6 +101,8 @@ class WordBpe:
         self._compatible = lru_cache(1 << 18)(self._undo)
         self.automaton = ahocorasick.Automaton()
         self._end = "\0"
+        #: letters of each token that the automaton knows, the word's end counting as one
+        self.sizes: dict[int, int] = {}
         for token, i in vocab.items():
             if self.suffix and token.endswith(self.suffix):
                 key = token[: -len(self.suffix)] + self._end
@@ -103,6 +110,7 @@ class WordBpe:
                 key = token
             if self._merges_to_itself(i):
                 self.automaton.add_word(key, (len(key), i))
+                self.sizes[i] = len(key)
         self.automaton.make_automaton()
         self.store = _Store(self._entry)
 
@@ -137,10 +145,9 @@ class WordBpe:
                 until, strict, right = y, False, parts[right][0]
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token in byte-level letters."""
+        """Ids of one pre-token in byte-level letters. A prefix's last token tells where the prefix before it ends."""
         n = len(word)
-        last: list[int] = [-1] * (n + 2)
-        back: list[int] = [0] * (n + 2)
+        last = array("i", [-1]) * (n + 2) if n > 4096 else [-1] * (n + 2)
         compatible = self._compatible
         for end, (size, token) in self.automaton.iter(word + self._end):
             at = end + 1
@@ -148,12 +155,12 @@ class WordBpe:
                 continue
             before = at - size
             if before == 0 or (last[before] >= 0 and compatible(last[before], token)):
-                last[at], back[at] = token, before
+                last[at] = token
         at = n + 1 if last[n + 1] >= 0 else 0
         out = []
         while at > 0:
             out.append(last[at])
-            at = back[at]
+            at -= self.sizes[last[at]]
         return out[::-1]
 
     def _entry(self, word: str) -> bytes:
@@ -210,45 +217,34 @@ def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 of the ids of the whole text and of what they decode to.
 
     Null text counts as empty; an empty text has no ids and decodes to the empty string.
-    Null and repeated ids pass through. Each row is handled alone, without any shuffle.
+    Ids of any type, null and repeated ones pass through as they are. Each row is handled
+    alone, without any shuffle; other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    kind = rows.schema["_id"].dataType.simpleString()
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(path)
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in batch["_t"]:
-                raw = bpe.encode_bytes(text)
-                n.append(len(raw) // 4)
-                a.append(hashlib.sha256(raw).hexdigest())
-                b.append(hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4").tolist()).encode("utf-8")).hexdigest())
-            yield pd.DataFrame({id_col: batch["_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+    def digest(texts: list[str]) -> list:
+        bpe, n, a, b = encoder(path), [], [], []
+        for text in texts:
+            raw = bpe.encode_bytes(text)
+            n.append(len(raw) // 4)
+            a.append(hashlib.sha256(raw).hexdigest())
+            b.append(hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4").tolist()).encode("utf-8")).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
-    return rows.mapInPandas(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_text(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """docs with the ids of each text as array<int>; an existing column of that name is replaced."""
-    arrow_batches(docs.sparkSession)
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        bpe = encoder(path)
-        return pd.Series([np.frombuffer(bpe.encode_bytes(t), "<u4").astype("int32") for t in texts])
-
+    encode = text_udf("array<int>", lambda texts: [np.frombuffer(encoder(path).encode_bytes(t), "<u4").astype("int32") for t in texts], pa.list_(pa.int32()))
     return docs.withColumn(ids_col, encode(text_of(text_col)))
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """rows with the decoded text of each id array; null ids give an empty text."""
-    arrow_batches(rows.sparkSession)
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
         bpe = encoder(path)
-        return pd.Series([bpe.decode([] if x is None else list(map(int, x))) for x in ids])
+        return pa.array([bpe.decode(x.as_py() or []) for x in ids], pa.string())
 
     return rows.withColumn(text_col, decode(F.col(ids_col)))

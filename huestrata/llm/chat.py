@@ -24,11 +24,11 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import arrow_batches
+from huestrata.llm.common import slices
 
 #: The control strings of the default template, and the letter that escapes them.
 TURN_START, TURN_END, ESCAPE = "<|im_start|>", "<|im_end|>", "\\"
@@ -434,7 +434,9 @@ def compile_template(source: str) -> Callable[[dict], Iterator[Piece]]:
 
 # --- DataFrames ---------------------------------------------------------------------------
 
-_ROW = "conv_id long, piece_no long, formatted string, mask_start array<long>, mask_end array<long>"
+_PIECE = "piece_no long, formatted string, mask_start array<long>, mask_end array<long>"
+#: Characters of formatted text after which a piece may end, and of rows handed over at once.
+_PIECE_CHARS, _BATCH_CHARS = 4096, 4 << 20
 
 
 def format_conversations(turns: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
@@ -443,27 +445,39 @@ def format_conversations(turns: DataFrame, template: str = DEFAULT_TEMPLATE) ->
     The pieces of a conversation, joined in order, are its formatted text; masks are
     code-point offsets within a piece. Turns go by turn, then role and text; null texts and
     roles count as empty, a null turn comes first, null conv_ids make one conversation, and
-    repeated rows are repeated turns. A conversation lies in one partition, but is sorted on
-    disk and streamed: nobody ever holds the whole of it. Extra columns are ignored.
+    repeated rows are repeated turns. conv_id may be of any type with an order, turn must be
+    a number. A conversation lies in one partition, but is sorted on disk and streamed:
+    nobody ever holds the whole of it. Extra columns are ignored.
     """
-    arrow_batches(turns.sparkSession)
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"),
     )
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "_t")
+    names = ["conv_id", "piece_no", "formatted", "mask_start", "mask_end"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
-        stream = ((None if c != c or c is None else int(c), {"role": r, "text": t}) for b in batches for c, r, t in zip(b["conv_id"].astype(object), b["role"], b["text"], strict=True))
+        kind: list[pa.DataType] = []
+
+        def rows_of() -> Iterator[tuple]:
+            for b in slices(batches):
+                kind[:] = [b.schema.field("conv_id").type]
+                yield from zip(b.column("conv_id").to_pylist(), ({"role": r, "text": t} for r, t in zip(b.column("role").to_pylist(), b.column("_t").to_pylist(), strict=True)), strict=True)
+
+        stream = rows_of()
         ahead = next(stream, None)
         out: list[tuple] = []
+        chars = 0
 
-        def flush():
-            frame = pd.DataFrame(out, columns=["conv_id", "piece_no", "formatted", "mask_start", "mask_end"]).astype({"conv_id": "Int64"})
+        def flush() -> pa.RecordBatch:
+            nonlocal chars
+            kinds = [kind[0], pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            batch = pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], k) for i, k in enumerate(kinds)], names=names)
             out.clear()
-            return frame
+            chars = 0
+            return batch
 
         while ahead is not None:
             conv = ahead[0]
@@ -487,19 +501,23 @@ def format_conversations(turns: DataFrame, template: str = DEFAULT_TEMPLATE) ->
                         ends.append(size + len(text))
                 held.append(text)
                 size += len(text)
-                if not masked and size >= 4096:
+                if not masked and size >= _PIECE_CHARS:
                     out.append((conv, no, "".join(held), starts, ends))
+                    chars += size
                     no, size, held, starts, ends = no + 1, 0, [], [], []
-                    if len(out) >= 256:
+                    if chars >= _BATCH_CHARS:
                         yield flush()
             if held or no == 0:
                 out.append((conv, no, "".join(held), starts, ends))
+                chars += size + 64
+                if chars >= _BATCH_CHARS:
+                    yield flush()
             while ahead is not None and ahead[0] == conv:  # turns that the template left unread
                 ahead = next(stream, None)
         if out:
             yield flush()
 
-    return rows.mapInPandas(run, _ROW)
+    return rows.mapInArrow(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, {_PIECE}")
 
 
 _TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -540,24 +558,31 @@ def read_back(pieces: DataFrame) -> DataFrame:
     pieces of a conversation are next to each other and in order within a partition.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, conv, out = None, None, []
-        for batch in batches:
-            for c, text, starts, ends in zip(batch["conv_id"].astype(object), batch["formatted"], batch["mask_start"], batch["mask_end"], strict=True):
-                c = None if c is None or c != c else int(c)
+        id_kind = pa.null()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], k) for i, k in enumerate([id_kind, *kinds])], names=names)
+            out.clear()
+            return batch
+
+        for batch in slices(batches, "formatted"):
+            id_kind = batch.schema.field("conv_id").type
+            for c, text, starts, ends in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "formatted", "mask_start", "mask_end")), strict=True):
                 if reader is None or c != conv:
                     if reader is not None:
                         out.append(reader.row(conv))
                     reader, conv = _Reader(), c
                 reader.add(text, starts, ends)
             if out:
-                yield _frame(out)
-                out = []
+                yield flush()
         if reader is not None:
-            yield _frame([reader.row(conv)])
-
-    return pieces.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-
+            out.append(reader.row(conv))
+            yield flush()
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+    kind = pieces.schema["conv_id"].dataType.simpleString()
+    return pieces.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

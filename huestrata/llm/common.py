@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python: bounds a worker's memory on long texts.
-BATCH_ROWS = 512
+#: What a worker turns into Python objects at once: rows and bytes of text, but one text at least.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,65 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker holds few long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in any case: name, with underscores if need be."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+# --- rows through Arrow -------------------------------------------------------------------
+
+
+def bounds(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows (texts, bytes or lists of numbers) of at most SLICE_ROWS rows and SLICE_BYTES bytes; a longer text is a range of its own."""
+    sizes = pc.multiply(pc.list_value_length(texts), 8) if pa.types.is_list(texts.type) else pc.binary_length(texts)
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), at + 1), at + SLICE_ROWS, len(texts))
+        yield at, to
+        at = to
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "_t") -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, few texts at a time."""
+    for batch in batches:
+        for a, b in bounds(batch.column(column)):
+            yield batch.slice(a, b - a)
+
+
+def per_text(docs: DataFrame, id_col: str, text_col: str, fields: str, compute: Callable[[list[str]], list]) -> DataFrame:
+    """One row per input row: its id, handed over as Arrow holds it, and the fields (DDL) that compute(texts) gives as columns.
+
+    The id may be of any type; nulls and values beyond 2^53 stay what they are.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    names = [id_col, *(x.split()[0] for x in fields.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            columns = compute(part.column("_t").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("_id"), *columns], names=names)
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, {fields}")
+
+
+def text_udf(kind: str, compute: Callable[[list[str]], list], arrow_type: pa.DataType) -> Callable[[Column], Column]:
+    """A column function of a text column: compute() gets few texts at a time and gives a value for each."""
+
+    @F.arrow_udf(kind)
+    def apply(texts: pa.Array) -> pa.Array:
+        out = [pa.array(compute(texts.slice(a, b - a).to_pylist()), arrow_type) for a, b in bounds(texts)]
+        return pa.concat_arrays(out) if out else pa.array([], arrow_type)
+
+    return apply
+
+
+# --- staged tables ------------------------------------------------------------------------
 
 
 #: Folders of this process that staging_dir() has named.
@@ -31,9 +89,11 @@ _stages: list[str] = []
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """A new folder under the shared spark.checkpoint.dir; a default only where that is unset."""
+    """A new folder under the shared spark.checkpoint.dir. Only a local master may leave that unset: there is one machine then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/checkpoints/huestrata"
     _stages.append(f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}")
     return _stages[-1]

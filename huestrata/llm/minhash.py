@@ -23,12 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from huestrata.llm.common import arrow_batches, shingle_hashes, staged, text_of, word_hashes
+from huestrata.llm.common import per_text, shingle_hashes, slices, staged, text_of, unused, word_hashes
 from huestrata.llm.components import stars
 
 
@@ -73,37 +73,36 @@ def _digest(values: np.ndarray) -> bytes:
 
 def sketches(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n (set size), key (128-bit digest of the set), sketch (its k smallest hashes)."""
-    arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for words in word_hashes(batch["_t"]):
-                s = shingle_set(words, params.width)
-                out.append((len(s), _digest(s), s[: params.k]))
-            frame = pd.DataFrame(out, columns=["n", "key", "sketch"])
-            frame.insert(0, "doc_id", batch["_id"].astype("Int64").to_numpy())
-            yield frame.astype({"doc_id": "Int64"})
+    def run(texts: list[str]) -> list:
+        n, key, sketch = [], [], []
+        for words in word_hashes(texts):
+            s = shingle_set(words, params.width)
+            n.append(len(s))
+            key.append(_digest(s))
+            sketch.append(s[: params.k].copy())
+        return [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))]
 
-    return rows.mapInPandas(run, "doc_id long, n long, key binary, sketch array<bigint>")
+    return per_text(docs, id_col, text_col, "n long, key binary, sketch array<bigint>", run).withColumnRenamed(id_col, "doc_id")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
     """cid, n, values: the full sets of the wanted classes (cid, key, rep), from the text of one member each."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("cid", "key", "_t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for cid, key, words in zip(batch["cid"], batch["key"], word_hashes(batch["_t"]), strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            at, values = [], []
+            for i, (key, words) in enumerate(zip(part.column("key").to_pylist(), word_hashes(part.column("_t").to_pylist()), strict=True)):
                 s = shingle_set(words, params.width)
-                if _digest(s) == bytes(key):  # another text may bear the same id
-                    out.append((cid, len(s), s))
-            yield pd.DataFrame(out, columns=["cid", "n", "values"]).astype({"cid": "int64", "n": "int64"})
+                if _digest(s) == key:  # another text may bear the same id
+                    at.append(i)
+                    values.append(s)
+            cid = part.column("cid").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([cid, pa.array([len(s) for s in values], pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["cid", "n", "values"])
 
-    return rows.mapInPandas(run, "cid long, n long, values array<bigint>")
+    return rows.mapInArrow(run, "cid long, n long, values array<bigint>")
 
 
 def _estimate(sa: str, na: str, sb: str, nb: str, params: Params):
@@ -136,8 +135,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     words than a shingle is one shingle, a text without words (or null) has an empty set
     and is linked with nothing. component_id is the smallest id that links reach; kept is
     id = component_id, so rows that repeat an id and its text are all kept or all not.
-    Null ids are smaller than none: a component without any id has a null component_id and
-    its rows are kept. Empty input gives an empty result; other columns are ignored.
+    Ids may be of any type with an order. A component without any id has a null component_id
+    and its rows are kept. Empty input gives an empty result; other columns are ignored.
     """
     rows = staged(sketches(docs, params, id_col, text_col))
     found = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -219,5 +218,6 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
 
 def keep_one_of_each(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of which near_duplicates() says kept; where rows share an id, all stay if one does."""
-    kept = near_duplicates(docs, params, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kid")), "left_semi")
+    kept_id = unused(docs, "_kept_id")
+    kept = near_duplicates(docs, params, id_col, text_col).where("kept").select(F.col(id_col).alias(kept_id)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")

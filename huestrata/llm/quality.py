@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import arrow_batches, held_out, sample_ids, shingle_hashes, text_of, word_hashes
+from huestrata.llm.common import held_out, per_text, sample_ids, shingle_hashes, slices, text_of, word_hashes
 
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "high", "point", "quote", "bang", "bar", "mark", "bracket", "slash_at", "other",
@@ -185,33 +185,29 @@ def fit_gam(x: np.ndarray, y: np.ndarray, params: GamParams = GamParams()) -> Ga
 
 def train_quality(docs: DataFrame, labels: DataFrame, params: GamParams = GamParams(), id_col: str = "doc_id", text_col: str = "text") -> Gam:
     """Fits on at most most_rows labelled rows that are not held out; repeated labels of an id count as their largest."""
-    arrow_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where(~held_out("_id") & F.col("quality").isNotNull() & F.col("_id").isNotNull())
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     wanted = sample_ids(known.select("_id"), params.most_rows)
     wanted = known.join(F.broadcast(wanted), "_id")
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(wanted), "_id").select("_id", "_y", "_t")
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(wanted), "_id").select("_y", "_t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            figures = text_figures(batch["_t"])
-            yield pd.DataFrame({"id": batch["_id"].astype("int64"), "y": batch["_y"], "f": [r.tobytes() for r in figures]})
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            f = pa.array([r.tobytes() for r in text_figures(part.column("_t").to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("_y"), f], names=["y", "f"])
 
-    got = rows.mapInPandas(run, "id long, y int, f binary").toPandas().sort_values(["id", "f"])
-    x = np.array([np.frombuffer(f) for f in got["f"]]).reshape(len(got), len(FEATURES))
-    return fit_gam(x, got["y"].to_numpy(float), params)
+    got = sorted(tuple(r) for r in rows.mapInArrow(figures, "y int, f binary").collect())  # one row of FEATURES for each of the sample
+    x = np.array([np.frombuffer(f) for _, f in got]).reshape(len(got), len(FEATURES))
+    return fit_gam(x, np.array([y for y, _ in got], float), params)
 
 
 def score_quality(docs: DataFrame, model: Gam, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score (0 to 1), predicted (1 from threshold). Null text counts as empty (all figures zero);
-    null and repeated ids pass through; each row is scored alone, from its whole text only."""
-    arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("_h"), text_of(text_col).alias("_t"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    ids of any type, null and repeated ones pass through; each row is scored alone, from its whole text only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = model.score(text_figures(batch["_t"]))
-            yield pd.DataFrame({id_col: batch["_id"], "held_out": batch["_h"], "score": score, "predicted": (score >= threshold).astype("int32")})
+    def scores(texts: list[str]) -> list:
+        score = model.score(text_figures(texts))
+        return [pa.array(score, pa.float64()), pa.array((score >= threshold).astype("int32"))]
 
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    out = per_text(docs, id_col, text_col, "score double, predicted int", scores)
+    return out.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")

@@ -12,13 +12,11 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from huestrata.llm.common import arrow_batches, text_of
+from huestrata.llm.common import per_text
 
 # The base patterns and least lengths of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -190,22 +188,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed.
 
     Offsets count code points, ends are exclusive. Null and empty texts have no spans (the
-    digest is that of the empty string). Null and repeated ids pass through; rows are
-    handled one by one, without any shuffle.
+    digest is that of the empty string). Ids of any type, null and repeated ones pass through
+    as they are; rows are handled one by one, without any shuffle; other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    kind = rows.schema["_id"].dataType.simpleString()
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["_t"]:
-                base, more = base_spans(text), confirmed_spans(text)
-                n = [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
-                out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)))
-            frame = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
-            frame.insert(0, id_col, batch["_id"].to_numpy())
-            yield frame
-
-    return rows.mapInPandas(scan, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+
+    def scan(texts: list[str]) -> list:
+        out = []
+        for text in texts:
+            base, more = base_spans(text), confirmed_spans(text)
+            n = [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
+            out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)))
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+        return [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
+
+    return per_text(docs, id_col, text_col, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long", scan)

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import APART, arrow_batches, held_out, sample_ids, text_of, word_hashes
+from huestrata.llm.common import APART, held_out, per_text, sample_ids, slices, staged, text_of, text_udf, word_hashes
 
 BUCKETS = 1 << 22
 
@@ -72,22 +72,32 @@ class _Rows:
         return np.bincount(self.col, g[self.row], width)
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, params: NnPuParams = NnPuParams()) -> Model:
-    """The nnPU risk minimiser over rows of distinct features. Without positives, the prior is the score of every text."""
-    prior = float(np.clip(prior, 1e-4, 0.9))
-    bias = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(np.empty(0, np.int32), np.empty(0), bias)
+def gap(rate_p, rate_u, n_p, root):
+    """How far a feature's rate among positives is from that among unlabelled, in standard errors."""
+    return (rate_p - rate_u) / root(rate_u * (1 - rate_u) / n_p + 1 / (n_p * n_p))
+
+
+def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], params: NnPuParams) -> np.ndarray:
+    """The most_features buckets with the largest gap, in ascending order; ties by bucket."""
     buckets, df = np.unique(np.concatenate([*positive, np.empty(0, np.int32)]), return_counts=True)
     everywhere, df_u = np.unique(np.concatenate([*unlabelled, np.empty(0, np.int32)]), return_counts=True)
     at = np.minimum(np.searchsorted(everywhere, buckets), max(0, len(everywhere) - 1))
     rate_u = np.where(everywhere[at] == buckets, df_u[at], 0) / len(unlabelled) if len(everywhere) else np.zeros(len(buckets))
-    rate_p = df / len(positive)
-    # the features whose rate among positives is furthest, in standard errors, from that among unlabelled
-    gap = (rate_p - rate_u) / np.sqrt(rate_u * (1 - rate_u) / len(positive) + 1 / len(positive) ** 2)
-    keep = np.flatnonzero((df >= params.least_df) & (np.abs(gap) > 3))
-    keep = np.sort(keep[np.argsort(-np.abs(gap[keep]), kind="stable")][: params.most_features])
-    buckets = buckets[keep]
+    far = np.abs(gap(df / len(positive), rate_u, len(positive), np.sqrt))
+    keep = np.flatnonzero((df >= params.least_df) & (far > 3))
+    return np.sort(buckets[keep[np.argsort(-far[keep], kind="stable")][: params.most_features]])
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, params: NnPuParams = NnPuParams(), buckets: np.ndarray | None = None) -> Model:
+    """The nnPU risk minimiser over rows of distinct features, of which `buckets` count if they are given.
+
+    Without positives, the prior is the score of every text.
+    """
+    prior = float(np.clip(prior, 1e-4, 0.9))
+    bias = float(np.log(prior / (1 - prior)))
+    if not positive or not unlabelled:
+        return Model(np.empty(0, np.int32), np.empty(0), bias)
+    buckets = choose_features(positive, unlabelled, params) if buckets is None else buckets
     p, u, d = _Rows(positive, buckets), _Rows(unlabelled, buckets), len(buckets)
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = bias
@@ -112,9 +122,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, params: NnPuParams = NnPu
     """Fits on rows that are not held out: at most most_positive toxic and most_unlabelled other texts.
 
     The class prior is the share of toxic rows among all labelled rows that may be learned
-    from. Only ids of the bounded sample are broadcast, only its features are collected.
+    from. The ids of the bounded sample are broadcast; document frequencies and the choice
+    of at most most_features buckets are Spark's. The driver gets these and, for each text of
+    the sample, which of them it holds.
     """
-    arrow_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out("_id") & F.col("toxic").isNotNull())
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.05
@@ -123,38 +134,45 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, params: NnPuParams = NnPu
     # the unlabelled are drawn from all texts, confirmed ones included: the prior is that of this whole
     sides = toxic.withColumn("_p", F.lit(True)).withColumn("_u", F.lit(False)).unionByName(sample_ids(others, params.most_unlabelled).withColumn("_p", F.lit(False)).withColumn("_u", F.lit(True)))
     wanted = sides.groupBy("_id").agg(F.bool_or("_p").alias("_p"), F.bool_or("_u").alias("_u"))
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(wanted), "_id").select("_id", "_p", "_u", "_t")
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(wanted), "_id").select("_p", "_u", "_t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["_id"].astype("int64"), "p": batch["_p"], "u": batch["_u"], "f": [x.tobytes() for x in text_features(batch["_t"])]})
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            f = pa.array(list(text_features(part.column("_t").to_pylist())), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("_p"), part.column("_u"), f], names=["p", "u", "f"])
 
-    got = rows.mapInPandas(run, "id long, p boolean, u boolean, f binary").toPandas().sort_values(["id", "f"])
-    positive, unlabelled = ([np.frombuffer(x, np.int32) for x in got[got[side]]["f"]] for side in ("p", "u"))
-    return fit_nnpu(positive, unlabelled, prior, params)
+    sample = staged(rows.mapInArrow(features, "p boolean, u boolean, f array<int>"))
+    n_p, n_u = (int(x or 0) for x in sample.agg(F.count_if("p"), F.count_if("u")).first())
+    if not n_p or not n_u:
+        return fit_nnpu([], [], prior, params)
+    counts = sample.select("p", "u", F.explode("f").alias("bucket")).groupBy("bucket").agg(F.count_if("p").alias("df"), F.count_if("u").alias("df_u"))
+    far = F.abs(gap(F.col("df") / n_p, F.col("df_u") / n_u, n_p, F.sqrt))
+    best = counts.withColumn("far", far).where((F.col("df") >= params.least_df) & (F.col("far") > 3)).orderBy(F.desc("far"), "bucket").limit(params.most_features)
+    buckets = np.sort(np.array([r["bucket"] for r in best.collect()], np.int32))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "f"):
+            f = [np.intersect1d(np.array(x, np.int32), buckets).tobytes() for x in part.column("f").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("p"), part.column("u"), pa.array(f, pa.binary())], names=["p", "u", "f"])
+
+    got = sorted(tuple(r) for r in sample.mapInArrow(chosen, "p boolean, u boolean, f binary").collect())
+    positive, unlabelled = ([np.frombuffer(f, np.int32) for *side, f in got if side[k]] for k in (0, 1))
+    return fit_nnpu(positive, unlabelled, prior, params, buckets)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score (0 to 1), predicted (1 from 0.5). Null and empty texts have the score of no words;
-    null and repeated ids pass through; each row is scored alone, from its whole text only."""
-    arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("_h"), text_of(text_col).alias("_t"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    ids of any type, null and repeated ones pass through; each row is scored alone, from its whole text only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = np.array([model.score(x) for x in text_features(batch["_t"])])
-            yield pd.DataFrame({id_col: batch["_id"], "held_out": batch["_h"], "score": score, "predicted": (score >= 0.5).astype("int32")})
+    def scores(texts: list[str]) -> list:
+        score = np.array([model.score(x) for x in text_features(texts)])
+        return [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype("int32"))]
 
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    out = per_text(docs, id_col, text_col, "score double, predicted int", scores)
+    return out.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose whole text scores below 0.5."""
-    arrow_batches(docs.sparkSession)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(x) for x in text_features(texts)])
-
+    score = text_udf("double", lambda texts: [model.score(x) for x in text_features(texts)], pa.float64())
     return docs.where(score(text_of(text_col)) < 0.5)
