@@ -11,10 +11,10 @@ def normalize_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
 
 
-def search_term(x: Column, words: int = 3) -> Column:
-    """The first words of a term without punctuation."""
-    plain = F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
-    return F.array_join(F.slice(F.split(plain, " "), 1, words), " ")
+def clean_term(x: Column, words: int = 3) -> Column:
+    """The first words of a term; all but letters, digits, hyphens and blanks vanishes; empty words and "0" do not count."""
+    plain = F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"[^\p{L}\p{N}\- ]+", ""))
+    return F.array_join(F.slice(F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("", "0")), 1, words), " ")
 
 
 def normalize_family(x: Column) -> Column:
@@ -73,13 +73,6 @@ def term_hits(text: Column, terms: list[str]) -> Column:
     return sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
 
 
-def near(text: Column, term: str, cues: list[str], before: int = 5, after: int = 5) -> Column:
-    """Whether one of the cues stands within some letters of a term's first place."""
-    at = F.instr(text, term)
-    window = F.substr(text, F.greatest(at - before, F.lit(1)), F.lit(before + len(term) + after))
-    return (at > 0) & F.rlike(window, F.lit("|".join(cues)))
-
-
 def classify(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """The name of the first rule whose pattern a text matches."""
     out, low = None, F.lower(text)

@@ -71,11 +71,6 @@ def fn30(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), R(tx.hash_score("seed", F.col("c_name")), 9).alias("score"))
 
 
-@query("fn33_cue_window", "SELECT p_partkey AS id, instr(p_name,'a') > 0 AND regexp_matches(substr(p_name, greatest(instr(p_name,'a')-5,1), 11), '1|2') AS near FROM part")
-def fn33(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.near(F.col("p_name"), "a", ["1", "2"]).alias("near"))
-
-
 @query("fn34_constraint_clamp", "SELECT c_custkey AS id, greatest(0.2::DOUBLE, least(0.7::DOUBLE, (c_custkey*37%100)/100.0::DOUBLE)) AS target FROM customer")
 def fn34(spark, sf):
     from huestrata.operators.profiles import clamp_to
@@ -200,11 +195,6 @@ def st04(spark, sf):
     return table(spark, sf, "part").select(F.col("p_brand").alias("family"), F.col("p_size").alias("size")).distinct()
 
 
-@query("st06_conflict_merge", "SELECT DISTINCT least(o_orderpriority, o_orderstatus) || '|' || greatest(o_orderpriority, o_orderstatus) AS key FROM orders")
-def st06(spark, sf):
-    return table(spark, sf, "orders").select(F.array_join(F.array_sort(F.array("o_orderpriority", "o_orderstatus")), "|").alias("key")).distinct()
-
-
 @query("jn03_node_evidence", f"WITH {MODES_SQL} SELECT m.id, sum(l_quantity) AS evidence FROM modes m LEFT JOIN lineitem ON l_suppkey = m.id AND l_returnflag = 'R' GROUP BY 1")
 def jn03(spark, sf):
     ev = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("id")).agg(F.sum("l_quantity").alias("evidence"))
@@ -324,19 +314,6 @@ def flt09(spark, sf):
     return table(spark, sf, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
 
 
-@query("prj01_concepts", "SELECT min(p_partkey) AS id, lower(p_brand || '|' || p_type) AS key FROM part GROUP BY 2")
-def prj01(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws("|", "p_brand", "p_type")).alias("key"))
-    return so.first_wins(p, ["key"], ["id"])
-
-
-@query("prj06_alias_status", "SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'exact' WHEN lower(o_orderpriority) LIKE '%high%' THEN 'normalized' ELSE 'unmapped' END AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN 0.0 WHEN lower(o_orderpriority) LIKE '%high%' THEN 0.05 ELSE 0.25 END::DOUBLE AS penalty FROM orders")
-def prj06(spark, sf):
-    p = F.col("o_orderpriority")
-    exact, alias = p == "1-URGENT", F.lower(p).contains("high")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(exact, "exact").when(alias, "normalized").otherwise("unmapped").alias("status"), F.when(exact, 0.0).when(alias, 0.05).otherwise(0.25).alias("penalty"))
-
-
 @query("prj07_features", f"WITH {SWATCHES_SQL} SELECT id, round(L,6) AS lightness, round(C,6) AS chroma, round(w,6) AS weight FROM swatches")
 def prj07(spark, sf):
     return swatches(spark, sf).select("id", R("L").alias("lightness"), R("C").alias("chroma"), R("w").alias("weight"))
@@ -491,29 +468,6 @@ def gv14(spark, sf):
     return pin().join(pin().withColumnRenamed("pin", "after"), F.lit(True)).select(F.col("pin").eqNullSafe(F.col("after")).alias("pinned"))
 
 
-def lexicon(spark, sf):
-    return spark.createDataFrame([("colour", "red"), ("colour", "1"), ("shape", "part"), ("shape", "25")], "category string, term string")
-
-
-LEXICON = "x(category, term) AS (VALUES ('colour','red'),('colour','1'),('shape','part'),('shape','25')), h AS (SELECT p_partkey AS id, category, term, lower(p_name || ' not ' || p_type) AS t FROM part, x WHERE contains(lower(p_name || ' not ' || p_type), term))"
-
-
-@query("src07_interpret", f"WITH {LEXICON} SELECT id, category, term, regexp_matches(substr(t, greatest(instr(t,term)-8,1), least(8, instr(t,term)-1)), 'no|not|without|avoid') AS negated FROM h")
-def src07(spark, sf):
-    from huestrata.operators.lexicon import interpret
-
-    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" not "), "p_type").alias("text"))
-    return interpret(texts, lexicon(spark, sf), "id").select("id", "category", "term", "negated")
-
-
-@query("prj15_facets", f"WITH {LEXICON} SELECT id, category, list_sort(list(DISTINCT term))[1:CASE WHEN category = 'colour' THEN 1 ELSE 3 END] AS terms FROM h GROUP BY 1, 2")
-def prj15(spark, sf):
-    from huestrata.operators.lexicon import facets, interpret
-
-    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" not "), "p_type").alias("text"))
-    return facets(interpret(texts, lexicon(spark, sf), "id"), "id", {"colour": 1, "shape": 3})
-
-
 @query("sm09_package_state", "SELECT o_custkey AS package, CASE WHEN bool_or(o_orderstatus='P') THEN 'HOLD' WHEN bool_and(o_orderstatus='F') THEN 'PASS' WHEN count(*) < 2 THEN 'NEW' ELSE 'WAITING' END AS state FROM orders GROUP BY 1")
 def sm09(spark, sf):
     s = F.col("o_orderstatus")

@@ -131,9 +131,10 @@ def prj02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("plain"))
 
 
-@query("prj03_search_term", r"SELECT p_partkey AS id, array_to_string(string_split(trim(regexp_replace(p_name, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')[1:3], ' ') AS term FROM part")
+@query("prj03_search_term", r"SELECT p_partkey AS id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(trim(regexp_replace(p_name || ' & ' || p_brand || ' 0 x-' || p_size, '\s+', ' ', 'g')), '[^\p{L}\p{N}\- ]+', '', 'g')), '\s+'), lambda w: w NOT IN ('', '0'))[1:3], ' ') AS term FROM part")
 def prj03(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.search_term(F.col("p_name")).alias("term"))
+    said = F.concat("p_name", F.lit(" & "), "p_brand", F.lit(" 0 x-"), F.col("p_size").cast("string"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.clean_term(said).alias("term"))
 
 
 @query("prj04_family", r"SELECT p_partkey AS id, regexp_replace(regexp_replace(regexp_replace(lower(trim(p_type)), '[\s-]+', '_', 'g'), '[^a-z0-9:_-]', '', 'g'), '^_+|_+$', '', 'g') AS family FROM part")
