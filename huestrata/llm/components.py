@@ -14,10 +14,15 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _keyed(low: DataFrame) -> DataFrame:
+    return low.select(F.bitwise_not("u").alias("k"), "m")
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """From edges (u, v) of longs, u != v: one row (u, v) for each node u that is not the smallest of its component, v.
 
-    Each round joins edges with one minimum per node, so a hub costs its number of edges.
+    Each round joins edges with one minimum per node, so a hub costs its number of edges. The
+    minima are dealt anew for the join, under a key of their own, so that Spark can split a hub.
     Rounds are staged in the shared folder; their number grows with the logarithm of the
     longest chain.
     """
@@ -28,9 +33,9 @@ def stars(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").withColumn("k", F.bitwise_not("u")).join(_keyed(low), "k").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("k", F.bitwise_not("u")).join(_keyed(low), "k").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         old, path = path, staging_dir(spark)
         now = staged(small, path)

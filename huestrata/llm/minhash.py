@@ -155,16 +155,21 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows with a join key that is not the one they are grouped by: they are dealt anew for the join, and Spark can split hot values."""
+    return rows.withColumn("_v", F.bitwise_not("value")).drop("value")
+
+
 def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame | None:
     """Stars (u, v) over class ids after all links, or None if there is no candidate."""
     values = classes.select("cid", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     lists = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = values.join(lists, "value")
+    known = values.withColumn("_v", F.bitwise_not("value")).join(_apart(lists), "_v").drop("_v")
     order = Window.partitionBy("cid").orderBy(F.desc("df"), "value")
     drop = F.element_at(F.array(*[F.lit(max(1, params.least_shared(m))) for m in range(1, params.k + 1)]), F.col("m")) - 1
     kept = known.withColumn("at", F.row_number().over(order)).where(F.col("at") > drop).select("value", "cid", "n")
     alive = kept.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    wanted = kept.join(alive, "value").select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
+    wanted = _apart(kept.select("value", "cid")).join(_apart(alive), "_v").select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
     sets = staged(_full_sets(docs, wanted, params, id_col, text_col))
 
     lone = sets.select("cid", F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1")
@@ -175,7 +180,7 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
 
     values = open_sets.select("cid", "n", "s", F.explode(F.slice("sk", 1, params.keys)).alias("value"))
     alive = values.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    kept = staged(values.join(alive, "value"))
+    kept = staged(values.withColumn("_v", F.bitwise_not("value")).join(_apart(alive), "_v").drop("_v"))
 
     # an overlap is at most the smaller number of shingles that anyone shares
     t, d = params.num, params.num + params.den
@@ -196,9 +201,8 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
             break
         last = turn == params.rounds or (turn > 1 and left > (1 - params.help) * before)
         before = left
-        open_lists = lists.join(sizes.select("value", "major"), "value")
         if last:  # members outside a list's largest component against all, each pair in the list of its least common value
-            open_lists = open_lists.join(open_sets.select("cid", "sk"), "cid")
+            open_lists = lists.join(sizes.select("value", "major"), "value").join(open_sets.select("cid", "sk"), "cid")
             minor = open_lists.where("comp <> major").select(*(F.col(x).alias(y) for x, y in (("value", "pvalue"), ("cid", "pc"), ("n", "pn"), ("s", "ps"), ("comp", "pcomp"), ("sk", "psk"))))
             rule = (F.col("comp") == F.col("major")) | (F.col("cid") < F.col("pc"))
             least = F.array_min(F.array_intersect(F.slice("sk", 1, params.keys), F.slice("psk", 1, params.keys)))
@@ -206,9 +210,9 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
             pairs = open_lists.join(minor, both).select(*pair)
         else:
             priority = F.col("cid") if turn == 0 else F.xxhash64("value", "cid", F.lit(turn))
-            pivots = open_lists.groupBy("value").agg(F.min(F.struct(priority.alias("p"), "cid", "n", "s", "comp")).alias("m"))
+            pivots = lists.groupBy("value").agg(F.min(F.struct(priority.alias("p"), "cid", "n", "s", "comp")).alias("m")).join(sizes.select("value"), "value")
             pivots = pivots.select("value", F.col("m.cid").alias("pc"), F.col("m.n").alias("pn"), F.col("m.s").alias("ps"), F.col("m.comp").alias("pcomp"))
-            pairs = _estimated(open_lists.join(pivots, "value").where((F.col("comp") != F.col("pcomp")) & near).select(*pair).distinct(), open_sets, params)
+            pairs = _estimated(_apart(lists).join(_apart(pivots), "_v").where((F.col("comp") != F.col("pcomp")) & near).select(*pair).distinct(), open_sets, params)
         links = staged(_links(pairs, sets, params))
         merged = stars(links if merged is None else links.unionByName(merged))
         if last:
