@@ -243,9 +243,10 @@ def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_
     scratch = staging_dir(spark)
     streams = staged(_streams(rows, encode, end_id), scratch, compression="snappy")
 
+    # a digest stands for one payload, so distinct rows are distinct chunks; they are hashed, not sorted
     pieces = streams.select(F.explode(F.arrays_zip("widths", "payloads")).alias("c"))
     pieces = pieces.select(F.substring("c.payloads", 1, 16).alias("digest"), F.col("c.widths").alias("width"), F.expr("substring(c.payloads, 17)").alias("payload"))
-    pieces.groupBy("digest").agg(F.first("width").alias("width"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    pieces.distinct().write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     recipes = streams.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_tokens", "digests", "root")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
