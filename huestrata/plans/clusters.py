@@ -42,12 +42,6 @@ def cl08(spark, sf):
     return j.select("mode_id", F.when(core, "core").when((F.col("fams") / 4.0 >= 0.5) & (F.col("support") >= 0.10), "secondary").otherwise("rare").alias("tier"))
 
 
-@query("cl10_longest_chain", "WITH RECURSIVE c(id, depth) AS (SELECT n_nationkey, 1 FROM nation UNION ALL SELECT n.n_nationkey, c.depth+1 FROM c JOIN nation n ON n.n_nationkey = c.id*2 AND c.id > 0) SELECT id, max(depth) AS depth FROM c GROUP BY id")
-def cl10(spark, sf):
-    table(spark, sf, "nation").createOrReplaceTempView("_chain_nation")
-    return spark.sql("WITH RECURSIVE c(id, depth) AS (SELECT n_nationkey, 1 FROM _chain_nation UNION ALL SELECT n.n_nationkey, c.depth + 1 FROM c JOIN _chain_nation n ON n.n_nationkey = c.id * 2 AND c.id > 0) SELECT id, max(depth) AS depth FROM c GROUP BY id")
-
-
 @query("cl11_grid_search", f"""WITH {MODES_SQL}, g AS (SELECT (i*5+20)::DOUBLE AS cut FROM range(0,13) t(i)), c AS (SELECT id, H, family = 1 AS y FROM modes WHERE H IS NOT NULL)
     SELECT cut, count(*) FILTER (WHERE (H <= cut) = y) AS hits FROM c, g GROUP BY cut""")
 def cl11(spark, sf):
@@ -92,17 +86,6 @@ def cl18(spark, sf):
     return overlaps(l, r, ["x"]).groupBy("l").agg(R(F.max("iou")).alias("best"))
 
 
-@query("cl20_go_no_go", "SELECT count(*) > 0 AND avg(o_totalprice) > 0 AND min(o_totalprice) >= 0 AND count(DISTINCT o_orderstatus) >= 2 AS go FROM orders")
-def cl20(spark, sf):
-    return table(spark, sf, "orders").agg(((F.count(F.lit(1)) > 0) & (F.avg("o_totalprice") > 0) & (F.min("o_totalprice") >= 0) & (F.countDistinct("o_orderstatus") >= 2)).alias("go"))
-
-
-@query("cl21_roles", "SELECT p_partkey AS id, list_filter([CASE WHEN p_size > 40 THEN 'background' END, CASE WHEN p_size < 10 THEN 'detail' END, CASE WHEN p_retailprice > 1200 THEN 'subject' END], lambda x: x IS NOT NULL) AS roles FROM part")
-def cl21(spark, sf):
-    roles = F.array_compact(F.array(F.when(F.col("p_size") > 40, "background"), F.when(F.col("p_size") < 10, "detail"), F.when(F.col("p_retailprice") > 1200, "subject")))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), roles.alias("roles"))
-
-
 @query("jn22_ownership")
 def jn22(spark, sf):
     """The owner of each photo after its scored events in order: replaced by its own branch or a score more than 0.03 higher."""

@@ -56,11 +56,6 @@ def fn21(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), R(1 / F.sqrt("l_linenumber")).alias("score"))
 
 
-@query("fn24_ambiguity", "SELECT c_custkey AS id, CASE WHEN c_acctbal < 1000 THEN 'high' WHEN c_acctbal < 5000 THEN 'medium' ELSE 'low' END AS band FROM customer")
-def fn24(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), c.ladder(F.col("c_acctbal"), [(1000, "high"), (5000, "medium")], "low").alias("band"))
-
-
 @query("fn26_clamp", "SELECT c_custkey AS id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal/5000)) AS value FROM customer")
 def fn26(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), c.clamp(F.col("c_acctbal") / 5000).alias("value"))
@@ -134,17 +129,6 @@ def grid(spark, sf):
     return table(spark, sf, "part").select((k % 40).alias("x"), F.floor(k / 40).alias("y"), (F.col("p_size") % 6).alias("label"))
 
 
-@query("ag30_border", f"WITH {GRID} SELECT label, round(avg(CASE WHEN x=0 OR x=39 OR y=0 THEN 1.0 ELSE 0 END),6) AS border, max((x=0)::INT) AS left_side FROM g GROUP BY 1")
-def ag30(spark, sf):
-    on = (F.col("x") == 0) | (F.col("x") == 39) | (F.col("y") == 0)
-    return grid(spark, sf).groupBy("label").agg(R(F.avg(F.when(on, 1.0).otherwise(0.0))).alias("border"), F.max((F.col("x") == 0).cast("int")).alias("left_side"))
-
-
-@query("ag31_mask_metrics", f"WITH {SWATCHES_SQL} SELECT image_id, round(avg(L),6) AS mean, round(exp(-var_pop(L)/0.006),6) AS homogeneity, round(quantile_cont(L,0.9)-quantile_cont(L,0.1),6) AS spread FROM swatches GROUP BY 1")
-def ag31(spark, sf):
-    return swatches(spark, sf).groupBy("image_id").agg(R(F.avg("L")).alias("mean"), R(F.exp(-F.var_pop("L") / 0.006)).alias("homogeneity"), R(F.percentile("L", F.lit(0.9)) - F.percentile("L", F.lit(0.1))).alias("spread"))
-
-
 @query("wn04_cumulative_weight", f"WITH {MODES_SQL} SELECT id, round(sum(mass) OVER (PARTITION BY family ORDER BY L, id ROWS UNBOUNDED PRECEDING),6) AS cum FROM modes")
 def wn04(spark, sf):
     w = Window.partitionBy("family").orderBy("L", "id").rowsBetween(Window.unboundedPreceding, 0)
@@ -224,23 +208,6 @@ def jn07(spark, sf):
     return rel.all_pairs(modes(spark, sf), ["id"]).select("id_1", "id_2")
 
 
-SETS = "s AS (SELECT DISTINCT l_suppkey%30 AS m, l_orderkey%40 AS x FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0)"
-
-
-def masks(spark, sf):
-    i = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_orderkey % 3 = 0")
-    return i.select((F.col("l_suppkey") % 30).alias("m"), (F.col("l_orderkey") % 40).alias("x")).distinct()
-
-
-@query("jn12_containment", f"WITH {SETS}, n AS (SELECT m, count(*) AS n FROM s GROUP BY 1), b AS (SELECT a.m AS inner_m, b.m AS outer_m, count(*) AS k FROM s a JOIN s b ON a.x=b.x AND a.m<>b.m GROUP BY 1,2) SELECT inner_m, outer_m FROM b JOIN n i ON i.m=inner_m JOIN n o ON o.m=outer_m WHERE k/i.n >= 0.95 AND i.n < o.n")
-def jn12(spark, sf):
-    s = masks(spark, sf)
-    n = s.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
-    o = rel.overlaps(s.select(F.col("m").alias("l"), "x"), s.select(F.col("m").alias("r"), "x"), ["x"]).where("l <> r AND coverage >= 0.95")
-    j = o.join(n.select(F.col("m").alias("l"), F.col("size").alias("a")), "l").join(n.select(F.col("m").alias("r"), F.col("size").alias("b")), "r").where("a < b")
-    return j.select(F.col("l").alias("inner_m"), F.col("r").alias("outer_m"))
-
-
 def whole_masks(spark, sf):
     """One mask a supplier, over the orders it is in: every row of lineitem, no key folded."""
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("m"), F.col("l_orderkey").alias("x")).where("m IS NOT NULL AND x IS NOT NULL").distinct()
@@ -250,8 +217,10 @@ def mask_pairs(s):
     return rel.overlaps(s.select(F.col("m").alias("l"), "x"), s.select(F.col("m").alias("r"), "x"), ["x"]).where("l <> r")
 
 
-@query("jn12_containment_whole")
-def jn12_whole(spark, sf):
+SETS = "s AS (SELECT DISTINCT l_suppkey AS m, l_orderkey AS x FROM lineitem), n AS (SELECT m, count(*) AS n FROM s GROUP BY 1), b AS (SELECT a.m AS l, b.m AS r, count(*) AS k FROM s a JOIN s b ON a.x=b.x AND a.m<>b.m GROUP BY 1,2)"
+
+
+def contained(spark, sf):
     s = whole_masks(spark, sf)
     n = s.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
     o = mask_pairs(s).where("coverage >= 0.95")
@@ -259,37 +228,22 @@ def jn12_whole(spark, sf):
     return j.select(F.col("l").alias("inner_m"), F.col("r").alias("outer_m"))
 
 
-@query("cl19_recovery_gain_whole")
-def cl19_whole(spark, sf):
+def gains(spark, sf):
     return mask_pairs(whole_masks(spark, sf)).groupBy(F.col("l").alias("mask")).agg(R(F.max("coverage")).alias("gain"))
 
 
-@query("jn23_symmetric_dedupe", f"WITH RECURSIVE {GRID}, d AS (SELECT a.label AS p, b.label AS q FROM g a JOIN g b ON b.x=a.x+1 AND b.y=a.y AND a.y < 2), e AS (SELECT p, q FROM d UNION SELECT q, p FROM d), r(n, m) AS (SELECT label, label FROM g UNION SELECT e.q, r.m FROM r JOIN e ON e.p=r.n) SELECT n AS label, min(m) AS component FROM r GROUP BY 1")
-def jn23(spark, sf):
-    """Components of labels that touch, by repeated minimum: the labels are few, and the rounds stop when nothing changes."""
-    g = grid(spark, sf)
-    e = g.where("y < 2").join(g.select((F.col("x") - 1).alias("x"), "y", F.col("label").alias("q")), ["x", "y"]).select(F.col("label").alias("p"), "q").where("p <> q")
-    e = e.unionByName(e.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
-    now = g.select("label").distinct().withColumn("component", F.col("label"))
-    for _ in range(6):  # six labels: no path is longer
-        low = e.join(now.select(F.col("label").alias("q"), F.col("component").alias("c2")), "q").groupBy(F.col("p").alias("label")).agg(F.min("c2").alias("c2"))
-        now = now.join(low, "label", "left").select("label", F.least("component", "c2").alias("component"))
-    return now
+for suffix in ("", "_whole"):  # both names mean every row of lineitem
+    query(f"jn12_containment{suffix}", f"WITH {SETS} SELECT l AS inner_m, r AS outer_m FROM b JOIN n i ON i.m=l JOIN n o ON o.m=r WHERE k/i.n >= 0.95 AND i.n < o.n")(contained)
+    query(f"cl19_recovery_gain{suffix}", f"WITH {SETS} SELECT l AS mask, round(max(k/n.n),6) AS gain FROM b JOIN n ON n.m=l GROUP BY 1")(gains)
 
 
-@query("jn23_near_duplicate_masks")
+@query("jn23_near_duplicate_masks", f"""WITH RECURSIVE {SETS}, e AS (SELECT l, r FROM b JOIN n p ON p.m=l JOIN n q ON q.m=r WHERE k/(p.n+q.n-k) >= 0.985 OR k/greatest(p.n,q.n) >= 0.995), c(node, low) AS (SELECT m, m FROM n UNION SELECT e.r, c.low FROM c JOIN e ON e.l=c.node) SELECT node AS mask, min(low) AS component FROM c GROUP BY 1""")
 def jn23_masks(spark, sf):
     """JN23 as the survey names it: components of masks whose IoU is 0.985 or whose mutual containment is 0.995 at least."""
     s = whole_masks(spark, sf)
     return rel.components(s.select(F.col("m").alias("node")).distinct(), rel.near_duplicates(s)).select(F.col("node").alias("mask"), "component")
 
 
-@query("flt01_pixel_sample", "SELECT p_partkey AS id FROM part WHERE p_partkey%40 BETWEEN 2 AND 37 AND p_partkey%2 = 0 AND p_size/50.0 >= 0.5")
-def flt01(spark, sf):
-    k = F.col("p_partkey")
-    return table(spark, sf, "part").where((k % 40).between(2, 37) & (k % 2 == 0) & (F.col("p_size") / 50.0 >= 0.5)).select(k.alias("id"))
-
-
 @query("flt03_term_set", f"WITH {PHOTOS} SELECT id, list_filter([CASE WHEN contains(lower(alt),'part 1') THEN 'part 1' END, CASE WHEN contains(lower(alt),'part') AND NOT contains(lower(alt),'part 1') THEN 'part' END], lambda x: x IS NOT NULL) AS terms FROM photos")
 def flt03(spark, sf):
     low = F.lower("alt")
@@ -297,13 +251,6 @@ def flt03(spark, sf):
     return photos(spark, sf).select("id", F.array_compact(F.array(F.when(phrase, "part 1"), F.when(F.contains(low, F.lit("part")) & ~phrase, "part"))).alias("terms"))
 
 
-@query("flt06_mask_hygiene", "WITH a AS (SELECT l_suppkey AS mask, count(*)/(SELECT count(*) FROM lineitem)::DOUBLE AS area FROM lineitem GROUP BY 1) SELECT mask, round(area,6) AS area FROM a WHERE area BETWEEN 0.0095 AND 0.995")
-def flt06(spark, sf):
-    i = table(spark, sf, "lineitem")
-    a = i.groupBy(F.col("l_suppkey").alias("mask")).agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(i.agg(F.count(F.lit(1)).alias("n"))), F.lit(True))
-    return a.withColumn("area", F.col("k") / F.col("n")).where(F.col("area").between(0.0095, 0.995)).select("mask", R("area").alias("area"))
-
-
 @query("flt07_gamut", f"WITH {SWATCHES_SQL}, q AS (SELECT id, pow(L+0.3963377774*a*2+0.2158037573*bb*2,3) AS x, pow(L-0.1055613458*a*2-0.0638541728*bb*2,3) AS y, pow(L-0.0894841775*a*2-1.2914855480*bb*2,3) AS z FROM swatches) SELECT id, (4.0767416621*x-3.3077115913*y+0.2309699292*z) BETWEEN -1e-7 AND 1+1e-7 AND (-1.2684380046*x+2.6097574011*y-0.3413193965*z) BETWEEN -1e-7 AND 1+1e-7 AND (-0.0041960863*x-0.7034186147*y+1.7076147010*z) BETWEEN -1e-7 AND 1+1e-7 AS inside FROM q")
 def flt07(spark, sf):
     return swatches(spark, sf).select("id", c.in_gamut(F.col("L"), F.col("a") * 2, F.col("bb") * 2).alias("inside"))
@@ -342,11 +289,6 @@ def prj12(spark, sf):
     return ld.allowlisted(modes(spark, sf).select("id", R("L").alias("l"), R("C").alias("c"), F.array("family").alias("semantic")), ["id", "l", "c", "semantic"])
 
 
-@query("cl02_region_split")
-def cl02(spark, sf):
-    return cl.palettes(swatches(spark, sf), "image_id", size=2, merge_below=0.0).select("image_id", "place", R("L").alias("l"), R("ratio").alias("ratio"))
-
-
 @query("cl05_greedy_merge")
 def cl05(spark, sf):
     def run(pdf):
@@ -356,18 +298,6 @@ def cl05(spark, sf):
     return modes(spark, sf).select("family", "mass", "L", "a", "bb").groupBy("family").applyInPandas(run, "family long, place int, mass double")
 
 
-@query("cl17_region_edges", f"WITH {GRID}, n AS (SELECT a.label AS p, b.label AS q FROM g a JOIN g b ON (b.x=a.x+1 AND b.y=a.y) OR (b.x=a.x AND b.y=a.y+1)) SELECT DISTINCT least(p,q) AS a, greatest(p,q) AS b, CASE WHEN abs(p-q) >= 3 THEN 'split' ELSE 'merge' END AS action FROM n WHERE p <> q")
-def cl17(spark, sf):
-    return rel.adjacent(grid(spark, sf)).withColumn("action", F.when(F.col("b") - F.col("a") >= 3, "split").otherwise("merge"))
-
-
-@query("cl19_recovery_gain", f"WITH {SETS}, n AS (SELECT m, count(*) AS n FROM s GROUP BY 1), b AS (SELECT a.m AS l, count(*)/max(n.n)::DOUBLE AS cov FROM s a JOIN s b ON a.x=b.x AND a.m<>b.m JOIN n ON n.m=a.m GROUP BY a.m, b.m) SELECT l AS mask, round(max(cov),6) AS gain FROM b GROUP BY 1")
-def cl19(spark, sf):
-    s = masks(spark, sf)
-    o = rel.overlaps(s.select(F.col("m").alias("l"), "x"), s.select(F.col("m").alias("r"), "x"), ["x"]).where("l <> r")
-    return o.groupBy(F.col("l").alias("mask")).agg(R(F.max("coverage")).alias("gain"))
-
-
 @query("pl02_query_plan", f"WITH {PHOTOS}, q AS (SELECT search, provider, sum(score) AS w FROM scored GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY round(w,9) DESC, provider) AS rn FROM q), t AS (SELECT * FROM r WHERE rn <= 3) SELECT search, provider, round(w/sum(w) OVER (PARTITION BY search),6) AS share FROM t")
 def pl02(spark, sf):
     q = scored(spark, sf).groupBy("search", "provider").agg(F.sum("score").alias("w")).withColumn("o", -F.round("w", 9))

@@ -77,11 +77,6 @@ def tk09(spark, sf):
     return p.select("id_1", "id_2", R("delta_E").alias("delta_e")).orderBy("delta_e", "id_1", "id_2").limit(12)
 
 
-@query("tk12_extremes", "SELECT l_suppkey AS key, arg_max(l_orderkey*10+l_linenumber, l_extendedprice) AS worst, max(l_extendedprice) AS price FROM lineitem GROUP BY 1")
-def tk12(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.max_by(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_extendedprice").alias("worst"), F.max("l_extendedprice").alias("price"))
-
-
 @query("tk13_page", f"WITH {PHOTOS} SELECT id FROM scored ORDER BY round(score,9) DESC, id LIMIT 24 OFFSET 24")
 def tk13(spark, sf):
     return scored(spark, sf).orderBy(F.desc(F.round("score", 9)), "id").offset(24).limit(24).select("id")
@@ -221,29 +216,22 @@ def jn02(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("score")), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(-1)))
 
 
-def supplier_vectors(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 50).alias("p")).agg(F.sum("l_quantity").alias("q"))
-
-
-@query("jn10_mutual_nearest", """WITH s AS (SELECT l_suppkey%100 AS sup, l_partkey%50 AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1,2), d AS (SELECT x.sup AS a, y.sup AS b, sum(x.q*y.q) AS score FROM s x JOIN s y ON x.p = y.p AND x.sup <> y.sup GROUP BY 1,2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM d), t AS (SELECT a, max(CASE WHEN rn=1 THEN b END) AS b, max(CASE WHEN rn=1 THEN score END) AS s1, max(CASE WHEN rn=2 THEN score END) AS s2 FROM r WHERE rn <= 2 GROUP BY a)
-    SELECT x.a, x.b, round(x.s1,2) AS score, round(x.s1-coalesce(x.s2,0),2) AS margin FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b""")
-def jn10(spark, sf):
-    """By dot product over every supplier. The SQL folds suppliers to %100, so it shows the same only up to 100 of them."""
-    s = supplier_vectors(spark, sf)
-    d = s.join(s.select(F.col("a").alias("b"), "p", F.col("q").alias("q2")), "p").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("q") * F.col("q2")).alias("score"))
-    return rel.mutual_nearest(d).select("a", "b", R("score", 2).alias("score"), R("margin", 2).alias("margin"))
-
-
-@query("jn10_mutual_nearest_cosine")
-def jn10_cosine(spark, sf):
-    """JN10 as the survey names it: mutual nearest suppliers by cosine, rounded for ties."""
-    s = supplier_vectors(spark, sf).withColumn("q", F.col("q").cast("double"))
+def mutual_by_cosine(spark, sf):
+    """JN10: suppliers that are each other's nearest by cosine of what they sell of each part, with the margin to the second; rounded for ties."""
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").cast("double").alias("q"))
     s = s.join(s.groupBy("a").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length")).where("length > 0"), "a").select("a", "p", (F.col("q") / F.col("length")).alias("q"))
     d = s.join(s.select(F.col("a").alias("b"), "p", F.col("q").alias("q2")), "p").where("a <> b").groupBy("a", "b").agg(R(F.sum(F.col("q") * F.col("q2")), 9).alias("score"))
     return rel.mutual_nearest(d).select("a", "b", R("score").alias("score"), R("margin").alias("margin"))
 
 
+COSINE_SQL = """WITH k AS (SELECT l_suppkey AS sup, l_partkey AS p, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1,2), n AS (SELECT sup, sqrt(sum(q*q)) AS len FROM k GROUP BY 1), s AS (SELECT sup, p, q/len AS q FROM k JOIN n USING (sup) WHERE len > 0),
+    d AS (SELECT x.sup AS a, y.sup AS b, round(sum(x.q*y.q),9) AS score FROM s x JOIN s y ON x.p = y.p AND x.sup <> y.sup GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM d),
+    t AS (SELECT a, max(CASE WHEN rn=1 THEN b END) AS b, max(CASE WHEN rn=1 THEN score END) AS s1, max(CASE WHEN rn=2 THEN score END) AS s2 FROM r WHERE rn <= 2 GROUP BY a)
+    SELECT x.a, x.b, round(x.s1,6) AS score, round(x.s1-coalesce(x.s2,0),6) AS margin FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b"""
+for name in ("jn10_mutual_nearest", "jn10_mutual_nearest_cosine"):
+    query(name, COSINE_SQL)(mutual_by_cosine)
+
+
 @query("jn11_overlap", """WITH l AS (SELECT DISTINCT l_suppkey%20 AS l, l_orderkey AS x FROM lineitem), r AS (SELECT DISTINCT l_partkey%15 AS r, l_orderkey AS x FROM lineitem), nl AS (SELECT l, count(*) AS n FROM l GROUP BY 1), nr AS (SELECT r, count(*) AS n FROM r GROUP BY 1),
     b AS (SELECT l, r, count(*) AS i FROM l JOIN r USING (x) GROUP BY 1,2) SELECT b.l, b.r, i AS intersection, round(i/nl.n,6) AS coverage, round(i/(nl.n+nr.n-i),6) AS iou FROM b JOIN nl ON b.l=nl.l JOIN nr ON b.r=nr.r""")
 def jn11(spark, sf):
@@ -387,11 +375,6 @@ def gv11(spark, sf):
     return row(1, "ids unique", ids).unionByName(row(2, "prices positive", o.agg((F.count_if(F.col("o_totalprice") <= 0) == 0).alias("pass")))).unionByName(row(3, "customers known", unknown.agg((F.count(F.lit(1)) == 0).alias("pass"))))
 
 
-@query("gv13_flag_histogram", "SELECT l_returnflag AS flag, count(*) FILTER (WHERE l_linestatus='F') AS f, count(*) FILTER (WHERE l_linestatus='O') AS o FROM lineitem GROUP BY 1")
-def gv13(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
-
-
 @query("gv15_upstream", "SELECT o_custkey AS stage, bool_and(o_orderstatus <> 'P') AS ready, coalesce(min(o_orderkey) FILTER (WHERE o_orderstatus = 'P'), -1) AS first_block FROM orders GROUP BY 1")
 def gv15(spark, sf):
     s = F.col("o_orderstatus")

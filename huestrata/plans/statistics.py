@@ -122,15 +122,6 @@ def ag18(spark, sf):
     return f.join(F.broadcast(top), F.lit(True)).select("feature", R("target").alias("target"), R(F.col("weight") / F.col("top"), 5).alias("weight"))
 
 
-@query("ag20_numeric_stats", """SELECT event_type AS kind, count(*) AS n, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std, round(quantile_cont(value,0.5),6) AS median,
-    round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END),6) AS high_ratio, round(avg(CASE WHEN value = 0 THEN 1.0 ELSE 0 END),6) AS zero_ratio FROM events GROUP BY 1""")
-def ag20(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), R(F.avg(v)).alias("mean"), R(F.stddev_pop(v)).alias("std"), R(F.percentile(v, F.lit(0.5))).alias("median"),
-        R(F.avg(F.when(v > 50, 1.0).otherwise(0.0))).alias("high_ratio"), R(F.avg(F.when(v == 0, 1.0).otherwise(0.0))).alias("zero_ratio"))
-
-
 @query("ag23_tail_impact", """WITH t(threshold) AS (VALUES (0.9::DOUBLE),(0.8),(0.5)) SELECT threshold, round(sum(CASE WHEN l_discount*10 < threshold THEN l_quantity ELSE 0 END)/sum(l_quantity),6) AS unstable_share FROM lineitem, t GROUP BY 1""")
 def ag23(spark, sf):
     items = table(spark, sf, "lineitem")
@@ -252,12 +243,6 @@ def wn13(spark, sf):
     return g.select("id", "top1", R("m", 4).alias("margin"), F.when(F.col("m") < 5, "high").when(F.col("m") < 20, "medium").otherwise("low").alias("ambiguity"))
 
 
-@query("ag21_mask_union", """WITH c AS (SELECT l_orderkey AS pixel, count(DISTINCT l_suppkey) AS m FROM lineitem GROUP BY 1) SELECT count(*) AS covered, count(*) FILTER (WHERE m >= 2) AS twice, count(*) FILTER (WHERE m >= 5) AS five, quantile_cont(m,0.5)::DOUBLE AS median, max(m) AS most FROM c""")
-def ag21(spark, sf):
-    m = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("m"))
-    return m.agg(F.count(F.lit(1)).alias("covered"), F.count_if(F.col("m") >= 2).alias("twice"), F.count_if(F.col("m") >= 5).alias("five"), F.percentile("m", F.lit(0.5)).alias("median"), F.max("m").alias("most"))
-
-
 @query("ag22_unique_coverage", """WITH k AS (SELECT DISTINCT l_suppkey AS mask, l_orderkey AS pixel FROM lineitem), c AS (SELECT *, count(*) OVER (PARTITION BY pixel) AS n FROM k) SELECT mask, round(avg(CASE WHEN n=1 THEN 1.0 ELSE 0 END),6) AS unique_share FROM c GROUP BY 1""")
 def ag22(spark, sf):
     k = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("mask"), F.col("l_orderkey").alias("pixel")).distinct()
