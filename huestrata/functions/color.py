@@ -237,6 +237,30 @@ def visual_weight_label(x):
     return F.when(x < 0.4, "輕盈視覺").when(x < 0.65, "中等視覺重量").otherwise("厚重視覺")
 
 
+# The name of a direction by hue family; for some by whether it is bright, dark or heavy.
+DIRECTIONS = {
+    "neutral": [("bright", "柔和明亮"), ("heavy", "經典深沉"), ("", "自然沉穩")],
+    "red": [("bright", "柔和雅緻"), ("", "經典成熟")],
+    "orange": [("dark", "經典暖調"), ("", "自然暖調")],
+    "yellow": [("bright", "清新暖陽"), ("", "沉靜金調")],
+    "green": [("bright", "清新自然"), ("heavy", "森林沉穩"), ("", "自然沉穩")],
+    "cyan": [("bright", "清透冷調"), ("", "安靜青灰")],
+    "blue": [("bright", "清透冷調"), ("", "專業冷靜")],
+    "purple": [("bright", "優雅霧紫"), ("", "深邃高級")],
+    "pink": [("bright", "柔和浪漫"), ("", "成熟柔霧")],
+}
+
+
+def direction_name(family: Column, brightness: Column, chroma_name: Column, weight: Column) -> Column:
+    """The name of a direction; strong colours that are not dark have names of their own."""
+    test = {"bright": brightness == "高明度", "dark": brightness == "低明度", "heavy": weight == "厚重視覺", "": F.lit(True)}
+    out = F.when((chroma_name == "高彩度") & (brightness != "低明度"), F.when(family.isin("blue", "cyan"), "鮮明現代").otherwise("活力亮彩"))
+    for name, choices in DIRECTIONS.items():
+        for kind, label in choices:
+            out = out.when((family == name) & test[kind], label)
+    return out.otherwise("現代平衡")
+
+
 def gaussian(d: Column, sigma: float) -> Column:
     return F.exp(-0.5 * F.pow(d / sigma, F.lit(2.0)))
 

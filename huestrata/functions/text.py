@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +48,24 @@ def with_parameter(url: Column, name: str, value: Column) -> Column:
     return F.concat(url, mark, F.lit(f"{name}="), F.url_encode(value))
 
 
+def nfkc(x: Column) -> Column:
+    """Unicode compatibility normalisation, which Spark has no function for."""
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return normal(x)
+
+
 def fingerprint(x: Column) -> Column:
-    return F.sha2(F.lower(F.trim(x)), 256)
+    """SHA-256 of a text in NFKC, trimmed and in lower case."""
+    return F.sha2(F.lower(F.trim(nfkc(x))), 256)
+
+
+def record_hash(*names: str) -> Column:
+    """SHA-256 of a record as JSON with its keys in order."""
+    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)
 
 
 def hash_score(seed: str, key: Column) -> Column:
@@ -73,6 +92,36 @@ def term_hits(text: Column, terms: list[str]) -> Column:
     return sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
 
 
+# What a text must hold to be of a failure category, in order, and what is done about each.
+FAILURE_WORDS = {"TIMEOUT": "timeout|timed out|abort", "INVALID_INPUT": "invalid|schema|contract"}
+FAILURE_ACTIONS = {
+    "QUEUE_FULL": "DROP_SHADOW_TASK", "TIMEOUT": "ABORT_OR_IGNORE_SHADOW_RESULT", "INVALID_INPUT": "SKIP_INVALID_SHADOW_INPUT",
+    "LOG_SINK_FAILURE": "CONTINUE_WITHOUT_PERSISTED_LOG", "SHADOW_ENGINE_FAILURE": "SKIP_FAILED_SHADOW_RESULT", "UNKNOWN": "SKIP_UNKNOWN_SHADOW_FAILURE",
+}
+
+
+def failure(error: Column, reason: Column, stage: Column) -> Column:
+    """The category of a failure from its text, the reason given and the stage it happened in."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    out = F.when(reason.eqNullSafe("queue_full"), "QUEUE_FULL").when(stage.eqNullSafe("audit_log"), "LOG_SINK_FAILURE")
+    for category, words in FAILURE_WORDS.items():
+        out = out.when(F.rlike(low, F.lit(words)), category)
+    return out.when(stage.eqNullSafe("shadow") | F.contains(low, F.lit("shadow")), "SHADOW_ENGINE_FAILURE").otherwise("UNKNOWN")
+
+
+def failure_action(category: Column, side: str) -> Column:
+    """What is done about a failure on the shadow or the audit side."""
+    if side == "audit":
+        return F.when(category == "LOG_SINK_FAILURE", "DROP_LOG_EVENT").otherwise("BEST_EFFORT_DIAGNOSTIC")
+    return F.create_map(*(F.lit(x) for pair in FAILURE_ACTIONS.items() for x in pair))[category]
+
+
+def status(said: Column) -> Column:
+    """PASS, HOLD or FAIL by how a status begins, in any case; else null."""
+    up = F.upper(F.coalesce(said, F.lit("")))
+    return F.when(up.startswith("PASS") | (up == "READY_FOR_NEXT"), "PASS").when(up.startswith("HOLD"), "HOLD").when(up.startswith("FAIL"), "FAIL")
+
+
 def classify(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """The name of the first rule whose pattern a text matches."""
     out, low = None, F.lower(text)

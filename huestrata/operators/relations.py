@@ -115,3 +115,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     columns = [x for x in old.columns if x != key]
     n = new.select(key, *(F.col(x).alias(f"_{x}") for x in columns))
     return old.join(n, key, "full_outer").select(key, *(F.coalesce(f"_{x}", x).alias(x) for x in columns))
+
+
+def checked_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join in which a row of the left without a partner stops the query instead of vanishing."""
+    both = left.join(right.withColumn("_found", F.lit(True)), key, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no partner for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return both.where(F.when(F.col("_found").isNull(), lost).otherwise(True)).drop("_found")
+
+
+def validated(rows: DataFrame, baseline: DataFrame, key: str, tolerance: dict[str, float]) -> DataFrame:
+    """rows joined with their baseline, and mismatch: the columns that differ from it by more than their tolerance."""
+    both = rows.join(baseline.select(key, *(F.col(x).alias(f"_{x}") for x in tolerance)), key)
+    off = F.array_compact(F.array(*(F.when(~F.coalesce(F.abs(F.col(x) - F.col(f"_{x}")) <= t, F.lit(False)), x) for x, t in tolerance.items())))
+    return both.withColumn("mismatch", off).drop(*(f"_{x}" for x in tolerance))

@@ -22,26 +22,6 @@ def cl04(spark, sf):
     return cl.merge_trace(modes(spark, sf), ["family"]).withColumn("distance", R("distance"))
 
 
-@query("cl07_threshold_sweep")
-def cl07(spark, sf):
-    m = modes(spark, sf)
-    cuts = cl.cut_trace(m, cl.merge_trace(m, ["family"], 0.2), ["family"], [0.045, 0.055, 0.065])
-    return cuts.groupBy("family", "threshold").agg(F.countDistinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("members"))
-
-
-@query("cl08_hierarchy", """WITH o AS (SELECT DISTINCT l_suppkey AS mode_id, l_partkey%24 AS image, l_suppkey%4 AS family FROM lineitem WHERE l_discount >= 0.08), k AS (SELECT mode_id, count(DISTINCT image)/24.0 AS support, count(DISTINCT (image%4)) AS fams FROM o GROUP BY 1),
-    m AS (SELECT l_suppkey AS mode_id, sum(l_quantity) AS mass FROM lineitem GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY mass) AS rk, count(*) OVER (PARTITION BY mass) AS t, count(*) OVER () AS n FROM m)
-    SELECT k.mode_id, CASE WHEN fams/4.0 >= 0.75 AND support >= 0.20 AND (rk-1+(t-1)/2.0)/(n-1) >= 0.70 THEN 'core' WHEN fams/4.0 >= 0.5 AND support >= 0.10 THEN 'secondary' ELSE 'rare' END AS tier FROM k JOIN r ON k.mode_id = r.mode_id""")
-def cl08(spark, sf):
-    items = table(spark, sf, "lineitem")
-    o = items.where("l_discount >= 0.08").select(F.col("l_suppkey").alias("mode_id"), (F.col("l_partkey") % 24).alias("image"))
-    k = o.groupBy("mode_id").agg((F.countDistinct("image") / 24.0).alias("support"), F.countDistinct(F.col("image") % 4).alias("fams"))
-    m = st.mid_rank(items.groupBy(F.col("l_suppkey").alias("mode_id")).agg(F.sum("l_quantity").alias("mass")), "mass")
-    j = k.join(m, "mode_id")
-    core = (F.col("fams") / 4.0 >= 0.75) & (F.col("support") >= 0.20) & (F.col("mid_rank") >= 0.70)
-    return j.select("mode_id", F.when(core, "core").when((F.col("fams") / 4.0 >= 0.5) & (F.col("support") >= 0.10), "secondary").otherwise("rare").alias("tier"))
-
-
 @query("cl11_grid_search", f"""WITH {MODES_SQL}, g AS (SELECT (i*5+20)::DOUBLE AS cut FROM range(0,13) t(i)), c AS (SELECT id, H, family = 1 AS y FROM modes WHERE H IS NOT NULL)
     SELECT cut, count(*) FILTER (WHERE (H <= cut) = y) AS hits FROM c, g GROUP BY cut""")
 def cl11(spark, sf):

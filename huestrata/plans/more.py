@@ -44,13 +44,6 @@ def fn03(spark, sf):
     return swatches(spark, sf).select("id", R("C").alias("c"), R("H", 4).alias("h"))
 
 
-@query("fn17_labels", f"""WITH {SWATCHES_SQL} SELECT id, CASE WHEN L >= 0.72 THEN '高明度' WHEN L >= 0.48 THEN '中等明度' ELSE '低明度' END AS brightness, CASE WHEN C < 0.055 THEN '低彩度' WHEN C < 0.13 THEN '柔和彩度' ELSE '高彩度' END AS chroma,
-    CASE WHEN w-1 < 0.28 THEN '低對比' WHEN w-1 < 0.5 THEN '中等對比' ELSE '高對比' END AS contrast, CASE WHEN abs(w-1) < 0.16 THEN '中性' WHEN w-1 > 0 THEN '暖色' ELSE '冷色' END AS temperature FROM swatches""")
-def fn17(spark, sf):
-    x = F.col("w") - 1
-    return swatches(spark, sf).select("id", c.brightness_label(F.col("L")).alias("brightness"), c.chroma_label(F.col("C")).alias("chroma"), c.contrast_label(x).alias("contrast"), c.temperature_label(x, F.lit(0.0)).alias("temperature"))
-
-
 @query("fn21_rank_score", "SELECT l_orderkey AS id, l_linenumber AS place, round(1/sqrt(l_linenumber),6) AS score FROM lineitem")
 def fn21(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), R(1 / F.sqrt("l_linenumber")).alias("score"))
@@ -185,12 +178,6 @@ def jn03(spark, sf):
     return modes(spark, sf).select("id").join(ev, "id", "left")
 
 
-@query("jn04_three_way", "SELECT o_orderkey AS id, n_name AS nation FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey")
-def jn04(spark, sf):
-    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select(F.col("o_orderkey").alias("id"), F.col("n_name").alias("nation"))
-
-
 @query("jn05_mask_roles", "SELECT l_suppkey AS mask, l_orderkey AS image, s_name AS role FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1")
 def jn05(spark, sf):
     j = table(spark, sf, "lineitem").where("l_linenumber = 1").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -256,11 +243,6 @@ def flt07(spark, sf):
     return swatches(spark, sf).select("id", c.in_gamut(F.col("L"), F.col("a") * 2, F.col("bb") * 2).alias("inside"))
 
 
-@query("flt09_eligible_labels", "SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0")
-def flt09(spark, sf):
-    return table(spark, sf, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
-
-
 @query("prj07_features", f"WITH {SWATCHES_SQL} SELECT id, round(L,6) AS lightness, round(C,6) AS chroma, round(w,6) AS weight FROM swatches")
 def prj07(spark, sf):
     return swatches(spark, sf).select("id", R("L").alias("lightness"), R("C").alias("chroma"), R("w").alias("weight"))
@@ -354,37 +336,6 @@ def sm05(spark, sf):
     return table(spark, sf, "events").select("event_id", F.when(k % 5 == 0, "FULL").when(k % 2 == 0, "DELTA").otherwise("REJECTED").alias("kind"))
 
 
-@query("gv04_label_schema", "SELECT doc_id, 'toxic_but_good' AS broken FROM labels WHERE toxic = 1 AND quality = 1")
-def gv04(spark, sf):
-    l = table(spark, sf, "labels")
-    return so.violations(l, {"toxic_but_good": ~((F.col("toxic") == 1) & (F.col("quality") == 1))}).select("doc_id", "broken")
-
-
-@query("gv05_quarantine", f"WITH {MODES_SQL} SELECT id FROM modes WHERE C <= 0.01 OR family = 3")
-def gv05(spark, sf):
-    return modes(spark, sf).where("C <= 0.01 OR family = 3").select("id")
-
-
-@query("gv06_fresh_split", "WITH o AS (SELECT o_orderkey AS id, sha256('split|' || o_orderkey) AS h FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')), r AS (SELECT *, row_number() OVER (ORDER BY h) AS rn FROM o) SELECT id, CASE WHEN rn <= 24 THEN 'train' ELSE 'validation' END AS part FROM r WHERE rn <= 36")
-def gv06(spark, sf):
-    used = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(used, "id", "left_anti").withColumn("h", F.sha2(F.concat(F.lit("split|"), F.col("id").cast("string")), 256))
-    r = o.orderBy("h").limit(36).withColumn("rn", F.row_number().over(Window.orderBy("h")))  # 36 rows
-    return r.select("id", F.when(F.col("rn") <= 24, "train").otherwise("validation").alias("part"))
-
-
-@query("gv07_commitment", "SELECT (SELECT sha256(string_agg(r_name, chr(10) ORDER BY r_name)) FROM region) = (SELECT sha256(string_agg(r_name, chr(10) ORDER BY r_name)) FROM region) AS same")
-def gv07(spark, sf):
-    r = table(spark, sf, "region")
-    a, b = so.digest_of_set(r, "r_name"), so.digest_of_set(r.orderBy(F.desc("r_name")), "r_name").withColumnRenamed("digest", "other")
-    return a.join(b, F.lit(True)).select((F.col("digest") == F.col("other")).alias("same"))
-
-
-@query("gv09_manifest_print", "SELECT n_regionkey AS folder, sha256(string_agg(n_name, ',' ORDER BY n_name)) AS print FROM nation GROUP BY 1")
-def gv09(spark, sf):
-    return table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("folder")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("n_name")), ","), 256).alias("print"))
-
-
 @query("gv12_drift", "WITH o AS (SELECT n_name AS k, n_regionkey AS v FROM nation WHERE n_nationkey%4<>0), n AS (SELECT n_name AS k, n_regionkey*(n_nationkey%2) AS v FROM nation) SELECT coalesce(o.k,n.k) AS package FROM o FULL JOIN n ON o.k=n.k WHERE o.v IS DISTINCT FROM n.v")
 def gv12(spark, sf):
     n = table(spark, sf, "nation")
@@ -392,12 +343,6 @@ def gv12(spark, sf):
     return d.where("NOT old_value <=> new_value").select(F.col("k").alias("package"))
 
 
-@query("gv14_dataset_pin", "SELECT count(*) = (SELECT count(*) FROM orders) AND max(o_orderkey) = (SELECT max(o_orderkey) FROM orders) AS pinned FROM orders")
-def gv14(spark, sf):
-    pin = lambda: table(spark, sf, "orders").agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("top")).alias("pin"))
-    return pin().join(pin().withColumnRenamed("pin", "after"), F.lit(True)).select(F.col("pin").eqNullSafe(F.col("after")).alias("pinned"))
-
-
 @query("sm09_package_state", "SELECT o_custkey AS package, CASE WHEN bool_or(o_orderstatus='P') THEN 'HOLD' WHEN bool_and(o_orderstatus='F') THEN 'PASS' WHEN count(*) < 2 THEN 'NEW' ELSE 'WAITING' END AS state FROM orders GROUP BY 1")
 def sm09(spark, sf):
     s = F.col("o_orderstatus")

@@ -105,12 +105,6 @@ def flt11(spark, sf):
     return table(spark, sf, "orders").where(tx.hash_score("gate", F.col("o_orderkey").cast("string")) < 0.1).select(F.col("o_orderkey").alias("id"))
 
 
-@query("flt12_status", "SELECT event_id, CASE WHEN event_type LIKE 'c%' THEN 'PASS' WHEN event_type LIKE 'p%' THEN 'HOLD' WHEN event_type LIKE 'v%' THEN 'FAIL' ELSE 'UNKNOWN' END AS status FROM events")
-def flt12(spark, sf):
-    t = F.col("event_type")
-    return table(spark, sf, "events").select("event_id", F.when(t.startswith("c"), "PASS").when(t.startswith("p"), "HOLD").when(t.startswith("v"), "FAIL").otherwise("UNKNOWN").alias("status"))
-
-
 @query("fn31_domain", f"WITH {PHOTOS} SELECT id, regexp_replace(lower(regexp_extract(url,'https?://([^/?]+)',1)),'^www\\.','') AS domain FROM photos")
 def fn31(spark, sf):
     return photos(spark, sf).select("id", tx.domain(F.col("url")).alias("domain"))
@@ -147,11 +141,6 @@ def fn27(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), tx.pair_key(F.col("s_name"), F.lit("Supplier#000000050")).alias("pair_key"))
 
 
-@query("fn28_fingerprint", "SELECT c_custkey AS id, sha256(lower(trim(c_name))) AS print FROM customer")
-def fn28(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), tx.fingerprint(F.col("c_name")).alias("print"))
-
-
 @query("fn29_fnv1a")
 def fn29(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), tx.fnv1a(F.col("c_name")).alias("fnv"))
@@ -163,11 +152,6 @@ def fn20(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.hamming(a, b).alias("bits"))
 
 
-@query("fn37_failure_class", "SELECT doc_id, CASE WHEN regexp_matches(lower(text),'password|token') THEN 'credentials' WHEN regexp_matches(lower(text),'@') THEN 'contact' ELSE 'other' END AS kind FROM documents")
-def fn37(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.classify(F.col("text"), [("password|token", "credentials"), ("@", "contact")], "other").alias("kind"))
-
-
 @query("fn25_js_round", "SELECT c_custkey AS id, floor(c_acctbal*10+0.5)/10 AS rounded FROM customer")
 def fn25(spark, sf):
     from huestrata.functions.color import js_round
@@ -206,11 +190,6 @@ def pl01(spark, sf):
     return b.select("id", F.col("branch").alias("code"), R("meanLightness").alias("lightness"), R("meanChroma").alias("chroma"), R("temperature").alias("temperature"))
 
 
-@query("jn01_checked_join", "SELECT o_orderkey AS id, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey")
-def jn01(spark, sf):
-    return table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("segment"))
-
-
 @query("jn02_left_score", "SELECT d.doc_id, coalesce(l.quality, -1) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def jn02(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("score")), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(-1)))
@@ -333,12 +312,6 @@ def st09(spark, sf):
     return so.opposites(o, "id", "p", OPPOSITE)
 
 
-@query("flt10_violations", "SELECT o_orderkey AS id, 'positive' AS broken FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT o_orderkey, 'status' FROM orders WHERE o_orderstatus NOT IN ('F','O')")
-def flt10(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
-    return so.violations(o, {"positive": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("F", "O")}).select("id", "broken")
-
-
 @query("gv01_readiness", "SELECT c_custkey AS id, CASE WHEN NOT c_acctbal > 0 THEN 'NO_FUNDS' WHEN NOT c_nationkey < 20 THEN 'NO_REGION' WHEN NOT c_mktsegment <> 'BUILDING' THEN 'NO_SEGMENT' ELSE 'READY' END AS state FROM customer")
 def gv01(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), so.first_unmet([(F.col("c_acctbal") > 0, "NO_FUNDS"), (F.col("c_nationkey") < 20, "NO_REGION"), (F.col("c_mktsegment") != "BUILDING", "NO_SEGMENT")], "READY").alias("state"))
@@ -349,12 +322,6 @@ def gv02(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), so.reasons({"funds": F.col("c_acctbal") > 0, "region": F.col("c_nationkey") < 20}).alias("reasons"))
 
 
-@query("gv03_concentration", "WITH k AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS n, count(*) AS sources, round(max(n)/sum(n),6) AS top_share, max(n)/sum(n) <= 0.5 AND count(*) >= 3 AS ok FROM k")
-def gv03(spark, sf):
-    k = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return k.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources"), R(F.max("n") / F.sum("n")).alias("top_share"), ((F.max("n") / F.sum("n") <= 0.5) & (F.count(F.lit(1)) >= 3)).alias("ok"))
-
-
 @query("gv08_blind_order", "SELECT c_custkey AS id, sha256('salt|' || c_custkey) AS place_key FROM customer")
 def gv08(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.sha2(F.concat(F.lit("salt|"), F.col("c_custkey").cast("string")), 256).alias("place_key"))
@@ -366,15 +333,6 @@ def gv10(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.when(d > 0, "over").when(d < 0, "under").otherwise("equal").alias("direction")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gv11_checklist", "SELECT 1 AS no, 'ids unique' AS item, (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS pass UNION ALL SELECT 2, 'prices positive', (SELECT count(*) FILTER (WHERE o_totalprice <= 0) = 0 FROM orders) UNION ALL SELECT 3, 'customers known', (SELECT count(*) = 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
-def gv11(spark, sf):
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    row = lambda no, item, df: df.select(F.lit(no).alias("no"), F.lit(item).alias("item"), F.col("pass"))
-    unknown = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
-    ids = o.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("k")).agg((F.coalesce(F.max("k"), F.lit(1)) == 1).alias("pass"))
-    return row(1, "ids unique", ids).unionByName(row(2, "prices positive", o.agg((F.count_if(F.col("o_totalprice") <= 0) == 0).alias("pass")))).unionByName(row(3, "customers known", unknown.agg((F.count(F.lit(1)) == 0).alias("pass"))))
-
-
 @query("gv15_upstream", "SELECT o_custkey AS stage, bool_and(o_orderstatus <> 'P') AS ready, coalesce(min(o_orderkey) FILTER (WHERE o_orderstatus = 'P'), -1) AS first_block FROM orders GROUP BY 1")
 def gv15(spark, sf):
     s = F.col("o_orderstatus")

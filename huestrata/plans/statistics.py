@@ -44,17 +44,6 @@ def ag04(spark, sf):
     return out.select("family", *(R(x).alias(x) for x in out.columns if x != "family"))
 
 
-@query("ag05_summary_block", f"""WITH {SWATCHES_SQL}, k AS (SELECT *, sum(w) OVER (PARTITION BY family ORDER BY C, id ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY family) AS total FROM swatches)
-    SELECT family, count(*) AS n, round(sum(C*w)/sum(w),6) AS mean, round(min(C),6) AS low, round(max(C),6) AS high,
-    round(min(CASE WHEN cum+1e-12 >= 0.75*total THEN C END)-min(CASE WHEN cum+1e-12 >= 0.25*total THEN C END),6) AS iqr FROM k GROUP BY family""")
-def ag05(spark, sf):
-    s = swatches(spark, sf)
-    m = st.weighted_moments(s, ["family"], "C", "w")
-    q = st.weighted_quantiles(s, ["family"], "C", "w", "id", [0.25, 0.75])
-    e = s.groupBy("family").agg(F.min("C").alias("low"), F.max("C").alias("high"))
-    return m.join(q, "family").join(e, "family").select("family", "n", R("mean").alias("mean"), R("low").alias("low"), R("high").alias("high"), R(F.col("q75") - F.col("q25")).alias("iqr"))
-
-
 @query("ag06_micro_family_macro", f"""WITH {MODES_SQL}, f AS (SELECT family, sum(L*mass)/sum(mass) AS m FROM modes GROUP BY family)
     SELECT 'micro' AS level, -1::BIGINT AS family, round(sum(L*mass)/sum(mass),6) AS mean FROM modes UNION ALL SELECT 'family', family, round(m,6) FROM f UNION ALL SELECT 'macro', -1, round(avg(m),6) FROM f""")
 def ag06(spark, sf):
@@ -91,15 +80,6 @@ def ag14(spark, sf):
     return swatches(spark, sf).groupBy("image_id").agg(F.countDistinct(key).alias("buckets"))
 
 
-@query("ag15_mode_support", """WITH o AS (SELECT l_suppkey AS mode_id, l_partkey%40 AS image, l_suppkey%4 AS family, l_discount AS reliability, l_quantity AS mass FROM lineitem),
-    d AS (SELECT mode_id, image, max(family) AS family, max(reliability) AS reliability, sum(mass) AS mass FROM o GROUP BY 1,2)
-    SELECT mode_id, count(*) AS image_support, round(sum(reliability),4) AS weighted_support, round(sum(mass),2) AS mass, count(DISTINCT family) AS families FROM d GROUP BY 1""")
-def ag15(spark, sf):
-    o = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("mode_id"), (F.col("l_partkey") % 40).alias("image"), (F.col("l_suppkey") % 4).alias("family"), F.col("l_discount").alias("reliability"), F.col("l_quantity").alias("mass"))
-    d = o.groupBy("mode_id", "image").agg(F.max("family").alias("family"), F.max("reliability").alias("reliability"), F.sum("mass").alias("mass"))
-    return d.groupBy("mode_id").agg(F.count(F.lit(1)).alias("image_support"), R(F.sum("reliability"), 4).alias("weighted_support"), R(F.sum("mass"), 2).alias("mass"), F.countDistinct("family").alias("families"))
-
-
 @query("ag16_mass_conservation", "SELECT abs(sum(l_quantity) - (SELECT sum(q) FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey))) <= 1e-7 AS conserved FROM lineitem")
 def ag16(spark, sf):
     items = table(spark, sf, "lineitem")
@@ -181,14 +161,6 @@ def wn03(spark, sf):
     return st.mid_rank(modes(spark, sf).where("mass > 1e-12"), "mass", ["family"]).select("id", R("mid_rank").alias("mid_rank"))
 
 
-@query("wn05_mode_rank", f"WITH {MODES_SQL} SELECT id, 'mode_' || lpad(row_number() OVER (ORDER BY round(mass,9) DESC, id)::VARCHAR, 4, '0') AS mode_id FROM modes")
-def wn05(spark, sf):
-    from huestrata.operators.ranking import global_rank
-
-    m = global_rank(modes(spark, sf).select("id", F.floor(F.col("mass") * 1e9 + 0.5).alias("q")), [F.desc("q"), F.asc("id")], "r")
-    return m.select("id", F.concat(F.lit("mode_"), F.lpad(F.col("r").cast("string"), 4, "0")).alias("mode_id"))
-
-
 @query("wn07_latest_run", "SELECT user_id AS stage, event_id AS run, lag_id AS previous FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lag_id FROM events) WHERE rn = 1")
 def wn07(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "ts")
