@@ -92,6 +92,27 @@ def term_hits(text: Column, terms: list[str]) -> Column:
     return sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
 
 
+# Words that say little on their own, and what a phrase and a word weigh as evidence.
+GENERIC_WORDS = [
+    "style", "aesthetic", "image", "photo", "visual", "scene", "look", "vibe", "vibes", "classic", "colorful", "dark", "light", "chrome", "retro", "modern", "vintage",
+    "warm", "cool", "soft", "bright", "moody", "dramatic", "beautiful", "art", "design",
+]
+PHRASE_EVIDENCE, WORD_EVIDENCE = 0.50, 0.08
+
+
+def term_set(text: Column, primary: list[str], support: list[str]) -> dict[str, Column]:
+    """What a normalised text holds of some terms: primary_matched, support_terms, evidence (0..1).
+
+    A phrase that is found takes the words it is made of with it.
+    """
+    held = lambda terms: F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), t) for t in terms)))
+    found = held(support)
+    phrases = F.filter(found, lambda t: F.contains(t, F.lit(" ")))
+    kept = F.filter(found, lambda t: F.contains(t, F.lit(" ")) | ~F.exists(phrases, lambda p: F.array_contains(F.split(p, " "), t)))
+    weigh = lambda t: F.when(F.contains(t, F.lit(" ")), PHRASE_EVIDENCE).when(t.isin(GENERIC_WORDS), 0.0).otherwise(WORD_EVIDENCE)
+    return {"primary_matched": F.size(held(primary)) > 0, "support_terms": kept, "evidence": F.least(F.lit(1.0), F.aggregate(kept, F.lit(0.0), lambda s, t: s + weigh(t)))}
+
+
 # What a text must hold to be of a failure category, in order, and what is done about each.
 FAILURE_WORDS = {"TIMEOUT": "timeout|timed out|abort", "INVALID_INPUT": "invalid|schema|contract"}
 FAILURE_ACTIONS = {

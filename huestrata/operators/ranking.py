@@ -193,3 +193,104 @@ def fresh_split(pool: DataFrame, used: DataFrame, axes: list[str], seeds: tuple[
         rows = chosen.join(F.broadcast(digest), F.lit(True)).withColumn("part", F.lit(part))
         open_pool, out = open_pool.join(F.broadcast(chosen.select("pair_key")), "pair_key", "left_anti"), rows if out is None else out.unionByName(rows)
     return out.select("part", "place", "pair_key", "digest")
+
+
+# --- selections whose picks depend on each other ------------------------------------------------
+
+
+def balanced_slice(df: DataFrame, keys: list[str], bucket: list[str], order: str, target: int) -> DataFrame:
+    """Per group (keys) up to target rows that take turns over its buckets, which come in the order of their first rows.
+
+    When a bucket runs out, turns begin again with the first one left. order is unique within
+    a group. Of a bucket only the first target rows can ever be taken, so a task holds no more
+    of each.
+    """
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        queues = [list(ix)[::-1] for ix in pdf.groupby(bucket, sort=False).indices.values()]
+        queues.sort(key=lambda q: q[-1])
+        chosen, cursor = [], 0
+        while len(chosen) < target and queues:
+            at = cursor % len(queues)
+            chosen.append(queues[at].pop())
+            if queues[at]:
+                cursor += 1
+            else:
+                del queues[at]
+                cursor = 0
+        return pdf.loc[chosen].assign(place=range(1, len(chosen) + 1))
+
+    first = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, *bucket).orderBy(order))).where(F.col("_rn") <= target).drop("_rn")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", place int"
+    return first.groupBy(*keys).applyInPandas(pick, schema)
+
+
+def boundary_take(pool: DataFrame, takes: list[tuple[str, str, Column | None, int]], id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), most_use: int = 2) -> DataFrame:
+    """Rows near boundaries: no, category, id. takes: (category, margin column, condition or None, how many), one after another.
+
+    Each pick is the row of least margin, ties by id, that no earlier pick used and whose ends
+    were not used most_use times: one distributed minimum over the whole pool. A row counts for
+    a category only where its margin is not null.
+    """
+    pool = pool.persist()  # read once a pick
+    chosen: list[tuple] = []
+    used: Counter = Counter()
+    for category, margin, condition, n in takes:
+        for _ in range(n):
+            full = [x for x, k in used.items() if k >= most_use]
+            rows = pool.where(F.col(margin).isNotNull())
+            rows = rows if condition is None else rows.where(condition)
+            rows = rows.where(~F.col(id_col).isin([c[2] for c in chosen])) if chosen else rows
+            rows = rows.where(~F.col(ends[0]).isin(full) & ~F.col(ends[1]).isin(full)) if full else rows
+            best = rows.agg(F.min(F.struct(margin, id_col, *ends)).alias("m")).first()["m"]
+            if best is None:
+                break
+            chosen.append((len(chosen) + 1, category, best[id_col]))
+            used.update(best[e] for e in ends)
+    pool.unpersist()
+    return pool.sparkSession.createDataFrame(chosen, f"no int, category string, `{id_col}` {pool.schema[id_col].dataType.simpleString()}")
+
+
+def stratified_diverse(df: DataFrame, strata: list[str], axes: list[str], n: int, seed: str, id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), reuse: float = 0.12) -> DataFrame:
+    """n rows of every stratum, far apart on axes scaled to 0..1 within it: strata, place, id.
+
+    The first is one of the five nearest to the stratum's mean, which one the seed tells; each
+    next has the largest distance to those chosen, less `reuse` for every use of its ends and
+    with a seeded millionth to break ties. A round is one maximum a stratum, so what is
+    chosen, strata times n rows, is all that is joined by broadcast.
+    """
+    low = df.groupBy(*strata).agg(*(F.min(a).alias(f"_l{i}") for i, a in enumerate(axes)), *(F.max(a).alias(f"_h{i}") for i, a in enumerate(axes)))
+    scaled = F.array(*(F.when(F.col(f"_h{i}") > F.col(f"_l{i}"), (F.col(a) - F.col(f"_l{i}")) / (F.col(f"_h{i}") - F.col(f"_l{i}"))).otherwise(0.0) for i, a in enumerate(axes)))
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")), 256), 1, 12), 16, 10).cast("double") / float(2**48 - 1)
+    pool = df.join(F.broadcast(low), strata).select(*strata, F.col(id_col).alias("_id"), F.col(ends[0]).alias("_1"), F.col(ends[1]).alias("_2"), scaled.alias("_v"), h.alias("_h")).persist()
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
+    mean = pool.groupBy(*strata).agg(F.array(*(F.avg(F.element_at("_v", i + 1)) for i in range(len(axes)))).alias("_m"))
+    near = pool.join(F.broadcast(mean), strata).withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(apart(F.col("_v"), F.col("_m")), "_id"))).where("_rn <= 5")
+    turn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *(F.col(s).cast("string") for s in strata)), 256), 1, 12), 16, 10).cast("double") / float(2**48)
+    some = F.count(F.lit(1)).over(Window.partitionBy(*strata))
+    chosen = [r.asDict(recursive=True) | {"place": 1} for r in near.withColumn("_turn", F.floor(turn * some) + 1).where("_rn = _turn").select(*strata, "_id", "_1", "_2", "_v").collect()]
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*strata, "_id", "_1", "_2", "_v")) + ", place int"
+    for place in range(2, n + 1):
+        now = df.sparkSession.createDataFrame([tuple(r[c] for c in (*strata, "_id", "_1", "_2", "_v", "place")) for r in chosen], schema)
+        held = now.groupBy(*strata).agg(F.collect_list("_v").alias("_far"), F.collect_list("_id").alias("_ids"), F.flatten(F.collect_list(F.array("_1", "_2"))).alias("_used"))
+        rows = pool.join(F.broadcast(held), strata).where(~F.array_contains("_ids", F.col("_id")))
+        times = lambda e: F.size(F.filter("_used", lambda u: u == F.col(e)))
+        score = F.array_min(F.transform("_far", lambda v: apart(F.col("_v"), v))) - reuse * (times("_1") + times("_2")) + F.col("_h") * 1e-6
+        best = rows.groupBy(*strata).agg(F.max_by(F.struct("_id", "_1", "_2", "_v"), F.struct(score.alias("s"), "_id")).alias("m")).select(*strata, "m.*").collect()  # a row for each stratum
+        if not best:
+            break
+        chosen += [r.asDict(recursive=True) | {"place": place} for r in best]
+    pool.unpersist()
+    return df.sparkSession.createDataFrame([tuple(r[c] for c in (*strata, "_id", "_1", "_2", "_v", "place")) for r in chosen], schema).select(*strata, "place", F.col("_id").alias(id_col))
+
+
+def page_size(asked: Column) -> Column:
+    """Rows of a page: 12 to 36, 30 if none are asked for."""
+    return F.least(F.lit(36), F.greatest(F.lit(12), F.coalesce(asked, F.lit(30))))
+
+
+def per_query(size: Column, queries: Column, providers: Column) -> Column:
+    """Results that each query asks each provider for: the page shared out and two more, 8 to 18."""
+    return F.least(F.lit(18), F.greatest(F.lit(8), (F.ceil(size / queries / providers) + 2).cast("int")))

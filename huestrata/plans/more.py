@@ -133,23 +133,12 @@ def wn06(spark, sf):
     return photos(spark, sf).select("id", "provider", F.row_number().over(Window.partitionBy("provider", "search").orderBy("id")).alias("place"))
 
 
-@query("tk06_stratified", f"WITH {PAIRS_SQL}, s AS (SELECT id_1, id_2, least(3,floor(dl*8))::INT AS a, least(3,floor(dc*12))::INT AS b, row_number() OVER (PARTITION BY least(3,floor(dl*8)), least(3,floor(dc*12)) ORDER BY id_1, id_2) AS rn FROM rel) SELECT id_1, id_2, a, b FROM s WHERE rn <= 2")
-def tk06(spark, sf):
-    g = graph(spark, sf).select("id_1", "id_2", F.least(F.lit(3), F.floor(F.col("delta_L") * 8).cast("int")).alias("a"), F.least(F.lit(3), F.floor(F.col("delta_C") * 12).cast("int")).alias("b"))
-    return rk.capped_take(g, ["a", "b"], ["id_1", "id_2"], 2)
-
-
 @query("tk08_area_round_robin", "WITH t AS (SELECT p_partkey AS id, p_size//10 AS bin, row_number() OVER (PARTITION BY p_size//10 ORDER BY p_partkey) AS turn FROM part) SELECT id, bin::BIGINT AS bin FROM t ORDER BY turn, bin LIMIT 96")
 def tk08(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_size") / 10).alias("bin"))
     return rk.round_robin(p, ["bin"], ["id"], 96)
 
 
-@query("tk10_evaluation_pick", f"WITH {PHOTOS}, t AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY id) AS rn FROM photos WHERE gate = 'PASS' AND overlap <= 0.4) SELECT id, provider FROM t WHERE rn <= 6")
-def tk10(spark, sf):
-    return rk.capped_take(photos(spark, sf).where("gate = 'PASS' AND overlap <= 0.4"), ["provider"], ["id"], 6).select("id", "provider")
-
-
 @query("tk11_palette_top", f"WITH {MODES_SQL}, t AS (SELECT image_id, id, row_number() OVER (PARTITION BY image_id ORDER BY mass DESC, id) AS place FROM modes) SELECT * FROM t WHERE place <= 6")
 def tk11(spark, sf):
     w = Window.partitionBy("image_id").orderBy(F.desc("mass"), "id")
@@ -231,13 +220,6 @@ def jn23_masks(spark, sf):
     return rel.components(s.select(F.col("m").alias("node")).distinct(), rel.near_duplicates(s)).select(F.col("node").alias("mask"), "component")
 
 
-@query("flt03_term_set", f"WITH {PHOTOS} SELECT id, list_filter([CASE WHEN contains(lower(alt),'part 1') THEN 'part 1' END, CASE WHEN contains(lower(alt),'part') AND NOT contains(lower(alt),'part 1') THEN 'part' END], lambda x: x IS NOT NULL) AS terms FROM photos")
-def flt03(spark, sf):
-    low = F.lower("alt")
-    phrase = F.contains(low, F.lit("part 1"))
-    return photos(spark, sf).select("id", F.array_compact(F.array(F.when(phrase, "part 1"), F.when(F.contains(low, F.lit("part")) & ~phrase, "part"))).alias("terms"))
-
-
 @query("flt07_gamut", f"WITH {SWATCHES_SQL}, q AS (SELECT id, pow(L+0.3963377774*a*2+0.2158037573*bb*2,3) AS x, pow(L-0.1055613458*a*2-0.0638541728*bb*2,3) AS y, pow(L-0.0894841775*a*2-1.2914855480*bb*2,3) AS z FROM swatches) SELECT id, (4.0767416621*x-3.3077115913*y+0.2309699292*z) BETWEEN -1e-7 AND 1+1e-7 AND (-1.2684380046*x+2.6097574011*y-0.3413193965*z) BETWEEN -1e-7 AND 1+1e-7 AND (-0.0041960863*x-0.7034186147*y+1.7076147010*z) BETWEEN -1e-7 AND 1+1e-7 AS inside FROM q")
 def flt07(spark, sf):
     return swatches(spark, sf).select("id", c.in_gamut(F.col("L"), F.col("a") * 2, F.col("bb") * 2).alias("inside"))
@@ -299,11 +281,6 @@ def pl04(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(d > 0.05, "lighter").when(d < -0.05, "darker").otherwise("same").alias("hint"))
 
 
-@query("pl05_style_gather", "SELECT p_brand AS style, list_sort(list(DISTINCT p_size))[1:8] AS terms FROM part GROUP BY 1")
-def pl05(spark, sf):
-    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("style")).agg(F.slice(F.sort_array(F.collect_set("p_size")), 1, 8).alias("terms"))
-
-
 @query("src10_image_signature", "SELECT p_partkey AS id, CASE p_partkey%3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS kind FROM part")
 def src10(spark, sf):
     k = F.col("p_partkey") % 3

@@ -47,11 +47,6 @@ def tk02(spark, sf):
     return rk.diverse_top(scored(spark, sf), ["search"], 12).select("search", "place", "id", "provider", "author")
 
 
-@query("tk03_round_robin", f"WITH {PHOTOS}, t AS (SELECT *, row_number() OVER (PARTITION BY provider, search ORDER BY id) AS turn FROM photos) SELECT id, provider, search FROM t ORDER BY turn, provider, search LIMIT 100")
-def tk03(spark, sf):
-    return rk.round_robin(photos(spark, sf), ["provider", "search"], ["id"], 100).select("id", "provider", "search")
-
-
 @query("tk04_near_duplicate_greedy")
 def tk04(spark, sf):
     p = scored(spark, sf).select("search", "id", "author", F.substring(F.md5(F.col("alt")), 1, 16).alias("hash"))
@@ -65,23 +60,12 @@ def tk05(spark, sf):
     return rk.space_filling_pool(p, 24, ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"], "v7")
 
 
-@query("tk07_capped_strata", f"WITH {PHOTOS}, t AS (SELECT *, row_number() OVER (PARTITION BY search, provider ORDER BY round(score,9) DESC, id) AS rn FROM scored) SELECT id, search, provider FROM t WHERE rn <= 2")
-def tk07(spark, sf):
-    p = scored(spark, sf).withColumn("q", -F.round("score", 9))
-    return rk.capped_take(p, ["search", "provider"], ["q", "id"], 2).select("id", "search", "provider")
-
-
 @query("tk09_top_pairs", f"""WITH {MODES_SQL} SELECT x.id AS id_1, y.id AS id_2, round(sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)),6) AS delta_e FROM modes x JOIN modes y ON x.id < y.id ORDER BY 3, 1, 2 LIMIT 12""")
 def tk09(spark, sf):
     p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"]))
     return p.select("id_1", "id_2", R("delta_E").alias("delta_e")).orderBy("delta_e", "id_1", "id_2").limit(12)
 
 
-@query("tk13_page", f"WITH {PHOTOS} SELECT id FROM scored ORDER BY round(score,9) DESC, id LIMIT 24 OFFSET 24")
-def tk13(spark, sf):
-    return scored(spark, sf).orderBy(F.desc(F.round("score", 9)), "id").offset(24).limit(24).select("id")
-
-
 @query("flt05_qualify", f"WITH {PHOTOS}, r AS (SELECT *, row_number() OVER (ORDER BY round(score,9) DESC, id) AS place, count(*) OVER () AS n FROM scored) SELECT id FROM r WHERE round(score,9) >= 0.5 AND place <= greatest(12, ceil(n*0.7))")
 def flt05(spark, sf):
     return rk.qualify(scored(spark, sf).withColumn("q", F.round("score", 9)), "q", "id").select("id")
@@ -179,17 +163,6 @@ def fn35(spark, sf):
     return photos(spark, sf).select("id", R(colour_match(TARGETS)).alias("fit"), R(constraint_penalty(limits)).alias("penalty"))
 
 
-@query("pl01_branches", """WITH b(code,dl,dc,tf,dk,dw,dn,dd) AS (VALUES ('A',0.08,-0.02,0.75,-0.08,-0.08,0.08,-0.07),('B',0.0,0.0,1.0,0.0,0.0,0.0,0.0),('C',-0.08,0.015,1.0,0.10,0.08,0.0,0.07)), t AS (SELECT c_custkey AS id, (c_custkey*37%100)/100.0::DOUBLE AS l, (c_custkey*11%33)/100.0::DOUBLE AS c, (c_custkey*13%200)/100.0::DOUBLE-1 AS temp FROM customer)
-    SELECT id, code, round(greatest(0,least(1,l+dl)),6) AS lightness, round(greatest(0,least(0.33,c+dc)),6) AS chroma, round(temp*tf,6) AS temperature FROM t, b""")
-def pl01(spark, sf):
-    from huestrata.operators.profiles import branches
-
-    k = F.col("c_custkey")
-    t = table(spark, sf, "customer").select(k.alias("id"), (k * 37 % 100 / 100.0).alias("meanLightness"), (k * 11 % 33 / 100.0).alias("meanChroma"), (k * 13 % 200 / 100.0 - 1).alias("temperature"))
-    b = branches(t)
-    return b.select("id", F.col("branch").alias("code"), R("meanLightness").alias("lightness"), R("meanChroma").alias("chroma"), R("temperature").alias("temperature"))
-
-
 @query("jn02_left_score", "SELECT d.doc_id, coalesce(l.quality, -1) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def jn02(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("score")), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(-1)))
