@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huestrata.operators.ranking import ordered_merge
@@ -144,3 +144,96 @@ def leave_one_out(cases: DataFrame, case_id: str, value: str, label: str) -> Dat
     other = cases.select(F.col(case_id).alias("_i"), F.col(value).alias("_v"), F.col(label).alias("_l"))
     near = cases.join(other, F.col(case_id) != F.col("_i")).groupBy(case_id, label).agg(F.min(F.struct(F.abs(F.col(value) - F.col("_v")).alias("d"), "_i", "_l")).alias("m"))
     return near.select(case_id, F.col("m._l").alias("said"), (F.col("m._l") == F.col(label)).alias("right"))
+
+
+# --- calibration --------------------------------------------------------------------------------
+
+#: The values that a grid search tries, as (first, last, step), and the ones it prefers if they fit as well.
+TONE_GRID = {"sim_l": (0.04, 0.08, 0.005), "sim_c": (0.025, 0.04, 0.0025), "k": (2.0, 6.0, 0.25), "diff": (0.40, 0.70, 0.01)}
+TONE_PREFERRED = {"sim_l": 0.06, "sim_c": 0.033, "k": 4.0, "diff": 0.54}
+CHROMA_GRID, CHROMA_PREFERRED, HUE_GRID, HUE_PREFERRED = (0.005, 0.08, 0.0005), 0.03, (5.0, 120.0, 0.5), 40.0
+
+
+def steps(grid: tuple[float, float, float]) -> Column:
+    first, last, step = grid
+    return F.transform(F.sequence(F.lit(0), F.lit(round((last - first) / step))), lambda i: F.round(F.lit(first) + i * step, 10))
+
+
+def tone_hits(rows: Column, sim_l: Column, sim_c: Column, k: Column, diff: Column) -> Column:
+    """How many of an array of cases (dl, dc, label) two similarity bounds and a separation name rightly."""
+    said = lambda r: F.when((r["dl"] <= sim_l) & (r["dc"] <= sim_c), "similar").when(r["dl"] + k * F.sqrt(r["dl"] * r["dc"]) >= diff, "different").otherwise("similar_or_partial")
+    return F.size(F.filter(rows, lambda r: said(r) == r["label"]))
+
+
+def grid_search(cases: DataFrame, keys: list[str]) -> DataFrame:
+    """Per set of cases the tone parameters that fit best: keys, hits, n, plateau (how many do), sim_l, sim_c, k, diff.
+
+    The preferred ones if they fit as well as any, else the medians of all that do. A set
+    holds a few dozen labelled cases, so it is one array; the grid is exploded over it, and
+    its 33,201 points are counted and reduced by partial aggregation.
+    """
+    sets = cases.groupBy(*keys).agg(F.collect_list(F.struct("dl", "dc", "label")).alias("_r"))
+    prefer = tone_hits(F.col("_r"), *(F.lit(TONE_PREFERRED[x]) for x in TONE_GRID))
+    points = sets.select(*keys, "_r", F.size("_r").alias("n"), prefer.alias("_prefer"))
+    for name, grid in TONE_GRID.items():
+        points = points.withColumn(name, F.explode(steps(grid)))
+    points = points.withColumn("hits", tone_hits(F.col("_r"), *(F.col(x) for x in TONE_GRID))).drop("_r")
+    best = points.groupBy(*keys).agg(F.max("hits").alias("_best"))
+    won = points.join(best, keys).where("hits = _best").groupBy(*keys).agg(F.max("hits").alias("hits"), F.max("n").alias("n"), F.max("_prefer").alias("_prefer"), F.count(F.lit(1)).alias("plateau"), *(F.percentile(x, F.lit(0.5)).alias(f"_{x}") for x in TONE_GRID))
+    places = {"sim_l": 4, "sim_c": 4, "k": 2, "diff": 3}
+    pick = lambda x: F.when(F.col("_prefer") == F.col("hits"), TONE_PREFERRED[x]).otherwise(F.floor(F.col(f"_{x}") * 10 ** places[x] + 0.5) / 10 ** places[x])
+    return won.select(*keys, "hits", "n", "plateau", *(pick(x).alias(x) for x in TONE_GRID))
+
+
+def plateau(cases: DataFrame, keys: list[str], value: str, truth: str, grid: tuple[float, float, float], preferred: float, at_most: bool, digits: int) -> DataFrame:
+    """Per set of cases the threshold under which `truth` should hold: keys, hits, low, high, threshold.
+
+    low and high are the ends of the values that fit best; the preferred one if it lies
+    between, else the middle. The grid is exploded over each case and summed by threshold.
+    """
+    below = F.col(value) <= F.col("t") if at_most else F.col(value) < F.col("t")
+    hits = cases.withColumn("t", F.explode(steps(grid))).groupBy(*keys, "t").agg(F.count_if(below == F.col(truth)).alias("hits"))
+    best = hits.groupBy(*keys).agg(F.max("hits").alias("_best"))
+    ends = hits.join(best, keys).where("hits = _best").groupBy(*keys).agg(F.max("hits").alias("hits"), F.min("t").alias("low"), F.max("t").alias("high"))
+    middle = F.floor((F.col("low") + F.col("high")) / 2 * 10**digits + 0.5) / 10**digits
+    return ends.withColumn("threshold", F.when((F.col("low") <= preferred) & (F.col("high") >= preferred), preferred).otherwise(middle))
+
+
+def fitted_out(cases: DataFrame, keys: list[str], case_id: str, value: str, label: str) -> DataFrame:
+    """Leave-one-out: for every case the two cuts that fit the others of its set best, what they call it, and whether that is right.
+
+    Cuts are 0, the middles of neighbouring values, and just above the largest; of pairs a < b
+    the one of the largest macro recall wins, then of most hits, then of the widest gap, then
+    the lowest. A set holds a few dozen cases and is fitted in one task; sets are spread.
+    """
+
+    def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        vals = np.unique(x)
+        cuts = np.concatenate(([0.0], (vals[:-1] + vals[1:]) / 2, [vals[-1] + 1e-8]))
+        classes = sorted(set(y))
+        best, found = None, (0.0, 0.0)
+        for i, a in enumerate(cuts):
+            for b in cuts[i + 1 :]:
+                if a >= b:
+                    continue
+                right = np.where(x <= a, "similar", np.where(x >= b, "different", "similar_or_partial")) == y
+                key = (round(float(np.mean([right[y == c].mean() for c in classes])), 12), int(right.sum()), round(float(b - a), 12))
+                if best is None or key > best:
+                    best, found = key, (float(a), float(b))
+        return found
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(case_id).reset_index(drop=True)
+        x, y, out = pdf[value].to_numpy(float), pdf[label].to_numpy(str), []
+        for i in range(len(pdf)):
+            others = np.arange(len(pdf)) != i
+            if others.sum() < 3:
+                continue
+            a, b = fit(x[others], y[others])
+            said = "similar" if x[i] <= a else "different" if x[i] >= b else "similar_or_partial"
+            out.append((*pdf[keys].iloc[i], pdf[case_id].iloc[i], a, b, said, said == y[i]))
+        return pd.DataFrame(out, columns=[*keys, case_id, "similar_max", "different_min", "said", "right"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in cases.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, case_id)) + ", similar_max double, different_min double, said string, right boolean"
+    return cases.select(*keys, case_id, value, label).groupBy(*keys).applyInPandas(run, schema)

@@ -22,15 +22,6 @@ def cl04(spark, sf):
     return cl.merge_trace(modes(spark, sf), ["family"]).withColumn("distance", R("distance"))
 
 
-@query("cl11_grid_search", f"""WITH {MODES_SQL}, g AS (SELECT (i*5+20)::DOUBLE AS cut FROM range(0,13) t(i)), c AS (SELECT id, H, family = 1 AS y FROM modes WHERE H IS NOT NULL)
-    SELECT cut, count(*) FILTER (WHERE (H <= cut) = y) AS hits FROM c, g GROUP BY cut""")
-def cl11(spark, sf):
-    c = modes(spark, sf).where("H IS NOT NULL").select("H", (F.col("family") == 1).alias("y"))
-    cuts = [float(i * 5 + 20) for i in range(13)]
-    one = c.agg(*(F.count_if((F.col("H") <= t) == F.col("y")).alias(f"h{i}") for i, t in enumerate(cuts)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(t).alias("cut"), F.col(f"h{i}").alias("hits")) for i, t in enumerate(cuts)))).alias("r")).select("r.*")
-
-
 def cases(spark, sf):
     """Calibration cases: one per nation, a value and one of three labels."""
     k = F.col("n_nationkey")
@@ -42,12 +33,6 @@ def cl12(spark, sf):
     return cl.threshold_fit(cases(spark, sf), "v", "label")
 
 
-@query("cl13_leave_one_out", """WITH c AS (SELECT n_nationkey::BIGINT AS case_id, n_nationkey*37%100/100.0::DOUBLE AS v, CASE WHEN n_nationkey*37%100 < 35 THEN 'similar' WHEN n_nationkey*37%100 > 70 THEN 'different' ELSE 'similar_or_partial' END AS label FROM nation),
-    d AS (SELECT x.case_id, x.label, y.label AS said, row_number() OVER (PARTITION BY x.case_id ORDER BY abs(x.v-y.v), y.case_id) AS rn FROM c x JOIN c y ON x.case_id <> y.case_id) SELECT case_id, said, said = label AS "right" FROM d WHERE rn = 1""")
-def cl13(spark, sf):
-    return cl.leave_one_out(cases(spark, sf), "case_id", "v", "label")
-
-
 @query("cl14_palette_match")
 def cl14(spark, sf):
     p = cl.palettes(swatches(spark, sf), "image_id")
@@ -93,15 +78,6 @@ def prj08(spark, sf):
     return p.select("image_id", F.posexplode("palette").alias("at", "s")).select("image_id", (F.col("at") + 1).cast("long").alias("place"), R(F.col("s.w") * 0.85).alias("weight"))
 
 
-@query("sm11_candidate_score", """WITH k AS (SELECT p_partkey AS id, (p_partkey*7919)%1000/1000.0::DOUBLE AS clip, (p_partkey*31)%100/100.0::DOUBLE AS l, (p_partkey*17)%100/100.0::DOUBLE AS c, (p_partkey*13)%100/100.0::DOUBLE AS h FROM part), s AS (SELECT id, 0.55*clip+0.2*l+0.2*c+0.05*h AS score FROM k)
-    SELECT id, abs(score-0.5) < 0.02 AS abstain, round(CASE WHEN abs(score-0.5) >= 0.02 THEN score END,6) AS score FROM s""")
-def sm11(spark, sf):
-    k = F.col("p_partkey")
-    score = 0.55 * (k * 7919 % 1000 / 1000.0) + 0.2 * (k * 31 % 100 / 100.0) + 0.2 * (k * 17 % 100 / 100.0) + 0.05 * (k * 13 % 100 / 100.0)
-    s = table(spark, sf, "part").select(k.alias("id"), score.alias("s"))
-    return s.select("id", (F.abs(F.col("s") - 0.5) < 0.02).alias("abstain"), R(F.when(F.abs(F.col("s") - 0.5) >= 0.02, F.col("s"))).alias("score"))
-
-
 @query("sm10_shadow_diff", "SELECT l_suppkey AS k, CASE WHEN max(abs(l_discount-l_tax)) = 0 THEN 'PASS_STRICT' WHEN max(abs(l_discount-l_tax)) <= 0.05 THEN 'PASS_NUMERICAL' WHEN max(abs(l_discount-l_tax)) <= 0.0999 THEN 'WARN' ELSE 'FAIL' END AS state FROM lineitem GROUP BY 1")
 def sm10(spark, sf):
     d = F.max(F.abs(F.col("l_discount") - F.col("l_tax")))

@@ -288,31 +288,6 @@ def src10(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ld.image_kind(head).alias("kind"))
 
 
-@query("src03_fresh_cache", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
-def src03(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "ts")
-    now = e.agg(F.max("ts").alias("now"))
-    return ld.fresh(e.join(F.broadcast(now), F.lit(True)), F.col("now"), 24, "ts").select("event_id")
-
-
-@query("sm03_staleness", "SELECT event_id, event_id//30 < max(event_id//30) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stale FROM events")
-def sm03(spark, sf):
-    g = F.floor(F.col("event_id") / 30)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", (g < F.max(g).over(w)).alias("stale"))
-
-
-@query("sm02_latest_wins", "SELECT user_id AS view, max(event_id) AS active, count(*)-1 AS superseded FROM events GROUP BY 1")
-def sm02(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("view")).agg(F.max("event_id").alias("active"), (F.count(F.lit(1)) - 1).alias("superseded"))
-
-
-@query("sm05_batches", "SELECT event_id, CASE WHEN event_id%5 = 0 THEN 'FULL' WHEN event_id%2 = 0 THEN 'DELTA' ELSE 'REJECTED' END AS kind FROM events")
-def sm05(spark, sf):
-    k = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", F.when(k % 5 == 0, "FULL").when(k % 2 == 0, "DELTA").otherwise("REJECTED").alias("kind"))
-
-
 @query("gv12_drift", "WITH o AS (SELECT n_name AS k, n_regionkey AS v FROM nation WHERE n_nationkey%4<>0), n AS (SELECT n_name AS k, n_regionkey*(n_nationkey%2) AS v FROM nation) SELECT coalesce(o.k,n.k) AS package FROM o FULL JOIN n ON o.k=n.k WHERE o.v IS DISTINCT FROM n.v")
 def gv12(spark, sf):
     n = table(spark, sf, "nation")
@@ -320,13 +295,6 @@ def gv12(spark, sf):
     return d.where("NOT old_value <=> new_value").select(F.col("k").alias("package"))
 
 
-@query("sm09_package_state", "SELECT o_custkey AS package, CASE WHEN bool_or(o_orderstatus='P') THEN 'HOLD' WHEN bool_and(o_orderstatus='F') THEN 'PASS' WHEN count(*) < 2 THEN 'NEW' ELSE 'WAITING' END AS state FROM orders GROUP BY 1")
-def sm09(spark, sf):
-    s = F.col("o_orderstatus")
-    g = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("package")).agg(F.bool_or(s == "P").alias("p"), F.bool_and(s == "F").alias("f"), F.count(F.lit(1)).alias("n"))
-    return g.select("package", F.when(F.col("p"), "HOLD").when(F.col("f"), "PASS").when(F.col("n") < 2, "NEW").otherwise("WAITING").alias("state"))
-
-
 @query("src05_enabled_sources", "SELECT 'pexels:' || p_partkey AS id, 'pexels' AS provider FROM part WHERE p_partkey%2=0 UNION ALL SELECT 'pixabay:' || p_partkey, 'pixabay' FROM part WHERE p_partkey%2=1")
 def src05(spark, sf):
     k = F.col("p_partkey")

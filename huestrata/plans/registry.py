@@ -19,5 +19,5 @@ def load_all() -> None:
     """Imports every module of queries."""
     from importlib import import_module
 
-    for name in ("colour", "statistics", "search", "clusters", "streams", "more", "interpretation", "masks", "hierarchy", "governance", "selection"):
+    for name in ("colour", "statistics", "search", "clusters", "streams", "more", "interpretation", "masks", "hierarchy", "governance", "selection", "jobs"):
         import_module(f"huestrata.plans.{name}")

@@ -67,29 +67,6 @@ def prj13(spark, sf):
     return ld.allowlisted(log, ["event_id", "props", "secret"], 20)
 
 
-def job_log(spark, sf):
-    """Events read as a job log: views are users, kinds follow the event id."""
-    k = F.col("event_id")
-    kind = F.when(k % 3 == 0, "START").when(k % 3 == 1, "FULL").otherwise("END")
-    return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("view"), kind.alias("kind"), F.floor(k / 3).alias("job"), F.floor(k / 30).alias("generation"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), (k % 2).alias("snapshot"))
-
-
-@query("sm04_lifecycle")
-def sm04(spark, sf):
-    return jobs.lifecycle_batch(job_log(spark, sf))
-
-
-@query("sm06_status_counts")
-def sm06(spark, sf):
-    return jobs.lifecycle_batch(job_log(spark, sf)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("sm01_sampled_status", "SELECT event_id, CASE WHEN event_id%10 = 0 AND value > 90 THEN 'DROPPED' WHEN event_id%10 = 0 THEN 'QUEUED' ELSE 'SKIPPED' END AS status FROM events")
-def sm01(spark, sf):
-    sampled = F.col("event_id") % 10 == 0
-    return table(spark, sf, "events").select("event_id", F.when(sampled & (F.col("value") > 90), "DROPPED").when(sampled, "QUEUED").otherwise("SKIPPED").alias("status"))
-
-
 @query("sx01_tumbling_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1, 2")
 def sx01(spark, sf):
     w = jobs.windowed(table(spark, sf, "events"), "ts", ["event_type"], "value", "1 hour")
@@ -106,3 +83,24 @@ def sx02(spark, sf):
 def sm08(spark, sf):
     k = F.col("event_id")
     return jobs.admitted(table(spark, sf, "events").where("event_type <> 'click'").select((k % 100).alias("path"), k.alias("scan"), (k % 3).alias("size"), F.lit(1).alias("mtime")))
+
+
+@query("src02_pexels_pages", f"WITH r AS (SELECT p_partkey AS id, p_name || ' & ' || p_brand AS q, p_partkey%5-1 AS page, p_size*3 AS per_page, CASE p_partkey%3 WHEN 0 THEN 'landscape' WHEN 1 THEN '' END AS orientation, CASE p_partkey%4 WHEN 1 THEN 'red' END AS color FROM part) SELECT id, 'https://api.pexels.com/v1/search?query=' || replace(url_encode(q),'+','%20') || '&page=' || greatest(1,page) || '&per_page=' || least(80,greatest(1,per_page)) || CASE WHEN orientation <> '' THEN '&orientation=' || orientation ELSE '' END || CASE WHEN color <> '' THEN '&color=' || color ELSE '' END AS url, ceil(id/greatest(1,per_page)::DOUBLE)::BIGINT AS total_pages FROM r")
+def src02(spark, sf):
+    """The address of every search, with options only where they are set, and how many pages its total makes."""
+    k = F.col("p_partkey")
+    options = {"orientation": F.when(k % 3 == 0, "landscape").when(k % 3 == 1, ""), "color": F.when(k % 4 == 1, "red")}
+    url = ld.pexels_url(F.concat("p_name", F.lit(" & "), "p_brand"), k % 5 - 1, F.col("p_size") * 3, options)
+    return table(spark, sf, "part").select(k.alias("id"), url.alias("url"), ld.total_pages(k, F.col("p_size") * 3).alias("total_pages"))
+
+
+@query("src03_fresh_cache", """WITH r AS (SELECT p_partkey AS id, 'https://pixabay.com/api/?q=' || replace(url_encode(p_name),'+','%20') || '&image_type=' || CASE p_partkey%3 WHEN 0 THEN 'photo' WHEN 1 THEN 'all' ELSE 'vector' END || '&order=' || CASE p_partkey%4 WHEN 0 THEN 'latest' ELSE 'popular' END || '&page=1&per_page=' || least(200,greatest(3,p_size)) AS url FROM part),
+    c AS (SELECT sha256(url) AS k, (SELECT max(ts) FROM events) - to_hours((id*7%48)::INT) AS stamp, 'body' || id AS body FROM r WHERE id%5 <> 0), f AS (SELECT k, arg_max(body, stamp) AS body FROM c WHERE stamp > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY 1) SELECT id, sha256(url) AS cache_key, f.k IS NOT NULL AS hit FROM r LEFT JOIN f ON f.k = sha256(url)""")
+def src03(spark, sf):
+    """Which searches a cache of answers, kept for a day under the hash of their address, can serve."""
+    k = F.col("p_partkey")
+    url = ld.pixabay_url(F.col("p_name"), F.lit(0), F.col("p_size"), F.when(k % 3 == 0, "Photo").when(k % 3 == 1, "drawing").otherwise("vector"), F.when(k % 4 == 0, "latest").otherwise("odd"))
+    r = table(spark, sf, "part").select(k.alias("id"), url.alias("url"))
+    now = table(spark, sf, "events").agg(F.max("ts").alias("now"))  # one row
+    c = r.where("id % 5 <> 0").join(F.broadcast(now), F.lit(True)).select(F.sha2("url", 256).alias("cache_key"), "now", F.expr("now - make_interval(0, 0, 0, 0, CAST(id * 7 % 48 AS INT))").alias("ingest_ts"), F.concat(F.lit("body"), F.col("id").cast("string")).alias("body"))
+    return ld.cached(r, c, "url", F.col("now")).select("id", "cache_key", "hit")

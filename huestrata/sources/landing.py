@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,10 +108,39 @@ def seed_queries(seeds: DataFrame, style: str, most: int = 6) -> DataFrame:
     return some.unionByName(made.join(some.agg(F.count(F.lit(1)).alias("_n")), F.lit(True)).where("_n = 0").drop("_n"))
 
 
+def _walk(value, found: set[str]) -> None:
+    stack = [value]
+    while stack:
+        now = stack.pop()
+        if isinstance(now, dict):
+            key = now.get("pair_key")
+            if isinstance(key, str) and key:
+                found.add(key)
+            stack += now.values()
+        elif isinstance(now, list):
+            stack += now
+
+
 def pair_keys(docs: DataFrame, column: str = "body") -> DataFrame:
-    """Every pair_key string anywhere in JSON documents, however deep, distinct."""
-    found = F.regexp_extract_all(F.col(column), F.lit(r'"pair_key"\s*:\s*"([^"\\]+)"'), F.lit(1))
-    return docs.select(F.explode(found).alias("pair_key")).distinct()
+    """Every pair_key string anywhere in JSON documents, however deep, distinct. What is no JSON has none.
+
+    The shape of the documents is open, so each is parsed and walked; text that only looks
+    like a key, inside a string, is none.
+    """
+
+    @F.pandas_udf("array<string>")
+    def found(bodies: pd.Series) -> pd.Series:
+        out = []
+        for body in bodies:
+            keys: set[str] = set()
+            try:
+                _walk(json.loads(body or "null"), keys)
+            except (ValueError, RecursionError):
+                pass
+            out.append(sorted(keys))
+        return pd.Series(out)
+
+    return docs.select(F.explode(found(F.col(column))).alias("pair_key")).distinct()
 
 
 def flatten_json(docs: DataFrame, key: str, column: str = "body", depth: int = 6) -> DataFrame:
@@ -135,3 +167,58 @@ def allowlisted(log: DataFrame, fields: list[str], most: int = 240) -> DataFrame
 def write_rounded(df: DataFrame, path: str, digits: int = 8) -> None:
     """JSON with doubles rounded to `digits`."""
     df.select(*(F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes)).write.mode("overwrite").json(path)
+
+
+#: Fields that tell what a person or a model saw, which no packet may carry.
+SUBJECTIVE = ["human_label", "gold_label", "ai_label", "perceptual_ground_truth", "tone_relation", "hue_relation"]
+
+
+def physical_only(df: DataFrame) -> DataFrame:
+    """df, if none of its fields, however deep, is subjective; else an error."""
+
+    def names(kind):
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                yield f.name
+                yield from names(f.dataType)
+        elif isinstance(kind, T.ArrayType):
+            yield from names(kind.elementType)
+        elif isinstance(kind, T.MapType):
+            yield from names(kind.valueType)
+
+    bad = sorted({n for n in names(df.schema) if n in SUBJECTIVE})
+    if bad:
+        raise ValueError(f"subjective fields in a packet: {bad}")
+    return df
+
+
+# What requests to two providers may ask for.
+PEXELS_OPTIONS = ["orientation", "size", "color", "locale"]
+PIXABAY_KINDS, PIXABAY_ORDERS = ["all", "photo", "illustration", "vector"], ["popular", "latest"]
+
+
+def request_url(base: str, parameters: list[tuple[str, Column]]) -> Column:
+    """A request's address: the parameters in their order, percent-encoded; empty and null ones are left out."""
+    one = [F.when(F.length(v.cast("string")) > 0, F.concat(F.lit(f"{n}="), F.replace(F.url_encode(v.cast("string")), F.lit("+"), F.lit("%20")))) for n, v in parameters]
+    return F.concat(F.lit(base + "?"), F.concat_ws("&", *one))
+
+
+def pexels_url(query: Column, page: Column, per_page: Column, options: dict[str, Column], most: int = 80) -> Column:
+    """Page and size within bounds, options only where they are set."""
+    return request_url("https://api.pexels.com/v1/search", [("query", F.trim(query)), ("page", F.greatest(F.lit(1), page)), ("per_page", F.least(F.lit(most), F.greatest(F.lit(1), per_page))), *((o, options[o]) for o in PEXELS_OPTIONS if o in options)])
+
+
+def total_pages(total: Column, per_page: Column) -> Column:
+    return F.ceil(total / F.greatest(F.lit(1), per_page))
+
+
+def pixabay_url(query: Column, page: Column, per_page: Column, kind: Column, order: Column, most: int = 200) -> Column:
+    """The query cut to a hundred letters; values out of an enumeration become its first; three results at least."""
+    known = lambda v, allowed: F.when(F.lower(v).isin(allowed), F.lower(v)).otherwise(allowed[0])
+    return request_url("https://pixabay.com/api/", [("q", F.substring(F.trim(query), 1, 100)), ("image_type", known(kind, PIXABAY_KINDS)), ("order", known(order, PIXABAY_ORDERS)), ("page", F.greatest(F.lit(1), page)), ("per_page", F.least(F.lit(most), F.greatest(F.lit(3), per_page)))])
+
+
+def cached(requests: DataFrame, cache: DataFrame, url: str, now: Column, hours: int = 24) -> DataFrame:
+    """requests with cache_key (SHA-256 of the address), hit, and the body of a cached answer that is not too old. cache: cache_key, ingest_ts, body."""
+    newest = fresh(cache, now, hours).groupBy("cache_key").agg(F.max_by("body", "ingest_ts").alias("body"))
+    return requests.withColumn("cache_key", F.sha2(F.col(url), 256)).join(newest, "cache_key", "left").withColumn("hit", F.col("body").isNotNull())
