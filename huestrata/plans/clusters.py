@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from huestrata.functions import stats as st
 from huestrata.operators import clustering as cl
+from huestrata.plans.hierarchy import style_swatches
 from huestrata.plans.registry import query
 from huestrata.sources.tables import MODES_SQL, SWATCHES_SQL, modes, swatches, table
 
@@ -19,7 +20,7 @@ def cl01(spark, sf):
 
 @query("cl04_merge_trace")
 def cl04(spark, sf):
-    return cl.merge_trace(modes(spark, sf), ["family"]).withColumn("distance", R("distance"))
+    return cl.merge_trace(style_swatches(spark, sf), ["style"]).withColumn("distance", R("distance"))
 
 
 def cases(spark, sf):
@@ -54,7 +55,7 @@ def cl18(spark, sf):
 @query("jn22_ownership")
 def jn22(spark, sf):
     """The owner of each photo after its scored events in order: replaced by its own branch or a score more than 0.03 higher."""
-    e = table(spark, sf, "events").select((F.col("event_id") % 200).alias("photo"), F.col("event_id"), F.col("event_type").alias("branch"), (F.col("value") / 100).alias("score"), (F.col("event_id") % 2 == 0).alias("own"))
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 50).alias("photo"), F.col("event_id"), F.col("event_type").alias("branch"), (F.col("value") / 100).alias("score"), (F.col("event_id") % 2 == 0).alias("own"))
     ordered = e.groupBy("photo").agg(F.sort_array(F.collect_list(F.struct("event_id", "branch", "score", "own"))).alias("seq"))
     start = F.struct(F.lit("").alias("branch"), F.lit(-1.0).alias("score"))
     wins = lambda s, x: (x["score"] > s["score"] + 0.03) | (x["own"] & (x["branch"] == s["branch"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -255,11 +256,14 @@ def prj12(spark, sf):
 
 @query("cl05_greedy_merge")
 def cl05(spark, sf):
-    def run(pdf):
+    """Colours of every style merged in falling mass."""
+    from huestrata.plans.hierarchy import style_swatches
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = rk.ordered_merge(zip(pdf["mass"], pdf["L"], pdf["a"], pdf["bb"], strict=True), 0.045)
-        return __import__("pandas").DataFrame([(pdf["family"].iloc[0], i + 1, round(m[0], 6)) for i, m in enumerate(out)], columns=["family", "place", "mass"])
+        return pd.DataFrame([(pdf["style"].iloc[0], i + 1, round(m[0], 6)) for i, m in enumerate(out)], columns=["style", "place", "mass"])
 
-    return modes(spark, sf).select("family", "mass", "L", "a", "bb").groupBy("family").applyInPandas(run, "family long, place int, mass double")
+    return style_swatches(spark, sf).select("style", "id", "mass", "L", "a", "bb").groupBy("style").applyInPandas(lambda pdf: run(pdf.sort_values("id")), "style long, place int, mass double")
 
 
 @query("pl02_query_plan", f"WITH {PHOTOS}, q AS (SELECT search, provider, sum(score) AS w FROM scored GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY round(w,9) DESC, provider) AS rn FROM q), t AS (SELECT * FROM r WHERE rn <= 3) SELECT search, provider, round(w/sum(w) OVER (PARTITION BY search),6) AS share FROM t")

@@ -16,18 +16,18 @@ R = lambda x, n=6: F.round(x, n)
 
 
 def photos(spark, sf):
-    """Search results: one row per part, with scores in 0..1."""
+    """Search results: one row per part, a hundred to a search, with scores in 0..1."""
     k = F.col("p_partkey")
     return table(spark, sf, "part").select(
         k.alias("id"), F.concat(F.lit("https://"), F.when(k % 3 == 0, F.lit("WWW.")).otherwise(F.lit("")), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")), F.lit(".com/i/"), k.cast("string"), F.lit("?q=1")).alias("url"),
         F.concat(F.lit("prov"), (k % 4).cast("string")).alias("provider"), F.concat(F.lit("auth"), (k % 31).cast("string")).alias("author"), F.col("p_name").alias("alt"),
         ((k * 7919) % 1000 / 1000.0).alias("content"), ((k * 104729) % 1000 / 1000.0).alias("theme"), ((k * 1299709) % 1000 / 1000.0).alias("retrieval"), ((k * 15485863) % 1000 / 1000.0).alias("overlap"),
-        F.when(k % 5 < 2, "PASS").otherwise("CANDIDATE").alias("gate"), (k % 20).cast("long").alias("search"))
+        F.when(k % 5 < 2, "PASS").otherwise("CANDIDATE").alias("gate"), F.floor(k / 100).cast("long").alias("search"))
 
 
 PHOTOS = """photos AS (SELECT p_partkey AS id, 'https://' || CASE WHEN p_partkey%3=0 THEN 'WWW.' ELSE '' END || lower(regexp_replace(p_brand,'[^A-Za-z0-9]','','g')) || '.com/i/' || p_partkey || '?q=1' AS url,
     'prov' || (p_partkey%4) AS provider, 'auth' || (p_partkey%31) AS author, p_name AS alt, (p_partkey*7919)%1000/1000.0::DOUBLE AS content, (p_partkey*104729)%1000/1000.0::DOUBLE AS theme,
-    (p_partkey*1299709)%1000/1000.0::DOUBLE AS retrieval, (p_partkey*15485863)%1000/1000.0::DOUBLE AS overlap, CASE WHEN p_partkey%5 < 2 THEN 'PASS' ELSE 'CANDIDATE' END AS gate, (p_partkey%20)::BIGINT AS search FROM part),
+    (p_partkey*1299709)%1000/1000.0::DOUBLE AS retrieval, (p_partkey*15485863)%1000/1000.0::DOUBLE AS overlap, CASE WHEN p_partkey%5 < 2 THEN 'PASS' ELSE 'CANDIDATE' END AS gate, (p_partkey//100)::BIGINT AS search FROM part),
     scored AS (SELECT *, (0.5*content+0.2*theme+0.2*retrieval+0.1*overlap)*CASE WHEN gate='PASS' THEN 1.0 ELSE 0.94 END AS score FROM photos)"""
 
 

@@ -66,12 +66,13 @@ def ag07(spark, sf):
 @query("ag10_nearest_rank", """WITH r AS (SELECT c_mktsegment AS segment, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal)-1 AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
     SELECT segment, max(CASE WHEN rn = floor((n-1)*0.9+0.5) THEN v END) AS rounded, max(CASE WHEN rn = ceil(n*0.95)-1 THEN v END) AS ceiled, max(CASE WHEN rn = floor((n-1)*0.5) THEN v END) AS floored, round(quantile_cont(v, 0.25),4) AS linear FROM r GROUP BY segment""")
 def ag10(spark, sf):
+    """Four definitions of a percentile from one sort: every row's place, and the values at the places asked for."""
     d = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("v"))
-    parts = [st.nearest_rank(d, ["segment"], "v", q, how, name) for q, how, name in ((0.9, "round", "rounded"), (0.95, "ceil", "ceiled"), (0.5, "floor", "floored"), (0.25, "linear", "linear"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "segment")
-    return out.withColumn("linear", R("linear", 4))
+    part = Window.partitionBy("segment")
+    r = d.where("v IS NOT NULL").withColumns({"at": F.row_number().over(part.orderBy("v")) - 1, "n": F.count("v").over(part)})
+    n = F.col("n")
+    at = lambda place: F.max(F.when(F.col("at") == place, F.col("v")))
+    return r.groupBy("segment").agg(at(F.floor((n - 1) * 0.9 + 0.5)).alias("rounded"), at(F.greatest(F.ceil(n * 0.95) - 1, F.lit(0))).alias("ceiled"), at(F.floor((n - 1) * 0.5)).alias("floored"), R(F.percentile("v", F.lit(0.25)), 4).alias("linear"))
 
 
 @query("ag14_bucket_count", f"WITH {SWATCHES_SQL} SELECT image_id, count(DISTINCT (r//8)*1024+(g//8)*32+(b//8)) AS buckets FROM swatches GROUP BY 1")

@@ -20,10 +20,10 @@ def with_lab(df: DataFrame, r: str = "r", g: str = "g", b: str = "b") -> DataFra
 
 
 def swatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One colour per part: id, image_id, family, r, g, b, w and its OKLab and OKLCH."""
+    """One colour per part, 80 to an image: id, image_id, family, r, g, b, w and its OKLab and OKLCH."""
     p = table(spark, sf_dir, "part")
     rows = p.select(
-        F.col("p_partkey").cast("long").alias("id"), (F.col("p_partkey") % 24).cast("long").alias("image_id"), F.col("p_brand").alias("family"),
+        F.col("p_partkey").cast("long").alias("id"), F.floor(F.col("p_partkey") / 80).cast("long").alias("image_id"), F.col("p_brand").alias("family"),
         ((F.col("p_partkey") * 37) % 256).cast("int").alias("r"), ((F.col("p_partkey") * 91 + 13) % 256).cast("int").alias("g"),
         ((F.col("p_size") * 53 + F.col("p_partkey")) % 256).cast("int").alias("b"), (F.col("p_retailprice") / 1000.0).alias("w"),
     )
@@ -31,11 +31,11 @@ def swatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One colour mode per supplier: id, image_id, family, r, g, b, mass and its OKLab and OKLCH."""
+    """One colour mode per supplier, eight to an image: id, image_id, family, r, g, b, mass and its OKLab and OKLCH."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     rows = s.select(
-        k.cast("long").alias("id"), (k % 24).cast("long").alias("image_id"), (F.col("s_nationkey") % 5).cast("long").alias("family"),
+        k.cast("long").alias("id"), F.floor(k / 8).cast("long").alias("image_id"), (F.col("s_nationkey") % 5).cast("long").alias("family"),
         ((k * 67 + 29) % 256).cast("int").alias("r"), ((k * 149 + 7) % 256).cast("int").alias("g"), ((k * 211 + 101) % 256).cast("int").alias("b"),
         (F.round(F.abs(F.col("s_acctbal")) / 1000.0, 3) + 0.001).alias("mass"),
     )
@@ -62,12 +62,12 @@ def lab_sql(source: str, name: str) -> str:
 
 
 SWATCHES_SQL = (
-    """pix AS (SELECT p_partkey::BIGINT AS id, (p_partkey % 24)::BIGINT AS image_id, p_brand AS family, ((p_partkey*37)%256)::INT AS r,
+    """pix AS (SELECT p_partkey::BIGINT AS id, (p_partkey // 80)::BIGINT AS image_id, p_brand AS family, ((p_partkey*37)%256)::INT AS r,
     ((p_partkey*91+13)%256)::INT AS g, ((p_size*53+p_partkey)%256)::INT AS b, p_retailprice/1000.0::DOUBLE AS w FROM part),"""
     + lab_sql("pix", "swatches")
 )
 MODES_SQL = (
-    """sup AS (SELECT s_suppkey::BIGINT AS id, (s_suppkey % 24)::BIGINT AS image_id, (s_nationkey % 5)::BIGINT AS family, ((s_suppkey*67+29)%256)::INT AS r,
+    """sup AS (SELECT s_suppkey::BIGINT AS id, (s_suppkey // 8)::BIGINT AS image_id, (s_nationkey % 5)::BIGINT AS family, ((s_suppkey*67+29)%256)::INT AS r,
     ((s_suppkey*149+7)%256)::INT AS g, ((s_suppkey*211+101)%256)::INT AS b, round(abs(s_acctbal)/1000.0::DOUBLE, 3)+0.001::DOUBLE AS mass FROM supplier),"""
     + lab_sql("sup", "modes")
 )
