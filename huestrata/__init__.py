@@ -1 +1,19 @@
-"""huestrata: a Spark-native analytics engine for colour- and reference-centred data."""
+"""huestrata: a PySpark-native analytics engine for colour-centred data and training corpora."""
+
+from __future__ import annotations
+
+import os
+import shutil
+import tempfile
+
+
+def ship(spark) -> None:
+    """Sends the package to the executors of a session, for clusters on which it is not installed.
+
+    Spark copies the archive itself, so the folder it is made in may be the driver's own.
+    """
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        staged = os.path.join(folder, "src", "huestrata")
+        shutil.copytree(root, staged, ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "huestrata"), "zip", os.path.dirname(staged), "huestrata"))
