@@ -315,3 +315,46 @@ def test_pipeline_stages(spark, tmp_path):
     assert 5002 in ids["near_dedup"] and not {5003, 5004} & ids["near_dedup"]
     assert 5002 not in ids["decontamination"] and 5001 in ids["bpe"]
     assert {r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == ids["bpe"]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() against the same five decisions in plain Python, row by row."""
+    import pytest
+
+    tokenizers = pytest.importorskip("tokenizers")
+    import corpus_pipeline
+    from huestrata.llm.common import APART, word_hashes
+    from huestrata.llm.queries import word_bpe_path
+
+    docs, labels, _ = labelled(spark, 260)
+    rnd = random.Random(31)
+    items = [" ".join(words_of(rnd, n)) for n in (14, 30)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for i, t in enumerate([*(t for _, t in rows[:30]), *(t for _, t in rows[:10])]):  # copies, and copies with a word changed
+        w = (t or "").split(" ")
+        w[len(w) // 2] = "changed" if i % 2 else w[len(w) // 2]
+        rows.append((3000 + i, " ".join(w)))
+    for i in range(12):
+        w = items[i % 2].split(" ")
+        w[rnd.randrange(len(w))] = "edit"
+        rows.append((4000 + i, " ".join(words_of(rnd, 20) + w + words_of(rnd, 20))))
+    base = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    base.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    model = toxicity.train_toxicity(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
+    left = [(i, t) for i, t in rows if model.score(next(iter(toxicity.text_features([t])))) < 0.5]
+    best = {}
+    for i, t in left:
+        best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+    left = [(i, t) for i, t in left if (-1 if i is None else i) == best[t or ""]]
+    comp = {(i, t): c for (i, t), (_, _, c) in zip(left, brute_components([(-1 if i is None else i, t) for i, t in left]), strict=True)}
+    left = [(i, t) for i, t in left if (-1 if i is None else i) == comp[i, t]]
+    words = lambda t: next(iter(word_hashes([t], APART)), []).tolist() if t else []
+    leaks = lambda t: any(plain_alignment(words(x), words(t)) >= 0.4 * len(words(x)) for x in items)
+    left = [(i, t) for i, t in left if not leaks(t)]
+    library = tokenizers.Tokenizer.from_file(word_bpe_path())
+    want = sorted((-1 if i is None else i, library.encode(t or "", add_special_tokens=False).ids) for i, t in left)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], list(r["token_ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(got) < len(rows) - 40
