@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -10,10 +11,11 @@ import tempfile
 def ship(spark) -> None:
     """Sends the package to the executors of a session, for clusters on which it is not installed.
 
-    Spark copies the archive itself, so the folder it is made in may be the driver's own.
+    Executors fetch the archive from the driver, so it lies in a folder of the driver's own
+    until the driver ends.
     """
-    root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        staged = os.path.join(folder, "src", "huestrata")
-        shutil.copytree(root, staged, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "huestrata"), "zip", os.path.dirname(staged), "huestrata"))
+    folder = tempfile.mkdtemp(prefix="huestrata-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    source = os.path.join(folder, "src", "huestrata")
+    shutil.copytree(os.path.dirname(os.path.abspath(__file__)), source, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "huestrata"), "zip", os.path.dirname(source), "huestrata"))
