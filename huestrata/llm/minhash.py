@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from huestrata.llm.common import per_text, shingle_hashes, slices, staged, text_of, unused, word_hashes
+from huestrata.llm.common import drop_path, per_text, shingle_hashes, slices, staged, staging_dir, text_of, unused, word_hashes
 from huestrata.llm.components import stars
 
 
@@ -138,13 +138,16 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     Ids may be of any type with an order. A component without any id has a null component_id
     and its rows are kept. Empty input gives an empty result; other columns are ignored.
     """
-    rows = staged(sketches(docs, params, id_col, text_col))
+    spark = docs.sparkSession
+    wide, path = staging_dir(spark), staging_dir(spark)
+    rows = staged(sketches(docs, params, id_col, text_col), wide)
     found = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = staged(found.withColumn("cid", F.monotonically_increasing_id()))
-    merged = _merge(docs, classes, params, id_col, text_col)
-    ids = classes.select("key", "cid", "rep")
+    classes = staged(found.withColumn("cid", F.monotonically_increasing_id()), path)
+    rows, ids = staged(rows.select("doc_id", "n", "key")), staged(classes.select("key", "cid", "rep"))
+    drop_path(spark, wide)  # sketches are with the classes now
+    merged = _merge(docs, classes, ids, params, id_col, text_col, path)
     if merged is not None:
-        of_root = classes.select(F.col("cid").alias("v"), F.col("rep").alias("root_rep"))
+        of_root = ids.select(F.col("cid").alias("v"), F.col("rep").alias("root_rep"))
         low = merged.join(ids.select(F.col("cid").alias("u"), "rep"), "u").join(of_root, "v").groupBy("v").agg(F.least(F.min("rep"), F.min("root_rep")).alias("low"))
         named = merged.select(F.col("u").alias("cid"), "v").unionByName(low.select(F.col("v").alias("cid"), "v")).join(low, "v").select("cid", "low")
         ids = ids.join(named, "cid", "left").select("key", F.least("rep", "low").alias("component"))
@@ -160,8 +163,12 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_v", F.bitwise_not("value")).drop("value")
 
 
-def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame | None:
-    """Stars (u, v) over class ids after all links, or None if there is no candidate."""
+def _merge(docs: DataFrame, classes: DataFrame, ids: DataFrame, params: Params, id_col: str, text_col: str, sketched: str) -> DataFrame | None:
+    """Stars (u, v) over class ids after all links, or None if there is no candidate.
+
+    What a step has staged and no later one reads is deleted; `sketched` is where classes lie.
+    """
+    spark = docs.sparkSession
     values = classes.select("cid", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     lists = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = values.withColumn("_v", F.bitwise_not("value")).join(_apart(lists), "_v").drop("_v")
@@ -169,8 +176,9 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
     drop = F.element_at(F.array(*[F.lit(max(1, params.least_shared(m))) for m in range(1, params.k + 1)]), F.col("m")) - 1
     kept = known.withColumn("at", F.row_number().over(order)).where(F.col("at") > drop).select("value", "cid", "n")
     alive = kept.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    wanted = _apart(kept.select("value", "cid")).join(_apart(alive), "_v").select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
+    wanted = _apart(kept.select("value", "cid")).join(_apart(alive), "_v").select("cid").distinct().join(ids, "cid")
     sets = staged(_full_sets(docs, wanted, params, id_col, text_col))
+    drop_path(spark, sketched)
 
     lone = sets.select("cid", F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1")
     lone = lone.groupBy("cid").agg(F.count(F.lit(1)).alias("lone"))
@@ -186,13 +194,16 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
     t, d = params.num, params.num + params.den
     near = (params.den * F.least("n", "pn") >= params.num * F.greatest("n", "pn")) & (d * F.least("s", "ps") >= t * (F.col("n") + F.col("pn")))
     pair = [F.least("cid", "pc").alias("a"), F.greatest("cid", "pc").alias("b")]
-    merged, before = None, None
+    merged, before, old = None, None, None
     for turn in range(params.rounds + 1):
         if merged is None:
             lists = kept.withColumn("comp", F.col("cid"))
         else:
             comps = merged.select(F.col("u").alias("cid"), F.col("v").alias("root"))
-            lists = staged(kept.join(comps, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"))
+            if old:
+                drop_path(spark, old)
+            old = staging_dir(spark)
+            lists = staged(kept.join(comps, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"), old)
         sizes = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
         sizes = sizes.groupBy("value").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k"))
         sizes = staged(sizes.where("k > 1").select("value", "all", "sq", F.col("most.comp").alias("major")))
@@ -213,8 +224,10 @@ def _merge(docs: DataFrame, classes: DataFrame, params: Params, id_col: str, tex
             pivots = lists.groupBy("value").agg(F.min(F.struct(priority.alias("p"), "cid", "n", "s", "comp")).alias("m")).join(sizes.select("value"), "value")
             pivots = pivots.select("value", F.col("m.cid").alias("pc"), F.col("m.n").alias("pn"), F.col("m.s").alias("ps"), F.col("m.comp").alias("pcomp"))
             pairs = _estimated(_apart(lists).join(_apart(pivots), "_v").where((F.col("comp") != F.col("pcomp")) & near).select(*pair).distinct(), open_sets, params)
-        links = staged(_links(pairs, sets, params))
+        at = staging_dir(spark)
+        links = staged(_links(pairs, sets, params), at)
         merged = stars(links if merged is None else links.unionByName(merged))
+        drop_path(spark, at)
         if last:
             break
     return merged
