@@ -88,6 +88,8 @@ class WordBpe:
         pattern = pattern.replace("\\s", WHITE_SPACE)
         self._words = regex.compile(pattern).findall
         self._ascii_words, self._latin_words = (re.compile(_spelled_out(pattern, x)).findall for x in (_ASCII, _LATIN))
+        self.line_words = regex.compile(pattern + r"|\n").findall
+        self.latin_line_words = re.compile(_spelled_out(pattern, _LATIN) + r"|\n").findall
         self._letters = dict(enumerate(byte_alphabet()))
         #: (left, right) -> rank of their merge, and of each token the pair it is merged from.
         self.rank: dict[tuple[int, int], int] = {}

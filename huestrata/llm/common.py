@@ -34,22 +34,22 @@ def unused(docs: DataFrame, name: str) -> str:
 # --- rows through Arrow -------------------------------------------------------------------
 
 
-def bounds(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of rows (texts, bytes or lists of numbers) of at most SLICE_ROWS rows and SLICE_BYTES bytes; a longer text is a range of its own."""
+def bounds(texts: pa.Array, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts, bytes or lists of numbers, of at most `rows` of them and SLICE_BYTES bytes; a longer text is a range of its own."""
     sizes = pc.multiply(pc.list_value_length(texts), 8) if pa.types.is_list(texts.type) else pc.binary_length(texts)
     ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         before = int(ends[at - 1]) if at else 0
-        to = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), at + 1), at + SLICE_ROWS, len(texts))
+        to = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), at + 1), at + rows, len(texts))
         yield at, to
         at = to
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "_t") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "_t", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches, few texts at a time."""
     for batch in batches:
-        for a, b in bounds(batch.column(column)):
+        for a, b in bounds(batch.column(column), rows):
             yield batch.slice(a, b - a)
 
 

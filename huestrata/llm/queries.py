@@ -58,7 +58,7 @@ def op8_bpe_encoding(spark, sf_dir):
 @query("op3_token_store")
 def op3_token_store(spark, sf_dir):
     path, vocab = staging_dir(spark), word_bpe_path()
-    write_store(table(spark, sf_dir, "documents"), path, lambda text: library_words(vocab).encode_bytes(text), end_id=1)
+    write_store(table(spark, sf_dir, "documents"), path, lambda texts: library_words(vocab).encode_column(texts), end_id=1)
     return read_digest(spark, path)
 
 

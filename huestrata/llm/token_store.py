@@ -13,16 +13,18 @@ document's root is the Merkle root of its chunks' digests, a part's that of its
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huestrata.llm.bpe import WordBpe
+from huestrata.llm.bpe import _BEYOND_LATIN, WordBpe
 from huestrata.llm.common import drop_path, mix, slices, staged, staging_dir, text_of
 
 #: Ids that the rolling hash sees; chunk sizes in ids: least, mean above that (two to the power MEAN_BITS), most.
@@ -32,8 +34,17 @@ WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 10, 8192
 # --- ids ----------------------------------------------------------------------------------
 
 
+#: What Arrow parts words at and the tokenizer does not.
+_ALSO_SPACE = "[\x1c-\x1f]"
+
+
 class LibraryWords(WordBpe):
-    """Ids from the tokenizers library's model, asked once for each distinct pre-token that a worker meets."""
+    """Ids from the tokenizers library's model, asked once for each distinct pre-token that a worker meets.
+
+    No pre-token goes across white space, so the ids of a text are those of its words between
+    white space, one after another. Words are parted and counted as Arrow columns; Python sees
+    each distinct word of a batch once, and all of them together, as lines of one text.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,6 +55,55 @@ class LibraryWords(WordBpe):
     def encode_word(self, word: str) -> list[int]:
         return [t.id for t in self._tokenize(word)]
 
+    def _entry(self, word: str) -> bytes:
+        return b"" if word == "\n" else super()._entry(word)
+
+    def _lines(self, words: list[str], latin: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without white space one after another, and how many each has."""
+        text = "\n".join(words)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ").lower()
+        tokens = (self.latin_line_words if latin and not _BEYOND_LATIN.search(text) else self.line_words)(text)
+        raws = list(map(self.store.__getitem__, tokens))
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        line = np.cumsum(np.fromiter(map("\n".__eq__, tokens), bool, len(tokens)))
+        return np.frombuffer(b"".join(raws), "<u4"), np.bincount(line, size, len(words)).astype(np.int64)
+
+    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words without white space, and for each word where its ids begin among them and how many there are."""
+        kinds: tuple[list[int], list[int], list[int]] = [], [], []  # Latin, other, with the sign of a special token
+        for i, word in enumerate(words):
+            kinds[2 if "<|" in word else 0 if word.isascii() or not _BEYOND_LATIN.search(word) else 1].append(i)
+        first, size, flat, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.empty(0, "<u4")], 0
+        for kind, chosen in enumerate(kinds):
+            if not chosen:
+                continue
+            if kind == 2:
+                raws = [np.frombuffer(self.encode_bytes(words[i]), "<u4") for i in chosen]
+                ids, many = np.concatenate(raws), np.array([len(r) for r in raws], np.int64)
+            else:
+                ids, many = self._lines([words[i] for i in chosen], kind == 0)
+            size[chosen], first[chosen] = many, at + np.cumsum(many) - many
+            flat.append(ids)
+            at += len(ids)
+        return np.concatenate(flat), first, size
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        if pc.any(pc.match_substring_regex(texts, _ALSO_SPACE)).as_py():
+            raws = [self.encode_bytes(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(raws), "<u4"), np.array([len(r) // 4 for r in raws], np.int64)
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        flat, first, size = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = coded.indices.to_numpy()
+        many = size[at]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        ids = flat[np.repeat(first[at] - ends[:-1], many) + np.arange(ends[-1])]
+        words = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        return ids, np.diff(ends[words])
+
 
 @lru_cache(2)
 def library_words(path: str) -> LibraryWords:
@@ -193,16 +253,20 @@ def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> np.n
 _STREAM = "n_tokens long, digests array<binary>, root binary, widths array<int>, payloads array<binary>"
 
 
-def _streams(rows: DataFrame, encode: Callable[[str], bytes], end_id: int) -> DataFrame:
-    end = int(end_id).to_bytes(4, "little")
+#: Texts that are encoded and cut together: more than elsewhere, so that fewer distinct words come up.
+_ROWS = 8192
+
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
 
+def _streams(rows: DataFrame, encode: Encoder, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            raws = [encode(text) + end for text in batch.column("_t").to_pylist()]
-            bounds = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raws]))).astype(np.int64)
-            joined = b"".join(raws)
-            every = np.frombuffer(joined, "<u4")
-            narrow = len(every) == 0 or int(every.max()) < 1 << 16
+        for batch in slices(batches, rows=_ROWS):
+            ids, many = encode(batch.column("_t"))
+            every = np.insert(ids, np.cumsum(many), end_id).astype("<u4", copy=False)
+            bounds = np.concatenate(([0], np.cumsum(many + 1)))
+            joined = every.tobytes()
+            narrow = int(every.max()) < 1 << 16
             short = every.astype("<u2").tobytes() if narrow else b""
             digests, roots, widths, payloads = [], [], [], []
             for start, cuts in zip(bounds[:-1].tolist(), cut_streams(every, bounds), strict=True):
@@ -229,11 +293,11 @@ def _kind(rows: DataFrame) -> str:
     return rows.schema["doc_id"].dataType.simpleString()
 
 
-def write_store(docs: DataFrame, path: str, encode: Callable[[str], bytes], end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_store(docs: DataFrame, path: str, encode: Encoder, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each whole text, ends it with end_id, and writes the store.
 
-    encode gives a text's ids as little-endian 32-bit integers. Null text counts as empty
-    (only the end id). Document ids may be of any type with an order; null ids come first;
+    encode gives the ids of a column of texts one after another, and how many each has. Null
+    text counts as empty (only the end id). Document ids may be of any type with an order; null ids come first;
     rows that repeat an id are kept, next to each other. Other columns are ignored. An empty
     table gives a store without rows. Chunks are pre-aggregated per map task
     before their one shuffle, so a chunk that fills the corpus reaches a reducer a few times.

@@ -70,11 +70,15 @@ def test_stages_keep_all_columns(spark):
         assert out.count() == n
 
 
+def _length_as_id(texts):
+    return np.array([len(t.as_py()) for t in texts], np.uint32), np.ones(len(texts), np.int64)
+
+
 def test_token_store_and_chat_ids(spark, tmp_path):
     from huestrata.llm import token_store
 
     for kind, ids in (("long", IDS), ("string", ["b", None, "b", "a-1", "x", None, "c", "d"])):
-        token_store.write_store(documents(spark, ids, kind), str(tmp_path / kind), lambda t: len(t).to_bytes(4, "little"))
+        token_store.write_store(documents(spark, ids, kind), str(tmp_path / kind), _length_as_id)
         rows = sorted(token_store.read_digest(spark, str(tmp_path / kind)).collect(), key=lambda r: r["start"])
         known = [i for i in ids if i is not None]
         assert [r["doc_id"] for r in rows] == [None, None, *sorted(known)]

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -27,6 +28,10 @@ def test_bpe_equals_the_library():
     rnd, ours, theirs = random.Random(5), WordBpe(PATH), Tokenizer.from_file(PATH)
     letters = "aabcdeghiinrstoAZ  09'.,<|>éüßΣσİſ\x85\xa0\x1c日語́🎉½\n_-"
     texts = [t or "" for t in ODD] + ["".join(rnd.choice(letters) for _ in range(rnd.randrange(80))) for _ in range(3000)]
+    for some in (texts, [t for t in texts if not set(t) & set("\x1c\x1d\x1e\x1f")]):  # with and without what only Arrow takes for white space
+        flat, many = token_store.LibraryWords(PATH).encode_column(pa.array(some))
+        want = [theirs.encode(t, add_special_tokens=False).ids for t in some]
+        assert many.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
     for t in texts:
         ids = theirs.encode(t, add_special_tokens=False).ids
         assert ours.encode(t) == ids
@@ -87,8 +92,8 @@ def test_token_store_tells_lost_recipes(spark, tmp_path):
         token_store.read_digest(spark, str(tmp_path / "part"))
 
 
-def _encode(text):
-    return token_store.library_words(PATH).encode_bytes(text)
+def _encode(texts):
+    return token_store.library_words(PATH).encode_column(texts)
 
 
 def test_token_store_empty(spark, tmp_path):
