@@ -273,6 +273,19 @@ def affinity(dl, dc, dh, de, c1, c2) -> Column:
     return clamp(0.44 * tone + 0.40 * hue_part + 0.16 * gaussian(de, 0.14))
 
 
+def verdict(dl, dc, dh, de, c1, c2) -> dict[str, Column]:
+    """What two colours are to each other: similarity, verdict, and an array of warnings."""
+    reliable = F.least(*(clamp((c - 0.015) / 0.065) for c in (c1, c2)))
+    tone = clamp(0.68 * gaussian(dl, 0.16) + 0.32 * gaussian(dc, 0.075))
+    weak, either = (c1 < 0.045) & (c2 < 0.045), (c1 < 0.045) | (c2 < 0.045)
+    grey = F.when(tone >= 0.84, "SAME").when(tone >= 0.64, "RELATED").otherwise("DIFFERENT")
+    hued = F.when((dh <= 25) & (tone >= 0.76), "SAME").when((dh <= 60) & (tone >= 0.62), "RELATED").when((dh > 60) & (tone >= 0.72), "RELATED").when((dh > 85) & (tone < 0.72), "DIFFERENT").when(either & (tone >= 0.70), "RELATED").otherwise("REVIEW")
+    warnings = F.array_compact(F.array(
+        F.when((dh > 60) & (tone >= 0.72) & (reliable >= 0.35), "TONE_SIMILAR_HUE_CONFLICT"), F.when(reliable < 0.30, "LOW_CHROMA_HUE_UNCERTAIN"), F.when((dl < 0.08) & (dh > 75) & (reliable >= 0.35), "SIMILAR_LIGHTNESS_DIFFERENT_HUE"),
+    ))
+    return {"similarity": affinity(dl, dc, dh, de, c1, c2), "verdict": F.when(weak, grey).otherwise(hued), "warnings": warnings}
+
+
 def pixel_weight(L, C) -> Column:
     """How much a pixel counts: less at the ends of lightness, more with chroma."""
     light = F.when((L < 0.045) | (L > 0.985), 0.12).when(L < 0.1, 0.38).when(L > 0.95, 0.42).otherwise(1.0)

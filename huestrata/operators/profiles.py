@@ -55,3 +55,14 @@ def constraint_penalty(limits: list[tuple[str, str, float, float, float]]) -> Co
 def clamp_to(target: Column, mode: str, threshold: float) -> Column:
     """A target moved inside one constraint."""
     return F.least(target, F.lit(threshold)) if mode == "maximum" else F.greatest(target, F.lit(threshold))
+
+
+# The hint a branch gives for a feature that rises or falls by this much or more, and what it weighs.
+HINT_STEP = 0.05
+HINTS = [("meanLightness", "soft light", "low key", 0.85), ("contrast", "dramatic contrast", "soft contrast", 0.80), ("visualWeight", "moody atmosphere", "airy atmosphere", 0.75)]
+
+
+def branch_hints(most: int = 2) -> Column:
+    """Up to two hints, as structs (term, weight), from columns delta_<feature>."""
+    one = [F.when(F.col(f"delta_{f}") >= HINT_STEP, F.struct(F.lit(up).alias("term"), F.lit(w).alias("weight"))).when(F.col(f"delta_{f}") <= -HINT_STEP, F.struct(F.lit(down).alias("term"), F.lit(w).alias("weight"))) for f, up, down, w in HINTS]
+    return F.slice(F.array_compact(F.array(*one)), 1, most)

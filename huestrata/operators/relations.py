@@ -15,8 +15,8 @@ def _side(df: DataFrame, tag: str, columns: list[str]) -> DataFrame:
 def all_pairs(df: DataFrame, columns: list[str], group: list[str] = ()) -> DataFrame:
     """Every unordered pair of ids (id_1 < id_2), within a group if group columns are given.
 
-    Without a group this is the complete graph, n(n-1)/2 rows by definition: use it for sets
-    of modes, whose number is bounded by the palette, not for data that grows.
+    Groups are sets of bounded size, such as the modes of a style: their pairs grow with the
+    number of groups. Without a group this is one complete graph, n(n-1)/2 rows by definition.
     """
     one, two = _side(df, "1", [*group, *columns]), _side(df, "2", [*group, *columns])
     on = F.col("id_1") < F.col("id_2")

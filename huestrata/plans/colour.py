@@ -63,14 +63,15 @@ def fn18(spark, sf):
 
 PAIRS_SQL = f"""{MODES_SQL}, pairs AS (SELECT x.id AS id_1, y.id AS id_2, x.L AS l1, y.L AS l2, x.C AS c1, y.C AS c2, x.family AS f1, y.family AS f2,
     abs(x.L-y.L) AS dl, abs(x.C-y.C) AS dc, CASE WHEN abs(x.H-y.H)%360 > 180 THEN 360-abs(x.H-y.H)%360 ELSE abs(x.H-y.H)%360 END AS dh, least(x.C,y.C) AS minc,
-    sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)) AS de FROM modes x JOIN modes y ON x.id < y.id),
+    sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)) AS de FROM modes x JOIN modes y ON x.style = y.style AND x.id < y.id),
     t AS (SELECT *, greatest(0,least(1,(c1-0.005)/0.035)) AS t1, greatest(0,least(1,(c2-0.005)/0.035)) AS t2 FROM pairs),
     rel AS (SELECT *, sqrt((t1*t1*(3-2*t1))*(t2*t2*(3-2*t2))) AS reliab, CASE WHEN c1+c2 <= 1e-12 THEN 1 ELSE 1-abs(c1-c2)/(c1+c2) END AS csim FROM t)"""
 COLUMNS = ["id", "L", "a", "bb", "C", "H", "family", "mass"]
 
 
 def graph(spark, sf):
-    return rel.perceptual(rel.physical(rel.all_pairs(modes(spark, sf), COLUMNS)))
+    """The relation graph of every style: all pairs of its modes."""
+    return rel.perceptual(rel.physical(rel.all_pairs(modes(spark, sf), COLUMNS, ["style"])))
 
 
 @query("cl09_relation_graph", f"""WITH {PAIRS_SQL} SELECT id_1, id_2, round(dl,6) AS delta_l, round(dc,6) AS delta_c, round(dh,4) AS delta_h, round(de,6) AS delta_e,
@@ -125,11 +126,64 @@ def fn16(spark, sf):
 @query("jn08_group_pairs", f"""WITH {PAIRS_SQL} SELECT f1 AS family, count(*) AS pairs, round(avg(sqrt((1-dl)*csim)),6) AS cohesion,
     CASE WHEN avg(sqrt((1-dl)*csim)) >= 0.6 THEN 'STABLE' WHEN avg(sqrt((1-dl)*csim)) >= 0.45 THEN 'REVIEW' ELSE 'UNSTABLE' END AS state FROM rel WHERE f1 = f2 GROUP BY f1""")
 def jn08(spark, sf):
-    g = rel.perceptual(rel.physical(rel.all_pairs(modes(spark, sf), [x for x in COLUMNS if x != "family"], ["family"])))
+    g = rel.perceptual(rel.physical(rel.all_pairs(modes(spark, sf), [x for x in COLUMNS if x != "family"], ["style", "family"])))
     out = g.groupBy(F.col("family_1").alias("family")).agg(F.count(F.lit(1)).alias("pairs"), F.avg("tone_similarity").alias("m"))
     return out.select("family", "pairs", R("m").alias("cohesion"), F.when(F.col("m") >= 0.6, "STABLE").when(F.col("m") >= 0.45, "REVIEW").otherwise("UNSTABLE").alias("state"))
 
 
+VERDICT_SQL = PAIRS_SQL + """, k AS (SELECT *, least(greatest(0,least(1,(c1-0.015)/0.065)), greatest(0,least(1,(c2-0.015)/0.065))) AS rl, greatest(0,least(1,0.68*exp(-0.5*pow(dl/0.16,2))+0.32*exp(-0.5*pow(dc/0.075,2)))) AS tone, exp(-0.5*pow(dh/38,2)) AS gh, exp(-0.5*pow(de/0.14,2)) AS ge FROM rel),
+    v AS (SELECT *, 0.44*tone+0.40*(rl*gh+(1-rl)*0.5)+0.16*ge AS sim, CASE WHEN c1 < 0.045 AND c2 < 0.045 THEN CASE WHEN tone >= 0.84 THEN 'SAME' WHEN tone >= 0.64 THEN 'RELATED' ELSE 'DIFFERENT' END WHEN dh <= 25 AND tone >= 0.76 THEN 'SAME' WHEN dh <= 60 AND tone >= 0.62 THEN 'RELATED' WHEN dh > 60 AND tone >= 0.72 THEN 'RELATED' WHEN dh > 85 AND tone < 0.72 THEN 'DIFFERENT' WHEN (c1 < 0.045 OR c2 < 0.045) AND tone >= 0.70 THEN 'RELATED' ELSE 'REVIEW' END AS verdict,
+      list_filter([CASE WHEN dh > 60 AND tone >= 0.72 AND rl >= 0.35 THEN 'TONE_SIMILAR_HUE_CONFLICT' END, CASE WHEN rl < 0.30 THEN 'LOW_CHROMA_HUE_UNCERTAIN' END, CASE WHEN dl < 0.08 AND dh > 75 AND rl >= 0.35 THEN 'SIMILAR_LIGHTNESS_DIFFERENT_HUE' END], lambda x: x IS NOT NULL) AS warnings FROM k)"""
+
+
+def verdicts(spark, sf):
+    g = graph(spark, sf)
+    v = c.verdict(*(F.col(x) for x in ("delta_L", "delta_C", "delta_H", "delta_E", "C_1", "C_2")))
+    return g.select("id_1", "id_2", "style_1", "family_1", "family_2", *(x.alias(n) for n, x in v.items()))
+
+
+@query("fn16_verdict", f"WITH {VERDICT_SQL} SELECT id_1, id_2, round(sim,6) AS similarity, verdict, warnings FROM v")
+def fn16_verdict(spark, sf):
+    return verdicts(spark, sf).select("id_1", "id_2", R("similarity").alias("similarity"), "verdict", "warnings")
+
+
+@query("ag29_cohesion", f"""WITH {VERDICT_SQL}, n AS (SELECT style, family, count(*) AS members FROM modes GROUP BY 1,2), a AS (SELECT m.style, f1 AS family, count(*) AS pairs, avg(sim) AS cohesion, sum(len(warnings)) AS warns, count(*) FILTER (WHERE verdict='DIFFERENT') AS diff, count(*) FILTER (WHERE verdict='REVIEW') AS rev, count(*) FILTER (WHERE list_contains(warnings,'TONE_SIMILAR_HUE_CONFLICT')) AS conflict FROM v JOIN modes m ON m.id = id_1 WHERE f1 = f2 GROUP BY 1,2)
+    SELECT n.style, n.family, members, round(coalesce(cohesion,1),6)::DOUBLE AS cohesion, coalesce(warns,0)::BIGINT AS warnings, CASE WHEN a.pairs IS NULL THEN 'STABLE' WHEN diff >= ceil(a.pairs/2.0) THEN 'UNSTABLE' WHEN diff > 0 OR conflict > 0 OR rev > 0 THEN 'REVIEW' ELSE 'STABLE' END AS status FROM n LEFT JOIN a ON a.style=n.style AND a.family=n.family""")
+def ag29(spark, sf):
+    """Per style and family the mean similarity of its pairs, and whether it holds together by the verdicts; one colour alone does."""
+    n = modes(spark, sf).groupBy("style", "family").agg(F.count(F.lit(1)).alias("members"))
+    is_ = lambda v: F.count_if(F.col("verdict") == v)
+    a = verdicts(spark, sf).where("family_1 = family_2").groupBy(F.col("style_1").alias("style"), F.col("family_1").alias("family")).agg(F.count(F.lit(1)).alias("pairs"), F.avg("similarity").alias("mean"), F.sum(F.size("warnings")).alias("warns"), is_("DIFFERENT").alias("diff"), is_("REVIEW").alias("rev"), F.count_if(F.array_contains("warnings", "TONE_SIMILAR_HUE_CONFLICT")).alias("conflict"))
+    status = F.when(F.col("pairs").isNull(), "STABLE").when(F.col("diff") >= F.ceil(F.col("pairs") / 2), "UNSTABLE").when((F.col("diff") > 0) | (F.col("conflict") > 0) | (F.col("rev") > 0), "REVIEW").otherwise("STABLE")
+    return n.join(a, ["style", "family"], "left").select("style", "family", "members", R(F.coalesce("mean", F.lit(1.0))).alias("cohesion"), F.coalesce("warns", F.lit(0)).alias("warnings"), status.alias("status"))
+
+
+_PIXEL_SQL = f"""r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY L)-1 AS rn, count(*) OVER (PARTITION BY image_id) AS n FROM swatches), pc AS (SELECT image_id, greatest(0,least(1,max(CASE WHEN rn = floor((n-1)*0.9+0.5) THEN L END)-max(CASE WHEN rn = floor((n-1)*0.1+0.5) THEN L END))) AS contrast FROM r GROUP BY image_id),
+    px AS (SELECT image_id, sum(L*w)/sum(w) AS ml, sum(C*w)/sum(w) AS mc, sum(CASE WHEN C < 0.04 THEN w ELSE 0 END)/sum(w) AS nr, sum(CASE WHEN L < 0.32 THEN w ELSE 0 END)/sum(w) AS dr, sum(CASE WHEN C > 0.14 THEN w ELSE 0 END)/sum(w) AS hr, sum(CASE WHEN C >= 0.018 THEN cos(radians(H))*C*w ELSE 0 END)/sum(CASE WHEN C >= 0.018 THEN C*w ELSE 0 END) AS hx,
+      sum(CASE WHEN C >= 0.018 THEN sin(radians(H))*C*w ELSE 0 END)/sum(CASE WHEN C >= 0.018 THEN C*w ELSE 0 END) AS hy, sum(CASE WHEN C >= 0.018 THEN cos(radians(H-60))*C*w ELSE 0 END)/sum(CASE WHEN C >= 0.018 THEN C*w ELSE 0 END) AS temp FROM swatches GROUP BY image_id),
+    pp AS (SELECT *, mass/sum(mass) OVER (PARTITION BY image_id) AS ratio FROM modes), pe AS (SELECT image_id, max(ratio) AS dominant, count(*) FILTER (WHERE ratio >= 0.08) AS significant, greatest(0,least(1,-sum(ratio*ln(ratio))/ln(greatest(2,count(*))))) AS entropy, sum(CASE WHEN ratio <= 0.28 AND (C > 0.11 OR abs(L-0.5) > 0.24) THEN ratio ELSE 0 END) AS accent FROM pp GROUP BY 1),
+    ps AS (SELECT x.image_id, sum(sqrt(x.ratio*y.ratio)*sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)))/sum(sqrt(x.ratio*y.ratio)) AS spread FROM pp x JOIN pp y ON x.image_id=y.image_id AND x.id<y.id GROUP BY 1),
+    f AS (SELECT px.image_id, ml, mc, nr, dr, hr, hx, hy, sqrt(hx*hx+hy*hy) AS conc, temp, contrast, greatest(0,least(1,(1-ml)*0.5+dr*0.34+greatest(0,least(1,mc/0.22))*0.16)) AS vw, dominant, significant, entropy, accent, greatest(0,least(1,coalesce(spread,0))) AS spread FROM px JOIN pc USING (image_id) JOIN pe USING (image_id) LEFT JOIN ps USING (image_id)),
+    q AS (SELECT *, greatest(0,least(1, greatest(0,least(1,(significant-1)/3.0))*0.24+entropy*0.24+greatest(0,least(1,spread/0.11))*0.2+greatest(0,least(1,(0.82-dominant)/0.42))*0.14+greatest(0,least(1,accent/0.22))*0.1+greatest(0,least(1,contrast/0.4))*0.08+CASE WHEN significant >= 3 THEN 0.08 ELSE 0 END)) AS score,
+      CASE WHEN dominant >= 0.72 AND significant <= 2 THEN greatest(0,least(1,(dominant-0.72)/0.18+(2-significant)*0.18)) ELSE 0 END AS mono, CASE WHEN dominant >= 0.76 AND spread < 0.07 AND accent < 0.12 AND conc > 0.72 THEN greatest(0,least(1,0.35+greatest(0,least(0.35,(dominant-0.76)/0.18))+greatest(0,least(0.2,(0.07-spread)/0.07)))) ELSE 0 END AS closeup FROM f)"""
+_FIELDS = {"mean_lightness": "ml", "mean_chroma": "mc", "temperature": "temp", "contrast": "contrast", "neutral_ratio": "nr", "dark_ratio": "dr", "high_chroma_ratio": "hr", "hue_concentration": "conc", "accent_ratio": "accent", "hue_x": "hx", "hue_y": "hy", "dominant_color_ratio": "dominant", "palette_entropy": "entropy", "palette_spread": "spread", "visual_weight": "vw", "reference_score": "score", "monotone_penalty": "mono", "closeup_penalty": "closeup"}
+
+
+@query("prj07_features", f"WITH {SWATCHES_SQL}, {MODES_SQL}, {_PIXEL_SQL} SELECT image_id, significant AS significant_color_count, {', '.join(f'round({x},6)::DOUBLE AS {n}' for n, x in _FIELDS.items())}, round(greatest(0,least(1,mono*0.6+closeup*0.4+greatest(0,0.42-score)*0.55)),6)::DOUBLE AS usability_penalty FROM q")
+def prj07(spark, sf):
+    """The fifteen observed and five derived features of every image: pixels are swatches, palettes are modes."""
+    from pyspark.sql import Window
+
+    from huestrata.operators import images as im
+
+    p = modes(spark, sf).withColumn("ratio", F.col("mass") / F.sum("mass").over(Window.partitionBy("image_id")))
+    m = im.image_metrics(swatches(spark, sf), "image_id", "w").join(im.palette_metrics(p, "image_id"), "image_id").withColumn("hue_concentration", F.hypot("hue_x", "hue_y"))
+    m = m.withColumns(im.palette_quality(*(F.col(x) for x in ("dominant", "significant", "entropy", "spread", "accent", "contrast", "hue_concentration"))))
+    names = {"accent": "accent_ratio", "dominant": "dominant_color_ratio", "entropy": "palette_entropy", "spread": "palette_spread"}
+    rest = [x for x in m.columns if x not in ("image_id", "significant")]
+    return m.select("image_id", F.col("significant").alias("significant_color_count"), *(R(x).alias(names.get(x, x)) for x in rest))
+
+
 @query("flt08_boundary_audit", f"""WITH {PAIRS_SQL} SELECT id_1, id_2, abs(minc-0.03) < 0.005 AS chroma_edge, minc >= 0.03 AND abs(dh-40) < 10 AS hue_edge, abs(dl+4*sqrt(dl*dc)-0.54) < 0.05 AS tone_edge
     FROM rel WHERE abs(minc-0.03) < 0.005 OR (minc >= 0.03 AND abs(dh-40) < 10) OR abs(dl+4*sqrt(dl*dc)-0.54) < 0.05""")
 def flt08(spark, sf):
@@ -186,4 +240,4 @@ def ag09(spark, sf):
     from huestrata.operators.images import image_metrics
 
     m = image_metrics(swatches(spark, sf), "image_id", "w")
-    return m.select("image_id", *(R(x).alias(x) for x in m.columns if x != "image_id"))
+    return m.select("image_id", *(R(x).alias(x) for x in m.columns if x not in ("image_id", "high_chroma_ratio")))

@@ -110,11 +110,6 @@ def ag28(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("mode_id")).agg(F.count_if(flip).alias("flips"), R(F.sum(F.when(flip, F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")).alias("mass_rate"))
 
 
-@query("ag29_cohesion", f"WITH {PAIRS_SQL} SELECT f1 AS family, round(avg(csim),6) AS cohesion FROM rel WHERE f1 = f2 GROUP BY f1")
-def ag29(spark, sf):
-    return graph(spark, sf).where("family_1 = family_2").groupBy(F.col("family_1").alias("family")).agg(R(F.avg("chroma_similarity")).alias("cohesion"))
-
-
 GRID = "g AS (SELECT p_partkey%40 AS x, p_partkey//40 AS y, p_size%6 AS label FROM part)"
 
 
@@ -180,9 +175,9 @@ def jn06(spark, sf):
     return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("hit"), F.col("p_type").alias("plan"))
 
 
-@query("jn07_complete_graph", f"WITH {MODES_SQL} SELECT x.id AS id_1, y.id AS id_2 FROM modes x JOIN modes y ON x.id < y.id")
+@query("jn07_complete_graph", f"WITH {MODES_SQL} SELECT x.id AS id_1, y.id AS id_2 FROM modes x JOIN modes y ON x.style = y.style AND x.id < y.id")
 def jn07(spark, sf):
-    return rel.all_pairs(modes(spark, sf), ["id"]).select("id_1", "id_2")
+    return rel.all_pairs(modes(spark, sf), ["id"], ["style"]).select("id_1", "id_2")
 
 
 def whole_masks(spark, sf):
@@ -226,11 +221,6 @@ def flt07(spark, sf):
     return swatches(spark, sf).select("id", c.in_gamut(F.col("L"), F.col("a") * 2, F.col("bb") * 2).alias("inside"))
 
 
-@query("prj07_features", f"WITH {SWATCHES_SQL} SELECT id, round(L,6) AS lightness, round(C,6) AS chroma, round(w,6) AS weight FROM swatches")
-def prj07(spark, sf):
-    return swatches(spark, sf).select("id", R("L").alias("lightness"), R("C").alias("chroma"), R("w").alias("weight"))
-
-
 @query("prj09_result_nodes", f"WITH {SWATCHES_SQL} SELECT image_id, id, row_number() OVER (PARTITION BY image_id ORDER BY id) AS place FROM swatches WHERE C > 0.05")
 def prj09(spark, sf):
     return swatches(spark, sf).where("C > 0.05").select("image_id", "id", F.row_number().over(Window.partitionBy("image_id").orderBy("id")).alias("place"))
@@ -266,25 +256,12 @@ def cl05(spark, sf):
     return style_swatches(spark, sf).select("style", "id", "mass", "L", "a", "bb").groupBy("style").applyInPandas(lambda pdf: run(pdf.sort_values("id")), "style long, place int, mass double")
 
 
-@query("pl02_query_plan", f"WITH {PHOTOS}, q AS (SELECT search, provider, sum(score) AS w FROM scored GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY round(w,9) DESC, provider) AS rn FROM q), t AS (SELECT * FROM r WHERE rn <= 3) SELECT search, provider, round(w/sum(w) OVER (PARTITION BY search),6) AS share FROM t")
-def pl02(spark, sf):
-    q = scored(spark, sf).groupBy("search", "provider").agg(F.sum("score").alias("w")).withColumn("o", -F.round("w", 9))
-    t = rk.capped_take(q, ["search"], ["o", "provider"], 3)
-    return t.select("search", "provider", R(F.col("w") / F.sum("w").over(Window.partitionBy("search"))).alias("share"))
-
-
 @query("pl03_rotation", "SELECT n_nationkey AS id, ['a','b','c'][(n_nationkey%3)+1:3] || ['a','b','c'][1:n_nationkey%3] AS turned FROM nation")
 def pl03(spark, sf):
     k, items = (F.col("n_nationkey") % 3).cast("int"), F.array(F.lit("a"), F.lit("b"), F.lit("c"))
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.slice(items, k + 1, 3), F.slice(items, F.lit(1), k)).alias("turned"))
 
 
-@query("pl04_branch_hint", "SELECT c_custkey AS id, CASE WHEN c_custkey*37%100/100.0-0.5 > 0.05 THEN 'lighter' WHEN c_custkey*37%100/100.0-0.5 < -0.05 THEN 'darker' ELSE 'same' END AS hint FROM customer")
-def pl04(spark, sf):
-    d = F.col("c_custkey") * 37 % 100 / 100.0 - 0.5
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(d > 0.05, "lighter").when(d < -0.05, "darker").otherwise("same").alias("hint"))
-
-
 @query("src10_image_signature", "SELECT p_partkey AS id, CASE p_partkey%3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS kind FROM part")
 def src10(spark, sf):
     k = F.col("p_partkey") % 3

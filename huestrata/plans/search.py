@@ -55,14 +55,14 @@ def tk04(spark, sf):
 
 @query("tk05_space_filling")
 def tk05(spark, sf):
-    p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], []))
+    p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], ["style"]))
     p = p.select("id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), "delta_L", "delta_C", "hue_chord", "min_C", "max_C")
     return rk.space_filling_pool(p, 24, ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"], "v7")
 
 
-@query("tk09_top_pairs", f"""WITH {MODES_SQL} SELECT x.id AS id_1, y.id AS id_2, round(sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)),6) AS delta_e FROM modes x JOIN modes y ON x.id < y.id ORDER BY 3, 1, 2 LIMIT 12""")
+@query("tk09_top_pairs", f"""WITH {MODES_SQL} SELECT x.id AS id_1, y.id AS id_2, round(sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)),6) AS delta_e FROM modes x JOIN modes y ON x.style = y.style AND x.id < y.id ORDER BY 3, 1, 2 LIMIT 12""")
 def tk09(spark, sf):
-    p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"]))
+    p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], ["style"]))
     return p.select("id_1", "id_2", R("delta_E").alias("delta_e")).orderBy("delta_e", "id_1", "id_2").limit(12)
 
 

@@ -136,6 +136,16 @@ def pl01(spark, sf):
     return b.join(base, "id").select("id", F.col("branch").alias("code"), *(x for f in FEATURES for x in (R(f).alias(f), R(F.col(f) - F.col(f"base_{f}")).alias(f"delta_{f}"))))
 
 
+def _hint_sql(f, up, down):
+    return f"CASE WHEN d_{f} >= 0.05 THEN '{up}' WHEN d_{f} <= -0.05 THEN '{down}' END"
+
+
+@query("pl04_branch_hint", f"""WITH d AS (SELECT c_custkey AS id, {', '.join(f"(c_custkey*{11 + 2 * i}%41-20)/100.0 AS d_{f}" for i, (f, *_) in enumerate(pr.HINTS))} FROM customer) SELECT id, list_filter([{', '.join(_hint_sql(f, up, down) for f, up, down, _ in pr.HINTS)}], lambda x: x IS NOT NULL)[1:2] AS hints FROM d""")
+def pl04(spark, sf):
+    d = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), *(((F.col("c_custkey") * (11 + 2 * i) % 41 - 20) / 100.0).alias(f"delta_{f}") for i, (f, *_) in enumerate(pr.HINTS)))
+    return d.select("id", F.transform(pr.branch_hints(), lambda h: h["term"]).alias("hints"))
+
+
 def _gather_sql(items: str, most: int, factor: float) -> str:
     where = "AND category <> 'exclusion'"
     return f"""WITH s AS ({ORACLES['prj01_concepts']}), x AS (SELECT input, id, list_position(['subject','context','atmosphere','color'], category) AS g, intensity*{factor} AS w, unnest({items}) AS item, generate_subscripts({items}, 1) AS pos FROM s WHERE TRUE {where}),
@@ -160,3 +170,11 @@ def pl05(spark, sf):
 @query("pl05_theme_gather", _gather_sql("theme_elements", 16, 1.1))
 def pl05_themes(spark, sf):
     return gathered(spark, sf, "theme_elements", 16, 1.1)
+
+
+@query("pl02_query_plan")
+def pl02(spark, sf):
+    """Up to three queries for each branch of every input."""
+    from huestrata.operators.planning import query_plans
+
+    return query_plans(lx.sanitize(concepts(spark, sf), "input", "id"), "input", "id")

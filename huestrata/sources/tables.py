@@ -30,12 +30,16 @@ def swatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_lab(rows)
 
 
+#: Modes of a style. A relation graph is complete within a style, so its edges grow with the number of styles.
+STYLE_MODES = 53
+
+
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One colour mode per supplier, eight to an image: id, image_id, family, r, g, b, mass and its OKLab and OKLCH."""
+    """One colour mode per supplier, eight to an image and 53 to a style: id, image_id, style, family, r, g, b, mass and its OKLab and OKLCH."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     rows = s.select(
-        k.cast("long").alias("id"), F.floor(k / 8).cast("long").alias("image_id"), (F.col("s_nationkey") % 5).cast("long").alias("family"),
+        k.cast("long").alias("id"), F.floor(k / 8).cast("long").alias("image_id"), F.floor(k / STYLE_MODES).cast("long").alias("style"), (F.col("s_nationkey") % 5).cast("long").alias("family"),
         ((k * 67 + 29) % 256).cast("int").alias("r"), ((k * 149 + 7) % 256).cast("int").alias("g"), ((k * 211 + 101) % 256).cast("int").alias("b"),
         (F.round(F.abs(F.col("s_acctbal")) / 1000.0, 3) + 0.001).alias("mass"),
     )
@@ -67,7 +71,7 @@ SWATCHES_SQL = (
     + lab_sql("pix", "swatches")
 )
 MODES_SQL = (
-    """sup AS (SELECT s_suppkey::BIGINT AS id, (s_suppkey // 8)::BIGINT AS image_id, (s_nationkey % 5)::BIGINT AS family, ((s_suppkey*67+29)%256)::INT AS r,
+    """sup AS (SELECT s_suppkey::BIGINT AS id, (s_suppkey // 8)::BIGINT AS image_id, (s_suppkey // 53)::BIGINT AS style, (s_nationkey % 5)::BIGINT AS family, ((s_suppkey*67+29)%256)::INT AS r,
     ((s_suppkey*149+7)%256)::INT AS g, ((s_suppkey*211+101)%256)::INT AS b, round(abs(s_acctbal)/1000.0::DOUBLE, 3)+0.001::DOUBLE AS mass FROM supplier),"""
     + lab_sql("sup", "modes")
 )

@@ -382,3 +382,37 @@ def test_checked_join_stops(spark):
     left, right = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "x")], "k long, v string")
     with pytest.raises(Exception, match="no partner for k 2"):
         checked_join(left, right, "k").collect()
+
+
+# --- search plans -----------------------------------------------------------------------------
+
+
+def concept(category, term, priority="secondary", intensity=1.0, styles=(), themes=()):
+    return {"category": category, "search_term": term, "priority": priority, "intensity": intensity, "style_terms": list(styles), "theme_elements": list(themes)}
+
+
+def test_query_plans_by_hand(spark):
+    from huestrata.operators.planning import plan
+
+    some = [
+        concept("subject", "Coffee shop", "main", 1.0, ["retro", "Cozy"], ["object|neon sign", "object|mug"]), concept("context", "summer night", themes=["scene|street"]),
+        concept("color", "warm", "slight", 1.0, ["film grain"]), concept("exclusion", "people", "exclude"),
+    ]
+    a = plan(some, "A")
+    assert [p["query"] for p in a] == ["Coffee shop summer night", "Coffee shop retro neon sign soft light", "summer night street Cozy soft contrast"]
+    assert [p["family"] for p in a] == ["core", "element:object", "element:scene"]
+    raw = [(1.35 + 1.0) / 2, (1.35 + 1.35 + 1.35 * 1.1 + 0.85) / 4, (1.0 + 1.1 + 1.35 + 0.80) / 4]
+    assert [p["weight"] for p in a] == [round(r / sum(raw), 4) for r in raw]
+    b = plan(some, "B")  # starts at the second theme and style, has no hints
+    assert [p["query"] for p in b] == ["Coffee shop summer night", "Coffee shop Cozy mug", "summer night street film grain"]
+    assert [p["query"] for p in plan([concept("color", "warm")], "B")] == ["warm"]  # only a colour: the fallback
+    two = plan([concept("subject", "tea", themes=["x|pot"])], "B")
+    assert [p["query"] for p in two] == ["tea", "tea pot"]
+    assert plan([], "A") == [] and plan([concept("exclusion", "x", "exclude")], "C") == []
+    rows = run(spark, "pl02_query_plan")
+    assert all(1 <= r["no"] <= 3 for r in rows) and len(rows) > 50
+    of = defaultdict(list)
+    for r in rows:
+        of[r["input"], r["branch"]].append(r)
+    for mine in of.values():
+        assert abs(sum(r["weight"] for r in mine) - 1) < 2e-4 and len({r["query"].lower() for r in mine}) == len(mine)
