@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from huestrata.llm.bpe import bpe_digest
 from huestrata.llm.chat import format_conversations, read_back
 from huestrata.llm.common import staging_dir, table
 from huestrata.llm.decontaminate import contaminated
 from huestrata.llm.exact_dedup import exact_dedup
+from huestrata.llm.merkle import manifest_check
 from huestrata.llm.minhash import near_duplicates
 from huestrata.llm.quality import score_quality, train_quality
 from huestrata.llm.secrets import scan_secrets
@@ -103,3 +106,57 @@ def op10_near_dedup(spark, sf_dir):
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False, keep_text=True)
+
+
+# --- Merkle manifest ----------------------------------------------------------------------
+
+
+def _levels(name: str, source: str, key: str, levels: int) -> str:
+    """Levels of trees in SQL: {name}k has their nodes with what flanks each of them in its run."""
+    out = []
+    for k in range(levels):
+        run = f"PARTITION BY {key}, pos // 16 ORDER BY pos ROWS BETWEEN"
+        below = source if k == 0 else f"(SELECT {key}, pos // 16 AS pos, (total + 15) // 16 AS total, CASE WHEN total = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{k - 1} GROUP BY {key}, pos // 16, total)"
+        flanks = f"coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+        out.append(f"{name}{k} AS (SELECT *, {flanks} FROM {below} AS below)")
+    return ",\n".join(out)
+
+
+def _merkle_sql(levels: int = 6, over: int = 4) -> str:
+    """Trees of up to 16^(levels - 1) rows a source and 16^(over - 1) sources."""
+    value = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: {bit})))"
+    joins = [f"JOIN s{k} ON s{k}.source IS NOT DISTINCT FROM leaves.source AND s{k}.pos = leaves.pos // {16**k}" for k in range(levels)]
+    joins += ["JOIN sources ON sources.source IS NOT DISTINCT FROM leaves.source", *(f"JOIN t{k} ON t{k}.pos = sources.pos // {16**k}" for k in range(over))]
+    steps = [*(f"s{k}" for k in range(levels)), *(f"t{k}" for k in range(over))]
+    proof = " || ".join(f"{s}.l || {s}.r" for s in steps)
+    ctes = []
+    for i in range(len(steps)):
+        ctes.append(f"f{i} AS (SELECT * EXCLUDE (node), CASE WHEN n[{i + 1}] = 1 THEN node ELSE sha256(l[{i + 1}] || node || r[{i + 1}]) END AS node FROM {'paths' if i == 0 else f'f{i - 1}'})")
+    return f"""
+    WITH leaves AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY source) AS total
+      FROM (SELECT doc_id, source, {leaf("text")} AS digest, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} END AS other FROM documents) AS d
+    ),
+    {_levels("s", "(SELECT source, pos, total, digest FROM leaves)", "source", levels)},
+    sources AS (SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM s{levels - 1}),
+    {_levels("t", "(SELECT 0 AS one, pos, total, digest FROM sources)", "one", over)},
+    paths AS (
+      SELECT leaves.doc_id, leaves.digest AS leaf, sources.digest AS subroot, t{over - 1}.digest AS root, sha256({proof}) AS proof_sha256,
+             coalesce(leaves.other, leaves.digest) AS node, [{", ".join(f"{s}.total" for s in steps)}] AS n, [{", ".join(f"{s}.l" for s in steps)}] AS l, [{", ".join(f"{s}.r" for s in steps)}] AS r
+      FROM leaves {" ".join(joins)}
+    ),
+    {", ".join(ctes)}
+    SELECT doc_id, leaf, subroot, root, proof_sha256, node AS folded_root, node = root AS verified FROM f{len(steps) - 1}
+    """
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    return manifest_check(docs, [*fields, "text"], [*fields, lowered], F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
