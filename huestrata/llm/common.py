@@ -128,6 +128,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
+#: Letters as they are, for word_hashes().
+AS_WRITTEN = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
@@ -152,35 +154,36 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def _hash_block(raw: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words in one block of bytes, A-Z lower-cased."""
+def _hash_block(raw: np.ndarray, apart: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the words in one block of bytes."""
     edge = np.diff(np.concatenate(([True], apart[raw], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     fwd, back = _power_tables(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LOWER[raw] * fwd[: len(raw)], out=sums[1:])
+    np.cumsum(letters[raw] * fwd[: len(raw)], out=sums[1:])
     return starts, mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: Iterable[str | None], apart: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
+def word_hashes(texts: Iterable[str | None], apart: np.ndarray = _SPACE, letters: np.ndarray = _LOWER) -> Iterator[np.ndarray]:
     """The 64-bit hash of each word of each text, in order. Long texts go block by block.
 
-    Words are runs of bytes other than `apart` (which must hold the ASCII white space).
+    Words are runs of bytes other than `apart` (which must hold the ASCII white space), A-Z in
+    lower case unless `letters` are AS_WRITTEN.
     """
     group: list[bytes] = []
     size = 0
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if group and size + len(raw) > _BLOCK:
-            yield from _hash_group(group, apart)
+            yield from _hash_group(group, apart, letters)
             group, size = [], 0
         group.append(raw)
         size += len(raw) + 1
     if group:
-        yield from _hash_group(group, apart)
+        yield from _hash_group(group, apart, letters)
 
 
-def _hash_group(group: list[bytes], apart: np.ndarray) -> Iterator[np.ndarray]:
+def _hash_group(group: list[bytes], apart: np.ndarray, letters: np.ndarray) -> Iterator[np.ndarray]:
     if len(group) == 1 and len(group[0]) > _BLOCK:
         raw, at, out = np.frombuffer(group[0], np.uint8), 0, []
         while at < len(raw):
@@ -188,11 +191,11 @@ def _hash_group(group: list[bytes], apart: np.ndarray) -> Iterator[np.ndarray]:
             while end < len(raw) and not apart[raw[end]]:
                 gap = np.flatnonzero(apart[raw[end : end + _BLOCK]])
                 end = end + int(gap[0]) if len(gap) else min(len(raw), end + _BLOCK)
-            out.append(_hash_block(raw[at:end], apart)[1])
+            out.append(_hash_block(raw[at:end], apart, letters)[1])
             at = end
         yield np.concatenate(out)
         return
-    starts, hashes = _hash_block(np.frombuffer(b"\n".join(group), np.uint8), apart)
+    starts, hashes = _hash_block(np.frombuffer(b"\n".join(group), np.uint8), apart, letters)
     bounds = np.cumsum([0] + [len(x) + 1 for x in group])
     cut = np.searchsorted(starts, bounds)
     for a, b in zip(cut[:-1], cut[1:], strict=True):

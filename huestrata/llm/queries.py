@@ -9,9 +9,11 @@ from huestrata.llm.chat import format_conversations, read_back
 from huestrata.llm.common import staging_dir, table
 from huestrata.llm.decontaminate import contaminated
 from huestrata.llm.exact_dedup import exact_dedup
+from huestrata.llm.hard_negatives import hard_negatives
 from huestrata.llm.merkle import manifest_check
 from huestrata.llm.minhash import near_duplicates
 from huestrata.llm.quality import score_quality, train_quality
+from huestrata.llm.quality_rules import apply_rules, train_rules
 from huestrata.llm.secrets import scan_secrets
 from huestrata.llm.suffix_dedup import remove_repeats
 from huestrata.llm.token_store import library_words, read_digest, write_store
@@ -160,3 +162,37 @@ def op11_merkle_manifest(spark, sf_dir):
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     fields = ["doc_id", "source", "lang", "n_chars"]
     return manifest_check(docs, [*fields, "text"], [*fields, lowered], F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+# --- hard negatives -----------------------------------------------------------------------
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH whole AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score
+      FROM whole AS a JOIN whole AS b ON a.vec_id IS DISTINCT FROM b.vec_id WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+      SELECT anchor_id, other_id, score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    )
+    SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM positives AS p JOIN scored AS s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+    WINDOW best AS (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)
+    QUALIFY row_number() OVER best <= 5
+    """,
+)
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives(table(spark, sf_dir, "embeddings"), "id % 100 = 0", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+
+
+@query("op13_quality_rules")
+def op13_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, train_rules(docs, table(spark, sf_dir, "labels")))
