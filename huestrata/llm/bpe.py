@@ -13,15 +13,13 @@ import hashlib
 import json
 import re
 import struct
-import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +27,8 @@ from huestrata.llm.common import per_text, text_of, text_udf
 
 #: White space as the tokenizer's normaliser sees it.
 WHITE_SPACE = r"\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Below U+0250 a table of letters and numbers stands for the letter and number classes: the standard library's matcher is faster.
+#: Below U+0250 a table of letters and numbers stands for the letter and number classes, which does not change between
+#: versions of Unicode. What lies beyond is normalised and parted by the tokenizers library itself, whose tables decide.
 _BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 _ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
 _LATIN = {r"\p{L}": r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
@@ -84,11 +83,10 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces |= {i: t for t, i in self.special.items()}
         self._special = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        pattern = pattern.replace("\\s", WHITE_SPACE)
-        self._words = regex.compile(pattern).findall
+        self._path, self._parts = path, next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        pattern = self._parts["pattern"]["Regex"].replace("\\s", WHITE_SPACE)
         self._ascii_words, self._latin_words = (re.compile(_spelled_out(pattern, x)).findall for x in (_ASCII, _LATIN))
-        self.line_words = regex.compile(pattern + r"|\n").findall
+        self._between_spaces = re.compile(f"[^{WHITE_SPACE}]+").findall
         self.latin_line_words = re.compile(_spelled_out(pattern, _LATIN) + r"|\n").findall
         self._letters = dict(enumerate(byte_alphabet()))
         #: (left, right) -> rank of their merge, and of each token the pair it is merged from.
@@ -115,6 +113,8 @@ class WordBpe:
                 self.sizes[i] = len(key)
         self.automaton.make_automaton()
         self.store = _Store(self._entry)
+        #: stretches between white space that hold code points beyond Latin, with their ids
+        self.others = _Store(lambda stretch: b"".join(map(self.store.__getitem__, self._library_words(stretch))))
 
     def _merges_to_itself(self, token: int) -> bool:
         """Whether the two parts of a token, side by side, would really be merged into it."""
@@ -170,14 +170,37 @@ class WordBpe:
         ids = self.encode_word(mapped)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    @cached_property
+    def _library(self) -> tuple:
+        """The library's normaliser and the part of its pre-tokenizer that cuts, as functions of a text."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        cut = pre_tokenizers.Split(Regex(self._parts["pattern"]["Regex"]), self._parts["behavior"].lower(), self._parts["invert"])
+        return Tokenizer.from_file(self._path).normalizer.normalize_str, cut.pre_tokenize_str
+
+    def _library_words(self, text: str) -> list[str]:
+        normalize, cut = self._library
+        return [word for word, _ in cut(normalize(text))]
+
     def pre_tokens(self, text: str) -> list[str]:
         """The words of a text between special tokens: NFC, each letter in lower case; white space only parts words."""
+        low = text.lower()
         if text.isascii():
-            return self._ascii_words(text.lower())
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # a letter's own lower case, without regard to its place
-        return self._words(text) if _BEYOND_LATIN.search(text) else self._latin_words(text)
+            return self._ascii_words(low)
+        if _BEYOND_LATIN.search(text) or _BEYOND_LATIN.search(low):
+            return self._library_words(text)
+        return self._latin_words(low)
+
+    def _ids(self, text: str) -> Iterator[bytes]:
+        """The ids of a text between special tokens, word by word. No word goes across white space, and no letter is composed across it."""
+        if text.isascii() or not (_BEYOND_LATIN.search(text) or _BEYOND_LATIN.search(text.lower())):
+            yield from map(self.store.__getitem__, self.pre_tokens(text))
+            return
+        for stretch in self._between_spaces(text):
+            if stretch.isascii() or not (_BEYOND_LATIN.search(stretch) or _BEYOND_LATIN.search(stretch.lower())):
+                yield from map(self.store.__getitem__, self.pre_tokens(stretch))
+            else:
+                yield self.others[stretch]
 
     def _segments(self, text: str) -> Iterator[tuple[bool, str]]:
         if self._special is None or "<|" not in text:
@@ -193,12 +216,11 @@ class WordBpe:
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        ids_of = self.store.__getitem__
         for special, part in self._segments(text):
             if special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             else:
-                out += map(ids_of, self.pre_tokens(part))
+                out += self._ids(part)
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:

@@ -13,7 +13,6 @@ document's root is the Merkle root of its chunks' digests, a part's that of its
 from __future__ import annotations
 
 import hashlib
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -58,13 +57,9 @@ class LibraryWords(WordBpe):
     def _entry(self, word: str) -> bytes:
         return b"" if word == "\n" else super()._entry(word)
 
-    def _lines(self, words: list[str], latin: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words without white space one after another, and how many each has."""
-        text = "\n".join(words)
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()
-        tokens = (self.latin_line_words if latin and not _BEYOND_LATIN.search(text) else self.line_words)(text)
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of Latin words without white space one after another, and how many each has."""
+        tokens = self.latin_line_words("\n".join(words).lower())
         raws = list(map(self.store.__getitem__, tokens))
         size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
         line = np.cumsum(np.fromiter(map("\n".__eq__, tokens), bool, len(tokens)))
@@ -72,18 +67,18 @@ class LibraryWords(WordBpe):
 
     def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of words without white space, and for each word where its ids begin among them and how many there are."""
-        kinds: tuple[list[int], list[int], list[int]] = [], [], []  # Latin, other, with the sign of a special token
+        kinds: tuple[list[int], list[int]] = [], []  # Latin, and others or with the sign of a special token
         for i, word in enumerate(words):
-            kinds[2 if "<|" in word else 0 if word.isascii() or not _BEYOND_LATIN.search(word) else 1].append(i)
+            kinds["<|" in word or not (word.isascii() or not (_BEYOND_LATIN.search(word) or _BEYOND_LATIN.search(word.lower())))].append(i)
         first, size, flat, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.empty(0, "<u4")], 0
         for kind, chosen in enumerate(kinds):
             if not chosen:
                 continue
-            if kind == 2:
+            if kind:
                 raws = [np.frombuffer(self.encode_bytes(words[i]), "<u4") for i in chosen]
                 ids, many = np.concatenate(raws), np.array([len(r) for r in raws], np.int64)
             else:
-                ids, many = self._lines([words[i] for i in chosen], kind == 0)
+                ids, many = self._lines([words[i] for i in chosen])
             size[chosen], first[chosen] = many, at + np.cumsum(many) - many
             flat.append(ids)
             at += len(ids)

@@ -38,6 +38,21 @@ def test_bpe_equals_the_library():
         assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_all_code_points_are_encoded_as_the_library_does():
+    """Alone, between letters, beside a mark that composes with it, and in decomposed form."""
+    import unicodedata
+
+    ours, theirs, words = WordBpe(PATH), Tokenizer.from_file(PATH), token_store.LibraryWords(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 64 == 0)]  # beyond, letters of one kind and nothing
+    for at in range(0, len(points), 4000):
+        some = [chr(c) for c in points[at : at + 4000]]
+        texts = [" ".join(some), " ".join(f"a{c}b" for c in some), " ".join(f"{c}\u0301 e{c}" for c in some), "".join(some), " ".join(unicodedata.normalize("NFD", c) for c in some)]
+        want = [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)]
+        assert [ours.encode(t) for t in texts] == want, hex(points[at])
+        flat, many = words.encode_column(pa.array(texts))
+        assert many.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w], hex(points[at])
+
+
 def test_bpe_query_and_columns(spark):
     docs, theirs = documents(spark, ODD), Tokenizer.from_file(PATH)
     got = {r["doc_id"]: r for r in bpe_digest(docs, PATH).collect()}
