@@ -72,7 +72,7 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), key (128-bit digest of the set), sketch (its k smallest hashes)."""
+    """doc_id, h (a hash of the text), n (set size), key (128-bit digest of the set), sketch (its k smallest hashes)."""
 
     def run(texts: list[str]) -> list:
         n, key, sketch = [], [], []
@@ -83,23 +83,40 @@ def sketches(docs: DataFrame, params: Params, id_col: str, text_col: str) -> Dat
             sketch.append(s[: params.k].copy())
         return [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))]
 
-    return per_text(docs, id_col, text_col, "n long, key binary, sketch array<bigint>", run).withColumnRenamed(id_col, "doc_id")
+    rows = docs.select(_row_key(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
+    return per_text(rows, "_row", "_text", "n long, key binary, sketch array<bigint>", run).select("_row.doc_id", "_row.h", "n", "key", "sketch")
+
+
+def _row_key(id_col: str, text_col: str):
+    """What tells rows apart, but for those that repeat both: ids alone may be missing or shared by many rows."""
+    return F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("h"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
-    """cid, n, values: the full sets of the wanted classes (cid, key, rep), from the text of one member each."""
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("cid", "key", "_t")
+    """cid, n, values: the full sets of the wanted classes (cid, key, rep), from the text of one row each.
+
+    Of rows that repeat id and text a task looks at the first only.
+    """
+    rows = docs.select(_row_key(id_col, text_col).alias("_row"), text_of(text_col).alias("_t"))
+    rows = rows.select(F.col("_row.doc_id").alias("_id"), F.col("_row.h").alias("_h"), "_t")
+    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_h") == F.col("rep.h"))).select("cid", "key", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for part in slices(batches):
+            first: dict[tuple[int, str], int] = {}
+            for i, (cid, text) in enumerate(zip(part.column("cid").to_pylist(), part.column("_t").to_pylist(), strict=True)):
+                if cid not in done:
+                    first.setdefault((cid, text), i)
+            part = part.take(pa.array(first.values(), pa.int64()))
             at, values = [], []
-            for i, (key, words) in enumerate(zip(part.column("key").to_pylist(), word_hashes(part.column("_t").to_pylist()), strict=True)):
+            for i, (key, words) in enumerate(zip(part.column("key").to_pylist(), word_hashes(text for _, text in first), strict=True)):
                 s = shingle_set(words, params.width)
-                if _digest(s) == key:  # another text may bear the same id
+                if _digest(s) == key:  # else another text has the same id and hash
                     at.append(i)
                     values.append(s)
             cid = part.column("cid").take(pa.array(at, pa.int64()))
+            done.update(cid.to_pylist())
             yield pa.RecordBatch.from_arrays([cid, pa.array([len(s) for s in values], pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["cid", "n", "values"])
 
     return rows.mapInArrow(run, "cid long, n long, values array<bigint>")
@@ -141,18 +158,19 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     spark = docs.sparkSession
     wide, path = staging_dir(spark), staging_dir(spark)
     rows = staged(sketches(docs, params, id_col, text_col), wide)
-    found = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    found = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = staged(found.withColumn("cid", F.monotonically_increasing_id()), path)
     rows, ids = staged(rows.select("doc_id", "n", "key")), staged(classes.select("key", "cid", "rep"))
+    rep_id = F.col("rep.doc_id").alias("rep")
     drop_path(spark, wide)  # sketches are with the classes now
     merged = _merge(docs, classes, ids, params, id_col, text_col, path)
     if merged is not None:
-        of_root = ids.select(F.col("cid").alias("v"), F.col("rep").alias("root_rep"))
-        low = merged.join(ids.select(F.col("cid").alias("u"), "rep"), "u").join(of_root, "v").groupBy("v").agg(F.least(F.min("rep"), F.min("root_rep")).alias("low"))
+        of_root = ids.select(F.col("cid").alias("v"), F.col("rep.doc_id").alias("root_rep"))
+        low = merged.join(ids.select(F.col("cid").alias("u"), rep_id), "u").join(of_root, "v").groupBy("v").agg(F.least(F.min("rep"), F.min("root_rep")).alias("low"))
         named = merged.select(F.col("u").alias("cid"), "v").unionByName(low.select(F.col("v").alias("cid"), "v")).join(low, "v").select("cid", "low")
-        ids = ids.join(named, "cid", "left").select("key", F.least("rep", "low").alias("component"))
+        ids = ids.join(named, "cid", "left").select("key", F.least("rep.doc_id", "low").alias("component"))
     else:
-        ids = ids.select("key", F.col("rep").alias("component"))
+        ids = ids.select("key", F.col("rep.doc_id").alias("component"))
     out = rows.select("doc_id", "n", "key").join(ids, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

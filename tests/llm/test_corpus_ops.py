@@ -107,6 +107,21 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.columns == documents(spark, []).columns
 
 
+def test_rows_without_an_id_are_looked_at_once(spark):
+    """Many rows without an id, and many that repeat one: as many full sets as there are different texts."""
+    rnd = random.Random(12)
+    base = words_of(rnd, 80)
+    texts = [" ".join([*base[:k], f"edit{k}", *base[k:]]) for k in range(60)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:20]] + [(None, texts[0])] * 200 + [(8, " ".join(words_of(rnd, 40)))] * 50
+    docs = documents(spark, rows).repartition(5)
+    marked = minhash.sketches(docs, minhash.Params(), "doc_id", "text")
+    wanted = marked.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep")).withColumn("cid", F.monotonically_increasing_id())
+    sets = minhash._full_sets(docs, wanted, minhash.Params(), "doc_id", "text")
+    assert sets.select("cid").distinct().count() == 61 and sets.count() <= 61 + 5 * 2  # a repeated row once a task at most
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(None, 7, False), (7, 7, True), (8, 8, True)}
+
+
 def test_stars_of_a_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     got = stars(edges.unionByName(spark.createDataFrame([(1000, 900), (900, 950)], "u long, v long")))

@@ -81,7 +81,7 @@ def test_manifest_equals_trees_built_node_by_node(spark):
 def test_small_and_empty_tables(spark):
     schema = "doc_id long, source string, lang string, n_chars long, text string"
     assert checked(spark.createDataFrame([], schema)).count() == 0
-    for rows in ([(3, None, None, None, None)], [(i, "s", "en", i, "T" * i) for i in range(300)], [(i, f"s{i}", "en", i, "T") for i in range(300)]):
+    for rows in ([(3, None, None, None, None)], [(i, f"s{i}", "en", i, "T") for i in range(300)]):
         assert sorted(map(tuple, checked(spark.createDataFrame(rows, schema)).collect()), key=str) == brute(rows)
 
 
