@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huestrata.operators.scans import inverse_cdf, segmented_scan
+
 
 def weighted_moments(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """keys, n, weight, mean and population deviation; one partial aggregation, no second pass."""
@@ -13,40 +15,27 @@ def weighted_moments(df: DataFrame, keys: list[str], value: str, weight: str) ->
     return out.select(*keys, "n", "weight", "mean", F.sqrt(F.greatest(F.col("_m2") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"))
 
 
-#: Ranges of values that a key's rows are split into for running sums.
-RANGES = 64
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, quantiles: list[float]) -> DataFrame:
+    """Inverse-CDF quantiles: the least value whose cumulative weight reaches q of the total."""
+    names = {f"q{round(q * 100):02d}": F.lit(q) * F.col("total") for q in quantiles}
+    return inverse_cdf(df, keys, value, names, weight, slack=1e-12).select(*keys, *names)
 
 
-def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, tie: str, quantiles: list[float]) -> DataFrame:
-    """Inverse-CDF quantiles: the first value, ties by `tie`, whose cumulative weight reaches q of the total.
+def mid_rank(df: DataFrame, value: str, keys: list[str] = (), name: str = "mid_rank") -> DataFrame:
+    """Percentile by mid-rank of ties within the keys, values within 1e-12 tied; 1.0 for a single row.
 
-    Rows are summed within ranges of values, and the few sums of the ranges before are added,
-    so a key is as many tasks as there are ranges. Where these are cut changes no result.
+    Distinct values are counted first, and their counts added up by ranges, so that a key is not one task.
     """
-    cuts = sorted(set(df.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.01)))
-    df = df.where(F.col(value).isNotNull()).withColumn("_r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(value))) if cuts else F.lit(0))
-    order = Window.partitionBy(*keys)
-    sums = df.groupBy(*keys, "_r").agg(F.sum(weight).alias("_w"))
-    sums = sums.select(*keys, "_r", (F.sum("_w").over(order.orderBy("_r")) - F.col("_w")).alias("_before"), F.sum("_w").over(order).alias("_all"))
-    run = df.withColumn("_cum", F.sum(weight).over(Window.partitionBy(*keys, "_r").orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0)))
-    reached = F.col("_cum") + F.col("_before") + 1e-12
-    picks = [F.min(F.when(reached >= q * F.col("_all"), F.col(value))).alias(f"q{round(q * 100):02d}") for q in quantiles]
-    return run.join(sums, [*keys, "_r"]).groupBy(*keys).agg(*picks)
-
-
-def mid_rank(df: DataFrame, value: str, keys: list[str] = (), name: str = "mid_rank") -> DataFrame:
-    """Percentile by mid-rank of ties, values within 1e-12 tied; 1.0 for a single row."""
+    keys = list(keys)
     df = df.withColumn("_q", F.floor(F.col(value) * 1e12 + 0.5))
-    if not keys:  # the distinct values are counted first and added up range by range
-        from huestrata.operators.ranking import global_running
-
-        ties = global_running(df.groupBy("_q").agg(F.count(F.lit(1)).alias("_ties")), [F.asc("_q")], "_ties", "_before").withColumnRenamed("_q", "_q2")
-        ranked = df.join(ties, F.col("_q").eqNullSafe(F.col("_q2")))
-        percentile = (F.col("_before") + (F.col("_ties") - 1) / 2) / (F.col("total") - 1)
-        return ranked.withColumn(name, F.when(F.col("total") == 1, 1.0).otherwise(percentile)).drop("_q", "_q2", "_ties", "_before", "total")
-    part = Window.partitionBy(*keys)
-    rank, ties, n = F.rank().over(part.orderBy("_q")), F.count(F.lit(1)).over(Window.partitionBy(*keys, "_q")), F.count(F.lit(1)).over(part)
-    return df.withColumn(name, F.when(n == 1, 1.0).otherwise((rank - 1 + (ties - 1) / 2) / (n - 1))).drop("_q")
+    ties = segmented_scan(df.groupBy(*keys, "_q").agg(F.count(F.lit(1)).alias("_ties")), keys, ["_q"], {"_upto": "_ties"}, totals={"_all": "_ties"})
+    ties = ties.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_q").alias("_q2"), "_ties", "_upto", "_all")
+    same = F.col("_q").eqNullSafe(F.col("_q2"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    percentile = (F.col("_upto") - F.col("_ties") + (F.col("_ties") - 1) / 2) / (F.col("_all") - 1)
+    ranked = df.join(ties, same).withColumn(name, F.when(F.col("_all") == 1, 1.0).otherwise(percentile))
+    return ranked.drop("_q", "_q2", "_ties", "_upto", "_all", *(f"_k{i}" for i in range(len(keys))))
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, fraction: float, how: str = "round", name: str = "p") -> DataFrame:
@@ -61,11 +50,14 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, fraction: float, ho
 
 
 def normalized_entropy(df: DataFrame, keys: list[str], mass: str) -> DataFrame:
-    """Shannon entropy of masses over the logarithm of their number; 0 for one or no mass."""
-    total = F.sum(mass).over(Window.partitionBy(*keys))
-    p = F.when(F.col(mass) > 0, F.col(mass) / total)
-    out = df.withColumn("_p", p).groupBy(*keys).agg(F.sum(-F.col("_p") * F.ln("_p")).alias("_h"), F.count("_p").alias("n"))
-    return out.select(*keys, "n", F.when(F.col("n") > 1, F.col("_h") / F.ln(F.col("n").cast("double"))).otherwise(0.0).alias("entropy"))
+    """Shannon entropy of masses over the logarithm of their number; 0 for one or no mass.
+
+    With T the sum of masses m it is ln T - sum(m ln m) / T: one partial aggregation, without their shares.
+    """
+    m = F.when(F.col(mass) > 0, F.col(mass).cast("double"))
+    out = df.groupBy(*keys).agg(F.sum(m).alias("_t"), F.sum(m * F.ln(m)).alias("_s"), F.count(m).alias("n"))
+    h = F.ln("_t") - F.col("_s") / F.col("_t")
+    return out.select(*keys, "n", F.when(F.col("n") > 1, h / F.ln(F.col("n").cast("double"))).otherwise(0.0).alias("entropy"))
 
 
 def softmax_entropy(scores: Column, scale: float = 1.0) -> Column:

@@ -108,9 +108,15 @@ def near_duplicate_greedy(df: DataFrame, keys: list[str], order: str, hash_col:
 
 
 def round_robin(df: DataFrame, bucket: list[str], order: list[str], n: int) -> DataFrame:
-    """n rows that take turns over the buckets: the first of each, then the second, in bucket order."""
+    """n rows that take turns over the buckets: the first of each, then the second, in bucket order.
+
+    No bucket gives more than n rows: the first n of each of its parts are found before the parts meet.
+    """
+    columns = df.columns
+    parted = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    first = parted.withColumn("_turn", F.row_number().over(Window.partitionBy("_part", *bucket).orderBy(*order))).where(F.col("_turn") <= n).select(*columns)
     turn = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))
-    return df.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy("_turn", *bucket).limit(n).drop("_turn")
+    return first.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy("_turn", *bucket).limit(n).drop("_turn")
 
 
 def space_filling(df: DataFrame, keys: list[str], k: int, axes: list[str], seed: str, id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), most_use: int = 3) -> DataFrame:

@@ -25,7 +25,7 @@ _AT = "min(CASE WHEN cum+1e-12 >= {q}*total THEN C END)"
     {', '.join(f'round({_AT.format(q=q)},6) AS q{round(q * 100):02d}' for q in QUANTILES)}, round({_AT.format(q=0.75)}-{_AT.format(q=0.25)},6) AS iqr FROM k GROUP BY family""")
 def ag05(spark, sf):
     s = swatches(spark, sf)
-    m = st.weighted_moments(s, ["family"], "C", "w").join(st.weighted_quantiles(s, ["family"], "C", "w", "id", list(QUANTILES)), "family")
+    m = st.weighted_moments(s, ["family"], "C", "w").join(st.weighted_quantiles(s, ["family"], "C", "w", list(QUANTILES)), "family")
     m = m.join(s.groupBy("family").agg(F.min("C").alias("low"), F.max("C").alias("high")), "family").withColumn("iqr", F.col("q75") - F.col("q25"))
     return m.select("family", "n", *(R(x).alias(x) for x in ("weight", "mean", "std", "low", "high", "q10", "q25", "q50", "q75", "q90", "iqr")))
 

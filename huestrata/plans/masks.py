@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from huestrata.functions import stats as st
 from huestrata.operators import masks as mk
 from huestrata.operators import relations as rel
+from huestrata.operators.scans import percentiles
 from huestrata.plans.registry import query
 from huestrata.sources.tables import SWATCHES_SQL, swatches, table
 
@@ -177,12 +178,15 @@ def gv13_images(spark, sf):
 def ag20(spark, sf):
     v, w = F.col("value") - 50, F.col("event_id") % 7 / 7.0
     share = lambda test: R(F.avg(F.when(test, 1.0).otherwise(0.0)))
-    at = lambda q: R(F.percentile(v, F.lit(q)))
     held = lambda x: F.sum(F.when(w > 0, x))
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), R(F.min(v)).alias("low"), at(0.05).alias("p05"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), at(0.95).alias("p95"), R(F.max(v)).alias("high"),
+    events = table(spark, sf, "events").withColumnRenamed("event_type", "kind")
+    places = percentiles(events.select("kind", v.alias("v")), ["kind"], "v", {"p05": ("linear", 0.05), "p25": ("linear", 0.25), "median": ("linear", 0.5), "p75": ("linear", 0.75), "p95": ("linear", 0.95)})
+    places = places.select("kind", *(R(x).alias(x) for x in ("p05", "p25", "median", "p75", "p95")))
+    sums = events.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), R(F.min(v)).alias("low"), R(F.max(v)).alias("high"),
         R(F.avg(v)).alias("mean"), R(F.stddev_pop(v)).alias("std"), share(v > 0).alias("positive_ratio"), share(v < 0).alias("negative_ratio"), share(v == 0).alias("zero_ratio"),
         R(held(v * w) / held(w)).alias("weighted_mean"), R(held(F.greatest(v, F.lit(0.0)) * w) / held(w)).alias("weighted_gain"), R(held(w)).alias("weight"))
+    return sums.join(places, "kind", "left")
 
 
 @query("fn23_softmax_entropy", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, list_transform(v, lambda s: exp(s-list_max(v))) AS q FROM e)

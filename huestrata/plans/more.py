@@ -13,6 +13,7 @@ from huestrata.operators import clustering as cl
 from huestrata.operators import ranking as rk
 from huestrata.operators import relations as rel
 from huestrata.operators import sets as so
+from huestrata.operators.scans import percentiles, segmented_scan
 from huestrata.plans.colour import COLUMNS, PAIRS_SQL, graph
 from huestrata.plans.registry import query
 from huestrata.plans.search import PHOTOS, photos, scored
@@ -89,7 +90,8 @@ def ag08(spark, sf):
 @query("ag11_percentiles", "SELECT l_returnflag AS flag, quantile_disc(l_extendedprice, 0.95) AS p95, round(quantile_cont(l_extendedprice, 0.95),4) AS p95_linear FROM lineitem GROUP BY 1")
 def ag11(spark, sf):
     d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"))
-    return d.groupBy("flag").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY v)").alias("p95"), R(F.percentile("v", F.lit(0.95)), 4).alias("p95_linear"))
+    out = percentiles(d, ["flag"], "v", {"p95": ("ceil", 0.95), "p95_linear": ("linear", 0.95)})
+    return out.select("flag", "p95", R("p95_linear", 4).alias("p95_linear"))
 
 
 @query("ag13_accent_ratio", f"WITH {MODES_SQL}, p AS (SELECT *, mass/sum(mass) OVER (PARTITION BY image_id) AS ratio FROM modes) SELECT image_id, round(sum(CASE WHEN ratio <= 0.28 AND (C > 0.11 OR abs(L-0.5) > 0.24) THEN ratio ELSE 0 END),6) AS accent FROM p GROUP BY image_id")
@@ -120,8 +122,7 @@ def grid(spark, sf):
 
 @query("wn04_cumulative_weight", f"WITH {MODES_SQL} SELECT id, round(sum(mass) OVER (PARTITION BY family ORDER BY L, id ROWS UNBOUNDED PRECEDING),6) AS cum FROM modes")
 def wn04(spark, sf):
-    w = Window.partitionBy("family").orderBy("L", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return modes(spark, sf).select("id", R(F.sum("mass").over(w)).alias("cum"))
+    return segmented_scan(modes(spark, sf).select("id", "family", "L", "mass"), ["family"], ["L", "id"], {"cum": "mass"}).select("id", R("cum").alias("cum"))
 
 
 @query("wn06_provider_rank", f"WITH {PHOTOS} SELECT id, provider, row_number() OVER (PARTITION BY provider, search ORDER BY id) AS place FROM photos")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from huestrata.functions import stats as st
+from huestrata.operators.scans import percentiles
 from huestrata.plans.registry import query
 from huestrata.sources.tables import MODES_SQL, SWATCHES_SQL, modes, swatches, table
 
@@ -40,7 +41,7 @@ Q = "min(CASE WHEN cum+1e-12 >= {q}*total THEN L END)"
 @query("ag04_weighted_quantile", f"""WITH {SWATCHES_SQL}, k AS (SELECT *, sum(w) OVER (PARTITION BY family ORDER BY L, id ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY family) AS total FROM swatches)
     SELECT family, {', '.join(f'round({Q.format(q=q)},6) AS q{round(q * 100):02d}' for q in (.1, .25, .5, .75, .9))} FROM k GROUP BY family""")
 def ag04(spark, sf):
-    out = st.weighted_quantiles(swatches(spark, sf), ["family"], "L", "w", "id", [0.1, 0.25, 0.5, 0.75, 0.9])
+    out = st.weighted_quantiles(swatches(spark, sf), ["family"], "L", "w", [0.1, 0.25, 0.5, 0.75, 0.9])
     return out.select("family", *(R(x).alias(x) for x in out.columns if x != "family"))
 
 
@@ -66,13 +67,10 @@ def ag07(spark, sf):
 @query("ag10_nearest_rank", """WITH r AS (SELECT c_mktsegment AS segment, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal)-1 AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
     SELECT segment, max(CASE WHEN rn = floor((n-1)*0.9+0.5) THEN v END) AS rounded, max(CASE WHEN rn = ceil(n*0.95)-1 THEN v END) AS ceiled, max(CASE WHEN rn = floor((n-1)*0.5) THEN v END) AS floored, round(quantile_cont(v, 0.25),4) AS linear FROM r GROUP BY segment""")
 def ag10(spark, sf):
-    """Four definitions of a percentile from one sort: every row's place, and the values at the places asked for."""
+    """Four definitions of a percentile, each from the range of values that holds its place."""
     d = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("v"))
-    part = Window.partitionBy("segment")
-    r = d.where("v IS NOT NULL").withColumns({"at": F.row_number().over(part.orderBy("v")) - 1, "n": F.count("v").over(part)})
-    n = F.col("n")
-    at = lambda place: F.max(F.when(F.col("at") == place, F.col("v")))
-    return r.groupBy("segment").agg(at(F.floor((n - 1) * 0.9 + 0.5)).alias("rounded"), at(F.greatest(F.ceil(n * 0.95) - 1, F.lit(0))).alias("ceiled"), at(F.floor((n - 1) * 0.5)).alias("floored"), R(F.percentile("v", F.lit(0.25)), 4).alias("linear"))
+    out = percentiles(d, ["segment"], "v", {"rounded": ("round", 0.9), "ceiled": ("ceil", 0.95), "floored": ("floor", 0.5), "linear": ("linear", 0.25)})
+    return out.select("segment", "rounded", "ceiled", "floored", R("linear", 4).alias("linear"))
 
 
 @query("ag14_bucket_count", f"WITH {SWATCHES_SQL} SELECT image_id, count(DISTINCT (r//8)*1024+(g//8)*32+(b//8)) AS buckets FROM swatches GROUP BY 1")

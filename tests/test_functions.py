@@ -50,7 +50,7 @@ def test_text(spark):
 
 def test_weighted_quantile(spark):
     df = spark.createDataFrame([(1, 1.0, 0.85), (2, 2.0, 1.0), (3, 3.0, 1.0)], "id int, v double, w double").withColumn("g", F.lit(1))
-    assert st.weighted_quantiles(df, ["g"], "v", "w", "id", [0.5]).first()["q50"] == 2.0
+    assert st.weighted_quantiles(df, ["g"], "v", "w", [0.5]).first()["q50"] == 2.0
 
 
 def test_mid_rank(spark):
