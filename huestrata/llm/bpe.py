@@ -33,7 +33,7 @@ _BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 _ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
 _LATIN = {r"\p{L}": r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
 #: Pre-tokens kept per worker with their ids, in number and letters; past either the store is emptied and fills anew.
-STORE, STORE_LETTERS = 500_000, 16_000_000
+STORE, STORE_LETTERS = 250_000, 8_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -89,11 +89,18 @@ class WordBpe:
         self._between_spaces = re.compile(f"[^{WHITE_SPACE}]+").findall
         self.latin_line_words = re.compile(_spelled_out(pattern, _LATIN) + r"|\n").findall
         self._letters = dict(enumerate(byte_alphabet()))
+        self.store = _Store(self._entry)
+        #: stretches between white space that hold code points beyond Latin, with their ids
+        self.others = _Store(lambda stretch: b"".join(map(self.store.__getitem__, self._library_words(stretch))))
+        self._merges(vocab, model["merges"])
+
+    def _merges(self, vocab: dict[str, int], merges: list) -> None:
+        """What the dynamic programme needs: merges and the automaton over the tokens."""
         #: (left, right) -> rank of their merge, and of each token the pair it is merged from.
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
-        for rank, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else m for m in model["merges"]):
+        for rank, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else m for m in merges):
             pair, whole = (vocab[a], vocab[b]), vocab[a + b]
             self.rank.setdefault(pair, rank)
             if whole not in self.parts:
@@ -112,9 +119,6 @@ class WordBpe:
                 self.automaton.add_word(key, (len(key), i))
                 self.sizes[i] = len(key)
         self.automaton.make_automaton()
-        self.store = _Store(self._entry)
-        #: stretches between white space that hold code points beyond Latin, with their ids
-        self.others = _Store(lambda stretch: b"".join(map(self.store.__getitem__, self._library_words(stretch))))
 
     def _merges_to_itself(self, token: int) -> bool:
         """Whether the two parts of a token, side by side, would really be merged into it."""

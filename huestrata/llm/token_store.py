@@ -51,6 +51,9 @@ class LibraryWords(WordBpe):
         super().__init__(path)
         self._tokenize = Tokenizer.from_file(path).model.tokenize
 
+    def _merges(self, vocab: dict[str, int], merges: list) -> None:
+        """The library's model knows its merges."""
+
     def encode_word(self, word: str) -> list[int]:
         return [t.id for t in self._tokenize(word)]
 
