@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huestrata.operators.digests import ordered_digest
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], gather: dict[str, str] = {}) -> DataFrame:
     """The first row of each key; gather: new column -> column whose distinct values of all rows it lists, sorted."""
@@ -16,8 +18,8 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str], gather: dict[st
 
 
 def digest_of_set(df: DataFrame, column: str) -> DataFrame:
-    """One row: SHA-256 of the sorted distinct values, joined by line breaks. The list is one value: use it for id lists of bounded size."""
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_set(column)), "\n"), 256).alias("digest"))
+    """One row: the digest of the sorted distinct values, joined by line breaks (see ordered_digest for long lists)."""
+    return ordered_digest(df.select(column).distinct(), [], [column], column).select("digest")
 
 
 def opposites(df: DataFrame, key: str, rule: str, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -98,27 +100,23 @@ def pool_audit(refs: DataFrame, key: str) -> DataFrame:
 
 
 def commitment(sealed: DataFrame, got: DataFrame, keys: list[str], frozen_at: int) -> DataFrame:
-    """Per batch (keys, of bounded size) what of got breaks the commitment: case_id, pair_key and place were sealed; got also has `at`."""
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("pair_key")), "\n"), 256)
-    s = sealed.groupBy(*keys).agg(digest.alias("_s"))
-    g = got.groupBy(*keys).agg(digest.alias("_g"), ((F.count(F.lit(1)) == F.countDistinct("case_id")) & (F.count(F.lit(1)) == F.countDistinct("pair_key"))).alias("_once"), F.min("at").alias("_at"))
+    """Per batch (keys) what of got breaks the commitment: case_id, pair_key and place were sealed; got also has `at`."""
+    digest = lambda df, name: ordered_digest(df, keys, ["pair_key"], "pair_key").select(*keys, F.col("digest").alias(name))
+    s = digest(sealed, "_s")
+    g = got.groupBy(*keys).agg(((F.count(F.lit(1)) == F.countDistinct("case_id")) & (F.count(F.lit(1)) == F.countDistinct("pair_key"))).alias("_once"), F.min("at").alias("_at"))
     side = got.select(*keys, "place", F.col("case_id").alias("_case"), F.col("pair_key").alias("_pair"))
     same = lambda a, b: F.bool_and(F.coalesce(F.col(a) == F.col(b), F.lit(False)))
     rows = sealed.join(side, [*keys, "place"], "full_outer").groupBy(*keys).agg(same("case_id", "_case").alias("_ids"), same("pair_key", "_pair").alias("_pairs"))
-    both = rows.join(s, keys, "left").join(g, keys, "left")
+    both = rows.join(s, keys, "left").join(g, keys, "left").join(digest(got, "_g"), keys, "left")
     broken = reasons({"digest": F.col("_s") == F.col("_g"), "repeated": F.col("_once"), "case_order": F.col("_ids"), "pair_order": F.col("_pairs"), "predates_freeze": F.col("_at") >= frozen_at})
     return both.select(*keys, broken.alias("broken"))
 
 
 def manifest_print(files: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, files, print: SHA-256 over the fingerprints of a manifest's rows (file, bytes, sha, missing) in order of name.
-
-    A manifest is a list of files that is read as a whole; rows go in as hashes of fixed length.
-    """
+    """keys, files, print: the digest of the fingerprints of a manifest's rows (file, bytes, sha, missing) in order of name."""
     row = F.sha2(F.concat_ws("|", "file", F.coalesce(F.col("bytes").cast("string"), F.lit("")), F.coalesce("sha", F.lit("")), F.col("missing").cast("string")), 256)
     rows = files.select(*keys, "file", row.alias("_r"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("file", "_r"))), lambda s: s["_r"])
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(ordered, ""), 256).alias("print"))
+    return ordered_digest(rows, keys, ["file"], "_r", "").select(*keys, F.col("n").alias("files"), F.col("digest").alias("print"))
 
 
 def pinned(before: DataFrame, after: DataFrame, key: str, row: Column) -> DataFrame:

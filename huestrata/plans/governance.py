@@ -9,6 +9,8 @@ from huestrata.functions import text as tx
 from huestrata.operators import ranking as rk
 from huestrata.operators import relations as rel
 from huestrata.operators import sets as so
+from huestrata.operators import shuffles as sh
+from huestrata.operators.digests import digest_sql
 from huestrata.plans.registry import query
 from huestrata.sources.tables import modes, table
 
@@ -59,12 +61,20 @@ def fn28_record(spark, sf):
     return r.select("id", tx.record_hash("nation", "name", "balance").alias("print"))
 
 
-@query("fn30_shuffle", "SELECT c_nationkey AS deck, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY ('0x' || substr(sha256('deal' || c_custkey),1,12))::BIGINT, c_custkey) AS place FROM customer")
+DECK = 40
+_imul = lambda a, b: f"((({a}) * (({b}) & 65535) + (((({a}) * (({b}) >> 16)) & 65535) << 16)) & 4294967295)"
+
+
+@query("fn30_shuffle", f"""WITH c AS (SELECT c_custkey // {DECK} AS deck, c_custkey AS id, row_number() OVER (PARTITION BY c_custkey // {DECK} ORDER BY c_custkey) - 1 AS pos, count(*) OVER (PARTITION BY c_custkey // {DECK}) AS n FROM customer),
+    a AS (SELECT *, (('0x' || substr(sha256('deal|' || deck), 1, 8))::BIGINT + (n - pos) * {0x6D2B79F5}) & 4294967295 AS a FROM c), t AS (SELECT *, {_imul('xor(a, a >> 15)', 'a | 1')} AS t FROM a),
+    u AS (SELECT *, xor(t, (t + {_imul('xor(t, t >> 7)', 't | 61')}) & 4294967295) AS u FROM t), w AS (SELECT *, floor(xor(u, u >> 14) / 4294967296.0::DOUBLE * (pos + 1))::BIGINT AS swap FROM u),
+    d AS (SELECT deck, list(id ORDER BY pos) AS cards, list([pos, swap] ORDER BY pos DESC) FILTER (WHERE pos > 0) AS swaps FROM w GROUP BY deck),
+    s AS (SELECT deck, list_reduce(list_prepend(cards, coalesce(swaps, [])), lambda x, s: list_transform(x, lambda v, p: CASE WHEN p = s[1] + 1 THEN x[s[2] + 1] WHEN p = s[2] + 1 THEN x[s[1] + 1] ELSE v END)) AS cards FROM d)
+    SELECT deck, unnest(cards) AS id, unnest(range(1, len(cards) + 1))::INT AS place FROM s""")
 def fn30_shuffle(spark, sf):
-    """A seeded shuffle within each deck: by hash score, which any executor can work out."""
-    r = table(spark, sf, "customer").select(F.col("c_nationkey").alias("deck"), F.col("c_custkey").alias("id"))
-    order = Window.partitionBy("deck").orderBy(tx.hash_score("deal", F.col("id").cast("string")), "id")
-    return r.withColumn("place", F.row_number().over(order))
+    """Decks of cards, each after a Fisher-Yates shuffle by the seeded generator."""
+    r = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / DECK).alias("deck"), F.col("c_custkey").alias("id"))
+    return sh.shuffled(r, ["deck"], ["id"], sh.seed32(F.concat(F.lit("deal|"), F.col("deck").cast("string"))))
 
 
 # --- label schemas ----------------------------------------------------------------------------
@@ -188,7 +198,7 @@ def gv07(spark, sf):
 
 
 @query("gv09_manifest_print", """WITH f AS (SELECT source AS folder, 'd/' || doc_id AS file, CASE WHEN doc_id%31=0 THEN NULL ELSE strlen(coalesce(text,'')) END AS bytes, CASE WHEN doc_id%31=0 THEN NULL ELSE sha256(coalesce(text,'')) END AS sha, doc_id%31=0 AS missing FROM documents)
-    SELECT folder, count(*) AS files, sha256(string_agg(sha256(file || '|' || coalesce(bytes::VARCHAR,'') || '|' || coalesce(sha,'') || '|' || missing), '' ORDER BY file)) AS print FROM f GROUP BY 1""")
+    SELECT folder, n AS files, digest AS print FROM (""" + digest_sql("(SELECT folder, file, sha256(file || '|' || coalesce(bytes::VARCHAR,'') || '|' || coalesce(sha,'') || '|' || missing) AS r FROM f)", ["folder"], "file", "r", "''") + ")")
 def gv09(spark, sf):
     """One fingerprint for the files (name, bytes, SHA-256, missing) of each folder, in order of name."""
     gone = F.col("doc_id") % 31 == 0

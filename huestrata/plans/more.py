@@ -13,12 +13,13 @@ from huestrata.operators import clustering as cl
 from huestrata.operators import ranking as rk
 from huestrata.operators import relations as rel
 from huestrata.operators import sets as so
+from huestrata.operators.palettes import direction_palettes
 from huestrata.operators.scans import percentiles, segmented_scan
 from huestrata.plans.colour import COLUMNS, PAIRS_SQL, graph
 from huestrata.plans.registry import query
 from huestrata.plans.search import PHOTOS, photos, scored
 from huestrata.sources import landing as ld
-from huestrata.sources.tables import MODES_SQL, SWATCHES_SQL, modes, swatches, table
+from huestrata.sources.tables import MODES_SQL, STYLE_MODES, SWATCHES_SQL, modes, swatches, table
 
 R = lambda x, n=6: F.round(x, n)
 
@@ -142,6 +143,15 @@ def tk11(spark, sf):
     return modes(spark, sf).select("image_id", "id", F.row_number().over(w).alias("place")).where("place <= 6")
 
 
+@query("tk11_distinct_palettes")
+def tk11_distinct(spark, sf):
+    """Five colours for each direction of a style, from its candidates and away from what earlier directions took. A direction is a dozen modes."""
+    m = modes(spark, sf).withColumn("direction", F.floor((F.col("id") - F.col("style") * STYLE_MODES) / 14))
+    shares = m.withColumn("ratio", F.col("mass") / F.sum("mass").over(Window.partitionBy("style", "direction")))
+    out = direction_palettes(shares, ["style"], "direction", "id")
+    return out.withColumns({x: R(x) for x in ("L", "a", "bb", "ratio")})
+
+
 @query("tk14_queue_order", "SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS place FROM orders")
 def tk14(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")).alias("place"))
@@ -164,9 +174,9 @@ def jn03(spark, sf):
     return modes(spark, sf).select("id").join(ev, "id", "left")
 
 
-@query("jn05_mask_roles", "SELECT l_suppkey AS mask, l_orderkey AS image, s_name AS role FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1")
+@query("jn05_mask_roles", "SELECT l_suppkey AS mask, l_orderkey AS image, s_name AS role FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def jn05(spark, sf):
-    j = table(spark, sf, "lineitem").where("l_linenumber = 1").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return j.select(F.col("l_suppkey").alias("mask"), F.col("l_orderkey").alias("image"), F.col("s_name").alias("role"))
 
 
@@ -205,9 +215,8 @@ def gains(spark, sf):
     return mask_pairs(whole_masks(spark, sf)).groupBy(F.col("l").alias("mask")).agg(R(F.max("coverage")).alias("gain"))
 
 
-for suffix in ("", "_whole"):  # both names mean every row of lineitem
-    query(f"jn12_containment{suffix}", f"WITH {SETS} SELECT l AS inner_m, r AS outer_m FROM b JOIN n i ON i.m=l JOIN n o ON o.m=r WHERE k/i.n >= 0.95 AND i.n < o.n")(contained)
-    query(f"cl19_recovery_gain{suffix}", f"WITH {SETS} SELECT l AS mask, round(max(k/n.n),6) AS gain FROM b JOIN n ON n.m=l GROUP BY 1")(gains)
+query("jn12_containment", f"WITH {SETS} SELECT l AS inner_m, r AS outer_m FROM b JOIN n i ON i.m=l JOIN n o ON o.m=r WHERE k/i.n >= 0.95 AND i.n < o.n")(contained)
+query("cl19_recovery_gain", f"WITH {SETS} SELECT l AS mask, round(max(k/n.n),6) AS gain FROM b JOIN n ON n.m=l GROUP BY 1")(gains)
 
 
 @query("jn23_near_duplicate_masks", f"""WITH RECURSIVE {SETS}, e AS (SELECT l, r FROM b JOIN n p ON p.m=l JOIN n q ON q.m=r WHERE k/(p.n+q.n-k) >= 0.985 OR k/greatest(p.n,q.n) >= 0.995), c(node, low) AS (SELECT m, m FROM n UNION SELECT e.r, c.low FROM c JOIN e ON e.l=c.node) SELECT node AS mask, min(low) AS component FROM c GROUP BY 1""")

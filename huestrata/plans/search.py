@@ -9,6 +9,7 @@ from huestrata.functions import text as tx
 from huestrata.operators import ranking as rk
 from huestrata.operators import relations as rel
 from huestrata.operators import sets as so
+from huestrata.operators.digests import digest_sql
 from huestrata.plans.registry import query
 from huestrata.sources.tables import MODES_SQL, modes, table
 
@@ -180,8 +181,7 @@ COSINE_SQL = """WITH k AS (SELECT l_suppkey AS sup, l_partkey AS p, sum(l_quanti
     d AS (SELECT x.sup AS a, y.sup AS b, round(sum(x.q*y.q),9) AS score FROM s x JOIN s y ON x.p = y.p AND x.sup <> y.sup GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM d),
     t AS (SELECT a, max(CASE WHEN rn=1 THEN b END) AS b, max(CASE WHEN rn=1 THEN score END) AS s1, max(CASE WHEN rn=2 THEN score END) AS s2 FROM r WHERE rn <= 2 GROUP BY a)
     SELECT x.a, x.b, round(x.s1,6) AS score, round(x.s1-coalesce(x.s2,0),6) AS margin FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b"""
-for name in ("jn10_mutual_nearest", "jn10_mutual_nearest_cosine"):
-    query(name, COSINE_SQL)(mutual_by_cosine)
+query("jn10_mutual_nearest", COSINE_SQL)(mutual_by_cosine)
 
 
 @query("jn11_overlap", """WITH l AS (SELECT DISTINCT l_suppkey%20 AS l, l_orderkey AS x FROM lineitem), r AS (SELECT DISTINCT l_partkey%15 AS r, l_orderkey AS x FROM lineitem), nl AS (SELECT l, count(*) AS n FROM l GROUP BY 1), nr AS (SELECT r, count(*) AS n FROM r GROUP BY 1),
@@ -266,7 +266,7 @@ def st05(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).distinct().join(table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")), "k", "left_anti")
 
 
-@query("st07_set_digest", "SELECT sha256(string_agg(s_name, chr(10) ORDER BY s_name)) AS digest FROM (SELECT DISTINCT s_name FROM supplier)")
+@query("st07_set_digest", "SELECT digest FROM (" + digest_sql("(SELECT DISTINCT s_name FROM supplier)", [], "s_name", "s_name") + ")")
 def st07(spark, sf):
     return so.digest_of_set(table(spark, sf, "supplier"), "s_name")
 

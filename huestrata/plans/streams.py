@@ -79,10 +79,10 @@ def sx02(spark, sf):
     return jobs.sessions(table(spark, sf, "events"), "ts", ["user_id"], "30 minutes").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("sm08_stable_files", "WITH s AS (SELECT event_id%100 AS path, event_id AS scan, event_id%3 AS size, lag(event_id%3) OVER (PARTITION BY event_id%100 ORDER BY event_id) AS prev FROM events WHERE event_type <> 'click') SELECT path, min(scan) AS admitted_at FROM s WHERE prev = size GROUP BY path")
+@query("sm08_stable_files", "WITH s AS (SELECT user_id AS path, event_id AS scan, event_id%3 AS size, lag(event_id%3) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT path, min(scan) AS admitted_at FROM s WHERE prev = size GROUP BY path")
 def sm08(spark, sf):
     k = F.col("event_id")
-    return jobs.admitted(table(spark, sf, "events").where("event_type <> 'click'").select((k % 100).alias("path"), k.alias("scan"), (k % 3).alias("size"), F.lit(1).alias("mtime")))
+    return jobs.admitted(table(spark, sf, "events").select(F.col("user_id").alias("path"), k.alias("scan"), (k % 3).alias("size"), F.lit(1).alias("mtime")))
 
 
 @query("src02_pexels_pages", f"WITH r AS (SELECT p_partkey AS id, p_name || ' & ' || p_brand AS q, p_partkey%5-1 AS page, p_size*3 AS per_page, CASE p_partkey%3 WHEN 0 THEN 'landscape' WHEN 1 THEN '' END AS orientation, CASE p_partkey%4 WHEN 1 THEN 'red' END AS color FROM part) SELECT id, 'https://api.pexels.com/v1/search?query=' || replace(url_encode(q),'+','%20') || '&page=' || greatest(1,page) || '&per_page=' || least(80,greatest(1,per_page)) || CASE WHEN orientation <> '' THEN '&orientation=' || orientation ELSE '' END || CASE WHEN color <> '' THEN '&color=' || color ELSE '' END AS url, ceil(id/greatest(1,per_page)::DOUBLE)::BIGINT AS total_pages FROM r")

@@ -35,7 +35,7 @@ def test_mutual_nearest_tells_all_suppliers_apart(spark, tmp_path):
         v[s][p] += q
     dot = {(a, b): d for a in v for b in v if a != b and (d := sum(q * v[b][p] for p, q in v[a].items() if p in v[b]))}
     cosine = {(a, b): round(d / (sum(q * q for q in v[a].values()) * sum(q * q for q in v[b].values())) ** 0.5, 9) for (a, b), d in dot.items()}
-    for name, scores, n in (("jn10_mutual_nearest", cosine, 6), ("jn10_mutual_nearest_cosine", cosine, 6)):
+    for name, scores, n in (("jn10_mutual_nearest", cosine, 6),):
         got = {(r["a"], r["b"]): (r["score"], r["margin"]) for r in registry.QUERIES[name](spark, sf).collect()}
         want = mutual(scores)
         assert want and got.keys() == want.keys()
@@ -62,9 +62,9 @@ def masks(spark, folder):
 def test_masks_are_of_all_rows(spark, tmp_path):
     sf, of = masks(spark, tmp_path)
     cover = {(a, b): len(of[a] & of[b]) / len(of[a]) for a in of for b in of if a != b and of[a] & of[b]}
-    got = {tuple(r) for r in registry.QUERIES["jn12_containment_whole"](spark, sf).collect()}
+    got = {tuple(r) for r in registry.QUERIES["jn12_containment"](spark, sf).collect()}
     assert got == {(a, b) for (a, b), c in cover.items() if c >= 0.95 and len(of[a]) < len(of[b])} == {(2, 1), (6, 1)}
-    got = {r["mask"]: r["gain"] for r in registry.QUERIES["cl19_recovery_gain_whole"](spark, sf).collect()}
+    got = {r["mask"]: r["gain"] for r in registry.QUERIES["cl19_recovery_gain"](spark, sf).collect()}
     assert got == {a: round(max(c for (x, _), c in cover.items() if x == a), 6) for a in of if a != 7}
 
 
