@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huestrata.functions import color as c
+from huestrata.sources.staging import staged
 
 
 def _side(df: DataFrame, tag: str, columns: list[str]) -> DataFrame:
@@ -78,15 +79,37 @@ def near_duplicates(masks: DataFrame, least_iou: float = 0.985, least_mutual: fl
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that edges (l, r), given both ways, lead to; by repeated minimum until nothing changes."""
-    both = edges.select("l", "r").unionByName(nodes.select(F.col("node").alias("l"), F.col("node").alias("r"))).persist()
-    now = nodes.select("node", F.col("node").alias("component")).persist()
-    while True:
-        low = both.join(now.withColumnRenamed("node", "r"), "r").groupBy("l").agg(F.min("component").alias("component"), F.max(F.when(F.col("l") == F.col("r"), F.col("component"))).alias("was")).persist()
-        changed = low.where("component < was").limit(1).count()
-        now = low.select(F.col("l").alias("node"), "component")
-        if not changed:
-            return now
+    """(node, component): the least node that edges (l, r) lead to, in either direction; nodes of any type with an order."""
+    stars, _ = contracted(edges)
+    joined = nodes.select("node").join(stars.select(F.col("u").alias("node"), F.col("v").alias("_least")), "node", "left")
+    return joined.select("node", F.coalesce("_least", "node").alias("component"))
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Stars (u, v), v the least node of u's component, for all u that are not the least; and the rounds it took.
+
+    A round ties every node's larger neighbours to its least one, and then its smaller ones.
+    Rounds grow with the logarithm of the longest path. Each is written to the shared folder,
+    so that neither lineage nor memory grows with their number.
+    """
+    now = staged(edges.where("l <> r").select(F.greatest("l", "r").alias("u"), F.least("l", "r").alias("v")).distinct())
+    state, rounds = _state(now), 0
+    while state[0]:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        tied = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = tied.groupBy("u").agg(F.min("v").alias("m"))
+        tied = tied.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now, rounds = staged(tied.distinct()), rounds + 1
+        before, state = state, _state(now)
+        if state == before:
+            break
+    return now, rounds
+
+
+def _state(edges: DataFrame) -> tuple:
+    """What tells whether a round has changed anything."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
 def adjacent(labels: DataFrame) -> DataFrame:

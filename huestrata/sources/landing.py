@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from huestrata.sources.staging import staged
+
 #: The uniform projection of one search result.
 PHOTO = T.StructType([T.StructField(n, t) for n, t in (
     ("id", T.StringType()), ("provider", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("color", T.StringType()), ("alt", T.StringType()),
@@ -108,39 +107,24 @@ def seed_queries(seeds: DataFrame, style: str, most: int = 6) -> DataFrame:
     return some.unionByName(made.join(some.agg(F.count(F.lit(1)).alias("_n")), F.lit(True)).where("_n = 0").drop("_n"))
 
 
-def _walk(value, found: set[str]) -> None:
-    stack = [value]
-    while stack:
-        now = stack.pop()
-        if isinstance(now, dict):
-            key = now.get("pair_key")
-            if isinstance(key, str) and key:
-                found.add(key)
-            stack += now.values()
-        elif isinstance(now, list):
-            stack += now
-
+def pair_keys(docs: DataFrame, column: str = "body", name: str = "pair_key") -> DataFrame:
+    """Every string under the key `name` anywhere in JSON documents, however deep, distinct. What is no JSON has none.
 
-def pair_keys(docs: DataFrame, column: str = "body") -> DataFrame:
-    """Every pair_key string anywhere in JSON documents, however deep, distinct. What is no JSON has none.
-
-    The shape of the documents is open, so each is parsed and walked; text that only looks
-    like a key, inside a string, is none.
+    The shape of the documents is open, so each becomes a variant, whose members are taken out
+    level by level until no object or array is left; text that only looks like a key, inside a
+    string, is none. Each level is written to the shared folder.
     """
-
-    @F.pandas_udf("array<string>")
-    def found(bodies: pd.Series) -> pd.Series:
-        out = []
-        for body in bodies:
-            keys: set[str] = set()
-            try:
-                _walk(json.loads(body or "null"), keys)
-            except (ValueError, RecursionError):
-                pass
-            out.append(sorted(keys))
-        return pd.Series(out)
-
-    return docs.select(F.explode(found(F.col(column))).alias("pair_key")).distinct()
+    member = docs.select(F.try_parse_json(column).alias("v")).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+    out = None
+    while True:
+        level = member.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.col("key"), F.col("value"))
+        level = staged(level)
+        kind = F.schema_of_variant("value")
+        found = level.where((F.col("key") == name) & (kind == "STRING")).select(F.col("value").cast("string").alias("pair_key")).where("pair_key <> ''")
+        out = found if out is None else out.unionByName(found)
+        member = level.where(kind.rlike("^(OBJECT|ARRAY)")).select(F.col("value").alias("v"))
+        if member.isEmpty():
+            return out.distinct()
 
 
 def flatten_json(docs: DataFrame, key: str, column: str = "body", depth: int = 6) -> DataFrame:

@@ -109,3 +109,16 @@ def test_mid_rank_and_entropy_within_keys(spark):
         own = [x for _, g, x in rows if g == r["k"] and x > 0]
         h = -sum(x / sum(own) * math.log(x / sum(own)) for x in own)
         assert r["n"] == len(own) and abs(r["entropy"] - (h / math.log(len(own)) if len(own) > 1 else 0)) < 1e-12
+
+
+def test_components_of_a_long_chain(spark):
+    from huestrata.operators import relations as rel
+
+    nodes = spark.range(10_000).select(F.format_string("m%05d", F.col("id")).alias("node"))
+    chain = spark.range(1, 10_000).select(F.format_string("m%05d", F.col("id")).alias("l"), F.format_string("m%05d", F.col("id") - 1).alias("r"))
+    stars, rounds = rel.contracted(chain)
+    assert rounds < 20 and stars.where("v <> 'm00000'").count() == 0 and stars.count() == 9_999
+    parts = chain.where("l NOT LIKE '%00'")  # broken every hundred
+    got = rel.components(nodes, parts.unionByName(parts.select(F.col("r").alias("l"), F.col("l").alias("r"))))
+    assert got.where("substring(node, 1, 4) <> substring(component, 1, 4) OR component NOT LIKE '%00'").count() == 0 and got.count() == 10_000
+    assert rel.components(nodes.limit(3), chain.limit(0)).where("node <> component").count() == 0

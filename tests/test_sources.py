@@ -48,6 +48,16 @@ def test_pair_keys_are_walked_not_matched(spark):
     ]
     rows = spark.createDataFrame([(json.dumps(d),) for d in docs] + [("{broken",), (None,)], "body string")
     assert sorted(r["pair_key"] for r in ld.pair_keys(rows).collect()) == sorted(["a||b", 'quo"te||x', "é||ü", "in||side"])
+    assert ld.pair_keys(rows.where("body IS NULL")).count() == 0
+
+
+def test_pair_keys_are_found_at_any_depth_without_python(spark):
+    deep = {"pair_key": "bottom"}
+    for k in range(30):
+        deep = [deep] if k % 2 else {"x": deep, "pair_key": f"level {k}"}
+    out = ld.pair_keys(spark.createDataFrame([(json.dumps(deep),)], "body string"))
+    assert {r["pair_key"] for r in out.collect()} == {"bottom", *(f"level {k}" for k in range(0, 30, 2))}
+    assert "Python" not in out._jdf.queryExecution().toString()
 
 
 def test_packets_hold_no_subjective_fields(spark):
