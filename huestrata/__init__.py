@@ -8,6 +8,19 @@ import shutil
 import tempfile
 
 
+_shipped: set[str] = set()
+
+
+def reachable(spark) -> None:
+    """Ships the package once per application, unless PYTHONPATH, which workers inherit, names its folder."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if home not in known and app not in _shipped:
+        ship(spark)
+        _shipped.add(app)
+
+
 def ship(spark) -> None:
     """Sends the package to the executors of a session, for clusters on which it is not installed.
 

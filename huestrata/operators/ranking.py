@@ -175,6 +175,14 @@ def capped_take(df: DataFrame, strata: list[str], order: list[str], per_stratum:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_rn") <= per_stratum).drop("_rn")
 
 
+def softly_capped(df: DataFrame, keys: list[str], family: str, rank: str, n: int, cap: int) -> DataFrame:
+    """Up to n rows per key in the order of rank, with place: no more than cap of a family, unless the others are too few. Keys are pools of bounded size."""
+    key = Window.partitionBy(*keys)
+    of_family = F.row_number().over(Window.partitionBy(*keys, family).orderBy(rank))
+    turned = df.withColumn("_over", of_family > cap).withColumn("_turn", F.row_number().over(key.orderBy("_over", rank)))
+    return turned.where(F.col("_turn") <= n).withColumn("place", F.row_number().over(key.orderBy(rank))).drop("_over", "_turn")
+
+
 def ordered_merge(rows: Iterator[tuple], limit: float) -> list[tuple]:
     """Greedy merge of (weight, L, a, b) in falling weight: a row joins the first mean within limit, which moves by weight."""
     out: list[list[float]] = []

@@ -126,6 +126,14 @@ def descendants(base: DataFrame, after: DataFrame) -> DataFrame:
     return hits.join(size, "cluster").where("k = n").select("cluster", "descendant", "n")
 
 
+def lineage(base: DataFrame, after: DataFrame) -> DataFrame:
+    """descendants() of partitions that only ever merge: a base cluster without exactly one descendant stops the query."""
+    found = base.select("cluster").distinct().join(descendants(base, after), "cluster", "left")
+    counted = found.groupBy("cluster").agg(F.count("descendant").alias("_k"), F.min("descendant").alias("descendant"), F.min("n").alias("n"))
+    broken = F.raise_error(F.concat(F.lit("cluster "), F.coalesce(F.col("cluster").cast("string"), F.lit("null")), F.lit(" has "), F.col("_k").cast("string"), F.lit(" descendants"))).cast("boolean")
+    return counted.where(F.when(F.col("_k") != 1, broken).otherwise(True)).drop("_k")
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """ADDED, REMOVED, CHANGED or UNCHANGED for every key of two manifests; null values compare as values."""
     o, n = old.select(F.col(key), F.col(value).alias("_old"), F.lit(1).alias("_o")), new.select(F.col(key), F.col(value).alias("_new"), F.lit(1).alias("_n"))

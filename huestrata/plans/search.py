@@ -204,7 +204,7 @@ def jn14(spark, sf):
     m = table(spark, sf, "lineitem").select("l_partkey").distinct()
     base = m.select((F.col("l_partkey") % 100).alias("cluster"), F.col("l_partkey").alias("member"))
     after = m.select((F.col("l_partkey") % 20).alias("cluster"), F.col("l_partkey").alias("member"))
-    return rel.descendants(base, after)
+    return rel.lineage(base, after)
 
 
 @query("jn15_anti", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -75,14 +75,12 @@ def tk07(spark, sf):
     return rk.boundary_take(p, takes)
 
 
-@query("tk10_evaluation_pick", f"WITH {PHOTOS}, g AS (SELECT id, id//100 AS pool, provider AS family, row_number() OVER (PARTITION BY id//100 ORDER BY round(score,9) DESC, id) AS rank, gate = 'PASS' OR id%3 = 0 AS good FROM scored), k AS (SELECT *, row_number() OVER (PARTITION BY pool, family ORDER BY rank) AS of_family FROM g WHERE good AND rank <= 40), p AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY rank) AS place FROM k WHERE family <> 'prov1' OR of_family <= 8) SELECT pool, place, id, rank FROM p WHERE place <= 24")
+@query("tk10_evaluation_pick", f"WITH {PHOTOS}, g AS (SELECT id, id//100 AS pool, provider AS family, row_number() OVER (PARTITION BY id//100 ORDER BY round(score,9) DESC, id) AS rank, gate = 'PASS' OR id%3 = 0 AS good FROM scored), k AS (SELECT *, row_number() OVER (PARTITION BY pool, family ORDER BY rank) AS of_family FROM g WHERE good AND rank <= 40), t AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY (of_family > 8)::INT, rank) AS turn FROM k) SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY rank) AS place, id, rank FROM t WHERE turn <= 24")
 def tk10(spark, sf):
-    """Of every pool up to 24 good results among the first forty, in order, at most eight of the family that would crowd the others out."""
+    """Of every pool up to 24 good results among the first forty, in order; more than eight of a family only where others do not fill the set."""
     pool = F.floor(F.col("id") / 100)
     g = scored(spark, sf).select("id", pool.alias("pool"), F.col("provider").alias("family"), F.row_number().over(Window.partitionBy(pool).orderBy(F.desc(F.round("score", 9)), "id")).alias("rank"), ((F.col("gate") == "PASS") | (F.col("id") % 3 == 0)).alias("good"))
-    k = g.where("good AND rank <= 40").withColumn("of_family", F.row_number().over(Window.partitionBy("pool", "family").orderBy("rank")))
-    p = k.where("family <> 'prov1' OR of_family <= 8").withColumn("place", F.row_number().over(Window.partitionBy("pool").orderBy("rank")))
-    return p.where("place <= 24").select("pool", "place", "id", "rank")
+    return rk.softly_capped(g.where("good AND rank <= 40"), ["pool"], "family", "rank", 24, 8).select("pool", "place", "id", "rank")
 
 
 # --- pages ------------------------------------------------------------------------------------
