@@ -120,12 +120,8 @@ def sm09(spark, sf):
     """State of every package: its own result if all before it in its chain passed, else it waits and says for which; bad ones are rejected."""
     s = F.col("o_orderstatus")
     own = F.when(F.col("o_totalprice") < 5000, "REJECTED").when(s == "F", "PASS").when(s == "P", "FAIL").when(F.col("o_orderpriority").startswith("1"), "NEW").otherwise("HOLD")
-    before = Window.partitionBy("chain").orderBy("package").rowsBetween(Window.unboundedPreceding, -1)
     p = table(spark, sf, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("package"), own.alias("own"))
-    u = p.withColumns({"up": F.coalesce(F.bool_and(F.col("own") == "PASS").over(before), F.lit(True)), "block": F.min(F.when(F.col("own") != "PASS", F.col("package"))).over(before)})
-    rejected = F.col("own") == "REJECTED"
-    state = F.when(rejected, F.col("own")).when(~F.col("up"), "WAITING_UPSTREAM_GATE").when(F.col("own") == "NEW", "READY").otherwise(F.col("own"))
-    return u.select("package", state.alias("state"), F.when(~rejected & ~F.col("up"), F.concat(F.lit("UPSTREAM_NOT_PASS:"), F.col("block").cast("string"))).alias("reason"))
+    return jobs.package_states(p).select("package", "state", "reason")
 
 
 @query("sm11_candidate_score", f"""WITH {SWATCHES_SQL}, k AS (SELECT id, id//50 AS pool, id%50+1 AS production_rank, CASE WHEN id%6=0 THEN 0.5 ELSE (id*7919)%1000/1000.0 END AS clip, greatest(0,least(1,L)) AS l, greatest(0,least(1,C/0.25)) AS c, coalesce(0.5+0.5*cos(H/180*pi()),0.5) AS h FROM swatches), s AS (SELECT *, round(0.55*clip+0.2*l+0.2*c+0.05*h,9) AS score FROM k),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -88,6 +88,15 @@ def lifecycle_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("view").applyInPandas(run, JOB_OUT)
 
 
+def package_states(results: DataFrame) -> DataFrame:
+    """chain, package, state, reason: a package's own result if all before it in its chain passed, else that it waits and for which; rejected ones stay rejected."""
+    before = Window.partitionBy("chain").orderBy("package").rowsBetween(Window.unboundedPreceding, -1)
+    u = results.withColumns({"_up": F.coalesce(F.bool_and(F.col("own") == "PASS").over(before), F.lit(True)), "_block": F.min(F.when(F.col("own") != "PASS", F.col("package"))).over(before)})
+    rejected = F.col("own") == "REJECTED"
+    state = F.when(rejected, F.col("own")).when(~F.col("_up"), "WAITING_UPSTREAM_GATE").when(F.col("own") == "NEW", "READY").otherwise(F.col("own"))
+    return u.select("chain", "package", state.alias("state"), F.when(~rejected & ~F.col("_up"), F.concat(F.lit("UPSTREAM_NOT_PASS:"), F.col("_block").cast("string"))).alias("reason"))
+
+
 # --- a bounded queue ------------------------------------------------------------------------------
 
 QUEUE_OUT = "event_id long, status string"
@@ -164,8 +173,6 @@ def staleness(jobs: DataFrame, moves: DataFrame) -> DataFrame:
     none = F.lit(None)
     rows = moments.select("view_key", "at", F.lit(1).alias("order"), "job", "moment", none.cast(moves.select(who.alias("w")).schema["w"].dataType).alias("who"))
     rows = rows.unionByName(moves.select("view_key", "at", F.lit(0).alias("order"), none.cast("long").alias("job"), none.cast("string").alias("moment"), who.alias("who")))
-    from pyspark.sql import Window
-
     last = F.last("who", ignorenulls=True).over(Window.partitionBy("view_key").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0))
     known = rows.withColumn("now", last).where("job IS NOT NULL").groupBy("job").agg(*(F.max(F.when(F.col("moment") == m, F.col("now"))).alias(m) for m in ("made", "run", "end")))
     status = F.when(~F.col("made").eqNullSafe(F.col("run")), "STALE_ROUTE_OR_GENERATION").when(~F.col("made").eqNullSafe(F.col("end")), "STALE_AFTER_WORK").otherwise("COMPLETED")
@@ -174,8 +181,6 @@ def staleness(jobs: DataFrame, moves: DataFrame) -> DataFrame:
 
 def latest_wins(jobs: DataFrame) -> DataFrame:
     """job, status: a job is SUPERSEDED by the next one of its view if that starts before it ends. jobs: job, view_key, made_at, end_at."""
-    from pyspark.sql import Window
-
     following = F.lead("made_at").over(Window.partitionBy("view_key").orderBy("made_at", "job"))
     return jobs.select("job", F.when(following < F.col("end_at"), "SUPERSEDED").otherwise("COMPLETED").alias("status"))
 
@@ -234,8 +239,6 @@ def log_sink(stream: DataFrame, path: str, checkpoint: str, rows_per_file: int =
 
 def admitted(scans: DataFrame) -> DataFrame:
     """Files (path, size, mtime per scan) that two scans in a row saw with the same size and time."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("path").orderBy("scan")
     same = (F.lag("size").over(order) == F.col("size")) & (F.lag("mtime").over(order) == F.col("mtime"))
     return scans.withColumn("_same", F.coalesce(same, F.lit(False))).groupBy("path").agg(F.min(F.when(F.col("_same"), F.col("scan"))).alias("admitted_at")).where("admitted_at IS NOT NULL")
