@@ -198,15 +198,18 @@ def ordered_merge(rows: Iterator[tuple], limit: float) -> list[tuple]:
     return [tuple(m) for m in out]
 
 
-def fresh_split(pool: DataFrame, used: DataFrame, axes: list[str], seeds: tuple[str, str] = ("train", "validation"), sizes: tuple[int, int] = (24, 12), most_use: tuple[int, int] = (3, 2)) -> DataFrame:
-    """Two disjoint space-filling selections of pairs that `used` does not hold: part, place, pair_key, digest of the part's pairs."""
+def fresh_split(pool: DataFrame, used: DataFrame, keys: list[str], axes: list[str], seeds: tuple[str, str] = ("train", "validation"), sizes: tuple[int, int] = (24, 12), most_use: tuple[int, int] = (3, 2)) -> DataFrame:
+    """Per key two disjoint space-filling selections of pairs that `used` does not hold: keys, part, place, pair_key, digest of the part's pairs.
+
+    A key's pairs are one pool of bounded size.
+    """
     open_pool, out = pool.join(used.select("pair_key"), "pair_key", "left_anti"), None
     for part, size, most in zip(seeds, sizes, most_use, strict=True):
-        chosen = space_filling_pool(open_pool, size, axes, part, most_use=most)
-        digest = chosen.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("pair_key")), "\n"), 256).alias("digest"))  # `size` rows
-        rows = chosen.join(F.broadcast(digest), F.lit(True)).withColumn("part", F.lit(part))
-        open_pool, out = open_pool.join(F.broadcast(chosen.select("pair_key")), "pair_key", "left_anti"), rows if out is None else out.unionByName(rows)
-    return out.select("part", "place", "pair_key", "digest")
+        chosen = space_filling(open_pool, keys, size, axes, part, most_use=most).select(*keys, "place", "pair_key")
+        digest = chosen.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("pair_key")), "\n"), 256).alias("digest"))  # `size` rows a key
+        rows = chosen.join(digest, keys).withColumn("part", F.lit(part))
+        open_pool, out = open_pool.join(chosen.select(*keys, "pair_key"), [*keys, "pair_key"], "left_anti"), rows if out is None else out.unionByName(rows)
+    return out.select(*keys, "part", "place", "pair_key", "digest")
 
 
 # --- selections whose picks depend on each other ------------------------------------------------

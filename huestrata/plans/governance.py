@@ -172,11 +172,11 @@ def gv03(spark, sf):
 
 @query("gv06_fresh_split")
 def gv06(spark, sf):
-    """24 training and 12 validation pairs of colour modes, each space-filling, from pairs that were not used before; disjoint, with their digests."""
+    """Per style 24 training and 12 validation pairs of colour modes, each space-filling, from pairs that were not used before; disjoint, with their digests."""
     p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], ["style"]))
-    p = p.select("id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), "delta_L", "delta_C", "hue_chord", "min_C", "max_C")
+    p = p.select(F.col("style_1").alias("style"), "id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), "delta_L", "delta_C", "hue_chord", "min_C", "max_C")
     used = table(spark, sf, "nation").select(tx.pair_key(F.col("n_nationkey").cast("string"), (F.col("n_nationkey") + 1).cast("string")).alias("pair_key"))
-    return rk.fresh_split(p, used, ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"])
+    return rk.fresh_split(p, used, ["style"], ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"])
 
 
 DIGEST = "(SELECT sha256(string_agg(k, chr(10) ORDER BY k)) FROM (SELECT DISTINCT k FROM {}))"

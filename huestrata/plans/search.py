@@ -56,15 +56,18 @@ def tk04(spark, sf):
 
 @query("tk05_space_filling")
 def tk05(spark, sf):
+    """Of each style's pairs, all of which are its pool, 24 that fill the space; one list for each style."""
     p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], ["style"]))
-    p = p.select("id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), "delta_L", "delta_C", "hue_chord", "min_C", "max_C")
-    return rk.space_filling_pool(p, 24, ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"], "v7")
+    p = p.select(F.col("style_1").alias("style"), "id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), "delta_L", "delta_C", "hue_chord", "min_C", "max_C")
+    return rk.space_filling(p, ["style"], 24, ["delta_L", "delta_C", "hue_chord", "min_C", "max_C"], "v7").select("style", "place", "pair_key")
 
 
-@query("tk09_top_pairs", f"""WITH {MODES_SQL} SELECT x.id AS id_1, y.id AS id_2, round(sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)),6) AS delta_e FROM modes x JOIN modes y ON x.style = y.style AND x.id < y.id ORDER BY 3, 1, 2 LIMIT 12""")
+@query("tk09_top_pairs", f"""WITH {MODES_SQL}, p AS (SELECT x.style, x.id AS id_1, y.id AS id_2, round(sqrt((x.L-y.L)*(x.L-y.L)+(x.a-y.a)*(x.a-y.a)+(x.bb-y.bb)*(x.bb-y.bb)),6) AS delta_e FROM modes x JOIN modes y ON x.style = y.style AND x.id < y.id) SELECT *, row_number() OVER (PARTITION BY style ORDER BY delta_e, id_1, id_2) AS place FROM p QUALIFY place <= 12""")
 def tk09(spark, sf):
+    """The twelve nearest pairs of each style."""
     p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], ["style"]))
-    return p.select("id_1", "id_2", R("delta_E").alias("delta_e")).orderBy("delta_e", "id_1", "id_2").limit(12)
+    p = p.select(F.col("style_1").alias("style"), "id_1", "id_2", R("delta_E").alias("delta_e"))
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("style").orderBy("delta_e", "id_1", "id_2"))).where("place <= 12")
 
 
 @query("flt05_qualify", f"WITH {PHOTOS}, r AS (SELECT *, row_number() OVER (ORDER BY round(score,9) DESC, id) AS place, count(*) OVER () AS n FROM scored) SELECT id FROM r WHERE round(score,9) >= 0.5 AND place <= greatest(12, ceil(n*0.7))")

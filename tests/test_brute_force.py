@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -228,14 +229,33 @@ def test_stratified_diverse(spark):
 
 
 def test_fresh_split(spark):
-    rows = run(spark, "gv06_fresh_split")
-    parts = {p: [r for r in rows if r["part"] == p] for p in ("train", "validation")}
-    assert not {r["pair_key"] for r in parts["train"]} & {r["pair_key"] for r in parts["validation"]}
-    for part, most in (("train", 3), ("validation", 2)):
-        keys = sorted(r["pair_key"] for r in parts[part])
-        assert len({r["digest"] for r in parts[part]}) == 1 and parts[part][0]["digest"] == hashlib.sha256("\n".join(keys).encode()).hexdigest()
-        assert max(Counter(x for k in keys for x in k.split("||")).values()) <= most
-        assert not any(k.split("||") == sorted([str(n), str(n + 1)]) for k in keys for n in range(25))
+    """The picks themselves, of pools of two styles, pick by pick in plain Python."""
+    rnd, axes = random.Random(5), ["x", "y", "z"]
+    pool = [(s, a, b, f"{s}{a:02d}||{s}{b:02d}", *(round(rnd.random(), 3) for _ in axes)) for s in (0, 1) for a in range(12) for b in range(a + 1, 12)]
+    used = {p[3] for p in pool if rnd.random() < 0.1}
+    df = spark.createDataFrame(pool, "style long, id_1 long, id_2 long, pair_key string, x double, y double, z double")
+    got = rk.fresh_split(df, spark.createDataFrame([(u,) for u in used], "pair_key string"), ["style"], axes).collect()
+    for style in (0, 1):
+        left = [p for p in pool if p[0] == style and p[3] not in used]
+        for part, size, most in (("train", 24, 3), ("validation", 12, 2)):
+            low, high = ([f(p[4 + i] for p in left) for i in range(3)] for f in (min, max))
+            at = {p[3]: [(p[4 + i] - low[i]) / ((high[i] - low[i]) or 1) for i in range(3)] for p in left}
+            h = {k: int(hashlib.sha256(f"{part}|{k}".encode()).hexdigest()[:12], 16) / (2**48 - 1) for k in at}
+            chosen, ends = [], Counter()
+            while len(chosen) < size:
+                free = [p for p in sorted(left, key=lambda p: h[p[3]]) if p[3] not in chosen and ends[p[1]] < most and ends[p[2]] < most]
+                if not free:
+                    break
+                best = max(free, key=lambda p: min((sum((u - v) ** 2 for u, v in zip(at[p[3]], at[c], strict=True)) ** 0.5 for c in chosen), default=1.0) + h[p[3]] * 1e-9)
+                chosen.append(best[3])
+                ends.update(best[1:3])
+            mine = sorted((r["place"], r["pair_key"]) for r in got if r["style"] == style and r["part"] == part)
+            assert [k for _, k in mine] == chosen and len(chosen) > 5
+            digest = hashlib.sha256("\n".join(sorted(chosen)).encode()).hexdigest()
+            assert {r["digest"] for r in got if r["style"] == style and r["part"] == part} == {digest}
+            left = [p for p in left if p[3] not in chosen]
+    keys = [r["pair_key"] for r in run(spark, "gv06_fresh_split")]
+    assert keys and len(keys) == len(set(keys)) and not any(k.split("||") == sorted([str(n), str(n + 1)]) for k in keys for n in range(25))
 
 
 def test_greedy_result_lists(spark):

@@ -47,10 +47,12 @@ def test_space_filling_takes_the_whole_pool(spark):
     p = rel.physical(rel.all_pairs(modes(spark, sf), ["id", "L", "a", "bb", "C", "H"], ["style"]))
     p = p.select(F.lit(1).alias("g"), "id_1", "id_2", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")).alias("pair_key"), *axes)
     want = [(r["place"], r["pair_key"]) for r in rk.space_filling(p, ["g"], 24, axes, "v7").collect()]
-    got = registry.QUERIES["tk05_space_filling"](spark, sf)
+    got = rk.space_filling_pool(p, 24, axes, "v7")
     assert p.count() == 53 * 52 // 2 + 47 * 46 // 2 and len(want) == 24
     assert [(r["place"], r["pair_key"]) for r in got.orderBy("place").collect()] == want
     assert rk.space_filling_pool(p.limit(0), 24, axes, "v7").count() == 0
+    lists = registry.QUERIES["tk05_space_filling"](spark, sf).collect()
+    assert sorted({(r["style"], r["place"]) for r in lists}) == [(s, k) for s in (0, 1) for k in range(1, 25)] and len({r["pair_key"] for r in lists}) == 48
 
 
 def masks(spark, folder):
