@@ -105,7 +105,7 @@ class WordBpe:
             self.rank.setdefault(pair, rank)
             if whole not in self.parts:
                 self.parts[whole], self.born[whole] = pair, rank
-        self._compatible = lru_cache(1 << 18)(self._undo)
+        self._compatible = lru_cache(1 << 16)(self._undo)
         self.automaton = ahocorasick.Automaton()
         self._end = "\0"
         #: letters of each token that the automaton knows, the word's end counting as one

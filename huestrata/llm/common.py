@@ -47,10 +47,11 @@ def bounds(texts: pa.Array, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "_t", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches, few texts at a time."""
+    """The rows of Arrow batches, few texts at a time. In the end Arrow gives back what it keeps for later, as the worker goes on to other tasks."""
     for batch in batches:
         for a, b in bounds(batch.column(column), rows):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def per_text(docs: DataFrame, id_col: str, text_col: str, fields: str, compute: Callable[[list[str]], list]) -> DataFrame:
@@ -76,6 +77,7 @@ def text_udf(kind: str, compute: Callable[[list[str]], list], arrow_type: pa.Dat
     @F.arrow_udf(kind)
     def apply(texts: pa.Array) -> pa.Array:
         out = [pa.array(compute(texts.slice(a, b - a).to_pylist()), arrow_type) for a, b in bounds(texts)]
+        pa.default_memory_pool().release_unused()
         return pa.concat_arrays(out) if out else pa.array([], arrow_type)
 
     return apply
