@@ -412,23 +412,34 @@ def concept(category, term, priority="secondary", intensity=1.0, styles=(), them
 
 
 def test_query_plans_by_hand(spark):
-    from huestrata.operators.planning import plan
+    from huestrata.operators.planning import query_plans
 
     some = [
         concept("subject", "Coffee shop", "main", 1.0, ["retro", "Cozy"], ["object|neon sign", "object|mug"]), concept("context", "summer night", themes=["scene|street"]),
         concept("color", "warm", "slight", 1.0, ["film grain"]), concept("exclusion", "people", "exclude"),
     ]
-    a = plan(some, "A")
-    assert [p["query"] for p in a] == ["Coffee shop summer night", "Coffee shop retro neon sign soft light", "summer night street Cozy soft contrast"]
-    assert [p["family"] for p in a] == ["core", "element:object", "element:scene"]
+    inputs = [some, [concept("color", "warm")], [concept("subject", "tea", themes=["x|pot"])], [concept("exclusion", "x", "exclude")], [concept("subject", "")]]
+    table_of = spark.createDataFrame([(i, k, *c.values()) for i, x in enumerate(inputs) for k, c in enumerate(x)], "input long, id long, category string, search_term string, priority string, intensity double, style_terms array<string>, theme_elements array<string>")
+    own = spark.createDataFrame([(0, "B", ["  neo   noir ", "", "NEO NOIR", "dusk", "dawn", "one too many"]), (0, "C", [])], "input long, branch string, terms array<string>")
+    plans = {}
+    for k, terms in enumerate((None, own)):
+        for r in query_plans(table_of, "input", "id", terms).orderBy("no").collect():
+            plans.setdefault((k, r["input"], r["branch"]), []).append(r)
+    queries = lambda *at: [r["query"] for r in plans.get(at, [])]
+    a = plans[0, 0, "A"]
+    assert queries(0, 0, "A") == ["Coffee shop summer night", "Coffee shop retro neon sign soft light", "summer night street Cozy soft contrast"]
+    assert [p["query_family"] for p in a] == ["core", "element:object", "element:scene"] and [p["no"] for p in a] == [1, 2, 3]
     raw = [(1.35 + 1.0) / 2, (1.35 + 1.35 + 1.35 * 1.1 + 0.85) / 4, (1.0 + 1.1 + 1.35 + 0.80) / 4]
     assert [p["weight"] for p in a] == [round(r / sum(raw), 4) for r in raw]
-    b = plan(some, "B")  # starts at the second theme and style, has no hints
-    assert [p["query"] for p in b] == ["Coffee shop summer night", "Coffee shop Cozy mug", "summer night street film grain"]
-    assert [p["query"] for p in plan([concept("color", "warm")], "B")] == ["warm"]  # only a colour: the fallback
-    two = plan([concept("subject", "tea", themes=["x|pot"])], "B")
-    assert [p["query"] for p in two] == ["tea", "tea pot"]
-    assert plan([], "A") == [] and plan([concept("exclusion", "x", "exclude")], "C") == []
+    assert queries(0, 0, "B") == ["Coffee shop summer night", "Coffee shop Cozy mug", "summer night street film grain"]  # starts at the second theme and style, has no hints
+    assert queries(0, 1, "B") == ["warm"]  # only a colour: the fallback
+    assert queries(0, 2, "B") == ["tea", "tea pot"]
+    assert not queries(0, 3, "C") and not queries(0, 4, "A")
+    # a branch's own terms take the places of styles, in turn with them
+    assert queries(1, 0, "B") == ["Coffee shop summer night", "Coffee shop neo noir mug", "summer night street dawn"]
+    raw = [(1.35 + 1.0) / 2, (1.35 + 1.2 + 1.35 * 1.1) / 3, (1.0 + 1.1 + 1.2) / 3]
+    assert [p["weight"] for p in plans[1, 0, "B"]] == [round(r / sum(raw), 4) for r in raw]
+    assert all(plans[1, i, b] == plans[0, i, b] for _, i, b in plans if (i, b) != (0, "B"))
     rows = run(spark, "pl02_query_plan")
     assert all(1 <= r["no"] <= 3 for r in rows) and len(rows) > 50
     of = defaultdict(list)
