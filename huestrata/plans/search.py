@@ -210,9 +210,10 @@ def jn14(spark, sf):
     return rel.lineage(base, after)
 
 
-@query("jn15_anti", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("jn15_anti", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def jn15(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    """Customers without an urgent order."""
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, sf, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
 @query("jn16_semi", "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -264,9 +265,10 @@ def st03(spark, sf):
     return table(spark, sf, "part").groupBy(F.lower("p_type").alias("key")).agg(F.min("p_partkey").alias("first"))
 
 
-@query("st05_difference", "SELECT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+@query("st05_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 48")
 def st05(spark, sf):
-    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).distinct().join(table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")), "k", "left_anti")
+    """Parts that no large line ever had."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).distinct().join(table(spark, sf, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("k")), "k", "left_anti")
 
 
 @query("st07_set_digest", "SELECT digest FROM (" + digest_sql("(SELECT DISTINCT s_name FROM supplier)", [], "s_name", "s_name") + ")")
