@@ -198,7 +198,7 @@ def flt08(spark, sf):
 def jn09(spark, sf):
     s = swatches(spark, sf)
     cent = s.where("id <= 8").select(F.col("id").alias("idx"), *(F.col(x).alias(f"c{x}") for x in ("L", "a", "bb")))
-    d = c.delta_e(*(F.col(x) for x in ("L", "a", "bb", "cL", "ca", "cbb")), chroma_weight=1.18)
+    d = lambda k: c.delta_e(*(F.col(x) for x in ("L", "a", "bb")), *(k[x] for x in ("cL", "ca", "cbb")), chroma_weight=1.18)
     return rel.nearest(s.select("id", "L", "a", "bb"), cent, d, ["id"]).withColumn("distance", R("distance"))
 
 
