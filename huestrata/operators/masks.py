@@ -21,15 +21,23 @@ def areas(masks: DataFrame, pixels_per_image: int) -> DataFrame:
     return masks.groupBy("image", "mask").agg(n.alias("n"), (n / pixels_per_image).alias("area"))
 
 
+def stacks(masks: DataFrame) -> DataFrame:
+    """image, x, y, on: the masks on every pixel in order. Masks that are parted by image need no shuffle."""
+    return masks.groupBy("image", "x", "y").agg(F.array_sort(F.collect_list("mask")).alias("on"))
+
+
 def pair_figures(masks: DataFrame) -> DataFrame:
-    """Pairs a < b of one image that share pixels: both sizes, intersection, iou and each one's share in the other."""
-    size = masks.groupBy("image", "mask").agg(F.count(F.lit(1)).alias("n"))
-    side = lambda m: masks.select("image", "x", "y", F.col("mask").alias(m))
-    both = side("a").join(side("b"), ["image", "x", "y"]).where("a < b").groupBy("image", "a", "b").agg(F.count(F.lit(1)).alias("both"))
+    """Pairs a < b of one image that share pixels: both sizes, intersection, iou and each one's share in the other.
+
+    Pairs come from the masks on each pixel and sizes from windows, so nothing is joined.
+    """
+    each = stacks(masks).select("image", F.posexplode("on").alias("_at", "a"), "on")
+    each = each.select("image", "a", F.posexplode(F.slice("on", F.col("_at") + 1, F.size("on"))).alias("_at", "b"))  # the first is a itself
+    both = each.groupBy("image", "a", "b").agg(F.count_if(F.col("_at") == 0).alias("_n"), F.count_if(F.col("_at") > 0).alias("both"))
     for m in ("a", "b"):
-        both = both.join(size.select("image", F.col("mask").alias(m), F.col("n").alias(f"n_{m}")), ["image", m])
+        both = both.withColumn(f"n_{m}", F.max(F.when(F.col("a") == F.col("b"), F.col("_n"))).over(Window.partitionBy("image", m)))
     share = lambda n: F.col("both") / F.col(n)
-    return both.select("image", "a", "b", "n_a", "n_b", "both", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("iou"), share("n_a").alias("a_in_b"), share("n_b").alias("b_in_a"))
+    return both.where("a < b").select("image", "a", "b", "n_a", "n_b", "both", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("iou"), share("n_a").alias("a_in_b"), share("n_b").alias("b_in_a"))
 
 
 def nesting(pairs: DataFrame, least: float = NESTED) -> DataFrame:
@@ -48,10 +56,11 @@ def depths(masks: DataFrame, relations: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         children: dict[int, list[int]] = {}
-        open_parents = pdf["child"].value_counts().to_dict()
-        for child, parent in zip(pdf["child"], pdf["parent"], strict=True):
+        depth = dict.fromkeys(pdf.loc[pdf["parent"].isna(), "child"], 0)
+        tied = pdf[pdf["parent"].notna()].astype({"parent": "int64"})
+        open_parents = tied["child"].value_counts().to_dict()
+        for child, parent in zip(tied["child"], tied["parent"], strict=True):
             children.setdefault(parent, []).append(child)
-        depth = dict.fromkeys([*pdf["child"], *pdf["parent"]], 0)
         ready = [m for m in depth if m not in open_parents]
         while ready:
             m = ready.pop()
@@ -60,10 +69,10 @@ def depths(masks: DataFrame, relations: DataFrame) -> DataFrame:
                 open_parents[child] -= 1
                 if not open_parents[child]:
                     ready.append(child)
-        return pd.DataFrame({"image": pdf["image"].iloc[0], "mask": list(depth), "d": list(depth.values())})
+        return pd.DataFrame({"image": pdf["image"].iloc[0], "mask": list(depth), "depth": list(depth.values())})
 
-    found = relations.select("image", "child", "parent").groupBy("image").applyInPandas(run, "image long, mask long, d int")
-    return masks.select("image", "mask").distinct().join(found, ["image", "mask"], "left").select("image", "mask", F.coalesce("d", F.lit(0)).alias("depth"))
+    every = masks.select("image", F.col("mask").alias("child"), F.lit(None).cast("long").alias("parent")).distinct()
+    return every.unionByName(relations.select("image", "child", "parent")).groupBy("image").applyInPandas(run, "image long, mask long, depth int")
 
 
 def multiplicity(pixels: DataFrame, masks: DataFrame) -> DataFrame:
@@ -86,8 +95,15 @@ def borders(masks: DataFrame, width: int, height: int) -> DataFrame:
 
 def unique_share(masks: DataFrame) -> DataFrame:
     """image, mask, unique: the share of a mask's pixels that no other mask covers."""
-    k = masks.groupBy("image", "x", "y").agg(F.count(F.lit(1)).alias("k"))
-    return masks.join(k, ["image", "x", "y"]).groupBy("image", "mask").agg(F.avg(F.when(F.col("k") == 1, 1.0).otherwise(0.0)).alias("unique"))
+    alone = stacks(masks).select("image", F.explode("on").alias("mask"), F.when(F.size("on") == 1, 1.0).otherwise(0.0).alias("_alone"))
+    return alone.groupBy("image", "mask").agg(F.avg("_alone").alias("unique"))
+
+
+def kin(nestings: DataFrame) -> DataFrame:
+    """image, mask, children, parents: how many masks lie within each mask of a nesting and around it."""
+    side = lambda m, child: F.struct(F.col(m).alias("mask"), F.lit(child).alias("child"))
+    each = nestings.select("image", F.explode(F.array(side("child", True), side("parent", False))).alias("s"))
+    return each.groupBy("image", "s.mask").agg(F.count_if(~F.col("s.child")).alias("children"), F.count_if("s.child").alias("parents"))
 
 
 def roles(area: Column, sides: Column, children: Column, parents: Column, unique: Column) -> Column:
@@ -120,10 +136,11 @@ def deduplicate(masks: DataFrame, score: DataFrame, pixels_per_image: int, compo
     components(nodes, edges) gives the least node that each leads to, for nodes (image, mask) as one struct.
     """
     node = lambda m: F.struct("image", F.col(m).alias("mask"))
+    size = areas(masks, pixels_per_image)
     p = pair_figures(masks).where((F.col("iou") >= SAME_IOU) | (F.least("a_in_b", "b_in_a") >= SAME_MUTUAL))
     edges = p.select(node("a").alias("l"), node("b").alias("r")).unionByName(p.select(node("b").alias("l"), node("a").alias("r")))
-    found = components(masks.select(node("mask").alias("node")).distinct(), edges).select("node.image", "node.mask", F.col("component.mask").alias("component"))
-    ranked = found.join(areas(masks, pixels_per_image), ["image", "mask"]).join(score, ["image", "mask"])
+    found = components(size.select(node("mask").alias("node")), edges).select("node.image", "node.mask", F.col("component.mask").alias("component"))
+    ranked = found.join(size.hint("merge"), ["image", "mask"]).join(score.hint("merge"), ["image", "mask"])  # sizes of exploded rows are estimated far too low
     best = F.row_number().over(Window.partitionBy("image", "component").orderBy(F.desc("score"), F.desc("area"), "mask"))
     return ranked.select("image", "mask", "component", (best == 1).alias("kept"))
 

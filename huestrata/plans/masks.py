@@ -10,6 +10,7 @@ from huestrata.operators import masks as mk
 from huestrata.operators import relations as rel
 from huestrata.operators.scans import percentiles
 from huestrata.plans.registry import query
+from huestrata.sources.staging import staged
 from huestrata.sources.tables import SWATCHES_SQL, swatches, table
 
 R = lambda x, n=6: F.round(x, n)
@@ -28,9 +29,12 @@ PIXELS_SQL = SWATCHES_SQL + f", pixels AS (SELECT *, id//{PIXELS} AS image, id%{
 
 
 def masks(spark, sf):
-    """Eighteen masks an image: rectangles with a few holes; 15 is the whole image, 14 nearly, 16 and 17 are 14 but for a few pixels."""
+    """Eighteen masks an image: rectangles with a few holes; 15 is the whole image, 14 nearly, 16 and 17 are 14 but for a few pixels.
+
+    Pixels are dealt by image before there are masks of them, so that what is worked out per image needs no shuffle of masks.
+    """
     m, x, y, k = F.col("mask"), F.col("x"), F.col("y"), F.col("id")
-    p = pixels(spark, sf).withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(17).cast("long"))))
+    p = pixels(spark, sf).repartition("image").withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(17).cast("long"))))
     x0, y0 = m * 3 % 11, m * 7 % 9
     box = (x >= x0) & (x < x0 + 4 + m * 5 % 17) & (y >= y0) & (y < y0 + 3 + m * 11 % 18) & ((k * 7 + m * 13) % 97 != 0)
     most = (x > 0) & (y > 0) & (F.col("place") % 211 != (m - 13) * 40)
@@ -115,13 +119,17 @@ ROLES_SQL = f"""roles AS (SELECT s.image, s.mask, s.n/{PIXELS}.0::DOUBLE AS area
 
 @query("cl21_roles", f"WITH {MASKS_SQL}, {EDGES_SQL}, {ROLES_SQL} SELECT image, mask, CASE WHEN len(r) = 1 THEN r ELSE r || ['AMBIGUOUS'] END AS roles, NOT (area >= 0.80 OR (area >= 0.50 AND children >= 3 AND sides >= 3)) AS local_allowed FROM found")
 def cl21(spark, sf):
-    m = masks(spark, sf)
-    n = mk.nesting(mk.pair_figures(m))
-    count = lambda side, name: n.groupBy("image", F.col(side).alias("mask")).agg(F.count(F.lit(1)).alias(name))
-    key = ["image", "mask"]
-    j = mk.areas(m, PIXELS).join(mk.borders(m, SIDE, SIDE), key).join(mk.unique_share(m), key).join(count("parent", "children"), key, "left").join(count("child", "parents"), key, "left").fillna(0, ["children", "parents"])
+    return role_rows(spark, sf).drop("area")
+
+
+def role_rows(spark, sf):
+    m, key = masks(spark, sf).select("image", "mask", "x", "y"), ["image", "mask"]
+    j = mk.areas(m, PIXELS)
+    for more in (mk.borders(m, SIDE, SIDE), mk.unique_share(m), mk.kin(mk.nesting(mk.pair_figures(m)))):
+        j = j.join(more.hint("merge"), key, "left")  # never by broadcast: the sizes of exploded rows are estimated far too low
+    j = j.fillna(0, ["children", "parents"])
     a, s, c = F.col("area"), F.col("touch_sides"), F.col("children")
-    return j.select(*key, mk.roles(a, s, c, F.col("parents"), F.col("unique")).alias("roles"), (~mk.blocks_local(a, s, c)).alias("local_allowed"))
+    return j.select(*key, "area", mk.roles(a, s, c, F.col("parents"), F.col("unique")).alias("roles"), (~mk.blocks_local(a, s, c)).alias("local_allowed"))
 
 
 # --- regions ----------------------------------------------------------------------------------
@@ -222,13 +230,13 @@ def tk12(spark, sf):
     SELECT count(*) FILTER (WHERE k[2]) AS passed, count(*) AS total, coalesce(list_sort(list(k[1]) FILTER (WHERE NOT k[2])), []) AS hold_reasons, CASE WHEN bool_and(k[2]) THEN 'VALIDATED' ELSE 'HOLD' END AS decision FROM c""")
 def cl20(spark, sf):
     """Six checks over aggregates: all must hold."""
-    m, roles = masks(spark, sf), cl21(spark, sf)
-    allowed = m.join(roles, ["image", "mask"])
-    spot = F.struct("image", "x", "y")
-    small = mk.areas(m, PIXELS).agg((F.count_if((F.col("mask") * 37 % 100 / 100.0 < 0.5) & (F.col("area") >= 0.01)) > 0).alias("ok"))
+    roles = staged(role_rows(spark, sf))
+    allowed = roles.groupBy("image").agg(F.collect_list(F.when(F.col("local_allowed"), F.col("mask"))).alias("allowed"))  # a list of an image's masks
+    spots = mk.stacks(masks(spark, sf)).join(allowed.hint("merge"), "image")
+    small = roles.agg((F.count_if((F.col("mask") * 37 % 100 / 100.0 < 0.5) & (F.col("area") >= 0.01)) > 0).alias("ok"))
     v = table(spark, sf, "events")
     checks = [
-        ("GLOBAL_MASK_LOCAL_RECOVERY_BLOCKED", allowed.agg((F.countDistinct(F.when(F.col("local_allowed"), spot)) < F.countDistinct(spot)).alias("ok"))),
+        ("GLOBAL_MASK_LOCAL_RECOVERY_BLOCKED", spots.agg((F.count_if(F.arrays_overlap("on", "allowed")) < F.count(F.lit(1))).alias("ok"))),
         ("LOCAL_SPLIT_RETAINED", roles.agg((F.count_if("local_allowed") > 0).alias("ok"))),
         ("MIXED_EVIDENCE_RETAINED", v.agg(((F.count_if(F.col("value") > 50) > 0) & (F.count_if(F.col("value") < 50) > 0)).alias("ok"))),
         ("MEANINGFUL_TAIL_EXPOSED", small),

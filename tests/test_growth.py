@@ -20,6 +20,11 @@ def plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["cl20_go_no_go", "cl21_roles", "cl10_longest_chain", "jn12_nesting", "jn23_symmetric_dedupe"])
+def test_rows_of_masks_are_never_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan(registry.QUERIES[name](spark, SF))
+
+
 def test_nearest_centroid_neither_sorts_nor_shuffles(spark):
     text = plan(registry.QUERIES["jn09_nearest_centroid"](spark, SF)).split("BroadcastNestedLoopJoin")[0]
     assert "Sort" not in text and "Exchange" not in text
