@@ -61,12 +61,18 @@ def normalized_entropy(df: DataFrame, keys: list[str], mass: str) -> DataFrame:
 
 
 def softmax_entropy(scores: Column, scale: float = 1.0) -> Column:
-    """Normalized entropy of the softmax of an array of scores."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp((s - top) * scale))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    h = F.aggregate(e, F.lit(0.0), lambda a, x: a - (x / total) * F.ln(x / total))
-    return F.when(F.size(scores) > 1, h / F.ln(F.size(scores).cast("double"))).otherwise(0.0)
+    """Normalized entropy of the softmax of an array of scores.
+
+    With z = (s - max) * scale and T the sum of exp(z) it is ln T - sum(z exp(z)) / T: one fold, for which the maximum is worked out once.
+    """
+    def h(top: Column) -> Column:
+        z = lambda s: (s - top) * scale
+        add = lambda a, s: F.struct((a["t"] + F.exp(z(s))).alias("t"), (a["u"] + z(s) * F.exp(z(s))).alias("u"))
+        zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("u")).cast("struct<t:double,u:double>")
+        return F.aggregate(scores.cast("array<double>"), zero, add, lambda a: F.ln(a["t"]) - a["u"] / a["t"])
+
+    once = F.get(F.transform(F.array(F.array_max(scores)), h), 0)
+    return F.when(F.size(scores) > 1, once / F.ln(F.size(scores).cast("double"))).otherwise(0.0)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -32,3 +32,8 @@ def test_nearest_centroid_neither_sorts_nor_shuffles(spark):
     centres = spark.createDataFrame([(7, 10.0), (4, 0.0), (2, 10.0)], "idx long, c double")
     got = rel.nearest(points, centres, lambda k: F.abs(F.col("x") - k["c"]), ["id"])
     assert sorted(map(tuple, got.collect())) == [(1, 4, 0.0), (2, 2, 5.0), (3, 2, 1.0)]
+
+
+def test_softmax_entropy_of_scores_far_apart(spark):
+    rows = spark.createDataFrame([([0.0, -2000.0],), ([1.0, 1.0, 1.0],), ([3.0],)], "s array<double>").select(st.softmax_entropy(F.col("s")).alias("h"))
+    assert [r["h"] for r in rows.collect()] == [0.0, pytest.approx(1.0), 0.0]
