@@ -173,10 +173,9 @@ def retrieval_mode(color_rule: Column, color_status: Column, visual_tags: Column
 
 
 def first_distinct(items: Column, most: int, by=F.lower) -> Column:
-    """The first `most` of an array that differ by by(item); empty and null ones do not count."""
-    items = F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.length(x) > 0)
-    keys = F.transform(items, by)
-    return F.slice(F.filter(items, lambda x, i: F.array_position(keys, by(x)) == i + 1), 1, most)
+    """The first `most` of an array that differ by by(item); empty and null ones do not count. One fold, so that items are worked out once."""
+    new = lambda kept, x: (F.length(x) > 0) & (F.size(kept) < most) & ~F.exists(kept, lambda y: by(y) == by(x))
+    return F.aggregate(F.coalesce(items, F.array().cast("array<string>")), F.array().cast("array<string>"), lambda kept, x: F.when(new(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
 
 
 def style_terms(raw: Column) -> Column:
@@ -192,8 +191,8 @@ def visual_tags(raw: Column) -> Column:
 
 def element_family(raw: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), r"[^a-z0-9_\- ]+", ""), r"[\s\-]+", "_")
-    plain = F.regexp_replace(plain, "^_+|_+$", "")
-    return F.when(F.length(plain) > 0, plain).otherwise("visual_element")
+    plain = F.array(F.regexp_replace(plain, "^_+|_+$", ""))
+    return F.get(F.transform(plain, lambda p: F.when(F.length(p) > 0, p).otherwise("visual_element")), 0)
 
 
 def theme_elements(raw: Column, drop_generic: bool = True) -> Column:

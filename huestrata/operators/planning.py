@@ -91,6 +91,7 @@ def lists(concepts: DataFrame, key: str, order: str) -> DataFrame:
     item = _item(term, weight * F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.col("intensity"))))
     rows = concepts.where(used).select(key, group.alias("group"), item.alias("item"), "style_terms", "theme_elements", F.col(order).alias("_o"))
     heaviest = [F.desc("item.weight"), "_o"]
+    rows = staged(rows)  # read for items, styles and themes: sanitised once
     rows = rows.withColumns({"place": F.row_number().over(Window.partitionBy(key).orderBy("group", *heaviest)), "_rn": F.row_number().over(Window.partitionBy(key, "group").orderBy(*heaviest))})
     every = F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("every")
     out = rows.groupBy(key).agg(every, *(F.max(F.when((F.col("group") == i) & (F.col("_rn") == 1), F.col("item"))).alias(g) for i, g in enumerate(GROUPS, 1)))

@@ -78,7 +78,10 @@ RAW_RULE = ["bright", "Very Dark", "muted", "none", "heavy9", "low saturation",
 
 
 def concepts(spark, sf):
-    """One raw concept per part, eight to an input: odd spellings, repeated terms, values out of range, and some without any text."""
+    """One raw concept per part, eight to an input: odd spellings, repeated terms, values out of range, and some without any text.
+
+    Parts are dealt by input first: their file is small and would be read by few tasks.
+    """
     k, name, kind, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_type"), F.col("p_brand")
     bare = k % 10 == 0
     search = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(name, F.lit("!!"))).when(k % 5 == 2, F.concat(F.lit("  "), kind, F.lit('  x-ray "quoted" more words'))).when(k % 5 == 3, F.concat(brand, F.lit(" 0 #1"))).otherwise(name)
@@ -86,8 +89,8 @@ def concepts(spark, sf):
     family = (k % 3).cast("string")
     themes = F.array(element(name, F.concat(F.lit("Fam-"), family)), element(F.lit("Retro"), F.lit("x")), element(kind, F.lit(None).cast("string")), element(name, F.concat(F.lit("fam "), family)), element(F.lit(""), F.lit("z")))
     tags = F.array(F.lit("Red"), F.lit("red "), F.lit("mauve"), _pick(["dark", "cool", "vivid", "pink"], k % 4), brand, F.lit("Light"), F.lit("blue"))
-    return table(spark, sf, "part").select(
-        k.alias("id"), F.floor(k / 8).alias("input"), _pick(RAW_CATEGORY, k % 6).alias("category"), F.when(k % 11 != 0, _pick(RAW_PRIORITY, k % 7)).alias("priority"), search.alias("search_term"),
+    return table(spark, sf, "part").withColumn("input", F.floor(k / 8)).repartition("input").select(
+        k.alias("id"), "input", _pick(RAW_CATEGORY, k % 6).alias("category"), F.when(k % 11 != 0, _pick(RAW_PRIORITY, k % 7)).alias("priority"), search.alias("search_term"),
         F.when((k % 3 == 0) | bare, "").otherwise(name).alias("original_text"),
         F.when(bare, F.array().cast("array<string>")).otherwise(F.array(name, F.upper(name), kind, F.lit(""), brand, F.lit("a b c d"))).alias("style_terms"),
         F.when(bare, F.slice(themes, 1, 0)).otherwise(themes).alias("theme_elements"), F.when(bare, F.array().cast("array<string>")).otherwise(tags).alias("visual_tags"),

@@ -37,3 +37,8 @@ def test_nearest_centroid_neither_sorts_nor_shuffles(spark):
 def test_softmax_entropy_of_scores_far_apart(spark):
     rows = spark.createDataFrame([([0.0, -2000.0],), ([1.0, 1.0, 1.0],), ([3.0],)], "s array<double>").select(st.softmax_entropy(F.col("s")).alias("h"))
     assert [r["h"] for r in rows.collect()] == [0.0, pytest.approx(1.0), 0.0]
+
+
+def test_terms_are_cleaned_once(spark):
+    df = spark.range(1).select(lx.style_terms(F.split(F.col("id").cast("string"), ",")).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
