@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,27 +121,38 @@ def round_robin(df: DataFrame, bucket: list[str], order: list[str], n: int) -> D
     return first.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy("_turn", *bucket).limit(n).drop("_turn")
 
 
+def _filled(pdf: pd.DataFrame, k: int, axes: list[str], seed: str, id_col: str, ends: tuple[str, str], most_use: int) -> list[int]:
+    """Places in pdf of up to k rows, each the furthest (on axes scaled to 0..1) from those chosen; no end is used more than most_use times."""
+    h = np.array([int(hashlib.sha256(f"{seed}|{x}".encode()).hexdigest()[:12], 16) for x in pdf[id_col]], dtype=float) / (2**48 - 1)
+    order = np.argsort(h, kind="stable")
+    h, v = h[order], pdf[axes].to_numpy(float)[order]
+    if not len(v):
+        return []
+    span = v.max(0) - v.min(0)
+    v = (v - v.min(0)) / np.where(span == 0, 1.0, span)
+    one, two = np.unique(pdf[list(ends)].to_numpy()[order].ravel(), return_inverse=True)[1].reshape(-1, 2).T
+    used, open_rows = np.zeros(max(one.max(), two.max()) + 1, int), np.ones(len(v), bool)
+    far, chosen = np.ones(len(v)), []
+    while len(chosen) < k:
+        left = open_rows & (used[one] < most_use) & (used[two] < most_use)
+        if not left.any():
+            break
+        best = int(np.argmax(np.where(left, far + h * 1e-9, -np.inf)))
+        d = ((v - v[best]) ** 2).sum(1) ** 0.5
+        far = np.minimum(far, d) if chosen else d
+        chosen.append(best)
+        open_rows[best] = False
+        used[one[best]] += 1
+        used[two[best]] += 1
+    return order[chosen].tolist()
+
+
 def space_filling(df: DataFrame, keys: list[str], k: int, axes: list[str], seed: str, id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), most_use: int = 3) -> DataFrame:
     """Per group up to k rows, each the furthest (on axes scaled to 0..1) from those chosen; no end is used more than most_use times."""
-    import hashlib
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf[id_col].map(lambda x: int(hashlib.sha256(f"{seed}|{x}".encode()).hexdigest()[:12], 16) / (2**48 - 1))
-        pdf = pdf.assign(_h=h).sort_values("_h", kind="stable").reset_index(drop=True)
-        v = pdf[axes].to_numpy(float)
-        span = v.max(0) - v.min(0)
-        v = (v - v.min(0)) / [s or 1.0 for s in span]
-        far, used, chosen = None, Counter(), []
-        while len(chosen) < k:
-            base = [1.0] * len(pdf) if far is None else far
-            best = max((i for i in range(len(pdf)) if i not in chosen and all(used[pdf.at[i, e]] < most_use for e in ends)), key=lambda i: base[i] + pdf.at[i, "_h"] * 1e-9, default=None)
-            if best is None:
-                break
-            chosen.append(best)
-            used.update(pdf.at[best, e] for e in ends)
-            d = ((v - v[best]) ** 2).sum(1) ** 0.5
-            far = d if far is None else [min(a, b) for a, b in zip(far, d, strict=True)]
-        return pdf.loc[chosen].drop(columns="_h").assign(place=range(1, len(chosen) + 1))
+        chosen = _filled(pdf, k, axes, seed, id_col, ends, most_use)
+        return pdf.iloc[chosen].assign(place=range(1, len(chosen) + 1))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", place int"
     return df.groupBy(*keys).applyInPandas(pick, schema)
@@ -203,13 +216,22 @@ def fresh_split(pool: DataFrame, used: DataFrame, keys: list[str], axes: list[st
 
     A key's pairs are one pool of bounded size.
     """
-    open_pool, out = pool.join(used.select("pair_key"), "pair_key", "left_anti"), None
-    for part, size, most in zip(seeds, sizes, most_use, strict=True):
-        chosen = space_filling(open_pool, keys, size, axes, part, most_use=most).select(*keys, "place", "pair_key")
-        digest = chosen.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("pair_key")), "\n"), 256).alias("digest"))  # `size` rows a key
-        rows = chosen.join(digest, keys).withColumn("part", F.lit(part))
-        open_pool, out = open_pool.join(chosen.select(*keys, "pair_key"), [*keys, "pair_key"], "left_anti"), rows if out is None else out.unionByName(rows)
-    return out.select(*keys, "part", "place", "pair_key", "digest")
+    ends = ("id_1", "id_2")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part, size, most in zip(seeds, sizes, most_use, strict=True):
+            chosen = _filled(pdf, size, axes, part, "pair_key", ends, most)
+            picked = pdf["pair_key"].iloc[chosen].tolist()
+            digest = hashlib.sha256("\n".join(sorted(picked)).encode()).hexdigest()
+            out.append(pdf[keys].iloc[chosen].assign(part=part, place=range(1, len(chosen) + 1), pair_key=picked, digest=digest))
+            pdf = pdf.drop(pdf.index[chosen])
+        return pd.concat(out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema.fields}
+    schema = ", ".join(f"`{x}` {kinds[x]}" for x in keys) + f", part string, place int, pair_key {kinds['pair_key']}, digest string"
+    open_pool = pool.join(used.select("pair_key"), "pair_key", "left_anti").select(*keys, "pair_key", *ends, *axes)
+    return open_pool.groupBy(*keys).applyInPandas(pick, schema)
 
 
 # --- selections whose picks depend on each other ------------------------------------------------

@@ -42,3 +42,7 @@ def test_softmax_entropy_of_scores_far_apart(spark):
 def test_terms_are_cleaned_once(spark):
     df = spark.range(1).select(lx.style_terms(F.split(F.col("id").cast("string"), ",")).alias("t"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
+def test_splits_are_picked_in_one_pass(spark):
+    assert plan(registry.QUERIES["gv06_fresh_split"](spark, SF)).count("FlatMapGroupsInPandas") == 1
