@@ -11,6 +11,7 @@ from huestrata.operators import clustering as cl
 from huestrata.operators import hierarchy as hi
 from huestrata.operators.ranking import global_rank
 from huestrata.plans.registry import query
+from huestrata.sources.staging import staged
 from huestrata.sources.tables import SWATCHES_SQL, swatches, table
 
 R = lambda x, n=6: F.round(x, n)
@@ -116,15 +117,15 @@ def style_swatches(spark, sf):
 
 def style_runs(spark, sf):
     """(assigned, classes): the cluster of every swatch at every threshold, and the class of every cluster."""
-    s = style_swatches(spark, sf)
-    assigned = cl.cut_trace(s, cl.merge_trace(s, ["style"], hi.THRESHOLDS[-1] + 1e-12), ["style"], hi.THRESHOLDS).persist()  # read at each threshold
+    s = style_swatches(spark, sf).repartition("style")  # the file of parts is small and would be read by few tasks
+    assigned = staged(cl.clusters_at(s, ["style"], hi.THRESHOLDS))  # read at each threshold
     keys = ["style", "threshold", "cluster"]
     rows = assigned.join(s, ["style", "id"])
     images_of = s.select("style", "image", "family", "reliability").distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, hi.THRESHOLDS))))
     modes, per = hi.support(rows.select(*keys, "image", "family", F.col("mass").alias("weight")), images_of, keys, FAMILIES)
     mean = lambda x: F.sum(F.col(x) * F.col("mass")) / F.sum("mass")
     colours = rows.groupBy(*keys).agg(mean("L").alias("L"), c.chroma(mean("a"), mean("bb")).alias("C"))
-    return assigned, hi.classify(modes.join(colours, keys), per, keys).persist()
+    return assigned, staged(hi.classify(modes.join(colours, keys), per, keys))
 
 
 @query("cl07_threshold_sweep")

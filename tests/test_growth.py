@@ -10,6 +10,7 @@ from huestrata.operators import lexicon as lx
 from huestrata.operators import ranking as rk
 from huestrata.operators import relations as rel
 from huestrata.plans import registry
+from huestrata.plans.hierarchy import style_runs, style_swatches
 from huestrata.streaming import jobs
 
 registry.load_all()
@@ -46,3 +47,30 @@ def test_terms_are_cleaned_once(spark):
 
 def test_splits_are_picked_in_one_pass(spark):
     assert plan(registry.QUERIES["gv06_fresh_split"](spark, SF)).count("FlatMapGroupsInPandas") == 1
+
+
+def test_clusters_at_equal_a_cut_trace(spark):
+    """Clusters against a replay of merge_trace."""
+    s = style_swatches(spark, SF)
+    cuts = [0.03, 0.05, 0.08]
+    steps = sorted(map(tuple, cl.merge_trace(s, ["style"], 0.08 + 1e-12).select("style", "step", "a", "b", "distance").collect()))
+    ids = [tuple(r) for r in s.select("style", "id").collect()]
+    want = set()
+    for t in cuts:
+        cluster = {i: i for i in ids}
+        open_styles = {style for style, _ in ids}
+        for style, _, a, b, d in steps:
+            if d > t + 1e-12:
+                open_styles.discard(style)
+            if style in open_styles:
+                low, high = sorted((cluster[style, a], cluster[style, b]))
+                cluster = {i: low if c == high else c for i, c in cluster.items()}
+        want |= {(style, t, i, c[1]) for (style, i), c in cluster.items()}
+    got = cl.clusters_at(s, ["style"], cuts).select("style", "threshold", "id", "cluster")
+    assert {tuple(r) for r in got.collect()} == want and len({w[3] for w in want}) > 1
+
+
+def test_stability_finds_clusters_in_one_pass(spark):
+    assigned, classes = style_runs(spark, SF)
+    text = plan(assigned) + plan(classes)
+    assert "FlatMapGroups" not in text and "InMemoryTableScan" not in text
