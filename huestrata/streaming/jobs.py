@@ -76,16 +76,22 @@ def lifecycle(events: DataFrame, idle_ms: int = 60_000) -> DataFrame:
 
 
 def lifecycle_batch(events: DataFrame) -> DataFrame:
-    """The same status rows from a finished log, one group per view."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        now, out = None, []
-        for r in pdf.sort_values(["at", "job"], kind="stable")[["kind", "job", "generation", "at", "snapshot"]].itertuples(index=False):
-            now, more = step(now, (r[0], int(r[1]), int(r[2]), float(r[3]), int(r[4])))
-            out += [(key[0], *m) for m in more]
-        return pd.DataFrame(out, columns=["view", "job", "generation", "status"])
-
-    return events.groupBy("view").applyInPandas(run, JOB_OUT)
+    """The same status rows from a finished log: views are dealt over tasks, each of which steps through its sorted views one after another."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, now = None, None
+        for pdf in frames:
+            views, out = [], []
+            for view, *row in zip(*(pdf[c].tolist() for c in ("view", "kind", "job", "generation", "at", "snapshot")), strict=True):
+                if view != last:
+                    last, now = view, None
+                now, more = step(now, tuple(row))
+                views += [view] * len(more)
+                out += more
+            yield pd.DataFrame(out, columns=["job", "generation", "status"]).assign(view=views)[["view", "job", "generation", "status"]]
+
+    kinds = events.select("view", "kind", F.col("job").cast("long"), F.col("generation").cast("long"), F.col("at").cast("double"), F.col("snapshot").cast("long"))
+    return kinds.repartition("view").sortWithinPartitions("view", "at", "job").mapInPandas(run, JOB_OUT)
 
 
 def package_states(results: DataFrame) -> DataFrame:

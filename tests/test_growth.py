@@ -74,3 +74,10 @@ def test_stability_finds_clusters_in_one_pass(spark):
     assigned, classes = style_runs(spark, SF)
     text = plan(assigned) + plan(classes)
     assert "FlatMapGroups" not in text and "InMemoryTableScan" not in text
+
+
+def test_lifecycle_takes_many_views_a_task(spark):
+    log = jobs.soak_events(jobs.soak_plan(spark.range(40).select(F.col("id").alias("run"))))
+    out = jobs.lifecycle_batch(log)
+    assert "FlatMapGroups" not in plan(out)
+    assert {r["n"] for r in out.where("status = 'COMPLETED'").groupBy("view").agg(F.count(F.lit(1)).alias("n")).collect()} == {375}
