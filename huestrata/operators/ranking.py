@@ -265,30 +265,49 @@ def balanced_slice(df: DataFrame, keys: list[str], bucket: list[str], order: str
     return first.groupBy(*keys).applyInPandas(pick, schema)
 
 
-def boundary_take(pool: DataFrame, takes: list[tuple[str, str, Column | None, int]], id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), most_use: int = 2) -> DataFrame:
+def _least(pool: DataFrame, wanted: list[tuple[Column, Column]], id_col: str, columns: list[str], n: int, buckets: int = 4096) -> list[list]:
+    """For each (condition, value) the n rows of least value, ties by id: two passes over the pool, of which nothing is kept or sorted.
+
+    The first takes the least value of each bucket of ids. The n-th of these bounds the n-th least value of all, so the second
+    looks only at rows within it.
+    """
+    names = [f"_w{i}" for i in range(len(wanted))]
+    rows = pool.select(id_col, *columns, *(F.when(test, value).alias(w) for w, (test, value) in zip(names, wanted, strict=True)))
+    lows = rows.groupBy(F.pmod(F.xxhash64(id_col), F.lit(buckets)).alias("_b")).agg(*(F.min(w).alias(w) for w in names)).collect()  # a row a bucket
+    bounds = [sorted(r[w] for r in lows if r[w] is not None) for w in names]
+    bounds = [x[n - 1] if len(x) >= n else None for x in bounds]
+    near = [F.col(w).isNotNull() if bound is None else F.col(w) <= bound for w, bound in zip(names, bounds, strict=True)]
+    found = rows.withColumn("_of", F.explode(F.array_compact(F.array(*(F.when(test, F.struct(F.lit(i).alias("i"), F.col(w).alias("v"))) for i, (w, test) in enumerate(zip(names, near, strict=True)))))))
+    ranked = found.select(F.col("_of.i").alias("_i"), F.col("_of.v").alias("_v"), id_col, *columns).withColumn("_rn", F.row_number().over(Window.partitionBy("_i").orderBy("_v", id_col))).where(F.col("_rn") <= n)
+    out: list[list] = [[] for _ in wanted]
+    for r in sorted(ranked.collect(), key=lambda r: r["_rn"]):
+        out[r["_i"]].append(r)
+    return out
+
+
+def boundary_take(pool: DataFrame, takes: list[tuple[str, str, Column | None, int]], id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), most_use: int = 2, first: int = 512) -> DataFrame:
     """Rows near boundaries: no, category, id. takes: (category, margin column, condition or None, how many), one after another.
 
     Each pick is the row of least margin, ties by id, that no earlier pick used and whose ends
-    were not used most_use times: one distributed minimum over the whole pool. A row counts for
-    a category only where its margin is not null.
+    were not used most_use times. A row counts for a category only where its margin is not
+    null. Picks are made from the `first` rows of each take; if those run out, from twice as many.
     """
-    pool = pool.persist()  # read once a pick
-    chosen: list[tuple] = []
-    used: Counter = Counter()
-    for category, margin, condition, n in takes:
-        for _ in range(n):
-            full = [x for x, k in used.items() if k >= most_use]
-            rows = pool.where(F.col(margin).isNotNull())
-            rows = rows if condition is None else rows.where(condition)
-            rows = rows.where(~F.col(id_col).isin([c[2] for c in chosen])) if chosen else rows
-            rows = rows.where(~F.col(ends[0]).isin(full) & ~F.col(ends[1]).isin(full)) if full else rows
-            best = rows.agg(F.min(F.struct(margin, id_col, *ends)).alias("m")).first()["m"]
-            if best is None:
-                break
-            chosen.append((len(chosen) + 1, category, best[id_col]))
-            used.update(best[e] for e in ends)
-    pool.unpersist()
-    return pool.sparkSession.createDataFrame(chosen, f"no int, category string, `{id_col}` {pool.schema[id_col].dataType.simpleString()}")
+    wanted = [(F.lit(True) if condition is None else condition, F.col(margin)) for _, margin, condition, _ in takes]
+    while True:
+        chosen, used, short = [], Counter(), False
+        for (category, _, _, n), rows in zip(takes, _least(pool, wanted, id_col, list(ends), first), strict=True):
+            taken = {c[2] for c in chosen}
+            for _ in range(n):
+                best = next((r for r in rows if r[id_col] not in taken and all(used[r[e]] < most_use for e in ends)), None)
+                if best is None:
+                    short |= len(rows) == first
+                    break
+                chosen.append((len(chosen) + 1, category, best[id_col]))
+                taken.add(best[id_col])
+                used.update(best[e] for e in ends)
+        if not short:
+            return pool.sparkSession.createDataFrame(chosen, f"no int, category string, `{id_col}` {pool.schema[id_col].dataType.simpleString()}")
+        first *= 2
 
 
 def stratified_diverse(df: DataFrame, strata: list[str], axes: list[str], n: int, seed: str, id_col: str = "pair_key", ends: tuple[str, str] = ("id_1", "id_2"), reuse: float = 0.12) -> DataFrame:
@@ -296,16 +315,27 @@ def stratified_diverse(df: DataFrame, strata: list[str], axes: list[str], n: int
 
     The first is one of the five nearest to the stratum's mean, which one the seed tells; each
     next has the largest distance to those chosen, less `reuse` for every use of its ends and
-    with a seeded millionth to break ties. A round is one maximum a stratum, so what is
-    chosen, strata times n rows, is all that is joined by broadcast.
+    with a seeded millionth to break ties. A round is one maximum a stratum over rows that are
+    made anew: nothing of the pool is kept, sorted or shuffled, and what is joined by broadcast
+    is a row for each stratum.
     """
-    low = df.groupBy(*strata).agg(*(F.min(a).alias(f"_l{i}") for i, a in enumerate(axes)), *(F.max(a).alias(f"_h{i}") for i, a in enumerate(axes)))
-    scaled = F.array(*(F.when(F.col(f"_h{i}") > F.col(f"_l{i}"), (F.col(a) - F.col(f"_l{i}")) / (F.col(f"_h{i}") - F.col(f"_l{i}"))).otherwise(0.0) for i, a in enumerate(axes)))
-    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")), 256), 1, 12), 16, 10).cast("double") / float(2**48 - 1)
-    pool = df.join(F.broadcast(low), strata).select(*strata, F.col(id_col).alias("_id"), F.col(ends[0]).alias("_1"), F.col(ends[1]).alias("_2"), scaled.alias("_v"), h.alias("_h")).persist()
-    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
-    mean = pool.groupBy(*strata).agg(F.array(*(F.avg(F.element_at("_v", i + 1)) for i in range(len(axes)))).alias("_m"))
-    near = pool.join(F.broadcast(mean), strata).withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(apart(F.col("_v"), F.col("_m")), "_id"))).where("_rn <= 5")
+    parts = [F.min(a).alias(f"_l{i}") for i, a in enumerate(axes)] + [F.max(a).alias(f"_h{i}") for i, a in enumerate(axes)] + [F.avg(a).alias(f"_a{i}") for i, a in enumerate(axes)]
+    spread = df.groupBy(*strata).agg(*parts).collect()  # a row for each stratum
+    if not spread:
+        return df.select(*strata, F.lit(1).alias("place"), id_col).limit(0)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    low = df.sparkSession.createDataFrame(spread, ", ".join(f"`{s}` {kinds[s]}" for s in strata) + ", " + ", ".join(f"_{x}{i} double" for x in "lha" for i in range(len(axes))))
+    at = lambda i, x: F.when(F.col(f"_h{i}") > F.col(f"_l{i}"), (F.col(x) - F.col(f"_l{i}")) / (F.col(f"_h{i}") - F.col(f"_l{i}"))).otherwise(0.0)
+    scaled = F.array(*(at(i, a) for i, a in enumerate(axes)))
+    mean = F.array(*(at(i, f"_a{i}") for i in range(len(axes))))
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col("_id").cast("string")), 256), 1, 12), 16, 10).cast("double") / float(2**48 - 1)
+    pool = df.join(F.broadcast(low), strata).select(*strata, F.col(id_col).alias("_id"), F.col(ends[0]).alias("_1"), F.col(ends[1]).alias("_2"), scaled.alias("_v"), mean.alias("_m"))
+    apart = lambda x, y: F.sqrt(sum(((F.get(x, i) - F.get(y, i)) * (F.get(x, i) - F.get(y, i)) for i in range(1, len(axes))), (F.get(x, 0) - F.get(y, 0)) * (F.get(x, 0) - F.get(y, 0))))
+    # of each stratum's 64 buckets the nearest; the fifth of these bounds the fifth nearest of all
+    buckets = pool.groupBy(*strata, F.pmod(F.xxhash64("_id"), F.lit(64)).alias("_b")).agg(F.min(apart(F.col("_v"), F.col("_m"))).alias("_d"))
+    bound = buckets.groupBy(*strata).agg(F.get(F.array_sort(F.collect_list("_d")), 4).alias("_far"))
+    near = pool.withColumn("_d", apart(F.col("_v"), F.col("_m"))).join(F.broadcast(bound), strata).where("_far IS NULL OR _d <= _far")
+    near = near.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy("_d", "_id"))).where("_rn <= 5")
     turn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *(F.col(s).cast("string") for s in strata)), 256), 1, 12), 16, 10).cast("double") / float(2**48)
     some = F.count(F.lit(1)).over(Window.partitionBy(*strata))
     chosen = [r.asDict(recursive=True) | {"place": 1} for r in near.withColumn("_turn", F.floor(turn * some) + 1).where("_rn = _turn").select(*strata, "_id", "_1", "_2", "_v").collect()]
@@ -313,15 +343,15 @@ def stratified_diverse(df: DataFrame, strata: list[str], axes: list[str], n: int
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*strata, "_id", "_1", "_2", "_v")) + ", place int"
     for place in range(2, n + 1):
         now = df.sparkSession.createDataFrame([tuple(r[c] for c in (*strata, "_id", "_1", "_2", "_v", "place")) for r in chosen], schema)
-        held = now.groupBy(*strata).agg(F.collect_list("_v").alias("_far"), F.collect_list("_id").alias("_ids"), F.flatten(F.collect_list(F.array("_1", "_2"))).alias("_used"))
-        rows = pool.join(F.broadcast(held), strata).where(~F.array_contains("_ids", F.col("_id")))
+        held = now.groupBy(*strata).agg(F.collect_list("_v").alias("_vs"), F.collect_list("_id").alias("_ids"), F.flatten(F.collect_list(F.array("_1", "_2"))).alias("_used"))
+        rows = pool.withColumn("_h", h)
+        rows = rows.join(F.broadcast(held), strata).where(~F.array_contains("_ids", F.col("_id")))
         times = lambda e: F.size(F.filter("_used", lambda u: u == F.col(e)))
-        score = F.array_min(F.transform("_far", lambda v: apart(F.col("_v"), v))) - reuse * (times("_1") + times("_2")) + F.col("_h") * 1e-6
+        score = F.array_min(F.transform("_vs", lambda v: apart(F.col("_v"), v))) - reuse * (times("_1") + times("_2")) + F.col("_h") * 1e-6
         best = rows.groupBy(*strata).agg(F.max_by(F.struct("_id", "_1", "_2", "_v"), F.struct(score.alias("s"), "_id")).alias("m")).select(*strata, "m.*").collect()  # a row for each stratum
         if not best:
             break
         chosen += [r.asDict(recursive=True) | {"place": place} for r in best]
-    pool.unpersist()
     return df.sparkSession.createDataFrame([tuple(r[c] for c in (*strata, "_id", "_1", "_2", "_v", "place")) for r in chosen], schema).select(*strata, "place", F.col("_id").alias(id_col))
 
 

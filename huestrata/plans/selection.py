@@ -46,7 +46,7 @@ def tk03(spark, sf):
 
 
 def pairs(spark, sf):
-    s = style_swatches(spark, sf).withColumns({"C": c.chroma(F.col("a"), F.col("bb")), "H": c.hue(F.col("a"), F.col("bb"))})
+    s = style_swatches(spark, sf).repartition("style").withColumns({"C": c.chroma(F.col("a"), F.col("bb")), "H": c.hue(F.col("a"), F.col("bb"))})
     p = rel.physical(rel.all_pairs(s, ["id", "L", "a", "bb", "C", "H"], ["style"]))
     return p.withColumn("pair_key", tx.pair_key(F.col("id_1").cast("string"), F.col("id_2").cast("string")))
 

@@ -76,6 +76,19 @@ def test_stability_finds_clusters_in_one_pass(spark):
     assert "FlatMapGroups" not in text and "InMemoryTableScan" not in text
 
 
+def test_picks_keep_no_pool(spark, monkeypatch):
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: pytest.fail("the pool was kept"))
+    for name in ("tk06_stratified", "tk07_capped_strata"):
+        assert registry.QUERIES[name](spark, SF).count()
+
+
+def test_boundary_take_looks_further_when_first_rows_run_out(spark):
+    rows = [(f"p{i:02d}", 1 if i < 20 else 2, 100 + i, float(i)) for i in range(30)]
+    pool = spark.createDataFrame(rows, "pair_key string, id_1 long, id_2 long, m double")
+    got = rk.boundary_take(pool, [("a", "m", None, 3), ("b", "m", F.col("id_1") == 1, 1)], first=2)
+    assert [tuple(r) for r in got.orderBy("no").collect()] == [(1, "a", "p00"), (2, "a", "p01"), (3, "a", "p20")]
+
+
 def test_lifecycle_takes_many_views_a_task(spark):
     log = jobs.soak_events(jobs.soak_plan(spark.range(40).select(F.col("id").alias("run"))))
     out = jobs.lifecycle_batch(log)
