@@ -196,23 +196,17 @@ def whole_masks(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("m"), F.col("l_orderkey").alias("x")).where("m IS NOT NULL AND x IS NOT NULL").distinct()
 
 
-def mask_pairs(s):
-    return rel.overlaps(s.select(F.col("m").alias("l"), "x"), s.select(F.col("m").alias("r"), "x"), ["x"]).where("l <> r")
-
-
 SETS = "s AS (SELECT DISTINCT l_suppkey AS m, l_orderkey AS x FROM lineitem), n AS (SELECT m, count(*) AS n FROM s GROUP BY 1), b AS (SELECT a.m AS l, b.m AS r, count(*) AS k FROM s a JOIN s b ON a.x=b.x AND a.m<>b.m GROUP BY 1,2)"
 
 
 def contained(spark, sf):
-    s = whole_masks(spark, sf)
-    n = s.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
-    o = mask_pairs(s).where("coverage >= 0.95")
-    j = o.join(n.select(F.col("m").alias("l"), F.col("size").alias("a")), "l").join(n.select(F.col("m").alias("r"), F.col("size").alias("b")), "r").where("a < b")
-    return j.select(F.col("l").alias("inner_m"), F.col("r").alias("outer_m"))
+    return rel.covered(whole_masks(spark, sf), 0.95).where("n_l < n_r").select(F.col("l").alias("inner_m"), F.col("r").alias("outer_m"))
 
 
 def gains(spark, sf):
-    return mask_pairs(whole_masks(spark, sf)).groupBy(F.col("l").alias("mask")).agg(R(F.max("coverage")).alias("gain"))
+    s = whole_masks(spark, sf)
+    g = rel.largest_coverage(s, rel.tasks_for(table(spark, sf, "lineitem")))
+    return g.select(F.col("m").alias("mask"), R("coverage").alias("gain"))
 
 
 query("jn12_containment", f"WITH {SETS} SELECT l AS inner_m, r AS outer_m FROM b JOIN n i ON i.m=l JOIN n o ON o.m=r WHERE k/i.n >= 0.95 AND i.n < o.n")(contained)

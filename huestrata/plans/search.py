@@ -174,9 +174,10 @@ def jn02(spark, sf):
 
 def mutual_by_cosine(spark, sf):
     """JN10: suppliers that are each other's nearest by cosine of what they sell of each part, with the margin to the second; rounded for ties."""
-    s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").cast("double").alias("q"))
-    s = s.join(s.groupBy("a").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length")).where("length > 0"), "a").select("a", "p", (F.col("q") / F.col("length")).alias("q"))
-    d = s.join(s.select(F.col("a").alias("b"), "p", F.col("q").alias("q2")), "p").where("a <> b").groupBy("a", "b").agg(R(F.sum(F.col("q") * F.col("q2")), 9).alias("score"))
+    items = table(spark, sf, "lineitem")
+    s = items.groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").cast("double").alias("q"))
+    s = s.join(s.groupBy("a").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length")).where("length > 0").hint("merge"), "a").select("a", "p", (F.col("q") / F.col("length")).alias("q"))
+    d = rel.dots(s, rel.tasks_for(items)).select("a", "b", R("dot", 9).alias("score"))
     return rel.mutual_nearest(d).select("a", "b", R("score").alias("score"), R("margin").alias("margin"))
 
 

@@ -94,3 +94,27 @@ def test_lifecycle_takes_many_views_a_task(spark):
     out = jobs.lifecycle_batch(log)
     assert "FlatMapGroups" not in plan(out)
     assert {r["n"] for r in out.where("status = 'COMPLETED'").groupBy("view").agg(F.count(F.lit(1)).alias("n")).collect()} == {375}
+
+
+def test_covered_tries_few_members(spark):
+    sets = {1: range(100), 2: range(96), 3: range(200, 230), 4: range(215, 400), 5: range(96), 6: range(500, 502)}
+    df = spark.createDataFrame([(m, x) for m, xs in sets.items() for x in xs], "m long, x long")
+    for share, alike in ((0.95, False), (0.95, True), (0.5, False)):
+        want = {(a, b) for a in sets for b in sets if a != b and (k := len(set(sets[a]) & set(sets[b]))) >= share * len(sets[a]) and (not alike or k >= share * len(sets[b]))}
+        got = {(r["l"], r["r"]) for r in rel.covered(df, share, alike).collect()}
+        assert got == want and want
+
+
+def test_largest_coverage_is_counted_by_set(spark):
+    sets = {1: range(10), 2: range(8), 3: range(7, 30), 4: range(90, 95)}
+    df = spark.createDataFrame([(m, x) for m, xs in sets.items() for x in xs], "m long, x long")
+    got = rel.largest_coverage(df, 3)
+    assert {r["m"]: round(r["coverage"], 6) for r in got.collect()} == {1: 0.8, 2: 1.0, 3: round(3 / 23, 6)}
+    assert "REPARTITION_BY_NUM" in plan(got)
+
+
+def test_dots_are_worked_out_once_a_pair(spark):
+    v = spark.createDataFrame([(1, 1, 2.0), (2, 1, 3.0), (3, 1, 1.0), (1, 2, 4.0), (3, 2, 0.5), (9, 3, 1.0)], "a long, p long, q double")
+    got = rel.dots(v, 2)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 6.0), (1, 3, 4.0), (2, 1, 6.0), (2, 3, 3.0), (3, 1, 4.0), (3, 2, 3.0)]
+    assert "Join" not in plan(got)
