@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from huestrata.functions import color as c
 from huestrata.operators import clustering as cl
+from huestrata.operators.relations import tasks_for
 from huestrata.plans.registry import query
 from huestrata.plans.selection import pairs
 from huestrata.sources.tables import SWATCHES_SQL, swatches, table
@@ -83,7 +84,8 @@ SOAK_SQL = """r AS (SELECT DISTINCT c_custkey//10 AS run FROM customer), j AS (S
 @query("sm06_status_counts", f"WITH {SOAK_SQL} SELECT run, count(*) FILTER (WHERE phase NOT IN ('ABORT_STORM','ROUTE_STORM')) AS completed, count(*) FILTER (WHERE phase = 'ABORT_STORM') AS aborted, count(*) FILTER (WHERE phase = 'ROUTE_STORM') AS stale, 0::BIGINT AS error FROM j GROUP BY 1")
 def sm06(spark, sf):
     """How the 500 jobs of each run end, by the lifecycle of their log."""
-    runs = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 10).alias("run")).distinct()
+    customers = table(spark, sf, "customer")
+    runs = customers.select(F.floor(F.col("c_custkey") / 10).alias("run")).distinct().repartition(tasks_for(customers, 50_000), "run")  # each becomes 500 jobs
     s = jobs.lifecycle_batch(jobs.soak_events(jobs.soak_plan(runs))).where(F.col("status") != "ACTIVE")
     n = lambda *k: F.count_if(F.col("status").isin(*k))
     return s.groupBy(F.col("view").cast("long").alias("run")).agg(n("COMPLETED").alias("completed"), n("ABORTED").alias("aborted"), n("STALE").alias("stale"), n("SUPERSEDED", "REJECTED").alias("error"))
