@@ -348,7 +348,12 @@ def stratified_diverse(df: DataFrame, strata: list[str], axes: list[str], n: int
         rows = rows.join(F.broadcast(held), strata).where(~F.array_contains("_ids", F.col("_id")))
         times = lambda e: F.size(F.filter("_used", lambda u: u == F.col(e)))
         score = F.array_min(F.transform("_vs", lambda v: apart(F.col("_v"), v))) - reuse * (times("_1") + times("_2")) + F.col("_h") * 1e-6
-        best = rows.groupBy(*strata).agg(F.max_by(F.struct("_id", "_1", "_2", "_v"), F.struct(score.alias("s"), "_id")).alias("m")).select(*strata, "m.*").collect()  # a row for each stratum
+        # a maximum of structs would sort the pool: the bucket that holds it is found by numbers, and only its rows are compared
+        rows = rows.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(64)))
+        tops = rows.groupBy(*strata, "_b").agg(F.max(score).alias("_top"))
+        won = tops.withColumn("_best", F.max("_top").over(Window.partitionBy(*strata))).where("_top = _best").drop("_best")
+        rows = rows.join(F.broadcast(won), [*strata, "_b"]).withColumn("_s", score).where("_s = _top")
+        best = rows.groupBy(*strata).agg(F.max_by(F.struct("_id", "_1", "_2", "_v"), "_id").alias("m")).select(*strata, "m.*").collect()  # a row for each stratum
         if not best:
             break
         chosen += [r.asDict(recursive=True) | {"place": place} for r in best]
