@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huestrata.sources.staging import staged
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its 1-based place in a total order, and the number of rows n, without one task that holds all rows.
@@ -315,10 +317,11 @@ def stratified_diverse(df: DataFrame, strata: list[str], axes: list[str], n: int
 
     The first is one of the five nearest to the stratum's mean, which one the seed tells; each
     next has the largest distance to those chosen, less `reuse` for every use of its ends and
-    with a seeded millionth to break ties. A round is one maximum a stratum over rows that are
-    made anew: nothing of the pool is kept, sorted or shuffled, and what is joined by broadcast
-    is a row for each stratum.
+    with a seeded millionth to break ties. A round is one maximum a stratum over the pool, which
+    is written once, in files that tasks share out, and neither sorted nor shuffled; what is
+    joined by broadcast is a row for each stratum.
     """
+    df = staged(df.select(*strata, id_col, *ends, *axes))
     parts = [F.min(a).alias(f"_l{i}") for i, a in enumerate(axes)] + [F.max(a).alias(f"_h{i}") for i, a in enumerate(axes)] + [F.avg(a).alias(f"_a{i}") for i, a in enumerate(axes)]
     spread = df.groupBy(*strata).agg(*parts).collect()  # a row for each stratum
     if not spread:
