@@ -107,7 +107,7 @@ def op10_near_dedup(spark, sf_dir):
 
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False, keep_text=True)
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False, keep_text=True, passages=True)
 
 
 # --- Merkle manifest ----------------------------------------------------------------------

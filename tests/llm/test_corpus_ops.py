@@ -177,6 +177,50 @@ def test_repeats_at_400_bytes(spark):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
+def brute_passages(texts, size):
+    """Words in passages of `size` words that stand in another row too."""
+    words = [[x.decode() for x in (t or "").encode().split()] for t in texts]
+    where = {}
+    for i, w in enumerate(words):
+        for j in range(len(w) - size + 1):
+            where.setdefault(tuple(w[j : j + size]), set()).add(i)
+    out = []
+    for w in words:
+        covered = np.zeros(len(w), bool)
+        for j in range(len(w) - size + 1):
+            if len(where[tuple(w[j : j + size])]) > 1:
+                covered[j : j + size] = True
+        out.append(int(covered.sum()))
+    return out
+
+
+def test_passages_shorter_than_400_bytes_are_found(spark):
+    rnd = random.Random(9)
+    some = lambda n: " ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(n))
+    passage = some(60).split()
+    assert len(" ".join(passage)) < 400
+    texts = [some(30) + " " + " ".join(passage[:n]) + "\n" + some(20) for n in (50, 51, 55)] + [some(40) + "\t" + "  ".join(passage[4:]), some(200)]
+    texts += [(line := some(52)) + "\n" + line, (copy := some(51)), copy, (short := some(50)), short, None, ""]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(documents(spark, enumerate(texts)), keep_bytes=False, passages=True).collect()}
+    assert [got[i]["n_passage_words"] for i in range(len(texts))] == brute_passages(texts, 51) == [0, 51, 55, 51, 0, 0, 51, 51, 0, 0, 0, 0]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for _, r in sorted(got.items())] == brute_repeats(texts, 400)
+
+
+def test_passages_equal_brute_force(spark):
+    for block in (16384, 4):  # one block a bucket, and buckets dealt into blocks over several rounds
+        rnd = random.Random(block)
+        some = lambda n: [rnd.choice("abcdé") * rnd.randrange(1, 3) for _ in range(n)]
+        passage, other = some(16), some(14)
+        texts = [some(rnd.randrange(9)) + passage[rnd.randrange(5) :] + some(rnd.randrange(9)) for _ in range(60)]
+        texts += [passage + some(k) + passage + other * 2 for k in range(12)] + [["x"] * k for k in (9, 10, 11, 40)] + [["x", "y"] * 30, some(400)]
+        texts = [" ".join(t) for t in texts] + [None, "", " "]
+        texts += [texts[3], texts[61], " ".join((line := some(25)) * 30), " ".join(line)]
+        params = suffix_dedup.Params(length=40, gram=8, block=block, words=10, seed=3)
+        got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(documents(spark, enumerate(texts)), params, keep_bytes=False, passages=True).collect()}
+        assert [got[i]["n_passage_words"] for i in range(len(texts))] == brute_passages(texts, 10), block
+        assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == brute_repeats(texts, 40), block
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 
