@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from huestrata.functions import text as tx
+from huestrata.operators import neighbours as nb
 from huestrata.operators import ranking as rk
 from huestrata.operators import relations as rel
 from huestrata.operators import sets as so
@@ -175,9 +176,9 @@ def jn02(spark, sf):
 def mutual_by_cosine(spark, sf):
     """JN10: suppliers that are each other's nearest by cosine of what they sell of each part, with the margin to the second; rounded for ties."""
     items = table(spark, sf, "lineitem")
-    s = items.groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").cast("double").alias("q"))
-    s = s.join(s.groupBy("a").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length")).where("length > 0").hint("merge"), "a").select("a", "p", (F.col("q") / F.col("length")).alias("q"))
-    d = rel.dots(s, rel.tasks_for(items)).select("a", "b", R("dot", 9).alias("score"))
+    n = items.count()
+    s = items.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("p"), "l_quantity").repartition(nb.files_for(spark, n), "a", "p")
+    d = nb.best_by_cosine(s.groupBy("a", "p").agg(F.sum("l_quantity").cast("double").alias("q")), n)
     return rel.mutual_nearest(d).select("a", "b", R("score").alias("score"), R("margin").alias("margin"))
 
 
